@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from logloom.llm import decontamination, packing, token_counts
+from logloom.llm import decontamination, language_id, licenses, packing, secrets, token_counts
 from logloom.llm.shared import read_table
 
 
@@ -20,18 +21,43 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def learned_languages(documents: DataFrame) -> dict[str, bytes]:
+    """Training texts from labelled documents outside the held-out third."""
+    return language_id.sample_texts(documents.filter(f"lang is not null and text is not null and {fold(3)} <> 1"))
+
+
+def fold(n: int) -> str:
+    return f"crc32(cast(doc_id as string)) % {n}"
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    found = language_id.identify(documents.select("doc_id", "text"), learned_languages(documents))
+    return found.select("doc_id", F.expr(f"{fold(3)} = 1").alias("held_out"), "lang_pred", "score")
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secrets.train(secrets.labelled_findings(spark))
+    found = secrets.scan(read_table(spark, sf_dir, "documents"), model)
+    return found.select("doc_id", "start", "length", F.sha2("candidate", 256).alias("candidate_sha256"), "score", "is_secret")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op7_packing, op10_decontamination]
+    found = [op1_token_counts, op3_language_id, op6_secret_scan, op7_packing, op9_license_scan, op10_decontamination]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_license_scan": licenses.oracle_sql()}
