@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import decontamination, jaccard, language_id, licenses, packing, secrets, token_counts
+from logloom.llm import decontamination, jaccard, language_id, licenses, packing, secrets, suffix_dedup, token_counts
 from logloom.llm.shared import read_table
 
 
@@ -50,6 +50,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_table(spark, sf_dir, "documents"))
 
@@ -59,7 +63,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op3_language_id, op5_ngram_jaccard_join, op6_secret_scan, op7_packing, op9_license_scan, op10_decontamination]
+    found = [op1_token_counts, op3_language_id, op5_ngram_jaccard_join, op6_secret_scan, op7_packing, op8_suffix_array_dedup, op9_license_scan, op10_decontamination]
     return {f.__name__: f for f in found}
 
 
