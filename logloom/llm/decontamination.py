@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.shared import bound_batches
+from logloom.llm.shared import bound_batches, received, send
 
 #: Windows in one broadcast table.
 PART_WINDOWS = 400_000
@@ -102,18 +102,16 @@ def tables(items: Iterator[tuple[str, bytes | None]], size: int, part_windows: i
 def occurrences(texts: list[list[bytes]], parts: list) -> tuple[list[list[tuple[int, int]]], list[set[str]]]:
     """For each text the spans of words inside an occurrence, and the items that occur.
 
-    Of more than two parts only the one in use is held in memory.
+    parts are callables; of more than two only the one in use is held in memory.
     """
     spans: list[list[tuple[int, int]]] = [[] for _ in texts]
     found: list[set[str]] = [set() for _ in texts]
     for part in parts:
-        for table in part.value:
+        for table in part():
             for words, own, items in zip(texts, spans, found, strict=True):
                 for start, of in table.search(words):
                     own.append((start, start + table.length))
                     items |= of
-        if len(parts) > 2:
-            part.__dict__.pop("_value", None)
     return spans, found
 
 
@@ -127,9 +125,14 @@ def covered(spans: list[tuple[int, int]]) -> int:
 
 def _scan(parts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if len(parts) > 2:
+            loaded = [lambda p=p: received(p) for p in parts]
+        else:
+            held = [received(p) for p in parts]
+            loaded = [lambda t=t: t for t in held]
         for b in batches:
             texts = [words_of(t) for t in b.column(1).to_pylist()]
-            spans, found = occurrences(texts, parts)
+            spans, found = occurrences(texts, loaded)
             n_words, n_hit = [len(t) for t in texts], [covered(s) for s in spans]
             new = [pa.array(x, pa.int64()) for x in (n_words, n_hit, [len(x) for x in found])]
             sha = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in found]
@@ -151,6 +154,6 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
     bound_batches(spark)
     items = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("binary")).filter("item_id is not null and text is not null")
     rows = ((r[0], bytes(r[1])) for r in items.toLocalIterator())
-    parts = [spark.sparkContext.broadcast(t) for t in tables(rows, window)]
+    parts = [send(spark, t) for t in tables(rows, window)]
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return docs.mapInArrow(_scan(parts), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")

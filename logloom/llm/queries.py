@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import decontamination, jaccard, language_id, licenses, packing, secrets, suffix_dedup, token_counts
+from logloom.llm import decontamination, jaccard, language_id, licenses, packing, secrets, suffix_dedup, token_counts, toxicity
 from logloom.llm.shared import read_table
 
 
@@ -30,6 +30,16 @@ def fold(n: int) -> str:
     return f"crc32(cast(doc_id as string)) % {n}"
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    train = f"{fold(5)} <> 0"
+    texts, y, held = toxicity.sample(documents, labels.filter(train), f"{fold(5)} = 1")
+    languages = language_id.sample_texts(documents.filter(f"lang is not null and text is not null and {train}"))
+    model = toxicity.train(texts, y, held, languages)
+    found = toxicity.classify(documents, model)
+    return found.select("doc_id", F.expr(f"{fold(5)} = 0").alias("held_out"), "score", "predicted")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents")
     found = language_id.identify(documents.select("doc_id", "text"), learned_languages(documents))
@@ -63,7 +73,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op3_language_id, op5_ngram_jaccard_join, op6_secret_scan, op7_packing, op8_suffix_array_dedup, op9_license_scan, op10_decontamination]
+    found = [op1_token_counts, op2_toxicity, op3_language_id, op5_ngram_jaccard_join, op6_secret_scan, op7_packing, op8_suffix_array_dedup, op9_license_scan, op10_decontamination]
     return {f.__name__: f for f in found}
 
 

@@ -6,12 +6,14 @@ are lost: what was written is read again instead of being computed again.
 
 from __future__ import annotations
 
+import pickle
 import sys
 import tempfile
 import uuid
 from collections.abc import Callable
 from typing import Any
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of one Arrow batch handed to a Python worker; long texts then come in smaller batches.
@@ -60,3 +62,12 @@ def once(key: Any, make: Callable[[], Any]) -> Any:
     if key not in kept:
         kept[key] = make()
     return kept[key]
+
+
+def send(spark: SparkSession, value: Any) -> Broadcast:
+    """A broadcast whose classes travel by value, too."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(sent: Broadcast) -> Any:
+    return pickle.loads(sent.value)
