@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import decontamination, jaccard, language_id, licenses, packing, secrets, suffix_dedup, token_counts, toxicity
+from logloom.llm import decontamination, embedding_dedup, jaccard, language_id, licenses, packing, secrets, suffix_dedup, token_counts, toxicity
 from logloom.llm.shared import read_table
 
 
@@ -46,6 +46,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.expr(f"{fold(3)} = 1").alias("held_out"), "lang_pred", "score")
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_similar(read_table(spark, sf_dir, "documents"), size=4, num=85, den=100)
 
@@ -73,7 +77,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op2_toxicity, op3_language_id, op5_ngram_jaccard_join, op6_secret_scan, op7_packing, op8_suffix_array_dedup, op9_license_scan, op10_decontamination]
+    found = [op1_token_counts, op2_toxicity, op3_language_id, op4_embedding_near_dedup, op5_ngram_jaccard_join, op6_secret_scan, op7_packing, op8_suffix_array_dedup, op9_license_scan, op10_decontamination]
     return {f.__name__: f for f in found}
 
 
