@@ -1,0 +1,314 @@
+"""Each operator on small fixtures against brute force: nulls, empty and long texts, ties, repeats, clashing names, empty tables."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from array import array
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+pytest.importorskip("public_tokenizers")
+
+from logloom.llm import components, decontamination, embedding_dedup, jaccard, language_id, licenses, packing, secrets, suffix_dedup, token_counts, toxicity  # noqa: E402
+from logloom.llm.queries import vocabulary  # noqa: E402
+
+SCHEMA = "doc_id long, text string, lang string, row long, key string, grp string, t1 long"
+
+
+def lower(s):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s)
+
+
+def prose(seed, n, alphabet="aeioutnrs"):
+    r = random.Random(seed)
+    return " ".join("".join(r.choice(alphabet) for _ in range(r.randint(1, 7))) for _ in range(n))
+
+
+def texts():
+    a, b = prose(1, 300), prose(2, 200)
+    words = a.split()
+    near = words[:]
+    near[40] = "changed"
+    return [
+        None, "", " ", "one", "two  words", a, a, " ".join(near), " ".join(words[:150]) + " " + b, b + "\n\n" + b, "x" * 1500, prose(3, 4000),
+        "Ünïcode ſ İ 中文字   tab\tend \n\n  spaces  <|endoftext|> after<|endoftext|>", "A B c D", "a b C d", "\x00\x01 0123", "it's we'll I'd",
+    ]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, None, 7, "k", "g", 1) for i, t in enumerate(texts())]
+    return spark.createDataFrame([*rows, rows[5]], SCHEMA).repartition(3).persist()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def ids():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary())
+    return {i: t.encode(x or "", add_special_tokens=False).ids for i, x in enumerate(texts())}
+
+
+@pytest.mark.parametrize("head", [1 << 18, 5])
+def test_token_counts(docs, empty, ids, head):
+    rows = token_counts.count_tokens(docs, vocabulary(), 1024, head).collect()
+    assert len(rows) == len(texts()) + 1
+    for r in rows:
+        text = texts()[r["doc_id"]] or ""
+        assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(text.encode()), len(ids[r["doc_id"]]), len(ids[r["doc_id"]]) > 1024)
+    assert token_counts.count_tokens(empty, vocabulary()).count() == 0
+
+
+def test_packing(docs, empty, ids):
+    rows = packing.pack(docs, vocabulary(), 300).collect()
+    pieces, places = defaultdict(list), defaultdict(list)
+    for r in rows:
+        pieces[r["doc_id"]].append(r)
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    for i, own in ids.items():
+        whole = [*own, 0]
+        copies = 2 if i == 5 else 1
+        assert sum(r["length"] for r in pieces[i]) == copies * len(whole)
+        for r in pieces[i]:
+            part = whole[r["start"] : r["start"] + r["length"]]
+            assert len(part) == r["length"] and zlib.crc32(array("I", part).tobytes()) == r["ids_crc32"]
+            assert r["length"] == 300 or r["piece"] == 0
+    for own in places.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 300
+    assert packing.pack(empty, vocabulary()).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_packing_plan(seed):
+    r = random.Random(seed)
+    sizes = Counter(min(2048, int(r.lognormvariate(6, 1)) + 1) for _ in range(4000))
+    runs = packing.plan(dict(sizes), 2048)
+    placed, used = Counter(), Counter()
+    for size, lo, hi, first, _ in runs:
+        placed[size] += hi - lo
+        for k in range(hi - lo):
+            used[first + k] += size
+    assert placed == sizes and max(used.values()) <= 2048
+    assert len(used) <= 1.02 * math.ceil(sum(s * n for s, n in sizes.items()) / 2048) + 1
+
+
+def test_decontamination(spark, docs, empty):
+    a = texts()[5].split()
+    items = [(1, " ".join(a[10:40])), (2, "one"), (10, "nowhere to be found"), (3, None), (4, "  "), (2, "one"), (5, " ".join(a[20:33]).upper())]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    wins = defaultdict(set)
+    for i, t in items:
+        w = word.findall(lower(t or ""))
+        for k in range(max(1, len(w) - 12) if w else 0):
+            wins[tuple(w[k : k + 13])].add(str(i))
+    for r in decontamination.find_contamination(docs, bench).collect():
+        w = word.findall(lower(texts()[r["doc_id"]] or ""))
+        hit, found = [False] * len(w), set()
+        for size in {len(x) for x in wins}:
+            for k in range(len(w) - size + 1):
+                if own := wins.get(tuple(w[k : k + size])):
+                    found |= own
+                    hit[k : k + size] = [True] * size
+        n = sum(hit)
+        sha = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+        assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == (len(w), n, len(found), sha, n > 0 and 20 * n >= len(w))
+    assert decontamination.find_contamination(empty, bench).count() == 0
+    assert not decontamination.find_contamination(docs, bench.limit(0)).filter("contaminated").count()
+
+
+def test_parts_of_a_benchmark():
+    items = [(str(i), f"w{i} x y z".encode()) for i in range(10)]
+    parts = list(decontamination.tables(iter(items), 13, part_windows=3))
+    assert len(parts) == 4
+    spans, found = decontamination.occurrences([b"w3 x y z w8 x y z".split()], [lambda p=p: p for p in parts])
+    assert decontamination.covered(spans[0]) == 8 and found[0] == {"3", "8"}
+
+
+def shingles(text, size):
+    w = re.findall(r"[^\x20\x09-\x0D]+", lower(text or ""))
+    return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set()
+
+
+@pytest.mark.parametrize(("size", "num", "den"), [(4, 85, 100), (5, 4, 5)])
+def test_jaccard(spark, docs, empty, size, num, den):
+    r = random.Random(size)
+    base = prose(9, 60).split()
+    variants = []
+    for _ in range(60):
+        w = base[:]
+        for _ in range(r.randint(0, 4)):
+            w[r.randrange(len(w))] = r.choice("pqxyz")
+        variants.append(" ".join(w))
+    all_texts = dict(enumerate(texts())) | {100 + i: t for i, t in enumerate(variants)}
+    more = spark.createDataFrame([(100 + i, t, None, 7, "k", "g", 1) for i, t in enumerate(variants)], SCHEMA)
+    sets = {i: shingles(t, size) for i, t in all_texts.items()}
+    least = {i: i for i in sets}
+
+    def find(x):
+        while least[x] != x:
+            x = least[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            if i < j and sets[i] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                least[b] = a
+    rows = jaccard.join_similar(docs.union(more), size, num, den).collect()
+    assert len(rows) == len(all_texts) + 1
+    for r in rows:
+        assert (r["n_shingles"], r["component_id"]) == (len(sets[r["doc_id"]]), find(r["doc_id"]))
+    assert jaccard.join_similar(empty).count() == 0
+
+
+def test_components(spark):
+    links = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95), (7, 7), (3, None)]
+    found = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert found == {i: 0 for i in range(41)} | {90: 90, 95: 90, 100: 90}
+
+
+@pytest.mark.parametrize("group", [20_000, 1])
+def test_suffix_dedup(docs, empty, group, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    data = [(t or "").encode() for t in texts()]
+    data.append(data[5])
+    seen = Counter(t[i : i + 400] for t in data for i in range(len(t) - 399))
+    expected = {}
+    for i, t in enumerate(data[:-1]):
+        gone = np.zeros(len(t), bool)
+        for k in range(len(t) - 399):
+            if seen[t[k : k + 400]] > 1:
+                gone[k : k + 400] = True
+        spans = int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum())
+        expected[i] = (len(t), int(gone.sum()), spans, hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~gone])).hexdigest())
+    rows = suffix_dedup.remove_repeats(docs).collect()
+    assert len(rows) == len(data)
+    for r in rows:
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == expected[r["doc_id"]]
+    assert suffix_dedup.remove_repeats(empty).count() == 0
+
+
+def test_log_index_levels(spark):
+    index = suffix_dedup.LogIndex(spark)
+    for k in range(5):
+        found = index.add(spark.createDataFrame([(k,), (k + 1,), (100 + k,)], "prefix long"))
+        assert [r["prefix"] for r in found.collect()] == ([k] if k else [])
+    assert sorted(index.levels) == [0, 2]
+    assert sorted(r["prefix"] for r in index.repeated().collect()) == [1, 2, 3, 4]
+
+
+def test_embeddings(spark):
+    r = np.random.default_rng(1)
+    rows = []
+    for label in ("a", "b"):
+        base = r.normal(size=(30, 16))
+        for i, v in enumerate(base):
+            for k in range(1 + 6 * (i == 0)):
+                rows.append((len(rows), (v + r.normal(size=16) * 0.02 * k).tolist(), label))
+    rows += [(1000, rows[0][1], "a"), (1001, [2 * x for x in rows[1][1]], "a"), (1002, rows[0][1], None), (1003, None, "a"), (1004, [0.0] * 16, "a"), (1005, [math.nan] * 16, "a"), (1006, [1.0, None], "a"), (1007, [1e300] * 16, "b"), (1007, [1e300] * 16, "b"), (1008, [], "a")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+
+    def unit(v):
+        if not v or any(x is None or not math.isfinite(x) for x in v) or not any(v):
+            return None
+        x = np.array(v) / max(abs(y) for y in v)
+        return x / np.linalg.norm(x)
+
+    units = [unit(v) if label else None for _, v, label in rows]
+    near = [[a is not None and b is not None and rows[i][2] == rows[j][2] and len(a) == len(b) and i != j and a @ b >= 0.98 for j, b in enumerate(units)] for i, a in enumerate(units)]
+    comp = list(range(len(rows)))
+    for _ in rows:
+        comp = [min([comp[i], *(comp[j] for j in range(len(rows)) if near[i][j])]) for i in range(len(rows))]
+    expected = Counter((rows[i][0], sum(near[i]), min(rows[j][0] for j in range(len(rows)) if comp[j] == comp[i])) for i in range(len(rows)))
+    found = embedding_dedup.link_vectors(df).collect()
+    assert Counter((x["vec_id"], x["n_links"], x["component_id"]) for x in found) == expected
+    assert all(x["kept"] == (x["vec_id"] == x["component_id"]) for x in found)
+    assert embedding_dedup.link_vectors(df.limit(0)).count() == 0
+
+
+def test_cross_parsing():
+    samples = {"aa": b" abab cc ab ", "bb": b" xyxy zz "}
+    p = language_id.Parser(samples)
+
+    def count(text, sample):
+        n, at = 1, 0
+        for i in range(1, len(text) + 1):
+            if i - at > 1 and text[at:i] not in sample or i - at == 1 and text[at:i] not in sample:
+                n, at = n + 1, i if text[i - 1 : i] not in sample else i - 1
+        return n
+
+    texts_ = [b" abab ", b" xyz ab cc ", b"", b" zz zz xyxy abab "]
+    found = p.phrases(texts_)
+    for k, lang in enumerate(p.langs):
+        for i, t in enumerate(texts_):
+            assert found[k, i] == (count(t, samples[lang]) if t else 0)
+
+
+def test_language_id(spark, docs, empty):
+    samples = {"en": language_id.normalise(prose(1, 2000, "theandr")), "de": language_id.normalise(prose(2, 2000, "schuimö"))}
+    rows = spark.createDataFrame([(0, prose(5, 30, "theandr")), (1, prose(6, 30, "schuimö")), (2, "123 !"), (3, None), (4, "—")], "doc_id long, text string")
+    found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(rows, samples).collect()}
+    assert [found[i][0] for i in range(5)] == ["en", "de", "und", "und", "und"] and all(0 <= s <= 1 for _, s in found.values())
+    assert language_id.identify(docs, samples).columns == [*docs.columns, "lang_pred", "score"]
+    assert language_id.identify(empty, samples).count() == 0
+    assert {r["lang_pred"] for r in language_id.identify(rows, {}).collect()} == {"und"}
+
+
+def test_toxicity(spark, docs, empty):
+    r = random.Random(4)
+    y = [i % 4 == 0 for i in range(240)]
+    own = [prose(100 + i, 40) + (" vileword" + r.choice("abc") if bad else "") for i, bad in enumerate(y)]
+    model = toxicity.train(own, [int(b) for b in y], [i % 5 == 1 for i in range(240)], {"xx": b" some text "})
+    test = [prose(900 + i, 40) + (" vileword" + r.choice("def") if i % 2 else "") for i in range(40)]
+    rows = spark.createDataFrame([*enumerate(test), (50, None), (51, "")], "doc_id long, text string")
+    found = {x["doc_id"]: x for x in toxicity.classify(rows, model).collect()}
+    right = sum(found[i]["predicted"] == i % 2 for i in range(40))
+    assert right >= 38 and found[50]["score"] == found[51]["score"] and found[50]["predicted"] == 0
+    assert toxicity.classify(docs, model).count() == docs.count() and toxicity.classify(empty, model).count() == 0
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secrets.train(secrets.labelled_findings(spark))
+
+
+def test_secrets(spark, empty, forest):
+    sha = hashlib.sha1(b"x").hexdigest()
+    rows = [
+        (0, f'first token = "{sha}" then AKIA{"Q7ZX" * 4} end', "z"), (1, "call 4929123412341234 now", "z"), (2, None, "z"), (3, "", "z"), (4, f"commit {sha} merged", "z"),
+        (0, f'first token = "{sha}" then AKIA{"Q7ZX" * 4} end', "z"), (5, "\x01\x02 plain", "z"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    found = secrets.scan(df, forest).collect()
+    by = defaultdict(list)
+    for x in found:
+        assert rows[[r[0] for r in rows].index(x["doc_id"])][1][x["start"] : x["start"] + x["length"]] == x["candidate"]
+        by[x["doc_id"]].append(x["is_secret"])
+    assert by == {0: [True] * 4, 1: [False], 4: [False]}
+    clean = secrets.redact(df, forest)
+    assert clean.columns == df.columns and clean.count() == len(rows)
+    masked = {r["doc_id"]: r["text"] for r in clean.collect()}
+    assert masked == dict((r[0], r[1]) for r in rows) | {0: 'first token = "[SECRET]" then [SECRET] end'}
+    assert secrets.scan(empty, forest).count() == 0 and secrets.redact(empty, forest).count() == 0
+
+
+def test_licenses(spark, empty):
+    mit = licenses.KNOWN[0][1]
+    rows = [(0, "Copyright (c) 2020 A\n\n" + mit.upper()), (1, "text\nReleased under the MIT Licence!\n"), (2, None), (3, ""), (4, mit + " extra"), (1, "text\nReleased under the MIT Licence!\n")]
+    found = licenses.scan(spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, digest string")).collect()
+    assert sorted((r["doc_id"], r["license_id"], r["n_notices"], r["notice_ids"]) for r in found if r["doc_id"] != 2) == [(0, "MIT", 0, ""), (1, None, 1, "MIT"), (1, None, 1, "MIT"), (3, None, 0, ""), (4, None, 0, "")]
+    assert licenses.scan(empty).count() == 0
