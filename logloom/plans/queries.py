@@ -434,3 +434,80 @@ def gram_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Longest-match reduction of the most common letter grams of documents."""
     docs = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,4}"), F.lit(0))).alias("term"))
     return export.longest_only(docs.groupBy("term").agg(F.count("*").alias("weight")))
+
+
+@query("SELECT doc_id, CAST(greatest(1, length(text) // 3) AS INTEGER) AS cost, left(text, 40) AS head, sha1(text) AS digest FROM documents")
+def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Truncation by code points, estimated tokens, and the digest used for change detection."""
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", tx.token_cost(t).alias("cost"), F.substring(t, 1, 40).alias("head"), F.sha1(t).alias("digest"))
+
+
+@query(r"SELECT lower(regexp_extract(regexp_extract(url, '([^/]*)$', 1), '[^.](\.[^.]*)$', 1)) AS ext, count(*) AS n FROM pages GROUP BY 1")
+def url_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").groupBy(tx.file_ext(F.col("url")).alias("ext")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT '/' || p[1] || '/' || p[2] AS root, count(*) AS n FROM (SELECT list_filter(string_split(url, '/'), lambda x: x <> '') AS p FROM pages) GROUP BY 1")
+def url_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.top_counts(table(spark, sf_dir, "pages").select(tx.project_root(F.col("url"), "/home/nobody").alias("root")), "root")
+
+
+@query("SELECT left(array_to_string(string_split(p_name, ' ')[1:2], ' '), 60) AS cmd_key, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, cmd_key LIMIT 25")
+def top_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = table(spark, sf_dir, "part").select(tx.command_key(F.concat(F.lit("cd /x && "), "p_name"), "/home/nobody").alias("cmd_key"))
+    return digest.top_counts(keys, "cmd_key", 25)
+
+
+@query("SELECT CAST(hour(ts) AS INTEGER) AS hour, count(*) AS n FROM events GROUP BY 1")
+def parsed_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times written as ISO text are parsed again; text that isn't one is skipped."""
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    rows = table(spark, sf_dir, "events").select(F.explode(F.array(iso, F.lit("2024"), F.lit("x"))).alias("t"))
+    return rows.select(F.hour(tx.parse_ts(F.col("t"))).alias("hour")).filter("hour is not null").groupBy("hour").agg(F.count("*").alias("n"))
+
+
+COMMANDS = {"purchase": "npm test", "click": "git commit", "view": "npm run", "error": "mypy src"}
+_CASES = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in COMMANDS.items()) + " ELSE 'ls' END"
+
+
+@query(
+    f"""WITH c AS (SELECT {_CASES} AS cmd_key, CASE WHEN event_id % 3 = 0 THEN 'Edit' ELSE 'Bash' END AS tool FROM events)
+SELECT count(*) FILTER (cmd_key = 'npm test') AS test, count(*) FILTER (starts_with(cmd_key, 'git')) AS git, count(*) FILTER (starts_with(cmd_key, 'mypy')) AS typecheck,
+  count(*) FILTER (cmd_key = 'npm run') AS build, count(*) FILTER (cmd_key = 'git commit') AS commits, count(*) FILTER (tool = 'Edit') AS edits,
+  count(*) FILTER (cmd_key = 'npm test') / count(*) FILTER (tool = 'Edit') AS test_to_edit_ratio FROM c"""
+)
+def verification_habits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    calls = e.select(F.expr(_CASES).alias("cmd_key"), F.when(F.col("event_id") % 3 == 0, "Edit").otherwise("Bash").alias("tool"))
+    return habits.verification(calls)
+
+
+@query(
+    """WITH t AS (SELECT doc_id, text, CASE WHEN regexp_matches(text, 'idiot|moron') THEN 'a' WHEN regexp_matches(text, 'trash|scum') THEN 'b' ELSE 'other' END AS theme FROM documents),
+f AS (SELECT theme, left(text, 140) AS quote, min(doc_id) AS pos FROM t GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY theme ORDER BY pos, quote) AS nth FROM f)
+SELECT theme, string_agg(quote, '|' ORDER BY nth) AS quotes FROM r WHERE nth <= 3 GROUP BY theme"""
+)
+def theme_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [("a", "idiot|moron"), ("b", "trash|scum")]
+    docs = table(spark, sf_dir, "documents").select("text", "doc_id")
+    return habits.themes(docs, "text", rules, "other", ["doc_id"], flags="").select("theme", F.array_join("quotes", "|").alias("quotes"))
+
+
+@query("SELECT CAST(date_trunc('day', ts) AS VARCHAR)[1:10] AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def daily_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch form of streaming.ingest.counts_by_window."""
+    day = F.window("ts", "1 day")["start"]
+    return table(spark, sf_dir, "events").groupBy(F.date_format(day, "yyyy-MM-dd").alias("day"), "event_type").agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH f AS (SELECT event_type AS quote, min((ts, event_id)) AS pos FROM events GROUP BY 1)
+SELECT quote, CAST(row_number() OVER (ORDER BY pos) AS INTEGER) AS nth FROM f"""
+)
+def first_seen_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("quote"), "ts", "event_id")
+    first = digest.first_of_each(e, "quote", "ts", "event_id")
+    return first.select("quote", F.row_number().over(Window.orderBy("ts", "event_id")).alias("nth"))
