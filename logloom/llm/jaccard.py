@@ -10,8 +10,11 @@ subsets that leave out one of them are enumerated.  A signature is a hash of
 the set's features in one such subset, so similar sets share a signature.
 
 Sets that are equal count once (their key is the set's hash).  Sets that
-share a signature are compared first by a lower bound of their difference, the
-distance of two histograms of their features, and last by the sets themselves.
+share a signature are compared first by lower bounds of their difference, and
+then by the sets themselves: the distance of histograms of their features, and
+the number of bits in which parity sketches differ.  Within a group only the
+pairs that join its parts are tried first; those that the sets don't confirm
+lead to a second round, which tries all pairs of what is still apart.
 """
 
 from __future__ import annotations
@@ -26,9 +29,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.llm.components import components
-from logloom.llm.shared import bound_batches, once, write_shared
+from logloom.llm.shared import bound_batches, checked, once, write_shared
 
 BINS = 128
+BITS = 2048
+SKETCH = BINS + BITS // 8
 WORD_CACHE = 1_000_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -125,9 +130,11 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out)
 
 
-def histogram(s: np.ndarray) -> bytes:
-    """Features in each of BINS cells, 255 at most, for a lower bound of the difference of two sets."""
-    return np.bincount((s & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS).clip(0, 255).astype(np.uint8).tobytes()
+def sketch(s: np.ndarray) -> bytes:
+    """Number of features in each of BINS cells (255 at most), then the parities of their numbers in BITS cells."""
+    bins = np.bincount((s & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS).clip(0, 255).astype(np.uint8)
+    odd = np.bincount((s >> np.uint64(20) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return bins.tobytes() + np.packbits(odd.astype(np.uint8)).tobytes()
 
 
 def set_key(s: np.ndarray) -> int:
@@ -155,23 +162,7 @@ def _sets(size, num, den):
             ends = np.cumsum([0, *(0 if p is None else len(p) for p in parts)]).astype(np.int32)
             flat = np.concatenate([p for p in parts if p is not None] or [np.zeros(0, np.int64)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), counts, pa.array(keys, pa.int64()), pa.array([histogram(s) for s in sets], pa.binary()), lists], ["doc_id", "n_shingles", "key", "bins", "sigs"])
-
-    return run
-
-
-def _only_near(num, den):
-    """Drops pairs whose histograms differ by more than similar sets can."""
-    bands = Bands(num, den)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            n = b.column("a_n").to_numpy() + b.column("b_n").to_numpy()
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for c in ("a_bins", "b_bins"))
-            keep = np.abs(x - y).sum(axis=1) <= n * (bands.den - bands.num) // (bands.den + bands.num)
-            yield b.select(["a", "b"]).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([b.column(0), counts, pa.array(keys, pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), lists], ["doc_id", "n_shingles", "key", "sketch", "sigs"])
 
     return run
 
@@ -195,22 +186,32 @@ def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
         yield last, pa.Table.from_batches(held)
 
 
-def _within(num, den):
-    """Pairs of members of a group that lie in different components and may be similar."""
+def _within(num, den, forest):
+    """Pairs of a group's members that lie in different components and may be similar; of a forest only those that join parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in runs_of(batches, ["grp", "i", "j"]):
             key, root, n = (t.column(c).to_numpy() for c in ("key", "root", "n_shingles"))
-            bins = np.frombuffer(b"".join(t.column("bins").to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+            order = np.argsort(key)
+            key, root, n = key[order], root[order].copy(), n[order]
+            raw = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)[order]
+            bins, odd = raw[:, :BINS].astype(np.int16), np.ascontiguousarray(raw[:, BINS:]).view(np.uint64)
             a, b = [], []
             for x in range(len(key) - 1):
                 other = np.flatnonzero(root[x + 1 :] != root[x]) + x + 1
                 other = other[np.minimum(n[other], n[x]) * den >= num * np.maximum(n[other], n[x])]
                 if len(other):
-                    differ = np.abs(bins[other] - bins[x]).sum(axis=1)
-                    other = other[differ <= (n[other] + n[x]) * (den - num) // (den + num)]
-                    a.append(np.minimum(key[x], key[other]))
-                    b.append(np.maximum(key[x], key[other]))
+                    most = (n[other] + n[x]) * (den - num) // (den + num)
+                    other = other[np.bitwise_count(odd[other] ^ odd[x]).sum(axis=1) <= most]
+                if len(other):
+                    most = (n[other] + n[x]) * (den - num) // (den + num)
+                    other = other[np.abs(bins[other] - bins[x]).sum(axis=1) <= most]
+                if len(other) and forest:
+                    other = other[np.sort(np.unique(root[other], return_index=True)[1])]
+                    root[np.isin(root, root[other])] = root[x]
+                if len(other):
+                    a.append(np.full(len(other), key[x]))
+                    b.append(key[other])
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
@@ -244,7 +245,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, num
     """The pairs (a, b) of keys whose sets are similar: each set is made again from one document's text."""
     ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
     wanted = sets.filter("n_shingles > 0").join(ends, "key").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    texts = docs.join(wanted.select("doc_id").distinct(), "doc_id")  # where a doc_id repeats, the key tells its texts apart
+    wanted = checked(write_shared(wanted.select("doc_id").distinct()))
+    texts = docs.join(wanted, "doc_id")  # where a doc_id repeats, the key tells its texts apart
     features = write_shared(texts.mapInArrow(_features(size), "key long, features binary").dropDuplicates(["key"]))
     a = features.select(F.col("key").alias("a"), F.col("features").alias("a_set"))
     b = features.select(F.col("key").alias("b"), F.col("features").alias("b_set"))
@@ -263,42 +265,56 @@ def join_similar(documents: DataFrame, size: int = 5, num: int = 4, den: int = 5
     spark = documents.sparkSession
     bound_batches(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    made = write_shared(docs.mapInArrow(_sets(size, num, den), "doc_id long, n_shingles long, key long, bins binary, sigs array<long>"))
+    made = write_shared(docs.mapInArrow(_sets(size, num, den), "doc_id long, n_shingles long, key long, sketch binary, sigs array<long>"))
     sets = made.drop("sigs")
-    one = sets.groupBy("key").agg(F.first("n_shingles").alias("n_shingles"), F.first("bins").alias("bins"))
+    one = sets.groupBy("key").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
 
     # members of signature groups; groups with equal members count once
     by_sig = Window.partitionBy("sig")
-    shared = made.select(F.explode("sigs").alias("sig"), "key").select("sig", "key", F.min("key").over(by_sig).alias("hub"), F.max("key").over(by_sig).alias("top"))
-    members = shared.filter("hub <> top").dropDuplicates(["sig", "key"]).select("key", "hub", F.bit_xor(F.xxhash64("key")).over(by_sig).alias("grp"), F.count("*").over(by_sig).alias("members"))
+    least, most = F.min("key").over(by_sig).alias("least"), F.max("key").over(by_sig).alias("most")
+    shared = made.select(F.explode("sigs").alias("sig"), "key").select("sig", "key", least, most)
+    members = shared.filter("least <> most").dropDuplicates(["sig", "key"]).select("key", F.bit_xor(F.xxhash64("key")).over(by_sig).alias("grp"), F.count("*").over(by_sig).alias("members"))
     groups = write_shared(members.dropDuplicates(["grp", "key"]))
 
-    # every member with its group's first one
-    stars = groups.filter("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
-    left = one.select(F.col("key").alias("a"), F.col("n_shingles").alias("a_n"), F.col("bins").alias("a_bins"))
-    right = one.select(F.col("key").alias("b"), F.col("n_shingles").alias("b_n"), F.col("bins").alias("b_bins"))
-    sized = stars.join(left, "a").join(right, "b").filter(F.least("a_n", "b_n") * den >= F.greatest("a_n", "b_n") * num)
-    near = write_shared(sized.mapInArrow(_only_near(num, den), "a long, b long"))
-    links = write_shared(_verified(near, sets, docs, size, num, den))
-    roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-
-    # groups that still hold several components: all other pairs, in blocks
-    rooted = groups.filter("members > 2 and key <> hub").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    def candidates(rooted: DataFrame, forest: bool) -> DataFrame:
+        blocks = F.ceil(F.col("members") / BLOCK)
+        own = F.pmod(F.xxhash64("key", F.lit(1)), blocks)
+        dealt = (
+            rooted.join(one, "key")
+            .select("grp", "key", "root", "n_shingles", "sketch", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+            .select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key", "root", "n_shingles", "sketch")
+            .repartition("grp", "i", "j")
+            .sortWithinPartitions("grp", "i", "j")
+        )
+        return write_shared(dealt.mapInArrow(_within(num, den, forest), "a long, b long").distinct())
+
+    def edges(links: DataFrame) -> DataFrame:
+        return links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+    def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        """One pair for every two components that pairs would join."""
+        a, b = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        named = pairs.join(a, "a", "left").join(b, "b", "left").select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
+        between = named.filter("ra <> rb").groupBy(F.least("ra", "rb").alias("r1"), F.greatest("ra", "rb").alias("r2"))
+        return between.agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
+
+    # each set with the first that it may be similar to, then the parts that are left
+    joining = candidates(groups.withColumn("root", F.col("key")), forest=True)
+    tried = write_shared(joining.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    links = write_shared(_verified(tried, sets, docs, size, num, den))
+    roots = components(edges(links))
+    second = write_shared(apart(joining.join(tried, ["a", "b"], "left_anti"), roots))
+    if not second.isEmpty():
+        links = links.union(write_shared(_verified(second, sets, docs, size, num, den)))
+        tried = tried.union(second)
+        roots = components(edges(links))
+    rooted = groups.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     mixed = rooted.groupBy("grp").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("grp")
-    blocks = F.ceil(F.col("members") / BLOCK)
-    own = F.pmod(F.xxhash64("key", F.lit(1)), blocks)
-    rest = (
-        rooted.join(mixed, "grp")
-        .join(one, "key")
-        .select("grp", "key", "root", "n_shingles", "bins", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
-        .select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key", "root", "n_shingles", "bins")
-        .repartition("grp", "i", "j")
-        .sortWithinPartitions("grp", "i", "j")
-    )
-    more = write_shared(rest.mapInArrow(_within(num, den), "a long, b long").distinct())
-    late = _verified(more, sets, docs, size, num, den)
-    edges = links.union(late).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    labels = components(edges).select(F.col("node").alias("key"), "root")
+    rest = write_shared(candidates(rooted.join(mixed, "grp"), forest=False).join(tried, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        late = write_shared(_verified(rest, sets, docs, size, num, den))
+        roots = components(edges(links.union(late)))
+    labels = roots.select(F.col("node").alias("key"), "root")
     found = sets.select("doc_id", "n_shingles", "key").join(labels, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return found.join(least, "root").select("doc_id", "n_shingles", "component_id")

@@ -15,6 +15,7 @@ from typing import Any
 
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch handed to a Python worker; long texts then come in smaller batches.
 BATCH_BYTES = 16 << 20
@@ -57,11 +58,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def once(key: Any, make: Callable[[], Any]) -> Any:
-    """What make returns, made once in a worker process; functions pickled by value have no lasting globals."""
+    """What make returns, made once in a worker process; functions pickled by value have no lasting globals.
+
+    Of keys that are tuples with the same first part only the last one's value is kept.
+    """
     kept = sys.__dict__.setdefault("_logloom_worker_cache", {})
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
+    name = key[0] if isinstance(key, tuple) else key
+    if name not in kept or kept[name][0] != key:
+        kept[name] = (key, make())
+    return kept[name][1]
 
 
 def send(spark: SparkSession, value: Any) -> Broadcast:
@@ -71,3 +76,12 @@ def send(spark: SparkSession, value: Any) -> Broadcast:
 
 def received(sent: Broadcast) -> Any:
     return pickle.loads(sent.value)
+
+
+#: Most rows of a few numbers each that are broadcast after their count was checked.
+BROADCAST_ROWS = 400_000
+
+
+def checked(keys: DataFrame) -> DataFrame:
+    """keys (a written table of a few numbers a row) marked for a broadcast if it is small; else Spark shuffles both sides."""
+    return F.broadcast(keys) if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keys
