@@ -15,31 +15,35 @@ from pyspark.sql import functions as F
 
 from logloom.llm import decontamination, jaccard, language_id, packing, secrets
 from logloom.llm.queries import learned_languages, vocabulary
-from logloom.llm.shared import read_table, shared_dir
+from logloom.llm.shared import checked, read_table, shared_dir, write_shared
 
 #: SQL can't express cross-parsing, Jaccard components, a trained forest or packing in one statement.
 ORACLE_SQL: str | None = None
 
 
-def _keep(docs: DataFrame, verdict: DataFrame, condition: str) -> DataFrame:
-    """Rows of docs whose doc_id has a verdict that meets the condition."""
-    return docs.join(verdict.filter(condition).select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
-
-
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents in no learned language (no letters, or no text)."""
-    found = language_id.identify(docs, learned_languages(docs))
-    return found.filter(F.col("lang_pred") != language_id.NO_LANGUAGE).select(*docs.columns)
+    return language_id.only_identified(docs, learned_languages(docs))
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that with the smallest doc_id, of each group linked by similarity 0.8 of 5-word shingles."""
-    return _keep(docs, jaccard.join_similar(docs, size=5, num=4, den=5), "doc_id = component_id").dropDuplicates(["doc_id"])
+    """Keeps one document, that with the smallest doc_id, of each group linked by similarity 0.8 of 5-word shingles.
+
+    Of rows with one doc_id one stays.  Lists of ids that were counted and
+    are small are broadcast.
+    """
+    found = jaccard.join_similar(docs, size=5, num=4, den=5)
+    gone = checked(write_shared(found.filter("doc_id <> component_id").select("doc_id").distinct()))
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = checked(write_shared(docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")))
+    if repeated.isEmpty():
+        return kept
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that benchmark items contaminate."""
-    return _keep(docs, decontamination.find_contamination(docs, read_table(spark, sf_dir, "benchmark")), "not contaminated")
+    return decontamination.only_clean(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

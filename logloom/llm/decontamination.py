@@ -115,6 +115,18 @@ def occurrences(texts: list[list[bytes]], parts: list) -> tuple[list[list[tuple[
     return spans, found
 
 
+def loading(parts: list) -> list:
+    """Callables that give the tables: up to two parts are held, more are loaded anew each time."""
+    if len(parts) > 2:
+        return [lambda p=p: received(p) for p in parts]
+    held = [received(p) for p in parts]
+    return [lambda t=t: t for t in held]
+
+
+def is_contaminated(n_words: int, n_hit: int) -> bool:
+    return n_hit > 0 and 20 * n_hit >= n_words
+
+
 def covered(spans: list[tuple[int, int]]) -> int:
     n, last = 0, 0
     for a, b in sorted(spans):
@@ -125,23 +137,25 @@ def covered(spans: list[tuple[int, int]]) -> int:
 
 def _scan(parts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if len(parts) > 2:
-            loaded = [lambda p=p: received(p) for p in parts]
-        else:
-            held = [received(p) for p in parts]
-            loaded = [lambda t=t: t for t in held]
+        loaded = loading(parts)
         for b in batches:
             texts = [words_of(t) for t in b.column(1).to_pylist()]
             spans, found = occurrences(texts, loaded)
             n_words, n_hit = [len(t) for t in texts], [covered(s) for s in spans]
             new = [pa.array(x, pa.int64()) for x in (n_words, n_hit, [len(x) for x in found])]
             sha = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in found]
-            flag = pa.array([h > 0 and 20 * h >= w for w, h in zip(n_words, n_hit, strict=True)], pa.bool_())
+            flag = pa.array([is_contaminated(w, h) for w, h in zip(n_words, n_hit, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0), *new, pa.array(sha, pa.string()), flag], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
     return run
 
 
+def _parts(benchmark: DataFrame, window: int) -> list:
+    items = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("binary")).filter("item_id is not null and text is not null")
+    rows = ((r[0], bytes(r[1])) for r in items.toLocalIterator())
+    return [send(benchmark.sparkSession, t) for t in tables(rows, window)]
+
+
 def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
     """One row for each row of documents(doc_id, text): n_words, n_hit, n_items, items_sha256, contaminated.
 
@@ -150,10 +164,23 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
     same id count once.  Repeated documents each give a row; other columns are
     ignored; with an empty benchmark nothing is hit.
     """
-    spark = documents.sparkSession
-    bound_batches(spark)
-    items = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("binary")).filter("item_id is not null and text is not null")
-    rows = ((r[0], bytes(r[1])) for r in items.toLocalIterator())
-    parts = [send(spark, t) for t in tables(rows, window)]
+    bound_batches(documents.sparkSession)
+    parts = _parts(benchmark, window)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return docs.mapInArrow(_scan(parts), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+
+
+def only_clean(documents: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
+    """The rows of documents that aren't contaminated, with all their columns."""
+    bound_batches(documents.sparkSession)
+    parts, at = _parts(benchmark, window), documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loaded = loading(parts)
+        for b in batches:
+            texts = [words_of(t) for t in b.column(at).cast(pa.binary()).to_pylist()]
+            spans, _ = occurrences(texts, loaded)
+            keep = [not is_contaminated(len(t), covered(s)) for t, s in zip(texts, spans, strict=True)]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)

@@ -143,24 +143,44 @@ def sample_texts(labelled: DataFrame, max_documents: int = SAMPLE_DOCUMENTS, max
     return {k: v for k, v in out.items() if v}
 
 
+def _predicting(documents: DataFrame, samples: dict[str, bytes]):
+    sent = documents.sparkSession.sparkContext.broadcast(samples)
+
+    def predict(texts: list[str | None]) -> tuple[list[str], list[float]]:
+        key = tuple(sorted((k, hash(v)) for k, v in sent.value.items()))
+        parser = once(("cross-parser", key), lambda: Parser(sent.value))
+        return parser.predict([normalise(t) for t in texts])
+
+    return predict
+
+
 def identify(documents: DataFrame, samples: dict[str, bytes]) -> DataFrame:
-    """documents with lang_pred and score added: the language of least cross-parsing entropy.
+    """One row for each row of documents(doc_id, text): doc_id, lang_pred and score, by least cross-parsing entropy.
 
     ``und`` with score 0 where the text is null or has no letter, or where
-    there is no training text.  Every column of documents stays; rows that
-    repeat are judged alike; an empty table gives no rows.
+    there is no training text.  Rows that repeat are judged alike; other
+    columns are ignored; an empty table gives no rows.
     """
-    spark = documents.sparkSession
-    bound_batches(spark)
-    sent = spark.sparkContext.broadcast(samples)
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in documents.schema)}, lang_pred string, score double"
-    at = documents.columns.index("text")
+    bound_batches(documents.sparkSession)
+    predict = _predicting(documents, samples)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lang, score = predict(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def only_identified(documents: DataFrame, samples: dict[str, bytes]) -> DataFrame:
+    """The rows of documents in a learned language, with all their columns."""
+    bound_batches(documents.sparkSession)
+    predict, at = _predicting(documents, samples), documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = tuple(sorted((k, hash(v)) for k, v in sent.value.items()))
-        parser = once(("cross-parser", key), lambda: Parser(sent.value))
         for b in batches:
-            lang, score = parser.predict([normalise(t) for t in b.column(at).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, "lang_pred", "score"])
+            lang, _ = predict(b.column(at).to_pylist())
+            yield b.filter(pa.array([x != NO_LANGUAGE for x in lang], pa.bool_()))
 
-    return documents.mapInArrow(run, schema)
+    return documents.mapInArrow(run, documents.schema)

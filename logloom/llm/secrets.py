@@ -16,6 +16,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from logloom.llm.shared import BROADCAST_ROWS, write_shared
+
 #: Names whose assigned values are candidates, and words that speak for or against a secret (fixed values).
 SECRET_NAMES = ["token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "api-key", "access_key", "private_key", "auth"]
 BENIGN_NAMES = ["commit", "sha1", "sha256", "md5", "checksum", "digest", "uuid", "guid", "revision", "version", "hash", "etag", "session", "phone", "call", "card", "isbn", "order", "ticket", "build"]
@@ -173,26 +175,27 @@ def scan(documents: DataFrame, model: RandomForestClassificationModel, threshold
 def redact(documents: DataFrame, model: RandomForestClassificationModel, mask: str = "[SECRET]", threshold: float = 0.5) -> DataFrame:
     """documents with every secret in text replaced by the mask; all rows and other columns stay.
 
-    Rows are matched by doc_id and the text's digest, so repeated rows get the
-    same spans.
+    Rows are matched by their texts' digests.  A list of secrets that was
+    counted and is small is broadcast; a larger one meets the texts in a
+    shuffle join.
     """
     key = [F.xxhash64("text").alias("k1"), F.sha2("text", 256).alias("k2")]
-    whole = documents.select(F.struct("*").alias("d"), "doc_id", "text", *key)
-    found = candidates(whole.select("doc_id", "text", "k1", "k2").dropDuplicates(["doc_id", "k1", "k2"]), "k1", "k2")
-    spans = (
-        judged(found, model)
-        .filter(F.col("score") >= threshold)
-        .groupBy("doc_id", "k1", "k2")
-        .agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.length("candidate").alias("length")))).alias("spans"))
-    )
+    found = candidates(documents.select("doc_id", "text", *key), "k1", "k2")
+    start = F.col("start").cast("int").alias("start")
+    hits = write_shared(judged(found, model).filter(F.col("score") >= threshold).select("k1", "k2", start, F.length("candidate").alias("length")).distinct())
+    few = hits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    spans = hits.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("spans"))
+    whole = documents.select(F.struct("*").alias("d"), *key)
+    text = F.col("d.text")
+
     def end(s: Column) -> Column:
         return s["start"] + s["length"]
 
     def piece(s: Column, i: Column) -> Column:
         last = F.when(i > 0, end(F.get("spans", i - 1))).otherwise(0)
-        return F.concat(F.substring("text", last + 1, s["start"] - last), F.lit(mask))
+        return F.concat(F.substring(text, last + 1, s["start"] - last), F.lit(mask))
 
-    tail = F.substring("text", end(F.element_at("spans", -1)) + 1, F.length("text"))
-    clean = F.when(F.col("spans").isNotNull(), F.concat(F.array_join(F.transform("spans", piece), ""), tail)).otherwise(F.col("text"))
-    joined = whole.join(spans, ["doc_id", "k1", "k2"], "left").select("d", clean.alias("clean"))
+    tail = F.substring(text, end(F.element_at("spans", -1)) + 1, F.length(text))
+    clean = F.when(F.col("spans").isNotNull(), F.concat(F.array_join(F.transform("spans", piece), ""), tail)).otherwise(text)
+    joined = whole.join(F.broadcast(spans) if few else spans, ["k1", "k2"], "left").select("d", clean.alias("clean"))
     return joined.select(*[F.col("clean").alias(c) if c == "text" else F.col(f"d.`{c}`") for c in documents.columns])

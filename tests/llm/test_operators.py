@@ -126,6 +126,9 @@ def test_decontamination(spark, docs, empty):
         n = sum(hit)
         sha = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
         assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == (len(w), n, len(found), sha, n > 0 and 20 * n >= len(w))
+    rejected = {r["doc_id"] for r in decontamination.find_contamination(docs, bench).collect() if r["contaminated"]}
+    clean = decontamination.only_clean(docs, bench)
+    assert rejected and clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == set(range(len(texts()))) - rejected
     assert decontamination.find_contamination(empty, bench).count() == 0
     assert not decontamination.find_contamination(docs, bench.limit(0)).filter("contaminated").count()
 
@@ -263,7 +266,10 @@ def test_language_id(spark, docs, empty):
     rows = spark.createDataFrame([(0, prose(5, 30, "theandr")), (1, prose(6, 30, "schuimö")), (2, "123 !"), (3, None), (4, "—")], "doc_id long, text string")
     found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(rows, samples).collect()}
     assert [found[i][0] for i in range(5)] == ["en", "de", "und", "und", "und"] and all(0 <= s <= 1 for _, s in found.values())
-    assert language_id.identify(docs, samples).columns == [*docs.columns, "lang_pred", "score"]
+    assert language_id.identify(docs, samples).columns == ["doc_id", "lang_pred", "score"]
+    kept = language_id.only_identified(rows, samples)
+    assert kept.columns == rows.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, 1]
+    assert language_id.only_identified(docs, samples).columns == docs.columns
     assert language_id.identify(empty, samples).count() == 0
     assert {r["lang_pred"] for r in language_id.identify(rows, {}).collect()} == {"und"}
 
