@@ -34,13 +34,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.llm.jaccard import runs_of
-from logloom.llm.shared import bound_batches, write_shared
+from logloom.llm.shared import bound_batches, checked, write_shared
 
 WINDOW = 200
 GRAM = 16
 BATCHES = 4
 #: Runs of one prefix that a task resolves together; more are split by the strings' hashes.
-GROUP = 2000
+GROUP = 20_000
 #: Bytes that are hashed at a time.
 SPAN = 4 << 20
 
@@ -275,7 +275,7 @@ def repeated_spans(docs: DataFrame, length: int, batches: int = BATCHES) -> Data
     index = LogIndex(docs.sparkSession)
     for k in range(batches):
         index.add(entries.filter(F.col("batch") == k))
-    shared = write_shared(entries.drop("batch").join(index.repeated(), "prefix", "left_semi"))
+    shared = write_shared(entries.drop("batch").join(checked(write_shared(index.repeated())), "prefix", "left_semi"))
     one = F.first(F.struct("t1", "t2", "at", "lo", "hi")).alias("one")
     classes = shared.groupBy("prefix", "whole").agg(F.count("*").alias("n"), one)
     full = shared.join(classes.filter("n > 1").select("prefix", "whole"), ["prefix", "whole"], "left_semi")
@@ -283,8 +283,8 @@ def repeated_spans(docs: DataFrame, length: int, batches: int = BATCHES) -> Data
 
     several = classes.groupBy("prefix").agg(F.count("*").alias("classes")).filter("classes > 1")
     wanted = classes.join(several, "prefix").select("one.t1", "one.t2", F.struct("prefix", "classes", "one.at", "one.lo", "one.hi").alias("w"))
-    wanted = wanted.groupBy("t1", "t2").agg(F.collect_list("w").alias("wanted"))
-    texts = docs.select(*text_key(), "text")
+    wanted = write_shared(wanted.groupBy("t1", "t2").agg(F.collect_list("w").alias("wanted")))
+    texts = docs.select(*text_key(), "text").join(checked(wanted.select("t1", "t2")), ["t1", "t2"], "left_semi")
     contexts = write_shared(texts.join(wanted, ["t1", "t2"]).mapInArrow(_contexts(length), "t1 long, t2 long, prefix long, classes long, at int, lo int, hi int, context binary").dropDuplicates(["t1", "t2", "lo"]))
     small = contexts.filter(F.col("classes") <= GROUP).repartition("prefix").sortWithinPartitions("prefix")
     spans = spans.union(small.mapInArrow(_resolve(length), "t1 long, t2 long, start long, stop long"))
@@ -305,10 +305,10 @@ def remove_repeats(documents: DataFrame, length: int = 400, batches: int = BATCH
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     spans = repeated_spans(docs, length, batches).groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     copies = docs.filter(F.length("text") >= length).groupBy(*text_key()).count().filter("count > 1").select("t1", "t2", F.lit(True).alias("whole"))
-    marks = spans.join(copies, ["t1", "t2"], "full")
-    return (
-        docs.select("doc_id", *text_key(), "text")
-        .join(marks, ["t1", "t2"], "left")
-        .select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "spans")
-        .mapInArrow(_cut(), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    )
+    marks = write_shared(spans.join(copies, ["t1", "t2"], "full"))
+    keyed = docs.select("doc_id", *text_key(), "text")
+    keys = checked(marks.select("t1", "t2"))
+    none = F.lit(None).cast("array<struct<start: bigint, stop: bigint>>").alias("spans")
+    untouched = keyed.join(keys, ["t1", "t2"], "left_anti").select("doc_id", "text", F.lit(False).alias("whole"), none)
+    touched = keyed.join(keys, ["t1", "t2"], "left_semi").join(marks, ["t1", "t2"]).select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "spans")
+    return untouched.union(touched).mapInArrow(_cut(), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
