@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.bpe import CACHE_ENTRIES, Bpe, Irregular, chunks, load, whole_chunk
-from logloom.llm.shared import bound_batches, write_shared
+from logloom.llm.shared import bound_batches, once, write_shared
 
 #: Bound on pre-tokens that are broadcast.
 HEAD_ENTRIES = 1 << 18
@@ -44,21 +45,43 @@ class PreTokens(dict):
         self[key] = out
         return out
 
-    def frequencies(self, text: str) -> Counter:
-        """Pre-token frequencies of one text, those of a chunk under the chunk's own pre-tokens."""
+
+class HeadTail(dict):
+    """chunk -> pieces of its pre-tokens in the head, and its other pre-tokens."""
+
+    def __init__(self, bpe: Bpe, pieces: dict[str, int]):
+        super().__init__()
+        self.bpe, self.pieces = bpe, pieces
+
+    def split(self, pre_tokens: list[str]) -> tuple[int, tuple[str, ...]]:
+        get = self.pieces.get
+        return sum(get(p, 0) for p in pre_tokens), tuple(p for p in pre_tokens if p not in self.pieces)
+
+    def __missing__(self, key: str) -> tuple[int, tuple[str, ...]]:
+        out = self.split(self.bpe.pre_tokens(whole_chunk(key)))
+        if len(self) >= CACHE_ENTRIES:
+            self.clear()
+        self[key] = out
+        return out
+
+    def count(self, text: str) -> tuple[int, Counter]:
+        """Pieces of a text's pre-tokens in the head, and the frequencies of the others."""
         first, rest = chunks(text)
+        tail: Counter = Counter()
         try:
             if any(c.isspace() for c in first):
                 raise Irregular
-            own = Counter(rest)
-            out = Counter(self.bpe.pre_tokens(first))
-            get = self.__getitem__
-            for key, n in own.items():
-                for p in get(key):
-                    out[p] += n
-            return out
+            total, others = self.split(self.bpe.pre_tokens(first))
+            tail.update(others)
+            for key, n in Counter(rest).items():
+                known, others = self[key]
+                total += known * n
+                for p in others:
+                    tail[p] += n
+            return total, tail
         except Irregular:
-            return Counter(self.bpe.pre_tokens(text))
+            total, others = self.split(self.bpe.pre_tokens(text))
+            return total, Counter(others)
 
 
 def _vocabulary(spec):
@@ -112,33 +135,29 @@ def _pieces(spec):
     return run
 
 
-def _documents(spec, head):
+def _documents(spec, head, name):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pre, pieces = load(spec, PreTokens), head.value
+        table = once(("head", name), lambda: HeadTail(load(spec, PreTokens).bpe, head.value))
         row = (TaskContext.get().partitionId() << 33) if TaskContext.get() else 0
         names = ["row", "doc_id", "n_bytes", "n_tokens", "pre_token", "n"]
         for b in batches:
             rows, ids, size, known, tail, freq = [], [], [], [], [], []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 row += 1
-                total, at = 0, len(rows)
+                total, others = table.count(text or "")
                 rows.append(row)
                 ids.append(doc_id)
                 size.append(len(text.encode()) if text else 0)
-                known.append(0)
+                known.append(total)
                 tail.append(f"\0{row}")
                 freq.append(0)
-                for p, n in pre.frequencies(text or "").items():
-                    if (k := pieces.get(p)) is None:
-                        rows.append(row)
-                        ids.append(None)
-                        size.append(None)
-                        known.append(0)
-                        tail.append(p)
-                        freq.append(n)
-                    else:
-                        total += k * n
-                known[at] = total
+                n = len(others)
+                rows += [row] * n
+                ids += [None] * n
+                size += [None] * n
+                known += [0] * n
+                tail += others.keys()
+                freq += others.values()
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((rows, ids, size, known, tail, freq), kinds, strict=True)], names)
 
@@ -180,7 +199,7 @@ def count_tokens(documents: DataFrame, vocabulary_path: str, limit: int = 1024,
         .mapInArrow(_pieces(spec), "pre_token string, freq long, pieces int")
     )
     head = spark.sparkContext.broadcast(head_table(vocabulary, head_entries))
-    found = docs.mapInArrow(_documents(spec, head), "row long, doc_id long, n_bytes long, n_tokens long, pre_token string, n long")
+    found = docs.mapInArrow(_documents(spec, head, uuid.uuid4().hex), "row long, doc_id long, n_bytes long, n_tokens long, pre_token string, n long")
     n_tokens = F.sum(F.col("n_tokens") + F.col("n") * F.coalesce("pieces", F.lit(0))).alias("n_tokens")
     return (
         found.join(vocabulary.select("pre_token", "pieces"), "pre_token", "left")
