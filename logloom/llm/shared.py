@@ -45,6 +45,8 @@ def write_shared(df: DataFrame, *partition_by: str) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    # Spark drops a finished job's shuffle files when the driver collects its garbage, which can be long after
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
