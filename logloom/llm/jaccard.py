@@ -144,6 +144,8 @@ def set_key(s: np.ndarray) -> int:
 
 #: Members of a signature group that one task compares with as many others.
 BLOCK = 1500
+#: Pairs of sets that are verified in one round, at least.
+PAIRS = 20_000
 
 
 def _sets(size, num, den):
@@ -250,7 +252,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, num
     features = write_shared(texts.mapInArrow(_features(size), "key long, features binary").dropDuplicates(["key"]))
     a = features.select(F.col("key").alias("a"), F.col("features").alias("a_set"))
     b = features.select(F.col("key").alias("b"), F.col("features").alias("b_set"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "a_set", "b_set").mapInArrow(_similar(num, den), "a long, b long")
+    # a pair carries both sets, so pairs go in rounds, each of at most as many as an eighth of the sets
+    rounds = max(1, -(-pairs.count() // max(PAIRS, sets.count() // 8)))
+    found = None
+    for k in range(rounds):
+        part = pairs.filter(F.pmod(F.xxhash64("a", F.lit(9)), F.lit(rounds)) == k)
+        own = write_shared(part.join(a, "a").join(b, "b").select("a", "b", "a_set", "b_set").mapInArrow(_similar(num, den), "a long, b long"))
+        found = own if found is None else found.union(own)
+    return found
 
 
 def join_similar(documents: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -301,18 +310,18 @@ def join_similar(documents: DataFrame, size: int = 5, num: int = 4, den: int = 5
     # each set with the first that it may be similar to, then the parts that are left
     joining = candidates(groups.withColumn("root", F.col("key")), forest=True)
     tried = write_shared(joining.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    links = write_shared(_verified(tried, sets, docs, size, num, den))
+    links = _verified(tried, sets, docs, size, num, den)
     roots = components(edges(links))
     second = write_shared(apart(joining.join(tried, ["a", "b"], "left_anti"), roots))
     if not second.isEmpty():
-        links = links.union(write_shared(_verified(second, sets, docs, size, num, den)))
+        links = links.union(_verified(second, sets, docs, size, num, den))
         tried = tried.union(second)
         roots = components(edges(links))
     rooted = groups.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     mixed = rooted.groupBy("grp").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("grp")
     rest = write_shared(candidates(rooted.join(mixed, "grp"), forest=False).join(tried, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        late = write_shared(_verified(rest, sets, docs, size, num, den))
+        late = _verified(rest, sets, docs, size, num, den)
         roots = components(edges(links.union(late)))
     labels = roots.select(F.col("node").alias("key"), "root")
     found = sets.select("doc_id", "n_shingles", "key").join(labels, "key", "left").withColumn("root", F.coalesce("root", "key"))
