@@ -1,15 +1,13 @@
-"""Near-duplicate vectors by NN-descent.
+"""Near-duplicate vectors by exact comparison in chunks.
 
 1. Vectors that are equal, with equal labels, count once.
-2. A random-projection forest gives each vector first neighbours: vectors of
-   one label that lie on the same side of some random hyperplanes share a leaf.
-3. Rounds of neighbours-of-neighbours joins refine the lists: the vectors that
-   a vector lists, or that list it, are compared with each other.  Lists whose
-   last entry is still above the threshold are saturated, and become longer.
-4. The links found give components.  A query set, whose neighbours are found
-   by brute force in blocks, audits the recall; below the aim, more trees and
-   rounds follow.
-5. Links are counted exactly inside each component, in blocks.
+2. The vectors are cut into chunks of bounded size; one chunk at a time is
+   broadcast and compared with every vector of the same labels, in a map over
+   the table.  No list is cut and no pair is left out: the work grows with the
+   square of a label's vectors, the memory of a task doesn't.
+3. A task counts each vector's links and emits those that join parts of the
+   chunk that it has not seen joined, which are fewer than its vectors and the
+   chunk's together; the components of these are those of all links.
 
 All similarities are cosines of unit vectors in double precision.
 """
@@ -20,22 +18,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.components import components
-from logloom.llm.jaccard import runs_of
-from logloom.llm.shared import bound_batches, received, send, write_shared
+from logloom.llm.shared import bound_batches, checked, received, send, write_shared
 
-LIST = 8
-LONGEST_LIST = 64
-TREES = 6
-LEAF = 48
-BLOCK = 512
-ROUNDS = 4
-QUERIES = 200
-RECALL = 0.99
-SLACK = 1e-9
+#: Bytes of the vectors that are broadcast at a time, and of the parts of a label that are dealt to chunks.
+CHUNK_BYTES, PART_BYTES = 32 << 20, 8 << 20
+#: Vectors and vectors of the chunk whose similarities are in memory at a time.
+ROWS, COLUMNS = 256, 8192
 
 
 def _unit(column: pa.Array, dim: int) -> np.ndarray:
@@ -43,124 +35,47 @@ def _unit(column: pa.Array, dim: int) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def _leaves(seed: int, trees: int, bits: dict):
-    """Deals vectors to leaves: one row for each tree, with the signs of their projections."""
+def _compared(chunk, threshold: float):
+    """Compares vectors with the chunk: (u, null, links of u in the chunk), and (u, v, null) for links that join parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
+        sets = received(chunk)
+        known = np.array(sorted(sets), np.int64)
+        joined = {g: np.arange(len(own[0])) for g, own in sets.items()}
         for b in batches:
             grp, ids = b.column("grp").to_numpy(), b.column("id").to_numpy()
-            dims = b.column("dim").to_numpy()
-            for dim in np.unique(dims).tolist():
-                rows = np.flatnonzero(dims == dim)
-                x = _unit(b.column("unit").take(pa.array(rows)), dim)
-                if dim not in planes:
-                    planes[dim] = np.random.default_rng([seed, dim]).normal(size=(dim, trees * 40))
-                depth = np.array([bits.get(g, 0) for g in grp[rows].tolist()])
-                sides = (x @ planes[dim] > 0).astype(np.int64).reshape(len(rows), trees, 40)
-                mask = np.arange(40) < depth[:, None]
-                code = (sides * mask[:, None, :] << np.arange(40)).sum(axis=2)
-                for t in range(trees):
-                    yield pa.RecordBatch.from_arrays([pa.array(grp[rows]), pa.array(np.full(len(rows), t, np.int32)), pa.array(code[:, t]), pa.array(ids[rows]), pa.array(dims[rows]), b.column("unit").take(pa.array(rows))], ["grp", "tree", "leaf", "id", "dim", "unit"])
+            for g in np.unique(grp[np.isin(grp, known)]).tolist():
+                chunk_ids, copies, q = sets[g]
+                part, rows = joined[g], np.flatnonzero(grp == g)
+                x, own = _unit(b.column("unit").take(pa.array(rows)), q.shape[1]), ids[rows]
+                n, u, v = np.zeros(len(rows), np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for at in range(0, len(rows), ROWS):
+                    for to in range(0, len(q), COLUMNS):
+                        near = x[at : at + ROWS] @ q[to : to + COLUMNS].T >= threshold
+                        near &= own[at : at + ROWS, None] != chunk_ids[None, to : to + COLUMNS]
+                        for r in np.flatnonzero(near.any(axis=1)).tolist():
+                            found = to + np.flatnonzero(near[r])
+                            n[at + r] += copies[found].sum()
+                            parts, first = np.unique(part[found], return_index=True)
+                            u.append(np.full(len(parts), own[at + r]))
+                            v.append(chunk_ids[found[first]])
+                            if len(parts) > 1:
+                                part[np.isin(part, parts)] = parts[0]
+                linked = np.flatnonzero(n)
+                u, v = np.concatenate(u), np.concatenate(v)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([own[linked], u])),
+                        pa.concat_arrays([pa.nulls(len(linked), pa.int64()), pa.array(v)]),
+                        pa.concat_arrays([pa.array(n[linked]), pa.nulls(len(u), pa.int64())]),
+                    ],
+                    ["u", "v", "n"],
+                )
 
     return run
 
 
-def _best(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(from, to, similarity) of each row's k most similar others."""
-    n = len(ids)
-    np.fill_diagonal(sims, -2)
-    k = min(k, n - 1)
-    top = np.argpartition(-sims, k - 1, axis=1)[:, :k] if k < n - 1 else np.argsort(-sims, axis=1)[:, :k]
-    src = np.repeat(np.arange(n), k)
-    return ids[src], ids[top.ravel()], sims[src, top.ravel()]
-
-
-def _pairs_batch(parts: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[i] for p in parts])) for i in range(3)], ["src", "dst", "sim"])
-
-
-def _in_leaf(keys: list[str], k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
-        for _, t in runs_of(batches, keys):
-            if t.num_rows < 2:
-                continue
-            x = _unit(t.column("unit"), t.column("dim")[0].as_py())
-            parts.append(_best(t.column("id").to_numpy(), x @ x.T, k))
-            held += len(parts[-1][0])
-            if held > 50_000:
-                yield _pairs_batch(parts)
-                parts, held = [], 0
-        if parts:
-            yield _pairs_batch(parts)
-
-    return run
-
-
-def _local_join(threshold: float):
-    """Compares the vectors around one vector; keeps pairs that are nearer than either's last neighbour."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
-        for _, t in runs_of(batches, ["mid"]):
-            n = t.num_rows
-            if n < 2:
-                continue
-            x = _unit(t.column("unit"), t.column("dim")[0].as_py())
-            ids, last, fresh = t.column("id").to_numpy(), t.column("last").to_numpy(), t.column("fresh").to_numpy(zero_copy_only=False)
-            s = x @ x.T
-            a, b = np.nonzero((s > last[:, None] + SLACK) & (fresh[:, None] | fresh[None, :]) & (ids[:, None] != ids[None, :]))
-            if len(a):
-                parts.append((ids[a], ids[b], s[a, b]))
-                held += len(a)
-            if held > 50_000:
-                yield _pairs_batch(parts)
-                parts, held = [], 0
-        if parts:
-            yield _pairs_batch(parts)
-
-    return run
-
-
-def _truth(queries, threshold: float):
-    """Links of the query vectors, by brute force over a block of vectors at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = received(queries)
-        for b in batches:
-            grp, ids = b.column("grp").to_numpy(), b.column("id").to_numpy()
-            for g in np.unique(grp).tolist():
-                if g not in sets:
-                    continue
-                qid, q = sets[g]
-                rows = np.flatnonzero(grp == g)
-                s = q @ _unit(b.column("unit").take(pa.array(rows)), q.shape[1]).T
-                i, j = np.nonzero((s >= threshold) & (qid[:, None] != ids[rows][None, :]))
-                yield pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(ids[rows[j]])], ["u", "v"])
-
-    return run
-
-
-def _count_links(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, t in runs_of(batches, ["root", "i", "j"]):
-            dim = t.column("dim")[0].as_py()
-            x, ids, copies, own = _unit(t.column("unit"), dim), t.column("id").to_numpy(), t.column("copies").to_numpy(), t.column("own").to_numpy()
-            left, right = np.flatnonzero(own == key[1]), np.flatnonzero(own == key[2])
-            n = np.zeros(len(ids), np.int64)
-            for at in range(0, len(left), 256):
-                part = left[at : at + 256]
-                near = (x[part] @ x[right].T >= threshold) & (ids[part][:, None] != ids[right][None, :])
-                n[part] += near @ copies[right]
-                if key[1] != key[2]:
-                    n[right] += copies[part] @ near
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], ["id", "n"])
-
-    return run
-
-
-def link_vectors(vectors: DataFrame, threshold: float = 0.98, seed: int = 3, recall: float = RECALL) -> DataFrame:
+def link_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     """One row for each row of vectors(vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
     Vectors with equal labels link when their cosine is at least the
@@ -184,76 +99,27 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.98, seed: int = 3, rec
         .agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("unit").alias("unit"))
         .select(F.xxhash64("same").alias("id"), "same", "first", "copies", F.xxhash64("label", F.size("unit")).alias("grp"), F.size("unit").alias("dim"), "unit")
     )
-    points = base.select("grp", "id", "dim", "unit")
-    # as many rows as there are labels; depth of the trees
-    bits = {r["grp"]: max(0, int(np.ceil(np.log2(max(1, r["count"]) / LEAF)))) for r in points.groupBy("grp").count().collect()}
-    queries: dict = {}
-    for r in points.orderBy(F.xxhash64("id", F.lit(17))).limit(QUERIES).collect():
-        queries.setdefault(r["grp"], []).append((r["id"], r["unit"]))
-    sent = send(spark, {g: (np.array([i for i, _ in x]), np.array([u for _, u in x])) for g, x in queries.items()})
-    truth = write_shared(points.mapInArrow(_truth(sent, threshold), "u long, v long"))
-    wanted = truth.count()
-
-    def forest(s: int) -> DataFrame:
-        dealt = points.mapInArrow(_leaves(s, TREES, bits), "grp long, tree int, leaf long, id long, dim int, unit array<double>")
-        size = dealt.groupBy("grp", "tree", "leaf").count()
-        blocks = F.ceil(F.col("count") / BLOCK)
-        placed = dealt.join(size, ["grp", "tree", "leaf"]).withColumn("block", F.pmod(F.xxhash64("id", "tree", F.lit(s)), blocks)).drop("count")
-        keys = ["grp", "tree", "leaf", "block"]
-        return placed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_in_leaf(keys, LIST), "src long, dst long, sim double")
-
-    def trimmed(pairs: DataFrame, longest: int) -> DataFrame:
-        """The best neighbours of each vector: LIST of them, up to ``longest`` where all are links (saturated)."""
-        nth = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("sim"), "dst"))
-        best = pairs.groupBy("src", "dst").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh")).withColumn("nth", nth)
-        return write_shared(best.filter((F.col("nth") <= LIST) | ((F.col("sim") >= threshold) & (F.col("nth") <= longest))))
-
-    def round_of(graph: DataFrame, longest: int) -> DataFrame:
-        last = graph.groupBy("src").agg(F.min("sim").alias("last"), F.count("*").alias("size"))
-        last = last.select(F.col("src").alias("id"), F.when((F.col("last") >= threshold) & (F.col("size") < longest), F.lit(threshold)).otherwise(F.col("last")).alias("last"))
-        near = graph.select(F.col("src").alias("mid"), F.col("dst").alias("id"), "fresh").union(graph.filter(F.col("nth") <= LIST).select(F.col("dst").alias("mid"), F.col("src").alias("id"), "fresh"))
-        # a vector that very many list is met by its nearest in blocks, so no task gets all of them
-        near = near.groupBy("mid", "id").agg(F.max("fresh").alias("fresh"))
-        size = near.groupBy("mid").count()
-        cut = F.ceil(F.col("count") / (4 * LONGEST_LIST))
-        part = F.xxhash64("mid", F.pmod(F.xxhash64("id", F.lit(5)), cut))
-        around = near.join(size, "mid").select(part.alias("mid"), "id", F.col("fresh").cast("boolean").alias("fresh"))
-        full = around.join(last, "id").join(points.select("id", "dim", "unit"), "id").repartition("mid").sortWithinPartitions("mid")
-        found = full.mapInArrow(_local_join(threshold), "src long, dst long, sim double").withColumn("fresh", F.lit(1))
-        old = graph.select("src", "dst", "sim", F.lit(0).alias("fresh"))
-        return trimmed(old.union(found), longest)
-
-    graph, longest, attempt = None, LIST, 0
-    while True:
-        start = forest(seed + attempt).withColumn("fresh", F.lit(1))
-        graph = trimmed(start if graph is None else start.union(graph.select("src", "dst", "sim", F.lit(0).alias("fresh"))), longest)
-        for _ in range(ROUNDS):
-            saturated = graph.filter((F.col("nth") == longest) & (F.col("sim") >= threshold)).limit(1).count()
-            longest = min(LONGEST_LIST, longest * 2) if saturated else longest
-            graph = round_of(graph, longest)
-            changed, total = graph.agg(F.sum("fresh"), F.count("*")).first()
-            if (changed or 0) <= 0.001 * total:
-                break
-        roots = components(graph.filter(F.col("sim") >= threshold).select(F.col("src").alias("u"), F.col("dst").alias("v")))
-        if not wanted:
-            break
-        u, v = roots.select(F.col("node").alias("u"), F.col("root").alias("ru")), roots.select(F.col("node").alias("v"), F.col("root").alias("rv"))
-        met = truth.join(u, "u").join(v, "v").filter("ru = rv").count()
-        attempt += 1
-        if met >= recall * wanted or attempt == 4:
-            break
+    points = base.select("grp", "id", "copies", "dim", "unit")
+    # small labels go to one chunk whole, large ones in parts
+    sizes = checked(write_shared(points.groupBy("grp").agg(F.ceil(F.sum("dim") * 8 / PART_BYTES).alias("parts"))))
+    chunks = max(1, -(-(points.agg(F.sum("dim")).first()[0] or 0) * 8 // CHUNK_BYTES))
+    chunk = F.pmod(F.xxhash64("grp", F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts"))), F.lit(chunks))
+    dealt = points.join(sizes, "grp").withColumn("chunk", chunk)
+    met = None
+    for k in range(chunks):
+        own = dealt.filter(F.col("chunk") == k).select("grp", "id", "copies", "dim", "unit").toArrow()
+        grp, sets = own.column("grp").to_numpy(), {}
+        for g in np.unique(grp).tolist():
+            t = own.take(pa.array(np.flatnonzero(grp == g)))
+            sets[g] = t.column("id").to_numpy(), t.column("copies").to_numpy(), _unit(t.column("unit"), t.column("dim")[0].as_py())
+        sent = send(spark, sets)
+        found = write_shared(points.mapInArrow(_compared(sent, threshold), "u long, v long, n long"))
+        sent.destroy()
+        met = found if met is None else met.union(found)
+    roots = components(met.filter("v is not null").select("u", "v"))
     labelled = write_shared(base.drop("label").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
-    counts = labelled.groupBy("root").agg(F.count("*").alias("members"), F.min("first").alias("component_id"))
-    blocks = F.ceil(F.col("members") / BLOCK)
-    own = F.pmod(F.xxhash64("id", F.lit(7)), blocks)
-    dealt = (
-        labelled.join(counts.filter("members > 1"), "root")
-        .select("root", "id", "copies", "dim", "unit", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
-        .select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "copies", "dim", "unit")
-        .repartition("root", "i", "j")
-        .sortWithinPartitions("root", "i", "j")
-    )
-    links = dealt.mapInArrow(_count_links(threshold), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
+    links = met.filter("v is null").groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("n"))
     done = labelled.join(counts.select("root", "component_id"), "root").join(links, "id", "left").select("same", "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     sound_rows = good.select("vec_id", "same").join(done, "same").select("vec_id", "n_links", "component_id")
     rest = rows.filter("same is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

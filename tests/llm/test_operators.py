@@ -243,6 +243,19 @@ def test_embeddings(spark):
     assert embedding_dedup.link_vectors(df.limit(0)).count() == 0
 
 
+def test_families_of_near_copies(spark):
+    r = np.random.default_rng(2)
+    a, b = np.linalg.qr(r.normal(size=(32, 2)))[0].T
+    centres = [a, 0.985 * a + math.sqrt(1 - 0.985**2) * b]
+    v = np.array([c + r.normal(size=32) * 0.001 for c in centres for _ in range(100)])
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    s = v @ v.T
+    assert s[:100, :100].min() > 0.9999 and 0.98 < s[:100, 100:].min() and s[:100, 100:].max() < 0.99
+    df = spark.createDataFrame([(i, x.tolist(), "a") for i, x in enumerate(v)], "vec_id long, embedding array<double>, label string")
+    found = embedding_dedup.link_vectors(df).collect()
+    assert sorted((x["vec_id"], x["n_links"], x["component_id"]) for x in found) == [(i, 199, 0) for i in range(200)]
+
+
 def test_cross_parsing():
     samples = {"aa": b" abab cc ab ", "bb": b" xyxy zz "}
     p = language_id.Parser(samples)
