@@ -256,6 +256,20 @@ def test_families_of_near_copies(spark):
     assert sorted((x["vec_id"], x["n_links"], x["component_id"]) for x in found) == [(i, 199, 0) for i in range(200)]
 
 
+def test_rare_near_copies(spark):
+    r = np.random.default_rng(5)
+    v = r.normal(size=(3000, 128))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    for i in range(10):  # the only links: pairs (i, 2990 + i)
+        w = v[2990 + i] - v[2990 + i] @ v[i] * v[i]
+        v[2990 + i] = 0.6 * v[i] + 0.8 * w / np.linalg.norm(w)
+    s = np.triu(v @ v.T, 1)
+    assert [tuple(x) for x in np.argwhere(s >= 0.55).tolist()] == [(i, 2990 + i) for i in range(10)]
+    df = spark.createDataFrame([(i, x.tolist(), "a") for i, x in enumerate(v)], "vec_id long, embedding array<double>, label string")
+    found = embedding_dedup.link_vectors(df, threshold=0.55).filter("n_links > 0").collect()
+    assert sorted((x["vec_id"], x["n_links"], x["component_id"]) for x in found) == sorted((j, 1, i) for i in range(10) for j in (i, 2990 + i))
+
+
 def test_cross_parsing():
     samples = {"aa": b" abab cc ab ", "bb": b" xyxy zz "}
     p = language_id.Parser(samples)
