@@ -58,10 +58,44 @@ REWRITES: list[tuple[str, str]] = [
 ]
 
 
+#: Copyright notices, in place of the first rewrite, which the SQL keeps: lines with a sign, a year or a place for one after
+#: the word, and paragraphs of nothing else.  Sentences wrapped before the word, and items (c) of a list, stay.
+NOTICES: list[tuple[str, str]] = [
+    (r"(^|\n)[ \t]*(?:copyright[ \t:,]*(?:\(c\)|©|[0-9]{4}|[\[<{])|\(c\)[ \t]*(?:copyright[ \t]*)?[0-9]{4}|©)[^\n]*", "\\1"),
+    (r"(^[ \t\r\n]*|\n[ \t\r]*\n)(?:[ \t]*copyright[^\n]*(?:\n|\z))+(?=[ \t\r]*(?:\n|\z))", "\\1"),
+]
+
+#: Digests of the canonical forms of long licences, and of those that end in "END OF TERMS AND CONDITIONS" up to there.
+LONG: list[tuple[str, str]] = [
+    ("Apache-2.0", "75acde0fb516a7ba4597dfc23680cf78281f7fae7f3b74a78e06ef83c1c375c6"),
+    ("Apache-2.0", "f9138026e58bdb767e6c6e974637ff9aacbaedf2695e30fef144e5d7d84448ff"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "5379e6f33e826ba185b23fd11a414555c2161fda481478babd1e73a3ae098a71"),
+    ("GFDL-1.2", "94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60"),
+    ("GFDL-1.3", "93d6108daecdddc5f284cf8f2512fb0d72f6e9ee12381feb9704ba194b00c3e6"),
+    ("GFDL-1.3", "a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826"),
+    ("GPL-1.0", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"),
+    ("GPL-1.0", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-2.0", "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34"),
+    ("GPL-2.0", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-3.0", "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68"),
+    ("GPL-3.0", "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636"),
+    ("GPL-3.0", "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a"),
+    ("LGPL-2.0", "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260"),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.1", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "3f0343dd4f3b064be36e0c6584737c9b7bb5c322721694563f9009e088ce96d1"),
+    ("MPL-1.1", "a1b36de49a400e3d3385d5987188db954a084f9876243aa7207cd91de3f24a7b"),
+    ("MPL-2.0", "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a"),
+]
+
+
 def normalised_lines(text: Column) -> Column:
     """Lower-cased, rewritten text, its line feeds kept."""
     out = F.lower(text)
-    for pattern, to in REWRITES:
+    for pattern, to in [*NOTICES, *REWRITES[1:]]:
         out = F.regexp_replace(out, pattern, to.replace("\\1", "$1").replace("\\2", "$2"))
     return out
 
@@ -86,6 +120,8 @@ def scan(documents: DataFrame, known: list[tuple[str, str]] | None = None) -> Da
     """
     spark = documents.sparkSession
     table = digests(spark, known)
+    if known is None:
+        table = table.union(spark.createDataFrame(LONG, "license_id string, digest string").select("digest", "license_id").coalesce(1))
     found = {r["digest"]: r["license_id"] for r in table.collect()}  # as many rows as known texts
     lookup = F.create_map(*[F.lit(x) for kv in sorted(found.items()) for x in kv])
     longest = max(len(t) for _, t in known or KNOWN)

@@ -2,8 +2,10 @@
 
 import hashlib
 import math
+import pathlib
 import random
 import re
+import textwrap
 import zlib
 from array import array
 from collections import Counter, defaultdict
@@ -345,3 +347,15 @@ def test_licenses(spark, empty):
     found = licenses.scan(spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, digest string")).collect()
     assert sorted((r["doc_id"], r["license_id"], r["n_notices"], r["notice_ids"]) for r in found if r["doc_id"] != 2) == [(0, "MIT", 0, ""), (1, None, 1, "MIT"), (1, None, 1, "MIT"), (3, None, 0, ""), (4, None, 0, "")]
     assert licenses.scan(empty).count() == 0
+
+
+def test_wrapped_and_long_licenses(spark):
+    short = {i: t for i, t in reversed(licenses.KNOWN) if len(t) > 400}
+    rows = [(i, f"{notice}\n\n" + "\n\n".join(textwrap.fill(p, w) for p in t.split("\n\n"))) for i, t in short.items() for notice in ("Copyright (c) 2020 A", "Copyright The Authors", "© A") for w in range(55, 81)]
+    assert any(re.search("(?mi)^copyright (notice|holder)", t) for _, t in rows)
+    common = pathlib.Path("/usr/share/common-licenses")
+    if common.is_dir():
+        text = {i: (common / f).read_text() for i, f in {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0"}.items()}
+        rows += [*text.items(), ("Apache-2.0", text["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2020 A"))]
+    found = licenses.scan(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["license_id"] for r in found} == {k: i for k, (i, _) in enumerate(rows)}
