@@ -26,7 +26,13 @@ KNOWN_PREFIXES = ["AKIA", "ASIA", "ghp_", "gho_", "sk-", "xoxb-", "xoxp-", "AIza
 
 _NAMES = "|".join(SECRET_NAMES)
 _RUN = r"[A-Za-z0-9_+/=\-]"
-CANDIDATE = rf"(\b(?i:{_NAMES})[\"']?[ \t]{{0,2}}[:=][ \t]{{0,2}}[\"']?)([^\s\"'\x01\x02]{{8,}}+)|(?<!{_RUN})(?=[A-Za-z_+/=\-]*+[0-9])({_RUN}{{16,}}+)"
+_NAMED = rf"(?i:{_NAMES})[\"']?[ \t]{{0,2}}[:=][ \t]{{0,2}}[\"']?"
+_VALUE = r"[^\s\"'\x01\x02]"
+#: A listed name may end a longer one (DB_PASSWORD, client_secret). A run doesn't begin before such a name, and leaves out "NAME=" before a value.
+CANDIDATE = (
+    rf"({_NAMED})({_VALUE}{{8,}}+)"
+    rf"|(?<!{_RUN})(?=[A-Za-z_+/=\-]*+[0-9])(?={_RUN}{{16}})(?![A-Za-z0-9_+/\-]*{_NAMED}{_VALUE}{{8}})([A-Za-z0-9_\-]++=(?={_RUN}{{8}}))?({_RUN}++)"
+)
 
 FEATURES = ["f_length", "f_digits", "f_upper", "f_lower", "f_distinct", "f_turns", "f_case_turns", "f_words", "f_hex", "f_number", "f_uuid", "f_path", "f_known", "f_named", "f_benign", "f_quoted", "f_link"]
 TREES, DEPTH, SEED = 24, 7, 11
@@ -40,7 +46,7 @@ def candidates(documents: DataFrame, *keys: str) -> DataFrame:
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *keys, F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("row", F.monotonically_increasing_id())
-    marked = F.regexp_replace(F.translate("text", "\x01\x02", "  "), CANDIDATE, "$1\x01$2$3\x02")
+    marked = F.regexp_replace(F.translate("text", "\x01\x02", "  "), CANDIDATE, "$1$3\x01$2$4\x02")
     parts = docs.select("doc_id", *keys, "row", F.split(marked, "\x01").alias("parts")).filter(F.size("parts") > 1)
 
     def brief(p: Column) -> Column:
@@ -120,6 +126,9 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     name = F.element_at(F.array(*[F.lit(x) for x in SECRET_NAMES]), (F.pmod(F.xxhash64(i, F.lit(7)), F.lit(len(SECRET_NAMES))) + 1).cast("int"))
     benign = F.element_at(F.array(*[F.lit(x) for x in BENIGN_NAMES]), (F.pmod(F.xxhash64(i, F.lit(8)), F.lit(len(BENIGN_NAMES))) + 1).cast("int"))
     word = F.element_at(F.array(*[F.lit(x) for x in DICTIONARY]), (F.pmod(F.xxhash64(i, F.lit(9)), F.lit(len(DICTIONARY))) + 1).cast("int"))
+    compound = F.concat(F.element_at(F.array(*[F.lit(x) for x in ["DB_", "client_", "GITHUB_", "AWS_SECRET_", "my-", '"user_']]), (F.pmod(F.xxhash64(i, F.lit(13)), F.lit(6)) + 1).cast("int")), name)
+    short = F.concat(F.substring(mixed, 1, 5), F.element_at(F.array(*[F.lit(x) for x in "!@#$%&*?"]), (F.pmod(F.xxhash64(i, F.lit(14)), F.lit(8)) + 1).cast("int")), F.substring(mixed, 7, 3))
+    phrase = F.substring(F.translate(rand(15), "0123456789abcdef", "etaoinshrdlucmwp"), 1, F.pmod(F.xxhash64(i, F.lit(16)), F.lit(12)).cast("int") + 10)
     sign = F.when(pick < 0.5, " = ").otherwise(": ")
     uuid = F.regexp_replace(F.substring(rand(10), 1, 32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
     digits = F.substring(F.translate(rand(11), "abcdef", "123456"), 1, 16)
@@ -129,6 +138,8 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         (F.concat(F.lit("AKIA"), alnum), filler, F.lit(" more"), 1),
         (F.concat(F.when(pick < 0.3, "ghp_").when(pick < 0.6, "sk-").otherwise("xoxb-"), mixed), filler, F.lit(". more"), 1),
         (F.when(pick < 0.6, mixed).otherwise(b64), F.concat(filler, F.lit('"')), F.lit('"'), 1),
+        (F.when(pick < 0.5, short).otherwise(phrase), F.concat(filler, compound, F.when(pick < 0.25, ' = "').when(pick < 0.6, ": ").when(pick < 0.8, '": "').otherwise("=")), F.when(pick < 0.25, '" more').when(pick < 0.6, " more").when(pick < 0.8, '", ').otherwise(" more"), 1),
+        (F.when(pick < 0.5, F.concat(F.lit("ghp_"), mixed)).otherwise(b64), F.concat(filler, compound, F.lit("=")), F.lit(" more"), 1),
         (hexes, F.concat(filler, benign, F.lit(" ")), F.lit(" more"), 0),
         (F.substring(rand(12), 1, 64), F.concat(filler, benign, F.lit(": ")), F.lit(" more"), 0),
         (F.when(pick < 0.5, hexes).otherwise(F.substring(rand(12), 1, 32)), filler, F.lit(" more"), 0),

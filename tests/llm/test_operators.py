@@ -359,3 +359,14 @@ def test_wrapped_and_long_licenses(spark):
         rows += [*text.items(), ("Apache-2.0", text["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2020 A"))]
     found = licenses.scan(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["license_id"] for r in found} == {k: i for k, (i, _) in enumerate(rows)}
+
+
+def test_secrets_with_compound_names(spark, forest):
+    github, aws = "ghp_" + "aZ3kQ9xW7bT2" * 3, "wJalrXUtnFEMIK7MDENGbPxRfiCYzKq81LmNoPqs"
+    values = ["S3cr3t!pw", "correcthorsebattery", "abcdefghijklmnopqrst", github, aws, "ghp_" + "bY4mR8vU6cN1" * 3]
+    texts_ = ['DB_PASSWORD = "S3cr3t!pw"', "client_secret: correcthorsebattery", '{"access_token": "abcdefghijklmnopqrst"}', f"GITHUB_TOKEN={github} more", f"AWS_SECRET_ACCESS_KEY={aws} more", f"GITHUB_PAT={values[5]} more"]
+    df = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    found = {(r["doc_id"], r["start"], r["candidate"], r["is_secret"]) for r in secrets.scan(df, forest).collect()}
+    assert found == {(i, t.index(v), v, True) for i, (t, v) in enumerate(zip(texts_, values, strict=True))}
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(df, forest).collect()}
+    assert clean == {i: t.replace(v, "[SECRET]") for i, (t, v) in enumerate(zip(texts_, values, strict=True))}
