@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.shared import write_shared
+from logloom.llm.shared import Folder
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -25,13 +25,16 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links(u, v), root being the smallest node that it reaches.
 
     Rows that link a node with itself or hold a null are ignored, and repeated
-    links change nothing.  Each step is written to the shared folder; the
-    number of steps grows with the logarithm of the number of nodes.
+    links change nothing.  Each step is written to the shared folder, and the
+    one before it deleted; the number of steps grows with the logarithm of the
+    number of nodes.
     """
-    edges = write_shared(links.filter("u <> v").select(F.col("u").cast("long"), F.col("v").cast("long")).distinct())
+    folder = Folder(links.sparkSession)
+    edges = folder.write(links.filter("u <> v").select(F.col("u").cast("long"), F.col("v").cast("long")).distinct())
     known = None
     while True:
-        edges = write_shared(_small_star(_large_star(edges)).distinct())
+        before, edges = edges, folder.write(_small_star(_large_star(edges)).distinct())
+        folder.drop(before)
         state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == known:
             break

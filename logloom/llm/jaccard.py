@@ -3,38 +3,46 @@
 A document is its set of distinct word shingles.  Sets are put into size
 bands such that similar sets lie in one band or in two neighbouring ones; an
 instance joins a band with the one below.  Similar sets of an instance differ
-in at most k elements.  The feature domain is cut into ceil((k + 1) / 2)
-first-level partitions, in one of which similar sets differ in at most one
-element; that one is cut into two or more second-level partitions, and the
-subsets that leave out one of them are enumerated.  A signature is a hash of
-the set's features in one such subset, so similar sets share a signature.
-
-Sets that are equal count once (their key is the set's hash).  Sets that
-share a signature are compared first by lower bounds of their difference, and
-then by the sets themselves: the distance of histograms of their features, and
-the number of bits in which parity sketches differ.  Within a group only the
-pairs that join its parts are tried first; those that the sets don't confirm
-lead to a second round, which tries all pairs of what is still apart.
+in at most k elements.  The feature domain is cut into first-level partitions,
+ceil((k + 1) / 3) of them, in one of which similar sets differ in at most two
+elements; that one is cut into four second-level partitions, and the subsets
+that leave out two of them are enumerated.  A signature is a hash of the set's
+features in one such subset, so similar sets share a signature.
+
+1. One pass over the texts makes the signatures.  They travel packed, seven
+   bytes each, to buckets of bounded size, where equal ones are brought
+   together; only the members of groups of two or more leave their bucket.
+2. Equal sets count once.  Each set is compared with the first of each of its
+   groups; what is similar forms components.
+3. Groups that still hold sets of several components are searched for all
+   pairs between components that may be similar by size.
+4. Pairs are dealt by their first set, which is sent once for a block of
+   partners.  Lower bounds of the difference (histogram, parity sketch) come
+   first, then the sets themselves, made again from one text each.
+
+Everything but step 1 moves only numbers of sets, and sketches and sets of
+those that are paired.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import groupby
+from collections.abc import Callable, Iterator
+from itertools import chain, combinations, groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.components import components
-from logloom.llm.shared import bound_batches, checked, once, write_shared
+from logloom.llm.shared import Folder, bound_batches, checked, once
 
 BINS = 128
 BITS = 2048
 SKETCH = BINS + BITS // 8
-WORD_CACHE = 1_000_000
+WORD_CACHE = 200_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _M = np.uint64(0x9E3779B97F4A7C15)
 _N = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -80,6 +88,18 @@ def shingle_sets(texts: list[bytes | None], size: int, cache: WordHash) -> list[
     return out
 
 
+#: Second-level partitions, and how many of them a subset leaves out.
+SECOND, LEFT_OUT = 4, 2
+#: Signatures that a bucket is meant to hold, and that a task holds before it deals them out.
+BUCKET, HELD = 1 << 20, 1 << 21
+#: Signatures for a byte of text, at most about (for the number of buckets only).
+DENSITY = 0.3
+#: Members of a signature group that one task compares with as many others; partners of a set in one block.
+BLOCK = 1500
+#: Pairs of sets that are verified in one round, at least.
+PAIRS = 20_000
+
+
 class Bands:
     """Size bands for the threshold num / den, and the partitions of each instance."""
 
@@ -100,13 +120,21 @@ class Bands:
         """Most elements in which similar sets of this total size differ."""
         return total * (self.den - self.num) // (self.den + self.num)
 
-    def partitions(self, instance: int) -> tuple[int, int]:
-        """First-level partitions, and second-level ones in each."""
-        self.of(self.low[-1])
+    def partitions(self, instance: int) -> tuple[int, int, int]:
+        """First-level partitions, second-level ones in each, and how many of these a subset leaves out."""
         while len(self.low) <= instance + 1:
             self.of(self.low[-1])
         k = self.differ(2 * (self.low[instance + 1] - 1))
-        return (k + 2) // 2, 1 if k == 0 else 3 if self.low[instance] < 32 else 2
+        out = min(k, LEFT_OUT)
+        return k // (out + 1) + 1, SECOND - LEFT_OUT + out if k else 1, out
+
+
+def subsets(second: int, out: int) -> np.ndarray:
+    """One column of zeros and ones for each subset of the second-level partitions that leaves some out."""
+    table = np.zeros((second, 0), np.uint64)
+    for kept in combinations(range(second), second - out):
+        table = np.column_stack([table, np.isin(np.arange(second), kept).astype(np.uint64)])
+    return table
 
 
 def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
@@ -114,20 +142,19 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
     if not len(s):
         return np.zeros(0, np.uint64)
     own = bands.of(len(s))
-    out = []
+    made = []
     for instance in (own, own + 1):
-        first, second = bands.partitions(instance)
+        first, second, out = bands.partitions(instance)
         cells = first * second
         cell = ((s >> np.uint64(32)) * np.uint64(cells) >> np.uint64(32)).astype(np.int64)
         value = mix(s + np.uint64(instance))
         # s is sorted, and so are the cells: sums of runs
         edges = np.searchsorted(cell, np.arange(cells + 1))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value)])
-        by_cell = (sums[edges[1:]] - sums[edges[:-1]]).reshape(first, second)
-        kept = by_cell if second == 1 else by_cell.sum(axis=1, keepdims=True) - by_cell  # all but one
+        kept = (sums[edges[1:]] - sums[edges[:-1]]).reshape(first, second) @ subsets(second, out)
         tag = np.arange(kept.size, dtype=np.uint64).reshape(kept.shape) + np.uint64(instance << 32)
-        out.append(mix(kept + mix(tag * _M)).ravel())
-    return np.concatenate(out)
+        made.append(mix(kept + mix(tag * _M)).ravel())
+    return np.concatenate(made)
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -137,34 +164,66 @@ def sketch(s: np.ndarray) -> bytes:
     return bins.tobytes() + np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def set_key(s: np.ndarray) -> int:
-    """Signed 64-bit hash of a set."""
-    return int(np.uint64(mix(mix(s).sum(keepdims=True) + np.uint64(len(s)))[0]).astype(np.int64))
+def set_key(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set, as two signed numbers."""
+    a, b = mix(s).sum() + np.uint64(len(s)), mix(s * _N + _M).sum()
+    return tuple(mix(np.array([a, b])).view(np.int64).tolist())
 
 
-#: Members of a signature group that one task compares with as many others.
-BLOCK = 1500
-#: Pairs of sets that are verified in one round, at least.
-PAIRS = 20_000
+def dealt(held: list[np.ndarray], buckets: int, base: int) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """(bucket, base, low five bytes of each signature, number of its set from base on)."""
+    flat = np.concatenate(held)
+    own = np.repeat(np.arange(len(held), dtype=np.uint16), [len(x) for x in held])
+    order = np.argsort(flat)
+    flat, own = flat[order], own[order]
+    bucket = ((flat >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    low = np.ascontiguousarray(flat.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5]
+    edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(flat) else np.zeros(0, np.int64)
+    for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        yield int(bucket[a]), base, low[a:z].tobytes(), own[a:z].astype("<u2").tobytes()
+
+
+_MADE = "bucket long, base long, sigs binary, own binary, doc_id long, t1 long, t2 long, n_shingles long, k1 long, k2 long, sketch binary"
+_MADE_TYPES = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+_MADE_NAMES = [c.split()[0] for c in _MADE.split(", ")]
 
 
-def _sets(size, num, den):
+def _sets(size, num, den, buckets):
+    """Rows of signatures (bucket >= 0), and one row for each text (bucket < 0, its number as base)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, bands = once("word-hash", WordHash), Bands(num, den)
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
+        at = TaskContext.get().partitionId() << 33
+        base, held, total = at, [], 0
+
+        def table(rows):
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(_MADE_TYPES)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _MADE_TYPES, strict=True)], _MADE_NAMES)
+
+        def packed():
+            return table([(*x, *[None] * 7) for x in dealt(held, buckets, base)])
+
+        none = np.zeros(0, np.uint64)
         for b in batches:
-            sets = shingle_sets(b.column(1).to_pylist(), size, cache)
-            keys, parts = [], []
-            for doc_id, s in zip(b.column(0).to_pylist(), sets, strict=True):
-                key = set_key(s) if len(s) else xxhash.xxh3_64_intdigest(f"empty {doc_id}") - (1 << 63)
-                parts.append(signatures(s, bands).view(np.int64) if key not in seen else None)
-                seen.add(key)
-                keys.append(key)
-            counts = pa.array([len(s) for s in sets], pa.int64())
-            ends = np.cumsum([0, *(0 if p is None else len(p) for p in parts)]).astype(np.int32)
-            flat = np.concatenate([p for p in parts if p is not None] or [np.zeros(0, np.int64)])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), counts, pa.array(keys, pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), lists], ["doc_id", "n_shingles", "key", "sketch", "sigs"])
+            rows = []
+            columns = [b.column(i).to_pylist() for i in range(4)]
+            for doc_id, t1, t2, s in zip(columns[0], columns[2], columns[3], shingle_sets(columns[1], size, cache), strict=True):
+                key = set_key(s)
+                if len(s) and key not in seen:
+                    held.append(signatures(s, bands))
+                    seen.add(key)
+                else:
+                    held.append(none)
+                rows.append((-1 - at % buckets, at, None, None, doc_id, t1, t2, len(s), *key, sketch(s)))
+                total += len(held[-1])
+                at += 1
+                if total >= HELD or len(held) > 65_000:
+                    yield packed()
+                    base, held, total = at, [], 0
+            yield table(rows)
+        if held:
+            yield packed()
 
     return run
 
@@ -188,29 +247,63 @@ def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
         yield last, pa.Table.from_batches(held)
 
 
-def _within(num, den, forest):
-    """Pairs of a group's members that lie in different components and may be similar; of a forest only those that join parts."""
+def shared_groups(sigs: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(group, id) for the members of signatures that several ids have; groups with equal members once."""
+    order = np.lexsort((ids, sigs))
+    sigs, ids = sigs[order], ids[order]
+    edges = np.flatnonzero(np.r_[True, sigs[1:] != sigs[:-1]])
+    count = np.diff(np.r_[edges, len(sigs)])
+    group = np.add.reduceat(mix(ids.astype(np.uint64) * _N + _M), edges)
+    chosen = np.flatnonzero(count > 1)
+    chosen = chosen[np.unique(group[chosen], return_index=True)[1]]
+    count = count[chosen]
+    at = np.arange(count.sum()) + np.repeat(edges[chosen] - (np.cumsum(count) - count), count)
+    return np.repeat(group[chosen], count).view(np.int64), ids[at]
+
+
+_FOUND = "grp long, id long, doc_id long, t1 long, t2 long, n_shingles long, k1 long, k2 long, sketch binary"
+
+
+def _grouped():
+    """Of a bucket of signatures its groups' members (grp, id); rows of texts go through, with id their number."""
+    own = ["doc_id", "t1", "t2", "n_shingles", "k1", "k2", "sketch"]
+    kinds = dict(zip(_MADE_NAMES, _MADE_TYPES, strict=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for b in batches:  # sorted, so that texts come first
+            split = int(np.searchsorted(b.column("bucket").to_numpy(), 0))
+            if split:
+                t = b.slice(0, split)
+                yield pa.RecordBatch.from_arrays([pa.nulls(split, pa.int64()), t.column("base"), *(t.column(c) for c in own)], ["grp", "id", *own])
+            if split < b.num_rows:
+                rest.append(b.slice(split))
+                break
+        for _, t in runs_of(chain(rest, batches), ["bucket"]):
+            low = np.frombuffer(b"".join(t.column("sigs").to_pylist()), np.uint8).reshape(-1, 5)
+            sigs = np.zeros((len(low), 8), np.uint8)
+            sigs[:, :5] = low
+            numbers = t.column("own").to_pylist()
+            ids = np.repeat(t.column("base").to_numpy(), [len(x) // 2 for x in numbers]) + np.frombuffer(b"".join(numbers), "<u2")
+            grp, ids = shared_groups(sigs.view("<u8").ravel(), ids)
+            for at in range(0, len(grp), 100_000):
+                g, i = grp[at : at + 100_000], ids[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(i), *(pa.nulls(len(g), kinds[c]) for c in own)], ["grp", "id", *own])
+
+    return run
+
+
+def _between(num, den):
+    """Pairs of a group's members that lie in different components and are of sizes that may be similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in runs_of(batches, ["grp", "i", "j"]):
             key, root, n = (t.column(c).to_numpy() for c in ("key", "root", "n_shingles"))
             order = np.argsort(key)
-            key, root, n = key[order], root[order].copy(), n[order]
-            raw = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)[order]
-            bins, odd = raw[:, :BINS].astype(np.int16), np.ascontiguousarray(raw[:, BINS:]).view(np.uint64)
+            key, root, n = key[order], root[order], n[order]
             a, b = [], []
             for x in range(len(key) - 1):
-                other = np.flatnonzero(root[x + 1 :] != root[x]) + x + 1
-                other = other[np.minimum(n[other], n[x]) * den >= num * np.maximum(n[other], n[x])]
-                if len(other):
-                    most = (n[other] + n[x]) * (den - num) // (den + num)
-                    other = other[np.bitwise_count(odd[other] ^ odd[x]).sum(axis=1) <= most]
-                if len(other):
-                    most = (n[other] + n[x]) * (den - num) // (den + num)
-                    other = other[np.abs(bins[other] - bins[x]).sum(axis=1) <= most]
-                if len(other) and forest:
-                    other = other[np.sort(np.unique(root[other], return_index=True)[1])]
-                    root[np.isin(root, root[other])] = root[x]
+                other = np.flatnonzero((root[x + 1 :] != root[x]) & (np.minimum(n[x + 1 :], n[x]) * den >= num * np.maximum(n[x + 1 :], n[x]))) + x + 1
                 if len(other):
                     a.append(np.full(len(other), key[x]))
                     b.append(key[other])
@@ -225,41 +318,139 @@ def _features(size):
         cache = once("word-hash", WordHash)
         for b in batches:
             sets = shingle_sets(b.column(1).to_pylist(), size, cache)
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "features"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "data"])
 
     return run
 
 
-def _similar(num, den):
+def may_be_similar(num: int, den: int) -> Callable[[bytes, bytes, int, int], bool]:
+    """Whether sketches allow the similarity of two sets of these sizes."""
+
+    def test(x: bytes, y: bytes, m: int, n: int) -> bool:
+        most = (m + n) * (den - num) // (den + num)
+        a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+        if np.bitwise_count(a[BINS:] ^ b[BINS:]).sum() > most:
+            return False
+        return np.abs(a[:BINS].astype(np.int16) - b[:BINS]).sum() <= most
+
+    return test
+
+
+def are_similar(num: int, den: int) -> Callable[[bytes, bytes, int, int], bool]:
+    """Whether two sets, sorted arrays of features, are similar."""
+
+    def test(x: bytes, y: bytes, m: int, n: int) -> bool:
+        both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+        return den * both >= num * (m + n - both)
+
+    return test
+
+
+def _tested(test):
+    """Rows sorted by (a, part, b): first a's own (b null), then its partners'; the pairs that pass."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("a_set").to_pylist(), b.column("b_set").to_pylist(), strict=True):
-                s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(den * both >= num * (len(s) + len(t) - both))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        owner, own, size = None, b"", 0
+        for batch in batches:
+            a, b = [], []
+            for x, y, n, data in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "n_shingles", "data")), strict=True):
+                if y is None:
+                    owner, own, size = x, data, n
+                elif x == owner and test(own, data, size, n):
+                    a.append(x)
+                    b.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of keys whose sets are similar: each set is made again from one document's text."""
-    ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    wanted = sets.filter("n_shingles > 0").join(ends, "key").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    wanted = checked(write_shared(wanted.select("doc_id").distinct()))
-    texts = docs.join(wanted, "doc_id")  # where a doc_id repeats, the key tells its texts apart
-    features = write_shared(texts.mapInArrow(_features(size), "key long, features binary").dropDuplicates(["key"]))
-    a = features.select(F.col("key").alias("a"), F.col("features").alias("a_set"))
-    b = features.select(F.col("key").alias("b"), F.col("features").alias("b_set"))
-    # a pair carries both sets, so pairs go in rounds, each of at most as many as an eighth of the sets
-    rounds = max(1, -(-pairs.count() // max(PAIRS, sets.count() // 8)))
-    found = None
-    for k in range(rounds):
-        part = pairs.filter(F.pmod(F.xxhash64("a", F.lit(9)), F.lit(rounds)) == k)
-        own = write_shared(part.join(a, "a").join(b, "b").select("a", "b", "a_set", "b_set").mapInArrow(_similar(num, den), "a long, b long"))
-        found = own if found is None else found.union(own)
-    return found
+def _passed(pairs: DataFrame, data: DataFrame, test) -> DataFrame:
+    """The pairs (a, b) of keys that pass a test of their data(key, n_shingles, data); a's data travel once for BLOCK partners."""
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    part = F.pmod(F.xxhash64("b", F.lit(1)), F.col("parts")).alias("part")
+    named = pairs.join(parts, "a").select("a", part, "b")
+    partners = named.join(data.withColumnRenamed("key", "b"), "b").select("a", "part", "b", "n_shingles", "data")
+    first = parts.join(data.withColumnRenamed("key", "a"), "a")
+    owners = first.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "n_shingles", "data")
+    rows = owners.union(partners).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return rows.mapInArrow(_tested(test), "a long, b long")
+
+
+class Search:
+    """The sets of a table of texts, and which of them are similar."""
+
+    def __init__(self, documents: DataFrame, size: int, num: int, den: int):
+        spark = documents.sparkSession
+        bound_batches(spark)
+        self.folder, self.size, self.num, self.den = Folder(spark), size, num, den
+        text = F.col("text").cast("binary")
+        self.docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.lit(1), text).alias("t1"), F.xxhash64(text, F.lit(2)).alias("t2"))
+        total = self.docs.agg(F.sum(F.length("text"))).first()[0] or 0
+        buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * DENSITY) // BUCKET)
+        made = self.docs.mapInArrow(_sets(size, num, den, buckets), _MADE)
+        found = self.folder.write(made.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_grouped(), _FOUND))
+        texts = found.filter("grp is null").withColumnRenamed("id", "row").drop("grp")
+
+        # equal sets count once: the key of a set is the number of its first text
+        several = texts.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("row").alias("key"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
+        several = self.folder.write(several)
+        named = texts.join(checked(several), ["k1", "k2"], "left")
+        self.texts = self.folder.write(named.withColumn("key", F.coalesce("key", "row")).drop("k1", "k2", "sketch"))
+        self.sketches = self.folder.write(named.filter("row = coalesce(key, row)").select(F.col("row").alias("key"), "n_shingles", F.col("sketch").alias("data")))
+        keys = self.texts.select(F.col("row").alias("id"), "key", "n_shingles")
+        members = found.filter("grp is not null").select("grp", "id").distinct().join(keys, "id")
+        self.groups = self.folder.write(members.groupBy("grp", "key").agg(F.first("n_shingles").alias("n_shingles")))
+        self.folder.drop(found, several)
+        self.roots = self.components()
+
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of keys whose sets are similar."""
+        likely = self.folder.write(_passed(pairs, self.sketches, may_be_similar(self.num, self.den)))
+        ends = likely.select(F.col("a").alias("key")).union(likely.select(F.col("b").alias("key"))).distinct()
+        first = self.texts.join(ends, "key").filter("row = key")
+        wanted = self.folder.write(first.select("key", "n_shingles", "t1", "t2", F.col("doc_id").alias("id")))
+        # the set is made from one text: where rows repeat, from any of them
+        own = checked(wanted.select("key", "t1", "t2", "id"))
+        texts = self.docs.join(own, (self.docs["t1"] == own["t1"]) & (self.docs["t2"] == own["t2"]) & self.docs["doc_id"].eqNullSafe(own["id"])).dropDuplicates(["key"])
+        sizes = wanted.select("key", "n_shingles")
+        sets = self.folder.write(texts.select("key", "text").mapInArrow(_features(self.size), "key long, data binary"))
+        # sets go in rounds, each of at most as many pairs as an eighth of the texts
+        rounds = max(1, -(-likely.count() // max(PAIRS, self.texts.count() // 8)))
+        found = None
+        for k in range(rounds):
+            part = likely.filter(F.pmod(F.xxhash64("a", F.lit(9)), F.lit(rounds)) == k)
+            own = self.folder.write(_passed(part, sets.join(sizes, "key").select("key", "n_shingles", "data"), are_similar(self.num, self.den)))
+            found = own if found is None else found.union(own)
+        self.folder.drop(likely, wanted, sets)
+        return found
+
+    def components(self) -> DataFrame:
+        """(key, root) of sets that are similar to others."""
+        least = self.groups.groupBy("grp").agg(F.min("key").alias("a"), F.max("key").alias("last")).filter("a <> last")
+        sizes = self.sketches.select(F.col("key").alias("a"), F.col("n_shingles").alias("size"))
+        star = self.groups.join(least, "grp").filter("key <> a").select("a", F.col("key").alias("b"), "n_shingles").distinct().join(sizes, "a")
+        fits = F.least("size", "n_shingles") * self.den >= self.num * F.greatest("size", "n_shingles")
+        tried = self.folder.write(star.filter(fits).select("a", "b"))
+        links = self.confirmed(tried).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        roots = components(links)
+
+        rooted = self.groups.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        blocks = F.ceil(F.col("members") / BLOCK)
+        mixed = rooted.groupBy("grp").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("members")).filter("r1 <> r2").select("grp", blocks.alias("blocks"))
+        own = F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks"))
+        split = rooted.join(mixed, "grp").select("grp", "key", "root", "n_shingles", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+        parts = split.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key", "root", "n_shingles")
+        late = parts.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(_between(self.num, self.den), "a long, b long")
+        late = self.folder.write(late.distinct().join(tried, ["a", "b"], "left_anti"))
+        if not late.isEmpty():
+            links = links.union(self.confirmed(late).select(F.col("a").alias("u"), F.col("b").alias("v")))
+            roots = components(links)
+        self.folder.drop(late, tried, self.groups, self.sketches)
+        return roots.withColumnRenamed("node", "key")
+
+    def rooted(self) -> DataFrame:
+        """doc_id, t1, t2 (128 bits of the text), n_shingles, root (equal for all texts that links reach) of each text."""
+        return self.texts.join(checked(self.folder.write(self.roots)), "key", "left").select("doc_id", "t1", "t2", "n_shingles", F.coalesce("root", "key").alias("root"))
 
 
 def join_similar(documents: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -269,61 +460,37 @@ def join_similar(documents: DataFrame, size: int = 5, num: int = 4, den: int = 5
     ``size`` words is num / den or more; component_id is the smallest doc_id
     reachable by links.  A text without words, or null, has an empty set and
     links with nothing.  Rows that repeat, and other texts with equal sets,
-    are linked; other columns are ignored; an empty table gives no rows.
+    are linked; a null doc_id is no smallest one; other columns are ignored;
+    an empty table gives no rows.
     """
-    spark = documents.sparkSession
-    bound_batches(spark)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    made = write_shared(docs.mapInArrow(_sets(size, num, den), "doc_id long, n_shingles long, key long, sketch binary, sigs array<long>"))
-    sets = made.drop("sigs")
-    one = sets.groupBy("key").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-
-    # members of signature groups; groups with equal members count once
-    by_sig = Window.partitionBy("sig")
-    least, most = F.min("key").over(by_sig).alias("least"), F.max("key").over(by_sig).alias("most")
-    shared = made.select(F.explode("sigs").alias("sig"), "key").select("sig", "key", least, most)
-    members = shared.filter("least <> most").dropDuplicates(["sig", "key"]).select("key", F.bit_xor(F.xxhash64("key")).over(by_sig).alias("grp"), F.count("*").over(by_sig).alias("members"))
-    groups = write_shared(members.dropDuplicates(["grp", "key"]))
-
-    def candidates(rooted: DataFrame, forest: bool) -> DataFrame:
-        blocks = F.ceil(F.col("members") / BLOCK)
-        own = F.pmod(F.xxhash64("key", F.lit(1)), blocks)
-        dealt = (
-            rooted.join(one, "key")
-            .select("grp", "key", "root", "n_shingles", "sketch", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
-            .select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key", "root", "n_shingles", "sketch")
-            .repartition("grp", "i", "j")
-            .sortWithinPartitions("grp", "i", "j")
-        )
-        return write_shared(dealt.mapInArrow(_within(num, den, forest), "a long, b long").distinct())
-
-    def edges(links: DataFrame) -> DataFrame:
-        return links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-
-    def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-        """One pair for every two components that pairs would join."""
-        a, b = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        named = pairs.join(a, "a", "left").join(b, "b", "left").select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
-        between = named.filter("ra <> rb").groupBy(F.least("ra", "rb").alias("r1"), F.greatest("ra", "rb").alias("r2"))
-        return between.agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
-
-    # each set with the first that it may be similar to, then the parts that are left
-    joining = candidates(groups.withColumn("root", F.col("key")), forest=True)
-    tried = write_shared(joining.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    links = _verified(tried, sets, docs, size, num, den)
-    roots = components(edges(links))
-    second = write_shared(apart(joining.join(tried, ["a", "b"], "left_anti"), roots))
-    if not second.isEmpty():
-        links = links.union(_verified(second, sets, docs, size, num, den))
-        tried = tried.union(second)
-        roots = components(edges(links))
-    rooted = groups.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    mixed = rooted.groupBy("grp").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("grp")
-    rest = write_shared(candidates(rooted.join(mixed, "grp"), forest=False).join(tried, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        late = _verified(rest, sets, docs, size, num, den)
-        roots = components(edges(links.union(late)))
-    labels = roots.select(F.col("node").alias("key"), "root")
-    found = sets.select("doc_id", "n_shingles", "key").join(labels, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    least = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return found.join(least, "root").select("doc_id", "n_shingles", "component_id")
+    search = Search(documents, size, num, den)
+    found = search.rooted()
+    several = found.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return found.join(checked(search.folder.write(several)), "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(documents: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """The rows of documents without those that repeat or nearly repeat another row: one of each linked group stays.
+
+    It is the one with the smallest doc_id (nulls last; of several such rows
+    any one).  This goes by row: rows with one doc_id and different texts are
+    different documents.  Texts without words, and nulls, all stay.
+    """
+    search = Search(documents, size, num, den)
+    rows = search.rooted().filter("n_shingles > 0")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "t1", "t2")
+    groups = rows.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    groups = checked(search.folder.write(groups.select("root", "first.doc_id", "first.t1", "first.t2")))
+    same = F.col("r.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("r.t1") == F.col("g.t1")) & (F.col("r.t2") == F.col("g.t2"))
+    marked = rows.alias("r").join(groups.alias("g"), "root").select("r.doc_id", "r.t1", "r.t2", same.alias("first"))
+    # (doc_id, text) of losers, and of winners that several rows hold
+    marked = marked.groupBy("doc_id", "t1", "t2", "first").count().filter("not first or count > 1")
+    marked = checked(search.folder.write(marked.select(F.col("doc_id").alias("m_id"), F.col("t1").alias("m_t1"), F.col("t2").alias("m_t2"), "first")))
+    text = F.col("text").cast("binary")
+    held = (F.xxhash64(F.lit(1), text) == F.col("m_t1")) & (F.xxhash64(text, F.lit(2)) == F.col("m_t2")) & F.col("doc_id").cast("long").eqNullSafe(F.col("m_id"))
+    kept = documents.join(marked, held, "left_anti")
+    again = marked.filter("first")
+    if again.isEmpty():
+        return kept
+    one = documents.join(again, held).dropDuplicates(["m_id", "m_t1", "m_t2"]).select(*[F.col(f"`{c}`") for c in documents.columns])
+    return kept.unionByName(one)

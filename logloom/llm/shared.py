@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch handed to a Python worker; long texts then come in smaller batches.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,11 +45,43 @@ def write_shared(df: DataFrame, *partition_by: str) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    # Spark drops a finished job's shuffle files when the driver collects its garbage, which can be long after
-    spark.sparkContext._jvm.System.gc()
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Folder:
+    """Tables of one run, below one new shared folder; those that nothing reads any more can be dropped."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.base, self.paths = spark, shared_dir(spark), {}
+
+    def write(self, df: DataFrame) -> DataFrame:
+        """Writes df as Parquet and returns the reread table."""
+        path = f"{self.base}/{len(self.paths)}"
+        df.write.option("compression", "zstd").parquet(path)
+        release(self.spark)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that write returned; others are left alone."""
+        for t in tables:
+            if id(t) in self.paths:
+                delete(self.spark, self.paths[id(t)][0])
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in any file system that Spark knows."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Spark drops a finished job's shuffle files when the driver collects its garbage, which can be long after."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Bounds the Arrow batches by bytes, whatever the length of the texts."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
