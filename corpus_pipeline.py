@@ -7,7 +7,6 @@ last return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,45 +14,53 @@ from pyspark.sql import functions as F
 
 from logloom.llm import decontamination, jaccard, language_id, packing, secrets
 from logloom.llm.queries import learned_languages, vocabulary
-from logloom.llm.shared import checked, read_table, shared_dir, write_shared
+from logloom.llm.shared import read_table, shared_dir
 
 #: SQL can't express cross-parsing, Jaccard components, a trained forest or packing in one statement.
 ORACLE_SQL: str | None = None
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in no learned language (no letters, or no text)."""
+    """Rejects documents in no learned language (no letters, or no text).
+
+    Rows that repeat each stay or go alike; where no document has a lang,
+    nothing can be learned and every document with a letter stays.
+    """
     return language_id.only_identified(docs, learned_languages(docs))
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that with the smallest doc_id, of each group linked by similarity 0.8 of 5-word shingles.
 
-    Of rows with one doc_id one stays.  Lists of ids that were counted and
-    are small are broadcast.
+    It goes by row: rows with one doc_id and different texts are different
+    documents, and of rows that repeat one stays.  Texts without words and
+    nulls link with nothing and stay; a null doc_id comes last.  An empty
+    table stays empty.
     """
-    found = jaccard.join_similar(docs, size=5, num=4, den=5)
-    gone = checked(write_shared(found.filter("doc_id <> component_id").select("doc_id").distinct()))
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = checked(write_shared(docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")))
-    if repeated.isEmpty():
-        return kept
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    return jaccard.keep_one(docs, size=5, num=4, den=5)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that benchmark items contaminate."""
+    """Drops documents that benchmark items contaminate.
+
+    Null and wordless texts and all others without a hit stay; with an empty
+    table benchmark all stay.
+    """
     return decontamination.only_clean(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets in the texts; every document stays, n_chars follows the text."""
+    """Replaces secrets in the texts; every document stays, n_chars follows the text (null for a null text)."""
     clean = secrets.redact(docs, secrets.train(secrets.labelled_findings(spark)))
     return clean.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents' tokens into sequences."""
+    """Packs the documents' tokens into sequences: one row for each piece.
+
+    A null or empty text is one piece of one token; rows that repeat are
+    packed each; an empty table gives no rows.
+    """
     return packing.pack(docs, vocabulary())
 
 
@@ -67,9 +74,9 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to the table documents."""
+    """Applies the stages to the table documents; each one's rows are written and reread by the next."""
     docs = read_table(spark, sf_dir, "documents")
-    base = f"{shared_dir(spark)}-{uuid.uuid4().hex}"
+    base = shared_dir(spark)
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
