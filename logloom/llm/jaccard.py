@@ -14,14 +14,16 @@ features in one such subset, so similar sets share a signature.
    together; only the members of groups of two or more leave their bucket.
 2. Equal sets count once.  Each set is compared with the first of each of its
    groups; what is similar forms components.
-3. Groups that still hold sets of several components are searched for all
-   pairs between components that may be similar by size.
+3. Groups that still hold sets of several components are searched for pairs
+   between components that may be similar, by size and by sketch: the bits in
+   which parity sketches differ are a lower bound of the sets' difference, and
+   a close one.  A first search takes of each group only pairs that join its
+   parts; a second one all that are left between what is still apart.
 4. Pairs are dealt by their first set, which is sent once for a block of
-   partners.  Lower bounds of the difference (histogram, parity sketch) come
-   first, then the sets themselves, made again from one text each.
+   partners.  The sets themselves, made again from one text each, decide.
 
-Everything but step 1 moves only numbers of sets, and sketches and sets of
-those that are paired.
+Everything but step 1 moves only numbers of sets, sketches of sets in mixed
+groups, and sets that are paired.
 """
 
 from __future__ import annotations
@@ -39,9 +41,6 @@ from pyspark.sql import functions as F
 from logloom.llm.components import components
 from logloom.llm.shared import Folder, bound_batches, checked, once
 
-BINS = 128
-BITS = 2048
-SKETCH = BINS + BITS // 8
 WORD_CACHE = 200_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -158,10 +157,17 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Number of features in each of BINS cells (255 at most), then the parities of their numbers in BITS cells."""
-    bins = np.bincount((s & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS).clip(0, 255).astype(np.uint8)
-    odd = np.bincount((s >> np.uint64(20) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
-    return bins.tobytes() + np.packbits(odd.astype(np.uint8)).tobytes()
+    """Parities of the numbers of features in cells by their low bits; two cells or more for a feature, a power of two, 64 at least."""
+    cells = max(64, 1 << (2 * len(s) - 1).bit_length() if len(s) else 64)
+    odd = np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(x: np.ndarray, words: int) -> np.ndarray:
+    """The sketch with fewer cells that a sketch (64-bit words) implies."""
+    while len(x) > words:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
 
 
 def set_key(s: np.ndarray) -> tuple[int, int]:
@@ -293,17 +299,26 @@ def _grouped():
     return run
 
 
-def _between(num, den):
-    """Pairs of a group's members that lie in different components and are of sizes that may be similar."""
+def _between(num, den, forest):
+    """Pairs of a group's members that lie in different components and may be similar; of a forest only those that join parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in runs_of(batches, ["grp", "i", "j"]):
             key, root, n = (t.column(c).to_numpy() for c in ("key", "root", "n_shingles"))
             order = np.argsort(key)
-            key, root, n = key[order], root[order], n[order]
+            key, root, n = key[order], root[order].copy(), n[order]
+            raw = [np.frombuffer(x, "<u8") for x in t.column("data").to_pylist()]
+            words = min(map(len, raw))
+            odd = np.array([folded(raw[i], words) for i in order])
             a, b = [], []
             for x in range(len(key) - 1):
                 other = np.flatnonzero((root[x + 1 :] != root[x]) & (np.minimum(n[x + 1 :], n[x]) * den >= num * np.maximum(n[x + 1 :], n[x]))) + x + 1
+                if len(other):
+                    most = (n[other] + n[x]) * (den - num) // (den + num)
+                    other = other[np.bitwise_count(odd[other] ^ odd[x]).sum(axis=1, dtype=np.int64) <= most]
+                if len(other) and forest:
+                    other = other[np.sort(np.unique(root[other], return_index=True)[1])]
+                    root[np.isin(root, root[other])] = root[x]
                 if len(other):
                     a.append(np.full(len(other), key[x]))
                     b.append(key[other])
@@ -327,11 +342,9 @@ def may_be_similar(num: int, den: int) -> Callable[[bytes, bytes, int, int], boo
     """Whether sketches allow the similarity of two sets of these sizes."""
 
     def test(x: bytes, y: bytes, m: int, n: int) -> bool:
-        most = (m + n) * (den - num) // (den + num)
-        a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-        if np.bitwise_count(a[BINS:] ^ b[BINS:]).sum() > most:
-            return False
-        return np.abs(a[:BINS].astype(np.int16) - b[:BINS]).sum() <= most
+        a, b = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+        words = min(len(a), len(b))
+        return np.bitwise_count(folded(a, words) ^ folded(b, words)).sum(dtype=np.int64) <= (m + n) * (den - num) // (den + num)
 
     return test
 
@@ -404,9 +417,8 @@ class Search:
         self.roots = self.components()
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of keys whose sets are similar."""
-        likely = self.folder.write(_passed(pairs, self.sketches, may_be_similar(self.num, self.den)))
-        ends = likely.select(F.col("a").alias("key")).union(likely.select(F.col("b").alias("key"))).distinct()
+        """The pairs (a, b) of keys, a written table, whose sets are similar."""
+        ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
         first = self.texts.join(ends, "key").filter("row = key")
         wanted = self.folder.write(first.select("key", "n_shingles", "t1", "t2", F.col("doc_id").alias("id")))
         # the set is made from one text: where rows repeat, from any of them
@@ -415,13 +427,13 @@ class Search:
         sizes = wanted.select("key", "n_shingles")
         sets = self.folder.write(texts.select("key", "text").mapInArrow(_features(self.size), "key long, data binary"))
         # sets go in rounds, each of at most as many pairs as an eighth of the texts
-        rounds = max(1, -(-likely.count() // max(PAIRS, self.texts.count() // 8)))
+        rounds = max(1, -(-pairs.count() // max(PAIRS, self.texts.count() // 8)))
         found = None
         for k in range(rounds):
-            part = likely.filter(F.pmod(F.xxhash64("a", F.lit(9)), F.lit(rounds)) == k)
+            part = pairs.filter(F.pmod(F.xxhash64("a", F.lit(9)), F.lit(rounds)) == k)
             own = self.folder.write(_passed(part, sets.join(sizes, "key").select("key", "n_shingles", "data"), are_similar(self.num, self.den)))
             found = own if found is None else found.union(own)
-        self.folder.drop(likely, wanted, sets)
+        self.folder.drop(wanted, sets)
         return found
 
     def components(self) -> DataFrame:
@@ -430,23 +442,28 @@ class Search:
         sizes = self.sketches.select(F.col("key").alias("a"), F.col("n_shingles").alias("size"))
         star = self.groups.join(least, "grp").filter("key <> a").select("a", F.col("key").alias("b"), "n_shingles").distinct().join(sizes, "a")
         fits = F.least("size", "n_shingles") * self.den >= self.num * F.greatest("size", "n_shingles")
-        tried = self.folder.write(star.filter(fits).select("a", "b"))
-        links = self.confirmed(tried).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        roots = components(links)
+        first = self.folder.write(star.filter(fits).select("a", "b"))
+        tried = self.folder.write(_passed(first, self.sketches, may_be_similar(self.num, self.den)))
+        links = self.confirmed(tried)
+        roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        for forest in (True, False):
+            late = self.folder.write(self.apart(roots, forest).join(tried, ["a", "b"], "left_anti"))
+            if not late.isEmpty():
+                links, tried = links.union(self.confirmed(late)), tried.union(late)
+                roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        self.folder.drop(first, late, self.groups, self.sketches)
+        return roots.withColumnRenamed("node", "key")
 
-        rooted = self.groups.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    def apart(self, roots: DataFrame, forest: bool) -> DataFrame:
+        """Pairs between components that share a group and may be similar."""
+        rooted = self.groups.drop("n_shingles").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
         blocks = F.ceil(F.col("members") / BLOCK)
         mixed = rooted.groupBy("grp").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("members")).filter("r1 <> r2").select("grp", blocks.alias("blocks"))
         own = F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks"))
-        split = rooted.join(mixed, "grp").select("grp", "key", "root", "n_shingles", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-        parts = split.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key", "root", "n_shingles")
-        late = parts.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(_between(self.num, self.den), "a long, b long")
-        late = self.folder.write(late.distinct().join(tried, ["a", "b"], "left_anti"))
-        if not late.isEmpty():
-            links = links.union(self.confirmed(late).select(F.col("a").alias("u"), F.col("b").alias("v")))
-            roots = components(links)
-        self.folder.drop(late, tried, self.groups, self.sketches)
-        return roots.withColumnRenamed("node", "key")
+        split = rooted.join(mixed, "grp").select("grp", "key", "root", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+        parts = split.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key", "root").join(self.sketches, "key")
+        dealt = parts.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+        return dealt.mapInArrow(_between(self.num, self.den, forest), "a long, b long").distinct()
 
     def rooted(self) -> DataFrame:
         """doc_id, t1, t2 (128 bits of the text), n_shingles, root (equal for all texts that links reach) of each text."""
