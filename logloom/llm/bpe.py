@@ -17,8 +17,8 @@ import regex
 
 from logloom.llm.shared import once
 
-#: Entries a worker keeps; beyond, the cache starts anew.  Bounds memory only.
-CACHE_ENTRIES = 1_000_000
+#: Bytes that a worker's cache may take, about; beyond, it starts anew.  Entries of longer chunks aren't kept.  Bounds memory only.
+CACHE_BYTES, KEPT_CHUNK = 48 << 20, 200
 
 #: The pre-tokenizer's pattern (a fixed value of the byte-level vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -102,20 +102,36 @@ def whole_chunk(key: str) -> str:
     return key if key[0] == "\n" else f" {key}"
 
 
-class IdCache(dict):
-    """chunk -> its ids as little-endian unsigned 32-bit numbers."""
+class Cache(dict):
+    """What make gives for a chunk, kept within CACHE_BYTES."""
 
     def __init__(self, bpe: Bpe):
         super().__init__()
-        self.bpe = bpe
-
-    def __missing__(self, key: str) -> bytes:
-        out = array("I", self.bpe.ids(whole_chunk(key))).tobytes()
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        self[key] = out
+        self.bpe, self.used = bpe, 0
+
+    def make(self, key: str):
+        raise NotImplementedError
+
+    def __missing__(self, key: str):
+        out = self.make(key)
+        if len(key) <= KEPT_CHUNK:
+            self.used += 300 + 5 * len(key)
+            if self.used > CACHE_BYTES:
+                self.empty()
+            self[key] = out
         return out
 
+    def empty(self) -> None:
+        self.clear()
+        self.used = 0
+
+
+class IdCache(Cache):
+    """chunk -> its ids as little-endian unsigned 32-bit numbers."""
+
+    def make(self, key: str) -> bytes:
+        return array("I", self.bpe.ids(whole_chunk(key))).tobytes()
+
     def encode(self, text: str) -> bytes:
         first, rest = chunks(text)
         try:

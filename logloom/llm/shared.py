@@ -99,10 +99,22 @@ def once(key: Any, make: Callable[[], Any]) -> Any:
     kept = sys.__dict__.setdefault("_logloom_worker_cache", {})
     name = key[0] if isinstance(key, tuple) else key
     if name not in kept or kept[name][0] != key:
+        kept.pop(name, None)  # frees the old value before the new one is made
         kept[name] = (key, make())
     return kept[name][1]
 
 
+def thinned(rows: DataFrame, group: str, by: str, most: int) -> DataFrame:
+    """Rows whose hash of ``by`` is low, about twice ``most`` of every larger group and all of a smaller one.
+
+    The cut comes from the groups' counts, so that a later choice of the first
+    ``most`` in the same order reads few rows of each group.
+    """
+    counts = checked(write_shared(rows.groupBy(group).agg(F.count("*").alias("_rows"))))
+    share = F.pmod(F.xxhash64(by), F.lit(1 << 40)) / float(1 << 40)
+    return rows.join(counts, group).filter((F.col("_rows") <= 4 * most) | (share * F.col("_rows") <= 2 * most)).drop("_rows")
+
+
 def send(spark: SparkSession, value: Any) -> Broadcast:
     """A broadcast whose classes travel by value, too."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))

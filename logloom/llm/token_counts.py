@@ -15,54 +15,43 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.bpe import CACHE_ENTRIES, Bpe, Irregular, chunks, load, whole_chunk
+from logloom.llm.bpe import Bpe, Cache, Irregular, chunks, load, whole_chunk
 from logloom.llm.shared import bound_batches, once, write_shared
 
 #: Bound on pre-tokens that are broadcast.
-HEAD_ENTRIES = 1 << 18
+HEAD_ENTRIES = 1 << 17
 
-#: Distinct pre-tokens that one task holds before it hands them on.
-TASK_ENTRIES = 500_000
+#: Distinct chunks that one task holds before it hands them on, and their characters.
+TASK_ENTRIES, TASK_CHARS = 300_000, 16 << 20
 
 
-class PreTokens(dict):
+class PreTokens(Cache):
     """chunk -> its pre-tokens."""
 
-    def __init__(self, bpe: Bpe):
-        super().__init__()
-        self.bpe = bpe
+    def make(self, key: str) -> tuple[str, ...]:
+        return tuple(self.bpe.pre_tokens(whole_chunk(key)))
 
-    def __missing__(self, key: str) -> tuple[str, ...]:
-        out = tuple(self.bpe.pre_tokens(whole_chunk(key)))
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        self[key] = out
-        return out
 
-
-class HeadTail(dict):
+class HeadTail(Cache):
     """chunk -> pieces of its pre-tokens in the head, and its other pre-tokens."""
 
     def __init__(self, bpe: Bpe, pieces: dict[str, int]):
-        super().__init__()
-        self.bpe, self.pieces = bpe, pieces
+        super().__init__(bpe)
+        self.pieces = pieces
 
     def split(self, pre_tokens: list[str]) -> tuple[int, tuple[str, ...]]:
         get = self.pieces.get
         return sum(get(p, 0) for p in pre_tokens), tuple(p for p in pre_tokens if p not in self.pieces)
 
-    def __missing__(self, key: str) -> tuple[int, tuple[str, ...]]:
-        out = self.split(self.bpe.pre_tokens(whole_chunk(key)))
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        self[key] = out
-        return out
+    def make(self, key: str) -> tuple[int, tuple[str, ...]]:
+        return self.split(self.bpe.pre_tokens(whole_chunk(key)))
 
     def count(self, text: str) -> tuple[int, Counter]:
         """Pieces of a text's pre-tokens in the head, and the frequencies of the others."""
@@ -87,15 +76,22 @@ class HeadTail(dict):
 def _vocabulary(spec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pre = load(spec, PreTokens)
-        seen: Counter = Counter()
-        alone: Counter = Counter()
-
-        def out():
-            total = Counter(alone)
-            for key, n in seen.items():
-                for p in pre[key]:
-                    total[p] += n
-            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["pre_token", "n"])
+        seen: Counter = Counter()  # of chunks
+        alone: Counter = Counter()  # of pre-tokens
+        held = 0
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            """What was seen, in parts; a pre-token of several chunks comes several times."""
+            token, count = [], []
+            for key, n in chain(((pre[k], n) for k, n in seen.items()), (((p,), n) for p, n in alone.items())):
+                token += key
+                count += [n] * len(key)
+                if len(token) >= 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(token, pa.string()), pa.array(count, pa.int64())], ["pre_token", "n"])
+                    token, count = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(token, pa.string()), pa.array(count, pa.int64())], ["pre_token", "n"])
+            seen.clear()
+            alone.clear()
 
         for b in batches:
             for text in b.column(0).to_pylist():
@@ -106,21 +102,23 @@ def _vocabulary(spec):
                     if any(c.isspace() for c in first):
                         raise Irregular
                     distinct = Counter(rest)
-                    for key in distinct:
-                        if key not in seen:
-                            whole_chunk(key)
+                    fresh = [key for key in distinct if key not in seen]
+                    for key in fresh:
+                        whole_chunk(key)
                     for key, n in distinct.items():
                         seen[key] += n
+                    held += sum(map(len, fresh))
                     head = first
                 except Irregular:
                     head = text
-                alone.update(pre.bpe.pre_tokens(head))
-            if len(seen) + len(alone) >= TASK_ENTRIES:
-                yield out()
-                seen.clear()
-                alone.clear()
-        if seen or alone:
-            yield out()
+                own = pre.bpe.pre_tokens(head)
+                held += sum(map(len, own))
+                alone.update(own)
+                if len(seen) + len(alone) >= TASK_ENTRIES or held >= TASK_CHARS:
+                    yield from rows()
+                    held = 0
+        yield from rows()
+        pre.empty()
 
     return run
 
