@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.llm.shared import bound_batches, once
+from logloom.llm.shared import bound_batches, checked, once, thinned, write_shared
 
-#: Bounds of the labelled sample: documents of a language, and bytes at which no further document is taken.
+#: Bounds of the labelled sample: documents of a language, and bytes of them in all.
 SAMPLE_DOCUMENTS = 400
-SAMPLE_BYTES = 48_000
+SAMPLE_BYTES = 64_000
 SEGMENT = 1024
 
 NO_LANGUAGE = "und"
@@ -132,14 +132,22 @@ class Parser:
 
 
 def sample_texts(labelled: DataFrame, max_documents: int = SAMPLE_DOCUMENTS, max_bytes: int = SAMPLE_BYTES) -> dict[str, bytes]:
-    """Normalised training text of each language: whole documents in an order of their hash, within the bounds."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.select("lang", "doc_id").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= max_documents)
-    texts = labelled.join(F.broadcast(chosen), ["lang", "doc_id"]).select("lang", "nth", "text").orderBy("lang", "nth")
+    """Normalised training text of each language: whole documents in an order of their hash, within the bounds.
+
+    A document that doesn't fit into what is left is passed over; where none
+    fits, the shortest is taken whole.
+    """
+    order = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), "doc_id", "size")
+    rows = labelled.select("lang", "doc_id", F.octet_length("text").alias("size"), "text")
+    chosen = thinned(rows.drop("text"), "lang", "doc_id", max_documents).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= max_documents)
+    chosen = checked(write_shared(chosen.groupBy("lang", "doc_id", "size").agg(F.min("nth").alias("nth"))))
+    later = F.when(F.col("size") > max_bytes, F.col("size")).otherwise(0)
+    texts = rows.join(chosen, ["lang", "doc_id", "size"]).select("lang", "nth", "text", later.alias("later")).orderBy("lang", "later", "nth", "text")
     out: dict[str, bytes] = {}
     for r in texts.toLocalIterator():
-        if len(out.setdefault(r["lang"], b"")) < max_bytes:
-            out[r["lang"]] += normalise(r["text"])[: 4 * max_bytes]
+        own, text = out.get(r["lang"], b""), normalise(r["text"])
+        if not own or len(own) + len(text) <= max_bytes:
+            out[r["lang"]] = own + text
     return {k: v for k, v in out.items() if v}
 
 
@@ -174,13 +182,18 @@ def identify(documents: DataFrame, samples: dict[str, bytes]) -> DataFrame:
 
 
 def only_identified(documents: DataFrame, samples: dict[str, bytes]) -> DataFrame:
-    """The rows of documents in a learned language, with all their columns."""
+    """The rows of documents in a learned language, with all their columns; texts without a letter, and nulls, go.
+
+    Where no language was learned there is nothing to judge by, and texts with
+    a letter stay.  Rows that repeat stay or go alike; an empty table stays empty.
+    """
     bound_batches(documents.sparkSession)
-    predict, at = _predicting(documents, samples), documents.columns.index("text")
+    predict, at, learned = _predicting(documents, samples), documents.columns.index("text"), bool(samples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lang, _ = predict(b.column(at).to_pylist())
-            yield b.filter(pa.array([x != NO_LANGUAGE for x in lang], pa.bool_()))
+            texts = b.column(at).to_pylist()
+            keep = [x != NO_LANGUAGE for x in predict(texts)[0]] if learned else [bool(normalise(t)) for t in texts]
+            yield b.filter(pa.array(keep, pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)

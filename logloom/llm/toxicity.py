@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.llm.language_id import Parser, normalise
-from logloom.llm.shared import bound_batches, once, received, send
+from logloom.llm.shared import bound_batches, checked, once, received, send, thinned, write_shared
 
 BUCKETS = 1 << 17
 DIM = 12
@@ -32,7 +32,7 @@ WIDTHS = (1, 2, 3)
 STEMS = (3, 4, 5, 6, 7, 8)
 EPOCHS = 5
 BATCH = 48
-WORD_CACHE = 400_000
+WORD_CACHE = 100_000
 
 #: Bounds of the labelled sample that training sees: rows of either label, and bytes of text in all.
 SAMPLE_ROWS = {1: 3000, 0: 6000}
@@ -248,18 +248,24 @@ def train(texts: list[str], labels: list[int], held: list[bool], languages: dict
 
 
 def sample(documents: DataFrame, labels: DataFrame, calibration: str, rows: dict[int, int] | None = None, max_bytes: int = SAMPLE_BYTES) -> tuple[list[str], list[int], list[bool]]:
-    """Texts, labels and whether a row is kept for calibration, of at most rows[label] documents in hash order."""
+    """Texts, labels and whether a row is kept for calibration, of at most rows[label] documents in hash order.
+
+    A text that doesn't fit into what is left of max_bytes is passed over.
+    """
     rows = rows or SAMPLE_ROWS
     marked = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    nth = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    nth = F.row_number().over(Window.partitionBy("toxic").orderBy(order, "doc_id"))
     bound = F.when(F.col("toxic") == 1, rows[1]).otherwise(rows[0])
-    chosen = marked.withColumn("nth", nth).filter(F.col("nth") <= bound).select("doc_id", "toxic", F.expr(calibration).alias("held"))
-    found = documents.filter("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id")
-    texts, y, held, size = [], [], [], 0
+    chosen = thinned(marked, "toxic", "doc_id", max(rows.values())).withColumn("nth", nth).filter(F.col("nth") <= bound)
+    chosen = checked(write_shared(chosen.select("doc_id", "toxic", F.expr(calibration).alias("held"))))
+    found = documents.filter("text is not null").select("doc_id", "text").join(chosen, "doc_id").orderBy(order, "doc_id", "text")
+    texts, y, held, left = [], [], [], max_bytes
     for r in found.select("text", "toxic", "held").toLocalIterator():
-        size += len(r["text"])
-        if size > max_bytes:
-            break
+        size = len(r["text"].encode())
+        if size > left:
+            continue
+        left -= size
         texts.append(r["text"])
         y.append(int(r["toxic"]))
         held.append(bool(r["held"]))
