@@ -23,6 +23,28 @@ _BSD_HEAD = "Redistribution and use in source and binary forms, with or without
 _BSD_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n"
 _BSD_TAIL = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 
+_ZLIB = (
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\n"
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n\n"
+    "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n\n"
+    "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n\n"
+    "3. This notice may not be removed or altered from any source distribution."
+)
+_UNLICENSE = (
+    "This is free and unencumbered software released into the public domain.\n\n"
+    "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n\n"
+    "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.\n\n"
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_BOOST = (
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:\n\n"
+    "The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.\n\n"
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+
+#: Most known texts: their digests stand in the plan as a constant.
+MOST_KNOWN = 2000
+
 #: Known licence texts and notices: (licence id, text).  Fixed values; the table is a bounded constant and may be broadcast.
 KNOWN: list[tuple[str, str]] = [
     ("MIT", f"MIT License\n\n{_MIT_BODY}"),
@@ -45,6 +67,13 @@ KNOWN: list[tuple[str, str]] = [
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "Released under CC0 1.0."),
+    ("Zlib", f"zlib License\n\n{_ZLIB}"),
+    ("Zlib", _ZLIB),
+    ("Unlicense", _UNLICENSE),
+    ("Unlicense", f"{_UNLICENSE}\n\nFor more information, please refer to <https://unlicense.org>"),
+    ("Unlicense", f"{_UNLICENSE}\n\nFor more information, please refer to <http://unlicense.org/>"),
+    ("BSL-1.0", f"Boost Software License - Version 1.0 - August 17th, 2003\n\n{_BOOST}"),
+    ("BSL-1.0", _BOOST),
 ]
 
 #: Rewrites in order, for regular expressions that Java and RE2 read alike (fixed values).
@@ -63,6 +92,7 @@ REWRITES: list[tuple[str, str]] = [
 NOTICES: list[tuple[str, str]] = [
     (r"(^|\n)[ \t]*(?:copyright[ \t:,]*(?:\(c\)|©|[0-9]{4}|[\[<{])|\(c\)[ \t]*(?:copyright[ \t]*)?[0-9]{4}|©)[^\n]*", "\\1"),
     (r"(^[ \t\r\n]*|\n[ \t\r]*\n)(?:[ \t]*copyright[^\n]*(?:\n|\z))+(?=[ \t\r]*(?:\n|\z))", "\\1"),
+    (r"(^|\n)[ \t]*all rights reserved[. \t]*(?=\n|$)", "\\1"),
 ]
 
 #: Digests of the canonical forms of long licences, and of those that end in "END OF TERMS AND CONDITIONS" up to there.
@@ -116,8 +146,12 @@ def scan(documents: DataFrame, known: list[tuple[str, str]] | None = None) -> Da
     license_id is that of the known text which the whole text equals, else
     null; n_notices counts lines that equal a known text and notice_ids lists
     their licences once each, sorted, joined by commas.  A null text counts as
-    empty; repeated rows each give a row; other columns are ignored.
+    empty; repeated rows each give a row; other columns are ignored; an empty
+    table gives no rows.  Texts of any length are normalised and digested
+    whole, inside their row.  ``known`` holds MOST_KNOWN texts at most.
     """
+    if len(known or KNOWN) > MOST_KNOWN:
+        raise ValueError(f"more than {MOST_KNOWN} known texts")
     spark = documents.sparkSession
     table = digests(spark, known)
     if known is None:

@@ -1,8 +1,8 @@
 """Secret scan: candidate strings, judged by a random forest.
 
 Only DataFrame functions are used.  A regular expression marks candidates:
-values assigned to names such as token or password, and runs of 16 or more
-key characters with a digit.  Length, character transitions, dictionary
+values assigned to names such as token or password, private key blocks, tokens
+of three parts with dots, and runs of 16 or more key characters with a digit.  Length, character transitions, dictionary
 coverage, path signs and the neighbouring words of a candidate go to a random
 forest trained on labelled findings, which tells secrets from checksums,
 identifiers, numbers and paths.
@@ -22,15 +22,19 @@ from logloom.llm.shared import BROADCAST_ROWS, write_shared
 SECRET_NAMES = ["token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "api-key", "access_key", "private_key", "auth"]
 BENIGN_NAMES = ["commit", "sha1", "sha256", "md5", "checksum", "digest", "uuid", "guid", "revision", "version", "hash", "etag", "session", "phone", "call", "card", "isbn", "order", "ticket", "build"]
 DICTIONARY = ["test", "example", "sample", "user", "name", "file", "path", "index", "value", "data", "your", "here", "key", "token", "password", "change", "config", "python", "packages", "release", "notes", "version", "public", "default", "placeholder", "dummy", "http", "html", "image", "page", "the", "and", "for", "with", "tion", "ing"]
-KNOWN_PREFIXES = ["AKIA", "ASIA", "ghp_", "gho_", "sk-", "xoxb-", "xoxp-", "AIza", "glpat-", "eyJ"]
+KNOWN_PREFIXES = ["AKIA", "ASIA", "ghp_", "gho_", "sk-", "xoxb-", "xoxp-", "AIza", "glpat-", "eyJ", "-----BEGIN"]
 
 _NAMES = "|".join(SECRET_NAMES)
 _RUN = r"[A-Za-z0-9_+/=\-]"
 _NAMED = rf"(?i:{_NAMES})[\"']?[ \t]{{0,2}}[:=][ \t]{{0,2}}[\"']?"
 _VALUE = r"[^\s\"'\x01\x02]"
+#: A private key with its header and footer, and a token of three parts with dots.
+_KEY_BLOCK = r"-----BEGIN[A-Z ]{0,20} PRIVATE KEY-----[^-]*+(?:-(?!----)[^-]*+){0,40}+-----END[A-Z ]{0,20} PRIVATE KEY-----"
+_DOTTED = rf"(?<!{_RUN})eyJ[A-Za-z0-9_\-]{{8,}}+\.[A-Za-z0-9_\-]{{8,}}+\.[A-Za-z0-9_\-]{{8,}}+"
 #: A listed name may end a longer one (DB_PASSWORD, client_secret). A run doesn't begin before such a name, and leaves out "NAME=" before a value.
 CANDIDATE = (
-    rf"({_NAMED})({_VALUE}{{8,}}+)"
+    rf"({_NAMED})(?!-----BEGIN)({_VALUE}{{8,}}+)"
+    rf"|({_KEY_BLOCK}|{_DOTTED})"
     rf"|(?<!{_RUN})(?=[A-Za-z_+/=\-]*+[0-9])(?={_RUN}{{16}})(?![A-Za-z0-9_+/\-]*{_NAMED}{_VALUE}{{8}})([A-Za-z0-9_\-]++=(?={_RUN}{{8}}))?({_RUN}++)"
 )
 
@@ -46,7 +50,7 @@ def candidates(documents: DataFrame, *keys: str) -> DataFrame:
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *keys, F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("row", F.monotonically_increasing_id())
-    marked = F.regexp_replace(F.translate("text", "\x01\x02", "  "), CANDIDATE, "$1$3\x01$2$4\x02")
+    marked = F.regexp_replace(F.translate("text", "\x01\x02", "  "), CANDIDATE, "$1$4\x01$2$3$5\x02")
     parts = docs.select("doc_id", *keys, "row", F.split(marked, "\x01").alias("parts")).filter(F.size("parts") > 1)
 
     def brief(p: Column) -> Column:
@@ -132,6 +136,8 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     sign = F.when(pick < 0.5, " = ").otherwise(": ")
     uuid = F.regexp_replace(F.substring(rand(10), 1, 32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
     digits = F.substring(F.translate(rand(11), "abcdef", "123456"), 1, 16)
+    dotted = F.concat(F.lit("eyJ"), F.substring(mixed, 1, 20), F.lit(".eyJ"), F.substring(mixed, 5, 30), F.lit("."), mixed)
+    block = F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), b64, F.lit("\n"), F.base64(F.unhex(rand(17))), F.lit("\n-----END RSA PRIVATE KEY-----"))
     kinds: list[tuple[Column, Column, Column, int]] = [
         (F.when(pick < 0.5, hexes).otherwise(b64), F.concat(filler, name, sign, F.lit('"')), F.lit('" more'), 1),
         (F.when(pick < 0.5, hexes).otherwise(mixed), F.concat(filler, name, sign), F.lit(" more"), 1),
@@ -139,6 +145,7 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         (F.concat(F.when(pick < 0.3, "ghp_").when(pick < 0.6, "sk-").otherwise("xoxb-"), mixed), filler, F.lit(". more"), 1),
         (F.when(pick < 0.6, mixed).otherwise(b64), F.concat(filler, F.lit('"')), F.lit('"'), 1),
         (F.when(pick < 0.5, short).otherwise(phrase), F.concat(filler, compound, F.when(pick < 0.25, ' = "').when(pick < 0.6, ": ").when(pick < 0.8, '": "').otherwise("=")), F.when(pick < 0.25, '" more').when(pick < 0.6, " more").when(pick < 0.8, '", ').otherwise(" more"), 1),
+        (F.when(pick < 0.7, dotted).otherwise(block), F.concat(filler, F.when(pick < 0.3, "Bearer ").otherwise("")), F.lit(" more"), 1),
         (F.when(pick < 0.5, F.concat(F.lit("ghp_"), mixed)).otherwise(b64), F.concat(filler, compound, F.lit("=")), F.lit(" more"), 1),
         (hexes, F.concat(filler, benign, F.lit(" ")), F.lit(" more"), 0),
         (F.substring(rand(12), 1, 64), F.concat(filler, benign, F.lit(": ")), F.lit(" more"), 0),
@@ -177,7 +184,8 @@ def scan(documents: DataFrame, model: RandomForestClassificationModel, threshold
     """One row for each candidate: doc_id, row, start, length, candidate, score, is_secret.
 
     Null and empty texts have none; repeated rows are told apart by ``row``;
-    other columns are ignored.  Texts of any length are searched whole.
+    other columns are ignored; an empty table gives no rows.  Texts of any
+    length are searched whole, inside their row.
     """
     columns = ["doc_id", "row", F.col("start").cast("long").alias("start"), F.length("candidate").alias("length"), "candidate", "score"]
     return judged(candidates(documents), model).select(*columns, (F.col("score") >= threshold).alias("is_secret"))
@@ -186,6 +194,9 @@ def scan(documents: DataFrame, model: RandomForestClassificationModel, threshold
 def redact(documents: DataFrame, model: RandomForestClassificationModel, mask: str = "[SECRET]", threshold: float = 0.5) -> DataFrame:
     """documents with every secret in text replaced by the mask; all rows and other columns stay.
 
+    Candidates don't overlap.  Null and empty texts stay as they are; rows that
+    repeat are masked alike; an empty table stays empty.
+
     Rows are matched by their texts' digests.  A list of secrets that was
     counted and is small is broadcast; a larger one meets the texts in a
     shuffle join.
