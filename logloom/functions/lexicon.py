@@ -93,6 +93,8 @@ REPORT_THEMES = [
 ]
 REPORT_OTHER = "其它对齐"
 JUNK_CLUSTER = r"(?i)^\s*#|OVERRIDE|ssh-ed25519|authorized_keys|Continue from where"
+WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
+TOP_FAMILY = "opus"
 FILLER_OPENER = "^(可以的|好的|继续|然后|对了|嗯|是的)"
 
 # libraries that prompts mention, and spellings that count as another (fixed values)

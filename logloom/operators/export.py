@@ -15,7 +15,7 @@ CJK_LEAST, ENGLISH_LEAST, MOST_TERMS, MOST_TOPICS, MOST_FACTS, PER_GROUP = 10, 3
 
 def proper_nouns(prompts: DataFrame) -> DataFrame:
     """(term, weight) of English proper nouns in prompts(prompt, n), each occurrence weighted by n."""
-    found = F.regexp_extract_all("prompt", F.lit(lx.PROPER_NOUN), F.lit(1))
+    found = F.regexp_extract_all("prompt", F.lit("(?U)" + lx.PROPER_NOUN), F.lit(1))
     terms = prompts.select("n", F.explode(found).alias("term")).filter(~F.col("term").isin(lx.ENGLISH_COMMON) & F.length("term").between(2, 30))
     return terms.groupBy("term").agg(F.sum("n").alias("weight"))
 
@@ -74,7 +74,7 @@ def stack(installs: DataFrame, mentions: DataFrame) -> DataFrame:
     known = [(t, g, i, d) for i, (g, own) in enumerate(lx.STACK.items()) for t, d in own]
     table = F.broadcast(spark.createDataFrame(known, "name string, grp string, grp_order int, display string"))
     ranked = merged_counts(installs, mentions).filter("installs >= 1 or mentions >= 2").join(table, "name").withColumn("score", F.col("installs") * 3 + F.col("mentions"))
-    first = ranked.groupBy("display", "grp", "grp_order").agg(F.max("score").alias("score"), F.max_by("name", "score").alias("name"))
+    first = ranked.groupBy("display", "grp", "grp_order").agg(F.max("score").alias("score"), F.min_by("name", F.struct(-F.col("score"), "name")).alias("name"))
     nth = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("score"), "name"))
     best = first.withColumn("nth", nth).filter(F.col("nth") <= PER_GROUP)
     return best.groupBy("grp", "grp_order").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "display"))), lambda x: x["display"]).alias("displays")).orderBy("grp_order")

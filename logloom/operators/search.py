@@ -53,10 +53,32 @@ def pack(hits: DataFrame, budget: int, order: list[str], text: str = "text", wid
     return cost.withColumn("used", running).filter(F.col("used") <= budget)
 
 
-def session_search(message: DataFrame, session: DataFrame, query: str, limit: int = 20) -> DataFrame:
-    """Hits over messages with their session's source and project."""
-    rows = message.withColumn("id", F.struct("session_id", "seq"))
-    found = search(rows, query, limit, recent="ts")
-    order = ["rank"] if "rank" in found.columns else [F.desc("ts")]
-    joined = found.join(session.select(F.col("id").alias("session_id"), "source", "project"), "session_id")
-    return joined.orderBy(*order, "id").select(F.col("session_id").alias("session"), "source", "project", "ts", "text")
+def session_hits(message: DataFrame, session: DataFrame, query: str, kinds: tuple[str, ...] = ("real", "meta")) -> tuple[DataFrame, list[Column | str]]:
+    """Messages that hold query, of sessions of these kinds, with session, source and project; and the order of hits.
+
+    White space around the query doesn't count.  Ranks come from the statistics
+    of all messages, as an index over them would give them; hits of queries
+    under three characters have none, and the latest come first.
+    """
+    query = query.strip()
+    own = session.filter(F.col("kind").isin(*kinds)).select(F.col("id").alias("session_id"), "source", "project")
+    rows = message.filter("text is not null").withColumn("id", F.struct("session_id", "seq"))
+    if len(query) < 3:
+        found, order = rows.filter(short_match(F.col("text"), query)), [F.desc("ts"), "id"]
+    else:
+        found, order = bm25(rows, query), ["rank", "id"]
+    return found.join(own, "session_id").withColumn("session", F.col("session_id")), order
+
+
+def session_search(message: DataFrame, session: DataFrame, query: str, limit: int = 20, kinds: tuple[str, ...] = ("real", "meta")) -> DataFrame:
+    """The best hits: session, source, project, ts, text."""
+    found, order = session_hits(message, session, query, kinds)
+    return found.orderBy(*order).limit(limit).select("session", "source", "project", "ts", "text")
+
+
+def session_pack(message: DataFrame, session: DataFrame, query: str, budget: int, limit: int = 200) -> tuple[DataFrame, int]:
+    """Excerpts of the best hits within the budget, in their order (session, source, project, ts, excerpt, used), and the number of hits."""
+    found, order = session_hits(message, session, query)
+    hits = found.orderBy(*order).limit(limit)
+    packed = pack(hits, budget, order).orderBy("used", *order)
+    return packed.select("session", "source", "project", "ts", "excerpt", "used"), hits.count()

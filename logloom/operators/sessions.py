@@ -55,7 +55,7 @@ def session_kind(n_user: Column, has_task: Column, delegated: Column) -> Column:
 
 
 def build(records: DataFrame, source: str, prefix: str, home: str | None = None) -> Tables:
-    """The three tables of one source; sessions without any turn are dropped."""
+    """The three tables of one source, each row with its file_path; sessions without any turn are dropped."""
     rows = sequenced(records)
 
     def last_of(c: str) -> Column:
@@ -118,6 +118,7 @@ def build(records: DataFrame, source: str, prefix: str, home: str | None = None)
             is_task.alias("is_task"),
             tx.is_friction(F.col("prompt"), F.col("after_assistant")).alias("is_friction"),
             F.when(is_task, tx.signature(said)).alias("sig"),
+            "file_path",
         )
     )
     packages = tx.install_pkgs(F.col("call.command"))
@@ -130,6 +131,7 @@ def build(records: DataFrame, source: str, prefix: str, home: str | None = None)
         extension.alias("file_ext"),
         tx.redact(F.col("call.workdir"), home).alias("workdir"),
         F.when(F.size(packages) > 0, packages).alias("pkgs"),
+        "file_path",
     )
     return Tables(session, message, tool_call)
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from logloom.functions import text as tx
 
 TFIDF_THRESHOLD, VECTOR_THRESHOLD, LIMIT = 0.28, 0.82, 500
+#: Most vectors whose pairs are all compared.
+BOUNDED = 5000
 
 
 def tfidf(texts: DataFrame, id: str = "id", text: str = "text", tokens: Column | None = None) -> DataFrame:
@@ -33,7 +35,9 @@ def sparse_pairs(weights: DataFrame, threshold: float) -> DataFrame:
 
 
 def dense_pairs(vectors: DataFrame, threshold: float, id: str = "id", vec: str = "vec") -> DataFrame:
-    """(a, b, sim) by cosine for a bounded set of vectors, whose other side is broadcast."""
+    """(a, b, sim) by cosine for at most BOUNDED vectors, whose other side is broadcast; more are an error."""
+    if vectors.limit(BOUNDED + 1).count() > BOUNDED:
+        raise ValueError(f"more than {BOUNDED} vectors: all pairs are for a bounded set")
     v = F.col(vec).cast("array<double>")
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
     unit = vectors.select(F.col(id).alias("id"), F.transform(v, lambda x: x / F.when(norm == 0, 1.0).otherwise(norm)).alias("u"))
@@ -91,14 +95,21 @@ def cluster_texts(texts: DataFrame, threshold: float = TFIDF_THRESHOLD, limit: i
 
 
 def summary(texts: DataFrame, clusters: DataFrame, top_terms: int = 6, samples: int = 3) -> DataFrame:
-    """One row for each cluster of two or more: size, representative, top_terms by document frequency, members."""
+    """One row for each cluster of two or more: size, representative, top_terms by document frequency, members.
+
+    Where texts have a source, also sources, the members of each.
+    """
     joined = texts.join(clusters, "id")
     terms = joined.select("leader", F.explode(F.array_distinct(tx.words(F.col("text")))).alias("term")).groupBy("leader", "term").agg(F.count("*").alias("df"))
     nth = F.row_number().over(Window.partitionBy("leader").orderBy(F.desc("df"), "term"))
     best = terms.withColumn("nth", nth).filter(F.col("nth") <= top_terms).groupBy("leader").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "term"))), lambda x: x["term"]).alias("top_terms"))
     sizes = joined.groupBy("leader").agg(F.count("*").alias("size"), F.slice(F.array_sort(F.collect_list("id")), 1, samples).alias("members")).filter("size >= 2")
     lead = texts.select(F.col("id").alias("leader"), F.substring("text", 1, 140).alias("representative"))
-    return sizes.join(lead, "leader").join(best, "leader", "left").orderBy(F.desc("size"), "leader")
+    found = sizes.join(lead, "leader").join(best, "leader", "left")
+    if "source" in texts.columns:
+        own = joined.groupBy("leader", "source").agg(F.count("*").alias("n"))
+        found = found.join(own.groupBy("leader").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "n")))).alias("sources")), "leader")
+    return found.orderBy(F.desc("size"), "leader")
 
 
 def singletons(texts: DataFrame, clusters: DataFrame, samples: int = 12) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.functions import lexicon as lx
@@ -272,7 +272,11 @@ def page_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.project_terms(table(spark, sf_dir, "pages").select(F.col("url").alias("cwd"), F.lit(1).alias("sessions")))
 
 
-@query()
+@query(
+    # RE2's word boundary knows ASCII only: other letters become another word character
+    f"""SELECT term, CAST(sum(n) AS BIGINT) AS weight FROM (SELECT 1 AS n, unnest(regexp_extract_all(regexp_replace(text, '[ªµºÀ-ÖØ-öø-῿Ⰰ-퟿]', '_', 'g'), {lit(lx.PROPER_NOUN)}, 1)) AS term FROM documents)
+WHERE length(term) BETWEEN 2 AND 30 AND term NOT IN ({", ".join(lit(w) for w in lx.ENGLISH_COMMON)}) GROUP BY 1"""
+)
 def proper_nouns(spark: SparkSession, sf_dir: str) -> DataFrame:
     prompts = table(spark, sf_dir, "documents").select(F.col("text").alias("prompt"), F.lit(1).alias("n"))
     return export.proper_nouns(prompts)
@@ -313,21 +317,30 @@ def packed_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.pack(hits, 4000, ["doc_id"]).select("doc_id", F.col("used").cast("long").alias("used"))
 
 
-def _prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _all_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").filter("role = 'user' and text is not null")
-    return rows.select((F.col("conv_id") * 100000 + F.col("turn")).alias("id"), "text").orderBy("id").limit(500)
+    return rows.select((F.col("conv_id") * 100000 + F.col("turn")).alias("id"), "text")
+
+
+def _prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidate set of clustering, which the operator bounds; pairs and clusters are of it."""
+    return _all_prompts(spark, sf_dir).orderBy("id").limit(similarity.LIMIT)
 
 
-TFIDF = f"""
-t AS MATERIALIZED (SELECT conv_id * 100000 + turn AS id, text FROM conversations WHERE role = 'user' AND text IS NOT NULL ORDER BY id LIMIT 500),
+def sql_tfidf(limit: str = "ORDER BY id LIMIT 500") -> str:
+    return f"""
+t AS MATERIALIZED (SELECT conv_id * 100000 + turn AS id, text FROM conversations WHERE role = 'user' AND text IS NOT NULL {limit}),
 tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({sql_words("text")}) AS term FROM t) GROUP BY id, term),
 raw AS (SELECT id, term, tf * (ln(((SELECT count(*) FROM t) + 1) / (df + 1)) + 1) AS w FROM tf JOIN (SELECT term, count(*) AS df FROM tf GROUP BY term) USING (term)),
 w AS MATERIALIZED (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM raw)"""
 
 
-@query(f"WITH {TFIDF} SELECT id, term, round(w, 9) AS w FROM w")
+TFIDF = sql_tfidf()
+
+
+@query(f"WITH {sql_tfidf('')} SELECT id, term, round(w, 9) AS w FROM w")
 def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.tfidf(_prompts(spark, sf_dir)).withColumn("w", F.round("w", 9))
+    return similarity.tfidf(_all_prompts(spark, sf_dir)).withColumn("w", F.round("w", 9))
 
 
 @query(f"WITH {TFIDF} SELECT x.id AS a, y.id AS b, round(sum(x.w * y.w), 6) AS sim FROM w x JOIN w y ON x.term = y.term AND x.id < y.id GROUP BY x.id, y.id HAVING round(sum(x.w * y.w), 9) >= 0.28")
@@ -343,23 +356,24 @@ run(i, leaders, who) AS (
   UNION ALL
   SELECT n, CASE WHEN best IS NULL THEN list_append(leaders, n) ELSE leaders END, coalesce(best, n)
   FROM (SELECT r.i + 1 AS n, r.leaders, list_reverse_sort(list_filter(nb.near, lambda x: list_contains(r.leaders, x.j)))[1].j AS best
-        FROM run r LEFT JOIN nb ON nb.i = r.i + 1 WHERE r.i < (SELECT count(*) FROM e)))
-SELECT a.id AS id, b.id AS leader FROM run JOIN e a ON a.i = run.i JOIN e b ON b.i = run.who WHERE run.i > 0"""
+        FROM run r LEFT JOIN nb ON nb.i = r.i + 1 WHERE r.i < (SELECT count(*) FROM e))),
+cl AS MATERIALIZED (SELECT a.id AS id, b.id AS leader FROM run JOIN e a ON a.i = run.i JOIN e b ON b.i = run.who WHERE run.i > 0)"""
 
 
-@query(
-    f"""WITH RECURSIVE {TFIDF},
+TEXT_CLUSTERS = f"""WITH RECURSIVE {TFIDF},
 e AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY length(text) DESC, id) AS i FROM t),
 p AS MATERIALIZED (SELECT greatest(a.i, b.i) AS i, least(a.i, b.i) AS j, round(sum(x.w * y.w), 9) AS s FROM w x JOIN w y ON x.term = y.term AND x.id < y.id JOIN e a ON a.id = x.id JOIN e b ON b.id = y.id
   GROUP BY ALL HAVING round(sum(x.w * y.w), 9) >= 0.28),{SEQUENTIAL}"""
-)
+
+
+@query(f"{TEXT_CLUSTERS} SELECT id, leader FROM cl")
 def text_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.cluster_texts(_prompts(spark, sf_dir))
 
 
 @query(
     f"""WITH RECURSIVE e AS MATERIALIZED (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) AS i, CAST(embedding AS DOUBLE[]) AS v FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT 500)),
-p AS MATERIALIZED (SELECT a.i AS i, b.i AS j, round(list_cosine_similarity(a.v, b.v), 9) AS s FROM e a JOIN e b ON b.i < a.i WHERE round(list_cosine_similarity(a.v, b.v), 9) >= 0.3),{SEQUENTIAL}"""
+p AS MATERIALIZED (SELECT a.i AS i, b.i AS j, round(list_cosine_similarity(a.v, b.v), 9) AS s FROM e a JOIN e b ON b.i < a.i WHERE round(list_cosine_similarity(a.v, b.v), 9) >= 0.3),{SEQUENTIAL} SELECT id, leader FROM cl"""
 )
 def vector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 500 vectors: the operator's bound on its candidates."""
@@ -367,10 +381,17 @@ def vector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.leaders(v.withColumn("rank", F.col("id")), similarity.dense_pairs(v, 0.3))
 
 
-@query()
+@query(
+    f"""{TEXT_CLUSTERS},
+g AS (SELECT leader, count(*) AS size, array_to_string(list(id ORDER BY id)[1:3], ',') AS members FROM cl GROUP BY 1 HAVING count(*) >= 2),
+f AS (SELECT leader, term, count(*) AS df FROM (SELECT DISTINCT id, unnest({sql_words("text")}) AS term FROM t) JOIN cl USING (id) GROUP BY 1, 2),
+b AS (SELECT leader, string_agg(term, ',' ORDER BY df DESC, term) AS top_terms FROM (SELECT *, row_number() OVER (PARTITION BY leader ORDER BY df DESC, term) AS nth FROM f) WHERE nth <= 6 GROUP BY 1)
+SELECT g.leader, size, members, left(t.text, 140) AS representative, top_terms FROM g JOIN t ON t.id = g.leader LEFT JOIN b ON b.leader = g.leader"""
+)
 def cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _prompts(spark, sf_dir)
-    return similarity.summary(texts, similarity.cluster_texts(texts))
+    found = similarity.summary(texts, similarity.cluster_texts(texts))
+    return found.select("leader", "size", F.array_join("members", ",").alias("members"), "representative", F.array_join("top_terms", ",").alias("top_terms"))
 
 
 @query(
@@ -429,7 +450,14 @@ def child_parent_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.top_counts(o.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")), "c_mktsegment")
 
 
-@query()
+@query(
+    """WITH s AS (SELECT term, count(*) AS weight FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{2,4}')) AS term FROM documents) GROUP BY 1 HAVING count(*) >= 10),
+k4 AS (SELECT * FROM s WHERE length(term) >= 4),
+p3 AS (SELECT part, max(weight) AS o FROM (SELECT unnest([substr(term, 1, 3), substr(term, 2, 3)]) AS part, weight FROM k4) GROUP BY 1),
+k3 AS (SELECT * FROM k4 UNION ALL SELECT s.* FROM s LEFT JOIN p3 ON part = term WHERE length(term) = 3 AND (o IS NULL OR weight > o * 1.5)),
+p2 AS (SELECT part, max(weight) AS o FROM (SELECT unnest(list_transform(range(1, length(term)), lambda i: substr(term, i, 2))) AS part, weight FROM k3) GROUP BY 1)
+SELECT * FROM k3 UNION ALL SELECT s.* FROM s LEFT JOIN p2 ON part = term WHERE length(term) = 2 AND (o IS NULL OR weight > o * 1.5)"""
+)
 def gram_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Longest-match reduction of the most common letter grams of documents."""
     docs = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,4}"), F.lit(0))).alias("term"))
@@ -511,3 +539,198 @@ def first_seen_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("quote"), "ts", "event_id")
     first = digest.first_of_each(e, "quote", "ts", "event_id")
     return first.select("quote", F.row_number().over(Window.orderBy("ts", "event_id")).alias("nth"))
+
+
+def sql_first(x: str, rules: list[tuple[str, str]], other: str, flags: str = "(?i)") -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({x}, {lit(flags + p)}) THEN {lit(name)}" for name, p in rules) + f" ELSE {lit(other)} END"
+
+
+def sql_pick(values: list[str], index: str) -> str:
+    return f"([{', '.join(lit(v) for v in values)}])[{index} % {len(values)} + 1]"
+
+
+def pick(values: list[str], index: str) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), F.expr(f"cast({index} % {len(values)} + 1 as int)"))
+
+
+_EVENT_LINES = """SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, event_id % 5 <> 0 AS dated,
+  CASE WHEN event_id % 3 = 0 THEN event_type ELSE '' END AS model, CASE WHEN event_id % 4 = 0 THEN props ELSE '' END AS originator, CAST(floor(value) AS BIGINT) AS tokens,
+  event_type IN ('purchase', 'view') AS said, event_type = 'error' AND event_id % 50 = 0 AS delegated"""
+
+
+@query(
+    f"""WITH r AS ({_EVENT_LINES}, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS t FROM events)
+SELECT 'ev:' || user_id AS id, arg_max(model, i) FILTER (model <> '') AS model, arg_max(originator, i) FILTER (originator <> '') AS originator, arg_min(t, i) FILTER (dated) AS started_at,
+  arg_max(t, i) FILTER (dated) AS ended_at, CAST(CASE WHEN user_id % 2 = 0 THEN greatest(0, max(tokens)) ELSE sum(tokens) END AS BIGINT) AS out_tokens, count(*) FILTER (said) AS n_asst
+FROM r GROUP BY user_id HAVING count(*) FILTER (said) > 0"""
+)
+def sessions_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions from lines in order: last non-empty values, first and last valid times, sums or cumulative counters."""
+    rows = spark.sql(f"{_EVENT_LINES}, CASE WHEN event_id % 5 <> 0 THEN date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") ELSE 'x' END AS t FROM {{events}}", events=table(spark, sf_dir, "events"))
+    none = F.lit(None).cast("string")
+    records = rows.select(
+        F.col("user_id").cast("string").alias("file_path"), F.col("i").alias("line_no"), F.col("user_id").cast("string").alias("stem"), F.when(F.col("said"), "assistant").otherwise("other").alias("kind"),
+        F.col("t").alias("ts"), none.alias("text"), none.alias("native_id"), none.alias("cwd"), "model", "originator", "tokens", (F.col("user_id") % 2 == 0).alias("cumulative"),
+        F.lit(None).cast("array<struct<tool: string, command: string, file: string, workdir: string>>").alias("calls"), "delegated",
+    )
+    return sessions.build(records, "events", "ev").session.select("id", "model", "originator", "started_at", "ended_at", "out_tokens", "n_asst")
+
+
+_TOOLS = "p_partkey, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b"
+
+
+@query(
+    f"""WITH p AS (SELECT {_TOOLS} FROM part), k AS (SELECT unnest(list_distinct(CASE p_partkey % 3 WHEN 0 THEN [a, '@s/' || b] WHEN 1 THEN [a, b] ELSE [a] END)) AS package FROM p)
+SELECT package, count(*) AS n FROM k GROUP BY 1 ORDER BY n DESC, package LIMIT 25"""
+)
+def packages_installed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most installed packages of commands in three managers' spellings, versions and flags left out."""
+    p = table(spark, sf_dir, "part").selectExpr("p_partkey", "split_part(p_name, ' ', 1) AS a", "split_part(p_name, ' ', 2) AS b")
+    which = F.col("p_partkey") % 3
+    command = F.when(which == 0, F.format_string("cd x && npm i %s@1.2 --save @s/%s@3 | tee log", "a", "b")).when(which == 1, F.format_string("python3 -m pip install -U %s==2.0 '%s>=1'", "a", "b")).otherwise(F.format_string("uv add %s[extra] $HOME ./local", "a"))
+    return habits.exploded_counts(p, tx.install_pkgs(command), "package", 25)
+
+
+@query(
+    """WITH k AS (SELECT CASE p_partkey % 4 WHEN 0 THEN 'npm' WHEN 1 THEN 'pip3' WHEN 2 THEN 'uv' END AS manager FROM part) SELECT manager, count(*) AS n FROM k WHERE manager IS NOT NULL GROUP BY 1"""
+)
+def managers_used(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = table(spark, sf_dir, "part").select(tx.manager(pick(["npm i", " PIP3 install", "uv add", "ls -l"], "p_partkey")).alias("manager"))
+    return digest.top_counts(keys.filter("manager is not null"), "manager")
+
+
+@query("SELECT target, count(*) AS n FROM (SELECT unnest(['/w/' || split_part(p_name, ' ', 1), split_part(p_name, ' ', 2) || ' x']) AS target FROM part) GROUP BY 1")
+def directories_entered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").selectExpr("split_part(p_name, ' ', 1) AS a", "split_part(p_name, ' ', 2) AS b")
+    return digest.top_counts(p.select(F.explode(tx.cd_targets(F.format_string("cd /w/%s && make; cd '%s x' || true", "a", "b"))).alias("target")), "target")
+
+
+_OPENERS = ["no, that", "actually, do", "Revert it", "thanks and", "太丑 了", "know, that", "undone"]
+
+
+@query(
+    f"""WITH m AS (SELECT {sql_pick(_OPENERS, "(conv_id + turn)")} || ' ' || text AS t, turn % 2 = 0 AS later FROM conversations WHERE text IS NOT NULL)
+SELECT count(*) FILTER (later AND length(t) < 600 AND regexp_matches(left(t, 120), {lit("(?i)" + lx.CORRECTION)})) AS corrections, count(*) AS rows FROM m"""
+)
+def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corrections by the real pattern in turns whose openings vary."""
+    m = table(spark, sf_dir, "conversations").filter("text is not null").select(F.concat(pick(_OPENERS, "(conv_id + turn)"), F.lit(" "), "text").alias("t"), (F.col("turn") % 2 == 0).alias("later"))
+    return m.agg(F.count_if(tx.is_friction(F.col("t"), F.col("later"))).alias("corrections"), F.count("*").alias("rows"))
+
+
+_COMPLAINTS = ["这个配色 难看", "说人话", "别用 mock 数据", "没按 要求", "too long 太长", "please revert", "else", "别用那些词"]
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, {sql_pick(_COMPLAINTS, "doc_id")} || ' ' || (doc_id % 3) AS x FROM documents),
+m AS (SELECT doc_id, x, {sql_first("x", lx.PROFILE_THEMES, lx.PROFILE_OTHER)} AS theme FROM t),
+f AS (SELECT theme, left(x, 140) AS quote, min(doc_id) AS pos FROM m GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY theme ORDER BY pos) AS nth FROM f)
+SELECT theme, n, quotes FROM (SELECT theme, count(*) AS n FROM m GROUP BY 1) JOIN (SELECT theme, string_agg(quote, '|' ORDER BY nth) AS quotes FROM r WHERE nth <= 3 GROUP BY 1) USING (theme)"""
+)
+def profile_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and first quotes of the real themes."""
+    t = table(spark, sf_dir, "documents").select("doc_id", F.concat(pick(_COMPLAINTS, "doc_id"), F.lit(" "), (F.col("doc_id") % 3).cast("string")).alias("x"))
+    return habits.themes(t, "x", lx.PROFILE_THEMES, lx.PROFILE_OTHER, ["doc_id"]).select("theme", "n", F.array_join("quotes", "|").alias("quotes"))
+
+
+_FOLDED = "CASE x " + " ".join(f"WHEN {lit(a)} THEN {lit(b)}" for a, b in lx.LIBRARY_ALIASES.items()) + " ELSE x END"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, unnest([{sql_pick(lx.LIBRARIES, "doc_id")}, {sql_pick(lx.LIBRARIES, "(doc_id * 7)")}]) AS x FROM documents)
+SELECT library, count(*) AS n FROM (SELECT DISTINCT doc_id, {_FOLDED} AS library FROM d) GROUP BY 1 ORDER BY n DESC, library LIMIT 25"""
+)
+def libraries_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most named libraries, by the real list and its other spellings."""
+    t = table(spark, sf_dir, "documents").select(F.format_string("use (%s), then %s! not reactor or x-d3", pick(lx.LIBRARIES, "doc_id"), F.upper(pick(lx.LIBRARIES, "(doc_id * 7)"))).alias("t"))
+    return habits.exploded_counts(t, tx.libraries(F.col("t")), "library", 25)
+
+
+_CJK = ("etaoinsh", "这个布局配色很好")
+
+
+@query(
+    f"""WITH p AS (SELECT 1 + conv_id % 3 AS n, translate(text, '{_CJK[0]}', '{_CJK[1]}') AS prompt FROM conversations WHERE role = 'user' AND text IS NOT NULL),
+r AS (SELECT n, unnest(regexp_extract_all(prompt, '[一-鿿]{{2,}}')) AS run FROM p),
+g AS (SELECT n, unnest(list_distinct(list_concat(list_transform(range(1, length(run) - 2), lambda i: substr(run, i, 4)), list_concat(list_transform(range(1, length(run) - 1), lambda i: substr(run, i, 3)), list_transform(range(1, length(run)), lambda i: substr(run, i, 2)))))) AS term FROM r)
+SELECT term, CAST(sum(n) AS BIGINT) AS weight FROM g WHERE term NOT IN ({", ".join(lit(w) for w in lx.CJK_COMMON)}) GROUP BY 1"""
+)
+def cjk_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grams of CJK runs in user turns whose common letters are replaced by characters."""
+    rows = table(spark, sf_dir, "conversations").filter("role = 'user' and text is not null")
+    return export.cjk_grams(rows.select((1 + F.col("conv_id") % 3).alias("n"), F.translate("text", *_CJK).alias("prompt")))
+
+
+_EXTENSIONS = [".ts", ".TSX", ".py", ".md", ".rs", ".html", ".sql", ".mjs"]
+_LANGUAGES = ", ".join(f"({lit(e)}, {lit(x)})" for e, x in lx.LANGUAGES)
+
+
+@query(
+    f"""WITH e AS (SELECT lower({sql_pick(_EXTENSIONS, "(p_partkey * p_size)")}) AS ext, count(*) AS n FROM part GROUP BY 1),
+l AS (SELECT language, max((n, ext)) AS best FROM e JOIN (VALUES {_LANGUAGES}) AS v(ext, language) USING (ext) GROUP BY 1)
+SELECT language FROM l ORDER BY best[1] DESC, language LIMIT 5"""
+)
+def languages_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ext = digest.top_counts(table(spark, sf_dir, "part").select(pick(_EXTENSIONS, "(p_partkey * p_size)").alias("ext")), "ext")
+    return export.main_languages(ext)
+
+
+_KNOWN = [name for own in lx.STACK.values() for name, _ in own]
+_STACK = ", ".join(f"({lit(name)}, {lit(g)}, {i}, {lit(d)})" for i, (g, own) in enumerate(lx.STACK.items()) for name, d in own)
+
+
+@query(
+    f"""WITH a AS (SELECT {sql_pick(_KNOWN, "(p_partkey * p_partkey)")} AS name, count(*) AS installs FROM part WHERE p_size < 5 GROUP BY 1),
+b AS (SELECT {sql_pick(_KNOWN, "(p_partkey * 3)")} AS name, count(*) AS mentions FROM part WHERE p_size > 45 GROUP BY 1),
+m AS (SELECT coalesce(a.name, b.name) AS name, coalesce(installs, 0) AS installs, coalesce(mentions, 0) AS mentions FROM a FULL JOIN b ON a.name = b.name),
+s AS (SELECT name, grp, o, display, installs * 3 + mentions AS score FROM m JOIN (VALUES {_STACK}) AS v(name, grp, o, display) USING (name) WHERE installs >= 1 OR mentions >= 2),
+f AS (SELECT grp, o, display, max(score) AS score, arg_min(name, (-score, name)) AS name FROM s GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, name) AS nth FROM f)
+SELECT grp, string_agg(display, ' · ' ORDER BY nth) AS displays FROM r WHERE nth <= 8 GROUP BY grp"""
+)
+def technology_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known technologies by group, installs counting three times as much as mentions."""
+    part = table(spark, sf_dir, "part")
+    installs = digest.top_counts(part.filter("p_size < 5").select(pick(_KNOWN, "(p_partkey * p_partkey)").alias("name")), "name")
+    mentions = digest.top_counts(part.filter("p_size > 45").select(pick(_KNOWN, "(p_partkey * 3)").alias("name")), "name")
+    return export.stack(installs, mentions).select("grp", F.array_join("displays", " · ").alias("displays"))
+
+
+@query(
+    """WITH s AS (SELECT p_brand AS name, count(*) / sum(count(*)) OVER () AS share FROM part GROUP BY 1)
+SELECT '经常在「' || name || '」项目上工作(AI 会话占比约 ' || CAST(round_even(share * 100, 0) AS INTEGER) || '%)' AS topic FROM s WHERE share >= 0.03 ORDER BY share DESC, name LIMIT 4"""
+)
+def project_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shares = digest.with_share(digest.top_counts(table(spark, sf_dir, "part"), "p_brand"))
+    return export.topics(shares.select(F.concat(F.lit("/w/"), "p_brand", F.lit("/")).alias("cwd"), "share"))
+
+
+_KINDS = ["real", "meta", "artifact"]
+
+
+@query(
+    f"""WITH m AS (SELECT *, greatest(0, length(text) - 2) AS d, {sql_pick(_KINDS, "conv_id")} AS kind,
+  (length(lower(text)) - length(replace(lower(text), 'tion', ''))) // 4 AS f FROM conversations WHERE role = 'user' AND text IS NOT NULL),
+g AS (SELECT count(*) AS rows, count(*) FILTER (f > 0) AS hits, avg(d) AS avg_d FROM m),
+i AS (SELECT CASE WHEN ln((rows - hits + 0.5) / (hits + 0.5)) <= 0 THEN 1e-6 ELSE ln((rows - hits + 0.5) / (hits + 0.5)) END AS idf, avg_d FROM g)
+SELECT 's' || conv_id AS session, turn AS seq, kind, round(-idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * d / avg_d)), 9) AS rank FROM m, i WHERE f > 0 AND kind IN ('real', 'meta')"""
+)
+def hits_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All hits of a phrase in sessions of two kinds, ranked by the statistics of all messages; artifacts never count."""
+    c = table(spark, sf_dir, "conversations").filter("role = 'user'").withColumn("session_id", F.concat(F.lit("s"), "conv_id"))
+    session = c.select(F.col("session_id").alias("id"), pick(_KINDS, "conv_id").alias("kind"), F.lit("a").alias("source"), F.lit("p").alias("project")).distinct()
+    message = c.select("session_id", F.col("turn").alias("seq"), F.lit("").alias("ts"), "text")
+    found, _ = search.session_hits(message, session, " tion ")
+    return found.join(session.select(F.col("id").alias("session"), "kind"), "session").select("session", "seq", "kind", F.round("rank", 9).alias("rank"))
+
+
+@query(
+    """WITH f AS (SELECT event_id AS file, 'u' || user_id AS id, CASE WHEN event_id % 3 = 0 THEN 'u' || (user_id + 1) END AS old FROM events WHERE event_type IN ('purchase', 'error')),
+w AS (SELECT id, max(file) AS file FROM f GROUP BY 1), c AS (SELECT old AS id, max(file) AS cut FROM f WHERE old IS NOT NULL GROUP BY 1)
+SELECT w.id, file_path FROM (SELECT id, format('{:09d}', file) AS file_path, file FROM w) w LEFT JOIN c USING (id) WHERE cut IS NULL OR cut <= file"""
+)
+def sessions_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sessions that an ingest of many files leaves: of one id the last file's, unless a later file had given it before."""
+    f = table(spark, sf_dir, "events").filter("event_type in ('purchase', 'error')")
+    rows = f.select(F.concat(F.lit("u"), "user_id").alias("id"), F.format_string("%09d", "event_id").alias("file_path"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("u"), F.col("user_id") + 1)).alias("old_id"))
+    return store.surviving(rows.select("id", "file_path"), rows.select("file_path", "old_id"))

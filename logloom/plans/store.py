@@ -1,17 +1,22 @@
 """Versioned Parquet store with incremental ingest.
 
-A store is a folder of snapshots; the file CURRENT names the one in force and
-is replaced last, so that a failed ingest leaves the old snapshot.  The
-manifest records each file's stamps and digest.
+Tables are cut into PARTS by a hash of the session id (the manifest: of the
+file).  An ingest writes the parts that it touches and then a pointer, a small
+file POINTER-N that names the folder of every part; the newest pointer is in
+force.  It comes into being by one rename to a new name, so that a failed
+ingest leaves the old state.  The manifest records each file's stamps and
+digest.  File names are listed on the driver, as by every file scan of Spark;
+contents and tables aren't.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logloom.operators import sessions
@@ -26,6 +31,8 @@ SCHEMAS = {
     "tool_call": "session_id string, after_seq long, tool string, cmd_key string, file_ext string, workdir string, pkgs array<string>",
     "manifest": "file_path string, file_mtime timestamp, file_size long, content_hash string, session_id string",
 }
+KEYS = {"session": "id", "message": "session_id", "tool_call": "session_id", "manifest": "file_path"}
+PARTS = 16
 OK, UNHEALTHY, EMPTY, CORRUPT, VERSION = 0, 1, 3, 5, 6
 
 
@@ -37,6 +44,10 @@ class StoreVersion(Exception):
     code = VERSION
 
 
+class StoreCorrupt(Exception):
+    code = CORRUPT
+
+
 def diff(listing: DataFrame, manifest: DataFrame) -> DataFrame:
     """listing (file_path, file_mtime, file_size) with status: skipped where the stamps are the manifest's, else check."""
     old = manifest.select("file_path", F.col("file_mtime").alias("old_mtime"), F.col("file_size").alias("old_size"), F.col("content_hash").alias("old_hash"))
@@ -45,10 +56,25 @@ def diff(listing: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def decided(checked: DataFrame, hashes: DataFrame, filled: DataFrame) -> DataFrame:
-    """Status of files to check: unchanged (digest as before), empty (no session found), or ingested."""
-    joined = checked.join(hashes, "file_path").join(filled.select("file_path", F.lit(True).alias("filled")), "file_path", "left")
-    status = F.when(F.col("content_hash") == F.col("old_hash"), "unchanged").when(F.col("filled").isNull(), "empty").otherwise("ingested")
-    return joined.withColumn("status", status)
+    """Status of files to check: error (unreadable), unchanged (digest as before), empty (no session found), or ingested."""
+    joined = checked.join(hashes, "file_path", "left").join(filled.select("file_path", F.lit(True).alias("filled")), "file_path", "left")
+    known = F.when(F.col("content_hash").isNull(), "error").when(F.col("content_hash") == F.col("old_hash"), "unchanged")
+    return joined.withColumn("status", known.when(F.col("filled").isNull(), "empty").otherwise("ingested"))
+
+
+def part_of(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int").alias("part")
+
+
+def surviving(session: DataFrame, changed: DataFrame) -> DataFrame:
+    """Of new sessions (id, file_path, ...) those that files taken in the order of their paths leave.
+
+    Each changed file (file_path, old_id) first deletes the session it gave
+    before, and then any with its new id: of one id the last file's session
+    stays, unless a later file had given that id before.
+    """
+    later = changed.filter("old_id is not null").groupBy(F.col("old_id").alias("id")).agg(F.max("file_path").alias("_cut"))
+    return latest(session, "id", "file_path").join(later, "id", "left").filter("_cut is null or _cut <= file_path").drop("_cut")
 
 
 def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:
@@ -75,22 +101,48 @@ class Store:
         return self.spark.read.text(p.toString(), wholetext=True).first()[0].strip()
 
     def _write_text(self, name: str, value: str) -> None:
+        """A new file, whole or not at all."""
         fs, path = self._fs()
-        new, old = path(f"{self.path}/.{name}.{uuid.uuid4().hex}"), path(f"{self.path}/{name}")
+        new = path(f"{self.path}/.{name}.{uuid.uuid4().hex}")
         out = fs.create(new, True)
         out.write(bytearray(value.encode()))
         out.close()
-        fs.delete(old, False)
-        fs.rename(new, old)
+        if not fs.rename(new, path(f"{self.path}/{name}")):
+            fs.delete(new, False)
+            raise StoreCorrupt(f"{name} exists in {self.path}: another ingest was faster")
+
+    def keep(self, name: str, text: str) -> str:
+        """Keeps a document beside the tables, in place of an older one; returns its path."""
+        fs, path = self._fs()
+        where = path(f"{self.path}/documents/{name}")
+        out = fs.create(where, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        return where.toString()
+
+    def kept(self, name: str) -> str | None:
+        return self._read_text(f"documents/{name}")
+
+    def _pointers(self) -> list[str]:
+        fs, path = self._fs()
+        folder = path(self.path)
+        names = [x.getPath().getName() for x in fs.listStatus(folder)] if fs.exists(folder) else []
+        return sorted(n for n in names if n.startswith("POINTER-"))
+
+    def _places(self, pointer: str | None = None) -> dict[str, dict[str, str]]:
+        """Folder of each part of each table."""
+        found = pointer or (self._pointers() or [None])[-1]
+        return json.loads(self._read_text(found)) if found else {t: {} for t in SCHEMAS}
 
     def version(self) -> str | None:
         return self._read_text("VERSION")
 
-    def table(self, name: str) -> DataFrame:
-        current = self._read_text("CURRENT")
-        if current is None:
+    def table(self, name: str, parts: list[int] | None = None) -> DataFrame:
+        """A table, or some parts of it."""
+        folders = sorted({f for k, f in self._places()[name].items() if parts is None or int(k) in parts})
+        if not folders:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{current}/{name}")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*[f"{self.path}/{f}" for f in folders])
 
     def tables(self) -> Tables:
         return Tables(self.table("session"), self.table("message"), self.table("tool_call"))
@@ -106,64 +158,74 @@ class Store:
         fs, path = self._fs()
         fs.delete(path(self.path), True)
 
-    def commit(self, parts: dict[str, DataFrame]) -> None:
-        name = f"snapshot-{uuid.uuid4().hex}"
-        for t, df in parts.items():
-            df.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in SCHEMAS[t].split(", ")]).write.parquet(f"{self.path}/{name}/{t}")
+    def commit(self, tables: dict[str, tuple[DataFrame, list[int]]]) -> None:
+        """Replaces parts of tables: (all rows of these parts, the parts) of each."""
+        pointers = self._pointers()
+        before, name = self._places(), f"snapshot-{uuid.uuid4().hex}"
+        after = {t: dict(before[t]) for t in SCHEMAS}
+        fs, path = self._fs()
+        for t, (df, parts) in tables.items():
+            rows = df.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in SCHEMAS[t].split(", ")], part_of(KEYS[t]))
+            rows.repartition("part").write.partitionBy("part").parquet(f"{self.path}/{name}/{t}")
+            for k in parts:
+                folder = f"{name}/{t}/part={k}"
+                after[t].pop(str(k), None)
+                if fs.exists(path(f"{self.path}/{folder}")):
+                    after[t][str(k)] = folder
         if self.version() is None:
             self._write_text("VERSION", SCHEMA_VERSION)
-        self._write_text("CURRENT", name)
+        self._write_text(f"POINTER-{int(pointers[-1].split('-')[1]) + 1 if pointers else 0:09d}", json.dumps(after))
+        # readers of the state before may go on; what only older states hold goes
+        held = {f for places in (before, after) for parts_ in places.values() for f in parts_.values()}
+        for old in pointers[:-1]:
+            for parts_ in self._places(old).values():
+                for f in set(parts_.values()) - held:
+                    fs.delete(path(f"{self.path}/{f}"), True)
+            fs.delete(path(f"{self.path}/{old}"), False)
 
     def ingest(self, sources: list[tuple[Source, str]], full: bool = False, home: str | None = None) -> DataFrame:
-        """Ingests changed files of (source, root); returns counts (source, status, n)."""
+        """Ingests changed files of (source, root); returns counts (source, status, n).
+
+        A file that can't be read counts as error and keeps what it gave
+        before; the others go on.
+        """
         if full:
             self.drop_all()
         statuses, held, new = [], [], {t: None for t in SCHEMAS}
+        changed_files = None
 
         def add(t: str, df: DataFrame) -> None:
             new[t] = df if new[t] is None else new[t].unionByName(df)
 
         old_manifest = self.table("manifest")
+        old_ids = old_manifest.select("file_path", F.col("session_id").alias("old_id"))
         for source, root in sources:
-            listing = diff(jsonl.files(self.spark, root), old_manifest).persist()
+            listing = diff(jsonl.files(self.spark, root), old_manifest).join(old_ids, "file_path", "left").persist()
             held.append(listing)
-            paths = [r["file_path"] for r in listing.filter("status = 'check'").select("file_path").collect()]  # names of changed files
-            skipped = listing.filter("status = 'skipped'").select(F.lit(source.name).alias("source"), "status")
-            statuses.append(skipped)
+            statuses.append(listing.filter("status = 'skipped'").select(F.lit(source.name).alias("source"), "status"))
+            paths = [r["file_path"] for r in listing.filter("status = 'check'").select("file_path").collect()]
             if not paths:
                 continue
-            found = jsonl.hashes(self.spark, paths)
-            fresh = listing.filter("status = 'check'").join(found.filter("content_hash is not null"), "file_path")
-            changed = [r["file_path"] for r in fresh.filter("old_hash is null or content_hash <> old_hash").select("file_path").collect()]
-            lines = jsonl.read_lines(self.spark, *changed) if changed else None
-            t = sessions.build(source.normalise(lines), source.name, source.prefix, home) if lines is not None else None
-            stamp = F.current_timestamp().alias("ingested_at")
+            found = jsonl.hashes(self.spark, paths).persist()
+            held.append(found)
+            fresh = listing.filter("status = 'check'").join(found.filter("content_hash is not null"), "file_path").filter("old_hash is null or content_hash <> old_hash")
+            fresh = fresh.select("file_path", "old_id").persist()
+            held.append(fresh)
+            changed = [r["file_path"] for r in fresh.select("file_path").collect()]
+            t = sessions.build(source.normalise(jsonl.read_lines(self.spark, *changed)), source.name, source.prefix, home) if changed else None
             filled = t.session.select("file_path", F.col("id").alias("session_id")) if t else self.spark.createDataFrame([], "file_path string, session_id string")
             state = decided(listing.filter("status = 'check'"), found, filled).join(filled, "file_path", "left")
-            kept_ids = old_manifest.select("file_path", F.col("session_id").alias("old_id"))
-            state = state.join(kept_ids, "file_path", "left").withColumn("session_id", F.when(F.col("status") == "unchanged", F.col("old_id")).otherwise(F.col("session_id"))).persist()
+            state = state.withColumn("session_id", F.when(F.col("status") == "unchanged", F.col("old_id")).otherwise(F.col("session_id"))).persist()
             held.append(state)
             statuses.append(state.select(F.lit(source.name).alias("source"), "status"))
-            add("manifest", state.select("file_path", "file_mtime", "file_size", "content_hash", "session_id"))
+            add("manifest", state.filter("status <> 'error'").select("file_path", "file_mtime", "file_size", "content_hash", "session_id"))
             if t:
-                add("session", t.session.select("*", stamp))
+                changed_files = fresh if changed_files is None else changed_files.union(fresh)
+                add("session", t.session.withColumn("ingested_at", F.current_timestamp()))
                 add("message", t.message)
                 add("tool_call", t.tool_call)
         if new["manifest"] is not None:
-            touched = new["manifest"].select("file_path")
-            manifest = old_manifest.join(touched, "file_path", "left_anti").unionByName(new["manifest"])
-            parts = {"manifest": manifest}
-            if new["session"] is not None:
-                session = latest(new["session"], "id", "file_path").persist()  # of one id the last file wins
-                held.append(session)
-                gone = self.table("session").join(session.select("file_path"), "file_path", "left_semi").select("id").union(session.select("id")).distinct()
-                parts["session"] = self.table("session").join(gone, "id", "left_anti").unionByName(session)
-                for t in ("message", "tool_call"):
-                    rest = self.table(t).join(gone.withColumnRenamed("id", "session_id"), "session_id", "left_anti")
-                    parts[t] = rest.unionByName(new[t])
-            else:
-                parts |= {t: self.table(t) for t in ("session", "message", "tool_call")}
-            self.commit(parts)
+            self._replace(new, changed_files, held)
         out = statuses[0]
         for s in statuses[1:]:
             out = out.unionByName(s)
@@ -173,18 +235,66 @@ class Store:
             x.unpersist()
         return counts
 
+    def _replace(self, new: dict[str, DataFrame | None], changed: DataFrame | None, held: list[DataFrame]) -> None:
+        """Writes the parts that new rows or deleted sessions touch."""
+
+        def touched(keys: DataFrame) -> list[int]:
+            return [r["part"] for r in keys.select(part_of(keys.columns[0])).distinct().collect()]
+
+        files = new["manifest"].select("file_path")
+        parts = touched(files)
+        rest = self.table("manifest", parts).join(files, "file_path", "left_anti")
+        tables = {"manifest": (rest.unionByName(new["manifest"]), parts)}
+        if changed is not None:
+            session = surviving(new["session"], changed).persist()
+            held.append(session)
+            # what a changed file gave before goes, whatever it gives now; and what has a new session's id
+            gone = changed.select(F.col("old_id").alias("id")).filter("id is not null").union(new["session"].select("id")).distinct().persist()
+            held.append(gone)
+            parts = touched(gone)
+            winners = session.select("file_path")
+            for t in ("session", "message", "tool_call"):
+                rest = self.table(t, parts).join(gone.withColumnRenamed("id", KEYS[t]), KEYS[t], "left_anti")
+                own = session if t == "session" else new[t].join(winners, "file_path", "left_semi").drop("file_path")
+                tables[t] = (rest.unionByName(own), parts)
+        self.commit(tables)
+
     def stats(self) -> dict[str, Any]:
-        session = self.table("session")
-        rows = session.groupBy("source", "kind").agg(F.count("*").alias("n"), F.max("ingested_at").alias("last")).collect()
-        counts = {f"{r['source']}/{r['kind']}": r["n"] for r in rows}
-        return {"sessions": sum(counts.values()), "by_source_kind": counts, "last_ingest": str(max((r["last"] for r in rows), default=None))}
+        """Sessions by source and kind, and the real ones."""
+        rows = self.table("session").groupBy("source", "kind").agg(F.count("*").alias("n")).collect()
+        counts: dict[str, dict[str, int]] = {}
+        for r in sorted(rows, key=lambda r: (r["source"], r["kind"])):
+            counts.setdefault(r["source"], {})[r["kind"]] = r["n"]
+        return {"sessions_by_source_kind": counts, "real": {s: k.get("real", 0) for s, k in counts.items()}}
+
+    def last_ingest(self) -> str | None:
+        last = self.table("session").agg(F.max("ingested_at")).first()[0]
+        return str(last) if last is not None else None
+
+    def integrity(self) -> str:
+        """ok, or what can't be read: every folder that the pointer names must give its rows."""
+        try:
+            for t in SCHEMAS:
+                self.table(t).write.format("noop").mode("overwrite").save()
+        except Exception as e:  # whatever a broken file raises
+            return str(e).splitlines()[0]
+        return "ok"
+
+    def size_kb(self) -> float:
+        fs, path = self._fs()
+        return round(fs.getContentSummary(path(self.path)).getLength() / 1024, 1) if fs.exists(path(self.path)) else 0.0
 
     def health(self) -> dict[str, Any]:
-        """Files tracked, messages without a session, and advice."""
-        ids = self.table("session").select(F.col("id").alias("session_id"))
-        lost = orphans(self.table("message"), ids).count()
-        sound = lost == 0 and self.version() in (None, SCHEMA_VERSION)
-        return {"status": "healthy" if sound else "degraded", "files_tracked": self.table("manifest").count(), "orphan_messages": lost, "version": self.version(), "advice": [] if sound else ["ingest --full"]}
+        """Integrity, files tracked, messages without a session, and advice."""
+        sound = self.integrity()
+        if sound != "ok":
+            return {"status": "degraded", "integrity": sound, "sessions": 0, "files_tracked": 0, "orphan_messages": 0, "store_kb": self.size_kb(), "version": self.version(), "advice": ["ingest --full (integrity)"]}
+        lost = orphans(self.table("message"), self.table("session").select(F.col("id").alias("session_id"))).count()
+        healthy = lost == 0 and self.version() in (None, SCHEMA_VERSION)
+        return {
+            "status": "healthy" if healthy else "degraded", "integrity": sound, "sessions": self.table("session").count(), "files_tracked": self.table("manifest").count(),
+            "orphan_messages": lost, "store_kb": self.size_kb(), "version": self.version(), "advice": [] if healthy else ["ingest --full"],
+        }
 
 
 def orphans(children: DataFrame, parents: DataFrame, key: str = "session_id") -> DataFrame:

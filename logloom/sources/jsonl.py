@@ -13,7 +13,7 @@ def read_lines(spark: SparkSession, *roots: str, pattern: str = "*.jsonl") -> Da
     those before it.  Blank lines, malformed ones and lines that aren't
     objects are skipped; bytes that aren't UTF-8 are dropped.
     """
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(list(roots), wholetext=True)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).text(list(roots), wholetext=True)
     lines = files.select(F.col("_metadata.file_path").alias("file_path"), F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("line_no", "line"))
     clean = F.trim(F.replace("line", F.lit("�"), F.lit("")))
     parsed = lines.select("file_path", "line_no", clean.alias("line")).filter(F.col("line").startswith("{"))
@@ -27,5 +27,5 @@ def files(spark: SparkSession, *roots: str, pattern: str = "*.jsonl") -> DataFra
 
 
 def hashes(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file_path, content_hash): SHA-1 of the named files."""
-    return spark.read.format("binaryFile").load(paths).select(F.col("path").alias("file_path"), F.sha1("content").alias("content_hash"))
+    """(file_path, content_hash): SHA-1 of the named files; those that can't be read are missing."""
+    return spark.read.format("binaryFile").option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).load(paths).select(F.col("path").alias("file_path"), F.sha1("content").alias("content_hash"))
