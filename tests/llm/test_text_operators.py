@@ -186,34 +186,66 @@ def test_components(spark):
     assert found == {i: 0 for i in range(41)} | {90: 90, 95: 90, 100: 90}
 
 
-@pytest.mark.parametrize("group", [20_000, 1])
-def test_suffix_dedup(docs, empty, group, monkeypatch):
+def without_repeats(data, length=400):
+    seen = Counter(t[i : i + length] for t in data for i in range(len(t) - length + 1))
+    out = []
+    for t in data:
+        gone = np.zeros(len(t), bool)
+        for k in range(len(t) - length + 1):
+            if seen[t[k : k + length]] > 1:
+                gone[k : k + length] = True
+        out.append(gone)
+    return out
+
+
+@pytest.mark.parametrize(("group", "span"), [(20_000, 1 << 19), (1, 700)])
+def test_suffix_dedup(docs, empty, group, span, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    monkeypatch.setattr(suffix_dedup, "SPAN", span)
     data = [(t or "").encode() for t in texts()]
     data.append(data[5])
-    seen = Counter(t[i : i + 400] for t in data for i in range(len(t) - 399))
     expected = {}
-    for i, t in enumerate(data[:-1]):
-        gone = np.zeros(len(t), bool)
-        for k in range(len(t) - 399):
-            if seen[t[k : k + 400]] > 1:
-                gone[k : k + 400] = True
+    for i, (t, gone) in enumerate(zip(data[:-1], without_repeats(data), strict=False)):
         spans = int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum())
         expected[i] = (len(t), int(gone.sum()), spans, hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~gone])).hexdigest())
     rows = suffix_dedup.remove_repeats(docs).collect()
     assert len(rows) == len(data)
     for r in rows:
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == expected[r["doc_id"]]
-    assert suffix_dedup.remove_repeats(empty).count() == 0
-
-
-def test_log_index_levels(spark):
-    index = suffix_dedup.LogIndex(spark)
-    for k in range(5):
-        found = index.add(spark.createDataFrame([(k,), (k + 1,), (100 + k,)], "prefix long"))
-        assert [r["prefix"] for r in found.collect()] == ([k] if k else [])
-    assert sorted(index.levels) == [0, 2]
-    assert sorted(r["prefix"] for r in index.repeated().collect()) == [1, 2, 3, 4]
+    if group == 1:
+        assert suffix_dedup.remove_repeats(empty).count() == 0
+
+
+def test_index_opened_again(spark, tmp_path):
+    shared = [prose(50 + i, 150) for i in range(3)]
+    parts = [[prose(100 * k + i, 60) + " " + shared[(i + k) % 3] + " " + prose(100 * k + i + 50, 60) for i in range(k % 2 + 1)] for k in range(5)]
+    data = [t.encode() for p in parts for t in p]
+    frames = [suffix_dedup.keyed(spark.createDataFrame([(k * 10 + i, t) for i, t in enumerate(p)], "doc_id long, text string")) for k, p in enumerate(parts)]
+    path, ranks = str(tmp_path / "index"), []
+    for f in frames:
+        index = suffix_dedup.LogIndex(spark, path, 3)
+        index.add(suffix_dedup.suffixes(f, 400))
+        for name in [*index.state["levels"].values(), *index.state["hits"]]:
+            spark.sql(f"DROP TABLE IF EXISTS loom_{name}")  # the next one knows only what the folder holds
+        ranks.append(sorted(int(r) for r in index.state["levels"]))
+    assert ranks == [[0], [1], [0, 1], [2], [0, 2]]
+    opened = suffix_dedup.LogIndex(spark, path)
+    assert opened.state["batches"] == 5 and opened.state["buckets"] == 3
+    docs = frames[0]
+    for f in frames[1:]:
+        docs = docs.union(f)
+    found = defaultdict(list)
+    ids = {(r["t1"], r["t2"]): bytes(r["text"]) for r in docs.collect()}
+    for r in suffix_dedup.repeated_spans(opened.matches(), docs, 400, suffix_dedup.Folder(spark)).collect():
+        found[ids[r["t1"], r["t2"]]].append((r["start"], r["stop"]))
+    for t, gone in zip(data, without_repeats(data), strict=True):
+        own = np.zeros(len(t), bool)
+        for a, z in found[t]:
+            own[a:z] = True
+        assert gone.any() and (own == gone).all()
+    plan = opened.levels[0].select("p1", "p2").hint("merge").join(opened.levels[2].select("p1", "p2"), ["p1", "p2"], "left_semi")
+    assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+    opened.drop()
 
 
 def test_embeddings(spark):
