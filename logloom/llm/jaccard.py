@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from logloom.llm.components import components
 from logloom.llm.shared import Folder, bound_batches, checked, once
 
-WORD_CACHE = 200_000
+WORD_CACHE = 100_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _M = np.uint64(0x9E3779B97F4A7C15)
 _N = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -90,13 +90,15 @@ def shingle_sets(texts: list[bytes | None], size: int, cache: WordHash) -> list[
 #: Second-level partitions, and how many of them a subset leaves out.
 SECOND, LEFT_OUT = 4, 2
 #: Signatures that a bucket is meant to hold, and that a task holds before it deals them out.
-BUCKET, HELD = 1 << 20, 1 << 21
+BUCKET, HELD = 1 << 20, 1 << 20
 #: Signatures for a byte of text, at most about (for the number of buckets only).
 DENSITY = 0.3
 #: Members of a signature group that one task compares with as many others; partners of a set in one block.
 BLOCK = 1500
 #: Pairs of sets that are verified in one round, at least.
 PAIRS = 20_000
+#: Sets that a task remembers, so as to give their signatures once.
+SEEN = 200_000
 
 
 class Bands:
@@ -218,6 +220,8 @@ def _sets(size, num, den, buckets):
                 key = set_key(s)
                 if len(s) and key not in seen:
                     held.append(signatures(s, bands))
+                    if len(seen) >= SEEN:
+                        seen.clear()
                     seen.add(key)
                 else:
                     held.append(none)

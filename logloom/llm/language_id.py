@@ -23,7 +23,7 @@ from logloom.llm.shared import bound_batches, checked, once, thinned, write_shar
 
 #: Bounds of the labelled sample: documents of a language, and bytes of them in all.
 SAMPLE_DOCUMENTS = 400
-SAMPLE_BYTES = 64_000
+SAMPLE_BYTES = 48_000
 SEGMENT = 1024
 
 NO_LANGUAGE = "und"
@@ -82,18 +82,21 @@ class Parser:
         self.width = len(seen) + 1  # symbol 0: never seen in training
         self.symbol = np.zeros(256, np.uint8)
         self.symbol[seen] = np.arange(1, len(seen) + 1)
-        built = [automaton(self.symbol[np.frombuffer(samples[x], np.uint8)]) for x in self.langs]
-        self.roots = np.cumsum([0, *(len(m) for m in built)])[:-1]
-        self.table = np.empty((sum(map(len, built)), self.width), np.int32)
-        for root, moves in zip(self.roots.tolist(), built, strict=True):
+        parts, self.roots, root = [], [], 0
+        for x in self.langs:  # one automaton at a time
+            moves = automaton(self.symbol[np.frombuffer(samples[x], np.uint8)])
             restart = np.full(self.width, 2 * root * self.width + 1, np.int32)
             for c, to in moves[0].items():
                 restart[c] = 2 * (root + to) * self.width + 1
-            self.table[root : root + len(moves)] = restart
+            part = np.tile(restart, (len(moves), 1))
             for state, move in enumerate(moves):
                 if move:
-                    self.table[root + state, list(move)] = [2 * (root + to) * self.width for to in move.values()]
-        self.table = self.table.ravel()
+                    part[state, list(move)] = [2 * (root + to) * self.width for to in move.values()]
+            parts.append(part.ravel())
+            self.roots.append(root)
+            root += len(moves)
+            del moves
+        self.table = np.concatenate(parts) if parts else np.zeros(0, np.int32)
         self.bits = np.array([np.log2(max(2, len(samples[x]))) for x in self.langs])
 
     def phrases(self, texts: list[bytes]) -> np.ndarray:
@@ -108,7 +111,7 @@ class Parser:
         grid[np.arange(lengths[0]) < lengths[:, None]] = self.symbol[np.frombuffer(b"".join(p for _, p in parts), np.uint8)]
         grid = np.ascontiguousarray(grid.T)
         active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
-        for k, root in enumerate(self.roots.tolist()):
+        for k, root in enumerate(self.roots):
             state = np.full(len(parts), root * self.width, np.int32)
             count = np.ones(len(parts), np.int32)  # the phrase that is open at the end
             for t, n in enumerate(active.tolist()):

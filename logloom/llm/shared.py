@@ -94,14 +94,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def once(key: Any, make: Callable[[], Any]) -> Any:
     """What make returns, made once in a worker process; functions pickled by value have no lasting globals.
 
-    Of keys that are tuples with the same first part only the last one's value is kept.
+    Only the last value is kept: a worker that goes on with another operator
+    lets go of the former one's tables before it makes its own.
     """
     kept = sys.__dict__.setdefault("_logloom_worker_cache", {})
-    name = key[0] if isinstance(key, tuple) else key
-    if name not in kept or kept[name][0] != key:
-        kept.pop(name, None)  # frees the old value before the new one is made
-        kept[name] = (key, make())
-    return kept[name][1]
+    if key not in kept:
+        kept.clear()
+        value = make()
+        kept.clear()
+        kept[key] = value
+    return kept[key]
 
 
 def thinned(rows: DataFrame, group: str, by: str, most: int) -> DataFrame:
