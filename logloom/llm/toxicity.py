@@ -3,8 +3,8 @@
 A word's embedding is the sum of hashed vectors of the word and of its first
 few bytes, so that unseen words with a known stem still mean something.
 Filters over one, two and three words are max-pooled over the whole text and
-feed a logistic unit.  Everything is trained in numpy: Adagrad, with the first
-embedding dimension starting from the smoothed log-odds of each bucket.
+feed a logistic unit.  Everything starts at random and is trained in numpy, by
+Adagrad with dropout, for about STEPS steps whatever the size of the sample.
 
 Thresholds are calibrated on labelled rows kept out of training, for each
 language; the language is predicted from the text.  A score is shifted so that
@@ -30,8 +30,9 @@ DIM = 12
 FILTERS = 12
 WIDTHS = (1, 2, 3)
 STEMS = (3, 4, 5, 6, 7, 8)
-EPOCHS = 5
 BATCH = 48
+#: Training steps in all, about; and epochs, at least and at most.
+STEPS, EPOCHS = 900, (5, 40)
 WORD_CACHE = 100_000
 
 #: Bounds of the labelled sample that training sees: rows of either label, and bytes of text in all.
@@ -129,7 +130,9 @@ def layout(rows: list[np.ndarray], table: np.ndarray) -> tuple[np.ndarray, np.nd
     return table[np.concatenate([x for r in rows for x in (r, pad)])], starts, sizes
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 5) -> Model:
+def fit(texts: list[str], labels: list[int], epochs: int | None = None, seed: int = 5) -> Model:
+    if epochs is None:
+        epochs = min(EPOCHS[1], max(EPOCHS[0], round(STEPS * BATCH / max(1, len(texts)))))
     rng = np.random.default_rng(seed)
     y = np.array(labels, np.float32)
     ids: dict[bytes, int] = {}
@@ -146,22 +149,11 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 5
     counts = np.array([len(x) for x in flat])
     edges = np.cumsum([0, *counts])
     features = np.array([b for x in flat for b in x], np.int64)
-    seen = np.zeros((2, BUCKETS))
-    for d, label in zip(docs, y.astype(int), strict=True):
-        words = np.unique(d)
-        if len(words):
-            seen[label, np.unique(np.concatenate([features[edges[w] : edges[w + 1]] for w in words]))] += 1
     n1, n0 = max(1, y.sum()), max(1, len(y) - y.sum())
-    odds = np.log((seen[1] + 0.5) / (seen[0] * n1 / n0 + 0.5))
     emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
-    emb[:, 0] = odds / 2
     filters = [rng.normal(0, 0.3 / np.sqrt(k), (k, DIM, FILTERS)).astype(np.float32) for k in WIDTHS]
-    for f in filters:
-        f[:, :, 0] = 0
-        f[0, 0, 0] = 1.0
     bias = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
     out = rng.normal(0, 0.1, FILTERS * len(WIDTHS)).astype(np.float32)
-    out[:: FILTERS] = 0.5
     model = Model(emb, filters, bias, out, float(np.log(n1 / n0)) - 1.0)
     dense = [*filters, *bias, out]
     state = [np.full_like(p, 1e-2) for p in dense]
@@ -184,7 +176,6 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 5
             where = np.concatenate([z for r in rows for z in (r, np.zeros(len(WIDTHS), np.int32))])
             pooled, maps = model.convolve(x, starts, sizes)
             keep = (rng.random(pooled.shape) > 0.2) / 0.8
-            keep[:, ::FILTERS] = 1
             z = (pooled * keep) @ out + model.out_bias
             g = (1 / (1 + np.exp(-z.clip(-30, 30))) - y[chosen]) * weight[chosen] / len(chosen)
             d_out = (pooled * keep).T @ g + 1e-4 * out
@@ -276,7 +267,9 @@ def classify(documents: DataFrame, model: Model) -> DataFrame:
     """One row for each row of documents(doc_id, text): doc_id, score, predicted.
 
     A null or empty text has the score of no evidence.  The score depends on
-    the text alone; repeated rows score alike; other columns are ignored.
+    the text alone; repeated rows score alike; other columns are ignored; an
+    empty table gives no rows.  A very long text is scored whole: its pooled
+    features are the largest of all its windows.
     """
     spark = documents.sparkSession
     bound_batches(spark)

@@ -348,6 +348,42 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.classify(docs, model).count() == docs.count() and toxicity.classify(empty, model).count() == 0
 
 
+def test_training_carries_the_scores():
+    r = random.Random(5)
+    y = [i % 3 == 0 for i in range(300)]
+    own = [prose(i, 40) + (f" {prose(i, 1)} vile" + r.choice("abc") if bad else "") for i, bad in enumerate(y)]
+    test = [toxicity.words_of(prose(900 + i, 40) + (" viled" if i % 2 else "")) for i in range(60)]
+
+    def right(model):
+        z = model.logits(test, toxicity.Vectors(model.emb))
+        return sum((z > np.median(z)) == (np.arange(60) % 2 == 1))
+
+    trained = toxicity.fit(own, [int(b) for b in y])
+    assert right(trained) >= 57 > 45 > right(toxicity.fit(own, [int(b) for b in y], epochs=0))
+    z = trained.logits(test, toxicity.Vectors(trained.emb))
+    for k in range(len(toxicity.WIDTHS)):  # each width takes part
+        part = trained.out.copy()
+        part[k * toxicity.FILTERS : (k + 1) * toxicity.FILTERS] = 0
+        less = toxicity.Model(trained.emb, trained.filters, trained.bias, part, trained.out_bias)
+        assert np.abs(less.logits(test, toxicity.Vectors(trained.emb)) - z).max() > 0.1
+
+
+def test_sample_of_labels(spark):
+    docs = spark.createDataFrame([(i, "x" * (1000 if i == 3 else 10), None) for i in range(40)] + [(41, None, None)], "doc_id long, text string, toxic string")
+    labels = spark.createDataFrame([(i, i % 4 // 3, 7) for i in range(42)] + [(5, 0, 7), (None, 1, 7), (6, 2, 7)], "doc_id long, toxic int, text int")
+    texts_, y, held = toxicity.sample(docs, labels, "doc_id % 5 = 1", {1: 6, 0: 9}, 500)
+    assert len(texts_) == len(y) == len(held) and sum(y) in (5, 6) and y.count(0) == 9 and all(len(t) == 10 for t in texts_)  # the long text is passed over
+    assert toxicity.sample(docs, labels.limit(0), "true") == ([], [], [])
+
+
+def test_sample_of_languages(spark):
+    rows = [(i, "en", f"hello number {i} here") for i in range(30)] + [(100, "de", "ü" * 900), (101, "de", "zwei"), (102, "fr", "é" * 900), (103, None, "nothing")]
+    found = language_id.sample_texts(spark.createDataFrame(rows, "doc_id long, lang string, text string").filter("lang is not null"), 10, 200)
+    assert set(found) == {"en", "de", "fr"} and len(found["en"]) <= 200 and found["de"] == b" zwei " and len(found["fr"]) > 900
+    kept = language_id.only_identified(spark.createDataFrame(rows + [(104, None, "12")], "doc_id long, lang string, text string"), {})
+    assert kept.count() == len(rows)  # nothing was learned: what has a letter stays
+
+
 @pytest.fixture(scope="module")
 def forest(spark):
     return secrets.train(secrets.labelled_findings(spark))
