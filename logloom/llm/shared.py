@@ -10,7 +10,8 @@ import pickle
 import sys
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark import Broadcast, cloudpickle
@@ -21,6 +22,10 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 4 << 20
 
 
+#: Folders that this session made below the shared one.
+_CREATED: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``.
 
@@ -34,7 +39,20 @@ def shared_dir(spark: SparkSession) -> str:
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"{tempfile.gettempdir()}/checkpoints"
-    return f"{base.rstrip('/')}/loom-{uuid.uuid4().hex}"
+    _CREATED.append(f"{base.rstrip('/')}/loom-{uuid.uuid4().hex}")
+    return _CREATED[-1]
+
+
+@contextmanager
+def working_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes on leaving what was written to the shared folder inside; results that read it must have been written by then."""
+    start = len(_CREATED)
+    try:
+        yield
+    finally:
+        for path in _CREATED[start:]:
+            delete(spark, path)
+        del _CREATED[start:]
 
 
 def write_shared(df: DataFrame, *partition_by: str) -> DataFrame:
