@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from logloom.llm import decontamination, jaccard, language_id, packing, secrets
 from logloom.llm.queries import learned_languages, vocabulary
-from logloom.llm.shared import read_table, shared_dir
+from logloom.llm.shared import read_table, shared_dir, working_tables
 
 #: SQL can't express cross-parsing, Jaccard components, a trained forest or packing in one statement.
 ORACLE_SQL: str | None = None
@@ -77,11 +77,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to the table documents; each one's rows are written and reread by the next."""
     docs = read_table(spark, sf_dir, "documents")
     base = shared_dir(spark)
-    for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
+    for k, (name, stage) in enumerate(STAGES[:-1]):
         path = f"{base}/{k}_{name}"
-        out.write.parquet(path)
+        with working_tables(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
