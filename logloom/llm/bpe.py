@@ -52,6 +52,8 @@ class Bpe:
         ranks = {bytes(symbols[c] for c in token): i for token, i in parsed["model"]["vocab"].items() if token not in special}
         self.quick = tiktoken.Encoding("quick", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.special = sorted(special, key=len, reverse=True)
+        if any(plain_tokens(x) for x in special):
+            raise ValueError("a special string that may be a part of a word")
         self.pattern = regex.compile(PATTERN)
 
     def settled(self, text: str) -> bool:
@@ -97,11 +99,25 @@ def chunks(text: str) -> tuple[str, list[str]]:
 def whole_chunk(key: str) -> str:
     """The text that a later chunk stands for; raises Irregular where cuts aren't safe."""
     body = key[1:] if key[:1] == "\n" else key
-    if not body or any(c.isspace() for c in body):
+    if body.split() != [body]:  # empty, or with white space
         raise Irregular
     return key if key[0] == "\n" else f" {key}"
 
 
+#: Marks that end a word and are a pre-token of their own (by the pattern).
+MARKS = ",.;:!?"
+
+
+def plain_tokens(key: str) -> tuple[str, ...] | None:
+    """Pre-tokens of a later chunk that is an ASCII word, with a mark at its end or without; None for any other."""
+    if key.isascii():
+        if key.isalpha():
+            return (" " + key,)
+        if key[:-1].isalpha() and key[-1] in MARKS:
+            return (" " + key[:-1], key[-1])
+    return None
+
+
 class Cache(dict):
     """What make gives for a chunk, kept within CACHE_BYTES."""
 
@@ -135,7 +151,7 @@ class IdCache(Cache):
     def encode(self, text: str) -> bytes:
         first, rest = chunks(text)
         try:
-            if any(c.isspace() for c in first):
+            if first and first.split() != [first]:
                 raise Irregular
             return array("I", self.bpe.ids(first)).tobytes() + b"".join(map(self.__getitem__, rest))
         except Irregular:

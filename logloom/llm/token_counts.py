@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.bpe import Bpe, Cache, Irregular, chunks, load, whole_chunk
+from logloom.llm.bpe import Bpe, Cache, Irregular, chunks, load, plain_tokens, whole_chunk
 from logloom.llm.shared import bound_batches, once, write_shared
 
 #: Bound on pre-tokens that are broadcast.
@@ -58,11 +58,21 @@ class HeadTail(Cache):
         first, rest = chunks(text)
         tail: Counter = Counter()
         try:
-            if any(c.isspace() for c in first):
+            if first and first.split() != [first]:
                 raise Irregular
             total, others = self.split(self.bpe.pre_tokens(first))
             tail.update(others)
+            get = self.pieces.get
             for key, n in Counter(rest).items():
+                plain = plain_tokens(key)
+                if plain is not None:  # words need no cache
+                    for p in plain:
+                        known = get(p)
+                        if known is None:
+                            tail[p] += n
+                        else:
+                            total += known * n
+                    continue
                 known, others = self[key]
                 total += known * n
                 for p in others:
@@ -76,14 +86,14 @@ class HeadTail(Cache):
 def _vocabulary(spec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pre = load(spec, PreTokens)
-        seen: Counter = Counter()  # of chunks
+        seen: dict[str, int] = {}  # of chunks
         alone: Counter = Counter()  # of pre-tokens
         held = 0
 
         def rows() -> Iterator[pa.RecordBatch]:
             """What was seen, in parts; a pre-token of several chunks comes several times."""
             token, count = [], []
-            for key, n in chain(((pre[k], n) for k, n in seen.items()), (((p,), n) for p, n in alone.items())):
+            for key, n in chain(((plain_tokens(k) or pre[k], n) for k, n in seen.items()), (((p,), n) for p, n in alone.items())):
                 token += key
                 count += [n] * len(key)
                 if len(token) >= 50_000:
@@ -99,14 +109,15 @@ def _vocabulary(spec):
                     continue
                 first, rest = chunks(text)
                 try:
-                    if any(c.isspace() for c in first):
+                    if first and first.split() != [first]:
                         raise Irregular
                     distinct = Counter(rest)
                     fresh = [key for key in distinct if key not in seen]
                     for key in fresh:
-                        whole_chunk(key)
+                        if not key.isalpha():
+                            whole_chunk(key)
                     for key, n in distinct.items():
-                        seen[key] += n
+                        seen[key] = seen.get(key, 0) + n
                     held += sum(map(len, fresh))
                     head = first
                 except Irregular:
