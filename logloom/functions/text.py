@@ -153,7 +153,10 @@ def libraries(c: Column, names: Sequence[str] = lx.LIBRARIES, aliases: dict[str,
 
 
 def parse_ts(c: Column) -> Column:
-    """ISO-8601 date or time as a timestamp in the session's zone; null for anything else."""
+    """ISO-8601 date or time, extended or compact, as a timestamp in the session's zone; null for anything else."""
+    c = F.regexp_replace(c, r"^(\d{4})(\d{2})(\d{2})(?=[T ]|$)", "$1-$2-$3")
+    c = F.regexp_replace(c, r"^(.{10}[T ]\d{2})(\d{2})(?:(\d{2}))?(?=[.,Z+-]|$)", "$1:$2:$3")
+    c = F.regexp_replace(c, r":(?=[.,Z+-]|$)", "")
     return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d+)?)?)?(Z|[+-]\d{2}(:?\d{2})?)?)?$"), F.try_to_timestamp(c))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions import text as tx
@@ -27,8 +27,9 @@ def with_share(counts: DataFrame, n: str = "n") -> DataFrame:
 
 def with_remainder(shares: DataFrame, key: str, k: int, other: str = "other") -> DataFrame:
     """The k rows with the largest share, and one for all others."""
-    nth = F.row_number().over(Window.orderBy(F.desc("share"), key))  # a few rows: one for each key that was counted
-    return shares.withColumn("nth", nth).groupBy(F.when(F.col("nth") <= k, F.col(key)).otherwise(other).alias(key)).agg(F.sum("share").alias("share"))
+    best = shares.orderBy(F.desc("share"), key).limit(k).select(key, "share")
+    rest = shares.join(F.broadcast(best.select(key)), key, "left_anti").agg(F.sum("share").alias("share")).filter("share is not null")
+    return best.unionByName(rest.select(F.lit(other).alias(key), "share"))
 
 
 def by_source_kind(session: DataFrame) -> DataFrame:

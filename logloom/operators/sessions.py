@@ -32,7 +32,7 @@ def accepted(text: Column) -> Column:
 
 
 def sequenced(records: DataFrame) -> DataFrame:
-    """Adds prompt (accepted text), seq (accepted turns so far), turn_seq (that of the last assistant turn) and after_assistant.
+    """Adds prompt (accepted text), is_task (of a prompt), seq (accepted turns so far), turn_seq (that of the last assistant turn) and after_assistant.
 
     A rejected user record has no seq, but still ends the turn of the
     assistant; records of other kinds change nothing.
@@ -43,6 +43,8 @@ def sequenced(records: DataFrame) -> DataFrame:
     user, assistant = F.col("kind") == "user", F.col("kind") == "assistant"
     marked = records.withColumn("prompt", F.when(user & accepted(F.col("text")), tx.unwrap(F.col("text"))))
     counts = F.col("prompt").isNotNull() | assistant
+    # the windows below keep these expressions from being copied into each of their uses
+    marked = marked.withColumn("is_task", tx.is_task_prompt(F.col("prompt")))
     return (
         marked.withColumn("seq", F.sum(F.when(counts, 1).otherwise(0)).over(so_far))
         .withColumn("turn_seq", F.coalesce(F.last(F.when(assistant, F.col("seq")), ignorenulls=True).over(so_far), F.lit(0)))
@@ -63,7 +65,7 @@ def build(records: DataFrame, source: str, prefix: str, home: str | None = None)
 
     dated = F.when(tx.parse_ts(F.col("ts")).isNotNull(), F.col("line_no"))
     total = F.when(F.bool_or("cumulative"), F.greatest(F.lit(0), F.coalesce(F.max("tokens"), F.lit(0)))).otherwise(F.coalesce(F.sum("tokens"), F.lit(0)))
-    has_task = F.coalesce(F.bool_or(tx.is_task_prompt(F.col("prompt"))), F.lit(False))
+    has_task = F.coalesce(F.bool_or("is_task"), F.lit(False))
     rolled = rows.groupBy("file_path", "stem").agg(
         last_of("native_id"),
         last_of("cwd"),
@@ -105,7 +107,7 @@ def build(records: DataFrame, source: str, prefix: str, home: str | None = None)
     )
     ids = session.select("file_path", F.col("id").alias("session_id"))
     said = F.substring(tx.redact(F.col("prompt"), home), 1, TEXT_LIMIT)
-    is_task = tx.is_task_prompt(F.col("prompt"))
+    is_task = F.col("is_task")
     message = (
         rows.filter("prompt is not null")
         .join(ids, "file_path")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from logloom.operators import export, search, similarity
 from logloom.plans import queries
+from logloom.streaming import ingest
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -65,6 +66,26 @@ def test_stack_and_languages(spark):
     assert [r["language"] for r in export.main_languages(ext).collect()] == ["TypeScript", "Python"]
 
 
+def test_stream_of_lines(spark, tmp_path):
+    rows = [(f"2024-01-01 {h:02d}:{m:02d}:00", k) for h, m, k in [(1, 5, "a"), (1, 50, "a"), (1, 55, "b"), (3, 0, "a")]]
+    lines = spark.createDataFrame(rows, "t string, kind string").select(F.col("t").cast("timestamp").alias("ts"), "kind")
+    lines.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(lines.schema).parquet(str(tmp_path / "in"))
+    seen = []
+    ingest.run_available(stream, lambda batch, k: seen.append((k, batch.count())), str(tmp_path / "state")).awaitTermination(60)
+    assert seen == [(0, 4)]
+    counts = {(str(r["start"]), r["kind"]): r["n"] for r in ingest.counts_by_window(lines, "ts", "kind").collect()}
+    assert counts == {("2024-01-01 01:00:00", "a"): 2, ("2024-01-01 01:00:00", "b"): 1, ("2024-01-01 03:00:00", "a"): 1}
+
+
+def test_bounded_pairs(spark, monkeypatch):
+    v = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(4)], "id int, vec array<double>")
+    assert similarity.dense_pairs(v, 0.9).count() == 2
+    monkeypatch.setattr(similarity, "BOUNDED", 3)
+    with pytest.raises(ValueError):
+        similarity.dense_pairs(v, 0.9)
+
+
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()

@@ -40,7 +40,7 @@ CASES = [
         "/home/me/x": "~/x", 'token = "abcdef1"': 'token = "abcdef1"', None: None,
     }),
     (lambda c: tx.redact(c, HOME, strict=True), {'token = "abcdef1"': "token=<REDACTED>"}),
-    (lambda c: tx.parse_ts(c).cast("string"), {"2024-01-02T03:04:05Z": "2024-01-02 03:04:05", "2024-01-02T23:00:00-02:00": "2024-01-03 01:00:00", "2024": None, "x": None, "2024-01-02": "2024-01-02 00:00:00"}),
+    (lambda c: tx.parse_ts(c).cast("string"), {"2024-01-02T03:04:05Z": "2024-01-02 03:04:05", "2024-01-02T23:00:00-02:00": "2024-01-03 01:00:00", "2024": None, "x": None, "2024-01-02": "2024-01-02 00:00:00", "20240102": "2024-01-02 00:00:00", "20240102T030405Z": "2024-01-02 03:04:05", "2024-01-02T0304": "2024-01-02 03:04:00", "20240102T030405.5+0100": "2024-01-02 02:04:05.5", "202401": None}),
 ]
 
 
