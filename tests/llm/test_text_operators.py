@@ -180,6 +180,66 @@ def test_jaccard(spark, docs, empty, size, num, den):
     assert jaccard.join_similar(empty).count() == 0
 
 
+def test_jaccard_in_blocks(spark, monkeypatch):
+    """Large groups, in blocks of 3 members, rounds of a few pairs and small hands of signatures."""
+    for name, value in (("BLOCK", 3), ("PAIRS", 7), ("HELD", 60), ("SEEN", 5)):
+        monkeypatch.setattr(jaccard, name, value)
+    r = random.Random(8)
+    rows = []
+    for k in range(3):
+        base = prose(20 + k, 60).split()
+        for _ in range(14):
+            w = base[:]
+            for _ in range(r.randint(0, 4)):
+                w[r.randrange(60)] = r.choice("pqxyz")
+            rows.append((len(rows), " ".join(w)))
+    sets = [shingles(t, 4) for _, t in rows]
+    least = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                a, b = sorted((least[i], least[j]))
+                least = [a if x == b else x for x in least]
+    found = jaccard.join_similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4, 85, 100).collect()
+    assert {x["doc_id"]: x["component_id"] for x in found} == dict(enumerate(least)) and 3 < len(set(least)) < 30
+
+
+@pytest.mark.parametrize(("num", "den"), [(85, 100), (4, 5), (1, 2), (1, 1)])
+def test_similar_sets_share_a_signature(num, den):
+    r, bands = np.random.default_rng(num), jaccard.Bands(num, den)
+    test = jaccard.may_be_similar(num, den)
+    for n in [*range(1, 40), 100, 333, 1000, 5000]:
+        for _ in range(6):
+            pool = np.unique(r.integers(0, 1 << 63, 3 * n + 8, dtype=np.uint64))
+            both = int(r.integers(max(1, n // 2), n + 1))
+            more = int((den * both / num - both) + 1e-9)  # elements that one side or the other may have besides
+            left = int(r.integers(0, more + 1))
+            r.shuffle(pool)
+            a, b = np.sort(pool[: both + left]), np.sort(np.concatenate([pool[:both], pool[both + left : both + more]]))
+            shared = len(np.intersect1d(a, b))
+            assert den * shared >= num * (len(a) + len(b) - shared)
+            assert np.intersect1d(jaccard.signatures(a, bands), jaccard.signatures(b, bands)).size
+            assert test(jaccard.sketch(a), jaccard.sketch(b), len(a), len(b))
+
+
+def test_packed_signatures():
+    r = np.random.default_rng(3)
+    held = [r.integers(0, 1 << 63, k, dtype=np.uint64) for k in (0, 5, 700, 1)]
+    held[1][:3] = held[2][:3]
+    found = defaultdict(list)
+    for bucket, base, low, own in jaccard.dealt(held, 7, 100):
+        sigs = np.frombuffer(low, np.uint8).reshape(-1, 5)
+        sigs = np.column_stack([sigs, np.zeros((len(sigs), 3), np.uint8)]).view("<u8").ravel()
+        found[bucket] += zip(sigs.tolist(), (base + np.frombuffer(own, "<u2").astype(np.int64)).tolist(), strict=True)
+    assert set(found) <= set(range(7)) and sum(map(len, found.values())) == sum(map(len, held))
+    pairs = []
+    for own in found.values():
+        sigs, ids = (np.array(x) for x in zip(*own, strict=True))
+        grp, members = jaccard.shared_groups(sigs.astype(np.uint64), ids)
+        pairs += [tuple(sorted(members[grp == g].tolist())) for g in np.unique(grp)]
+    assert set(pairs) == {(101, 102)}  # equal groups once in each bucket
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95), (7, 7), (3, None)]
     found = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "u long, v long")).collect()}
