@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import decontamination, embedding_dedup, jaccard, language_id, licenses, packing, secrets, suffix_dedup, token_counts, toxicity
+from logloom.llm import centroids, chat, decontamination, embedding_dedup, jaccard, language_id, licenses, packing, secrets, spelling, suffix_dedup, token_counts, toxicity
 from logloom.llm.shared import read_table
 
 
@@ -76,10 +76,23 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.format_chats(chat.with_probe(read_table(spark, sf_dir, "conversations"))))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_token_counts, op2_toxicity, op3_language_id, op4_embedding_near_dedup, op5_ngram_jaccard_join, op6_secret_scan, op7_packing, op8_suffix_array_dedup, op9_license_scan, op10_decontamination]
+    found += [op11_centroid_clustering, op12_chat_formatting, op13_spelling_variants]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_license_scan": licenses.oracle_sql()}
+    return {"op9_license_scan": licenses.oracle_sql(), "op11_centroid_clustering": centroids.oracle_sql(), "op12_chat_formatting": chat.oracle_sql()}
