@@ -47,20 +47,17 @@ class Table:
         """The block that ends before position end."""
         return words[end - 1] if self.block == 1 else (words[end - 2], words[end - 1])
 
-    def add(self, pattern: list[bytes], item: str) -> None:
+    def add(self, pattern: list[bytes], item: str | None) -> None:
         m = self.length
         for end in range(self.block, m + 1):
             k = self.key(pattern, end)
             self.shift[k] = min(self.shift.get(k, m), m - end)
-        bucket = self.buckets.setdefault(self.key(pattern, m), {}).setdefault(self.key(pattern, self.block), [])
-        for words, items in bucket:
-            if words == pattern:
-                items.add(item)
-                return
-        bucket.append((pattern, {item}))
-        self.count += 1
-
-    def search(self, words: list[bytes]) -> Iterator[tuple[int, set[str]]]:
+        bucket = self.buckets.setdefault(self.key(pattern, m), {}).setdefault(self.key(pattern, self.block), {})
+        items = bucket.setdefault(tuple(pattern), set())
+        self.count += not items
+        items.add(item)
+
+    def search(self, words: list[bytes]) -> Iterator[tuple[int, set[str | None]]]:
         """Start of each occurrence, with the items that hold it."""
         m, block, at, n = self.length, self.block, self.length, len(words)
         shift, buckets, free = self.shift, self.buckets, self.length - self.block + 1
@@ -72,9 +69,10 @@ class Table:
                 continue
             start = at - m
             first = words[start] if block == 1 else (words[start], words[start + 1])
-            for pattern, items in buckets[k].get(first, ()):
-                if words[start:at] == pattern:
-                    yield start, items
+            # the narrowed bucket holds whole patterns: the look-up compares the words themselves
+            items = buckets[k].get(first, {}).get(tuple(words[start:at]))
+            if items:
+                yield start, items
             at += 1
 
 
@@ -84,7 +82,7 @@ def windows(words: list[bytes], size: int) -> Iterator[list[bytes]]:
             yield words[i : i + size]
 
 
-def tables(items: Iterator[tuple[str, bytes | None]], size: int, part_windows: int = PART_WINDOWS) -> Iterator[list[Table]]:
+def tables(items: Iterator[tuple[str | None, bytes | None]], size: int, part_windows: int = PART_WINDOWS) -> Iterator[list[Table]]:
     """Search tables for parts of the benchmark."""
     part: dict[int, Table] = {}
     held = 0
@@ -142,8 +140,8 @@ def _scan(parts):
             texts = [words_of(t) for t in b.column(1).to_pylist()]
             spans, found = occurrences(texts, loaded)
             n_words, n_hit = [len(t) for t in texts], [covered(s) for s in spans]
-            new = [pa.array(x, pa.int64()) for x in (n_words, n_hit, [len(x) for x in found])]
-            sha = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in found]
+            new = [pa.array(x, pa.int64()) for x in (n_words, n_hit, [len(x - {None}) for x in found])]
+            sha = [hashlib.sha256(",".join(sorted(x - {None})).encode()).hexdigest() for x in found]
             flag = pa.array([is_contaminated(w, h) for w, h in zip(n_words, n_hit, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0), *new, pa.array(sha, pa.string()), flag], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
@@ -151,7 +149,7 @@ def _scan(parts):
 
 
 def _parts(benchmark: DataFrame, window: int) -> list:
-    items = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("binary")).filter("item_id is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("binary")).filter("text is not null")
     rows = ((r[0], bytes(r[1])) for r in items.toLocalIterator())
     return [send(benchmark.sparkSession, t) for t in tables(rows, window)]
 
@@ -161,7 +159,8 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
 
     benchmark has item_id and text.  A null or wordless text has no words and
     isn't contaminated; a null or wordless item has no windows; items with the
-    same id count once.  Repeated documents each give a row; other columns are
+    same id count once.  The windows of items without an id hit words like any
+    other, but such items aren't counted or listed.  Repeated documents each give a row; other columns are
     ignored; with an empty benchmark nothing is hit.
     """
     bound_batches(documents.sparkSession)

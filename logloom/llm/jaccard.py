@@ -507,11 +507,12 @@ def keep_one(documents: DataFrame, size: int = 5, num: int = 4, den: int = 5) ->
     # (doc_id, text) of losers, and of winners that several rows hold
     marked = marked.groupBy("doc_id", "t1", "t2", "first").count().filter("not first or count > 1")
     marked = checked(search.folder.write(marked.select(F.col("doc_id").alias("m_id"), F.col("t1").alias("m_t1"), F.col("t2").alias("m_t2"), "first")))
-    text = F.col("text").cast("binary")
-    held = (F.xxhash64(F.lit(1), text) == F.col("m_t1")) & (F.xxhash64(text, F.lit(2)) == F.col("m_t2")) & F.col("doc_id").cast("long").eqNullSafe(F.col("m_id"))
-    kept = documents.join(marked, held, "left_anti")
+    # the row travels as one struct, so that none of its names can clash
+    whole = documents.select(F.struct("*").alias("d"))
+    text = F.col("d.text").cast("binary")
+    held = (F.xxhash64(F.lit(1), text) == F.col("m_t1")) & (F.xxhash64(text, F.lit(2)) == F.col("m_t2")) & F.col("d.doc_id").cast("long").eqNullSafe(F.col("m_id"))
+    kept = whole.join(marked, held, "left_anti").select("d.*")
     again = marked.filter("first")
     if again.isEmpty():
         return kept
-    one = documents.join(again, held).dropDuplicates(["m_id", "m_t1", "m_t2"]).select(*[F.col(f"`{c}`") for c in documents.columns])
-    return kept.unionByName(one)
+    return kept.union(whole.join(again, held).dropDuplicates(["m_id", "m_t1", "m_t2"]).select("d.*"))

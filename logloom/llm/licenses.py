@@ -76,26 +76,23 @@ KNOWN: list[tuple[str, str]] = [
     ("BSL-1.0", _BOOST),
 ]
 
-#: Rewrites in order, for regular expressions that Java and RE2 read alike (fixed values).
+#: Rules for regular expressions that Java and RE2 read alike (fixed values); the code and the SQL both use these.
+#: Lines that are copyright notices: a sign, a year or a place for one after the word, or rights reserved.  Sentences
+#: wrapped before the word, and items (c) of a list, stay.
+NOTICE_LINE = r"^[ \t]*(?:copyright[ \t:,]*(?:\(c\)|©|[0-9]{4}|[\[<{])|\(c\)[ \t]*(?:copyright[ \t]*)?[0-9]{4}|©|all rights reserved[. \t\r]*\z)"
+#: Paragraphs are notices, too, if each of their lines starts with the word.
+PARAGRAPHS, COPYRIGHT, OTHER_LINE = r"\n(?:[ \t\r]*\n)+", r"(?:^|\n)[ \t]*copyright", r"^[ \t]*[^ \t\r]"
+#: Rewrites in order.  A hyphen may end a line.
 REWRITES: list[tuple[str, str]] = [
-    (r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*", "\\1"),
     (r"licenc(e|ed|es|ing|or)", "licens\\1"),
-    (r"sub[ -]licens", "sublicens"),
-    (r"non[ -](infringement|commercial)", "non\\1"),
+    (r"sub[ -][ \t\r\n]*licens", "sublicens"),
+    (r"non[ -][ \t\r\n]*(infringement|commercial)", "non\\1"),
     (r"(organ|author|initial|recogn)is(e|ed|ing|ation)", "\\1iz\\2"),
     (r"[^\p{L}\p{N}\n]+", " "),
 ]
 
-
-#: Copyright notices, in place of the first rewrite, which the SQL keeps: lines with a sign, a year or a place for one after
-#: the word, and paragraphs of nothing else.  Sentences wrapped before the word, and items (c) of a list, stay.
-NOTICES: list[tuple[str, str]] = [
-    (r"(^|\n)[ \t]*(?:copyright[ \t:,]*(?:\(c\)|©|[0-9]{4}|[\[<{])|\(c\)[ \t]*(?:copyright[ \t]*)?[0-9]{4}|©)[^\n]*", "\\1"),
-    (r"(^[ \t\r\n]*|\n[ \t\r]*\n)(?:[ \t]*copyright[^\n]*(?:\n|\z))+(?=[ \t\r]*(?:\n|\z))", "\\1"),
-    (r"(^|\n)[ \t]*all rights reserved[. \t]*(?=\n|$)", "\\1"),
-]
-
-#: Digests of the canonical forms of long licences, and of those that end in "END OF TERMS AND CONDITIONS" up to there.
+#: Digests of the canonical forms of long licences, as their publishers give them, and of those that end in "END OF TERMS AND
+#: CONDITIONS" up to there; of a licence with several editions one digest each.
 LONG: list[tuple[str, str]] = [
     ("Apache-2.0", "75acde0fb516a7ba4597dfc23680cf78281f7fae7f3b74a78e06ef83c1c375c6"),
     ("Apache-2.0", "f9138026e58bdb767e6c6e974637ff9aacbaedf2695e30fef144e5d7d84448ff"),
@@ -122,10 +119,21 @@ LONG: list[tuple[str, str]] = [
 ]
 
 
+def without_notices(text: Column) -> Column:
+    """Lower-cased text without copyright notices."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.when(x.rlike(NOTICE_LINE), "").otherwise(x))
+
+    def is_notice(p: Column) -> Column:
+        return p.rlike(COPYRIGHT) & ~F.exists(F.split(p, "\n"), lambda x: x.rlike(OTHER_LINE) & ~x.rlike(COPYRIGHT))
+
+    paragraphs = F.filter(F.split(F.array_join(lines, "\n"), PARAGRAPHS), lambda p: ~is_notice(p))
+    return F.when(text.rlike("copyright|\\(c\\)|©|all rights reserved"), F.array_join(paragraphs, "\n\n")).otherwise(text)
+
+
 def normalised_lines(text: Column) -> Column:
-    """Lower-cased, rewritten text, its line feeds kept."""
-    out = F.lower(text)
-    for pattern, to in [*NOTICES, *REWRITES[1:]]:
+    """Lower-cased, rewritten text without copyright notices, its line feeds kept."""
+    out = without_notices(F.lower(text))
+    for pattern, to in REWRITES:
         out = F.regexp_replace(out, pattern, to.replace("\\1", "$1").replace("\\2", "$2"))
     return out
 
@@ -175,17 +183,21 @@ def oracle_sql() -> str:
         return "'" + x.replace("'", "''") + "'"
 
     def lines(x: str) -> str:
-        x = f"lower({x})"
+        kept = f"array_to_string(list_transform(string_split(lower({x}), chr(10)), lambda y: CASE WHEN regexp_matches(y, {q(NOTICE_LINE)}) THEN '' ELSE y END), chr(10))"
+        others = f"len(list_filter(string_split(p, chr(10)), lambda y: regexp_matches(y, {q(OTHER_LINE)}) AND NOT regexp_matches(y, {q(COPYRIGHT)})))"
+        notice = f"(regexp_matches(p, {q(COPYRIGHT)}) AND {others} = 0)"
+        x = f"array_to_string(list_filter(string_split_regex({kept}, {q(PARAGRAPHS)}), lambda p: NOT {notice}), chr(10) || chr(10))"
         for pattern, to in REWRITES:
             x = f"regexp_replace({x}, {q(pattern)}, {q(to)}, 'g')"
         return x
 
     whole = "sha256(trim(regexp_replace(lines, '[ \\n]+', ' ', 'g')))"
     rows = ", ".join(f"({q(i)}, {q(t)})" for i, t in KNOWN)
+    long = ", ".join(f"({q(i)}, {q(d)})" for i, d in LONG)
     return f"""
 WITH known AS (
   SELECT digest, min(license_id) AS license_id
-  FROM (SELECT license_id, {whole} AS digest FROM (SELECT license_id, {lines("text")} AS lines FROM (VALUES {rows}) AS v(license_id, text)))
+  FROM (SELECT license_id, {whole} AS digest FROM (SELECT license_id, {lines("text")} AS lines FROM (VALUES {rows}) AS v(license_id, text)) UNION ALL FROM (VALUES {long}) AS v(license_id, digest))
   GROUP BY digest),
 docs AS (SELECT row_number() OVER () AS n, doc_id, {lines("coalesce(text, '')")} AS lines FROM documents),
 parts AS (SELECT n, unnest(string_split(lines, chr(10))) AS line FROM docs),

@@ -12,6 +12,8 @@ from logloom.llm.queries import vocabulary  # noqa: E402
 from test_text_operators import lower, prose, shingles  # noqa: E402
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars int, row long, key string, t1 long, root long"
+#: names that the operators use inside
+CLASHES = "m_id m_t1 m_t2 d r g first spans k1 k2 text_digest hit lines grp n_shingles score start length candidate words same".split()
 SECRET = "ghp_aZ3kQ9xW7bT2aZ3kQ9xW7bT2aZ3kQ9xW7bT2"
 PASSAGE = prose(77, 40, "klmnopqr")
 
@@ -35,7 +37,7 @@ ITEMS = [("a", PASSAGE), ("b", None), ("c", "nowhere at all")]
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("tables"))
-    spark.createDataFrame(rows(), COLUMNS).repartition(3).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(*r, *[3] * len(CLASHES)) for r in rows()], COLUMNS + "".join(f", {c} int" for c in CLASHES)).repartition(3).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(ITEMS, "item_id string, text string").write.parquet(f"{path}/benchmark.parquet")
     return path
 
@@ -96,7 +98,7 @@ def test_stages(spark, folder):
         out = stages[name](spark, docs, folder)
         assert out.columns == docs.columns and plain(out) == kept, name
         for r in out.collect():
-            assert (r["source"], r["row"], r["key"], r["t1"], r["root"]) == ("s", 7, "k", 1, 2) and r["n_chars"] == (None if r["text"] is None else len(r["text"]))
+            assert (r["source"], r["row"], r["key"], r["t1"], r["root"]) == ("s", 7, "k", 1, 2) and {r[c] for c in CLASHES} == {3} and r["n_chars"] == (None if r["text"] is None else len(r["text"]))
         assert stages[name](spark, docs.limit(0), folder).count() == 0
     assert stages["best_fit_packing"](spark, docs.limit(0), folder).count() == 0
 

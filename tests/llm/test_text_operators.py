@@ -109,20 +109,20 @@ def test_packing_plan(seed):
 
 def test_decontamination(spark, docs, empty):
     a = texts()[5].split()
-    items = [(1, " ".join(a[10:40])), (2, "one"), (10, "nowhere to be found"), (3, None), (4, "  "), (2, "one"), (5, " ".join(a[20:33]).upper())]
+    items = [(1, " ".join(a[10:40])), (2, "one"), (10, "nowhere to be found"), (3, None), (4, "  "), (2, "one"), (5, " ".join(a[20:33]).upper()), (None, " ".join(a[50:70])), (None, "two")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     wins = defaultdict(set)
     for i, t in items:
         w = word.findall(lower(t or ""))
         for k in range(max(1, len(w) - 12) if w else 0):
-            wins[tuple(w[k : k + 13])].add(str(i))
+            wins[tuple(w[k : k + 13])] |= {str(i)} - {"None"}  # an item without an id hits, but has no name
     for r in decontamination.find_contamination(docs, bench).collect():
         w = word.findall(lower(texts()[r["doc_id"]] or ""))
         hit, found = [False] * len(w), set()
         for size in {len(x) for x in wins}:
             for k in range(len(w) - size + 1):
-                if own := wins.get(tuple(w[k : k + size])):
+                if (own := wins.get(tuple(w[k : k + size]))) is not None:
                     found |= own
                     hit[k : k + size] = [True] * size
         n = sum(hit)
