@@ -17,7 +17,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from logloom.operators import digest, export, habits, report, search, similarity
+from logloom.operators import digest, export, habits, report, similarity
+from logloom.plans.index import Index
 from logloom.plans.store import CORRUPT, EMPTY, OK, SCHEMA_VERSION, UNHEALTHY, VERSION, Store, StoreCorrupt, StoreEmpty, StoreVersion
 from logloom.sources.registry import SOURCES
 
@@ -187,6 +188,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> tuple[int, Any]:
         return readiness(store)
     if name == "doctor":
         found = store.health() | {"digest_missing": store.kept("digest.json") is None}
+        if found["integrity"] == "ok":
+            found["index"] = Index(store).status()
         return OK if found["status"] == "healthy" else CORRUPT if found["integrity"] != "ok" else UNHEALTHY, found
     if name == "stats":
         return OK, store.stats()
@@ -209,9 +212,9 @@ def run(spark: SparkSession, args: argparse.Namespace) -> tuple[int, Any]:
             return OK, {"profile": document["profile"], "clusters": document["clusters"], "span": document["digest"]["meta"]["span"]}
         return OK, placed(store, args, "profile.md", report.markdown({k: document[k] for k in ("clusters", "profile")}, time.strftime("%Y-%m-%dT%H:%M")))
     if name == "search":
-        hits = search.session_search(t.message, t.session, args.query, args.limit)
+        hits = Index(store).search(args.query, args.limit)
         return OK, {"query": args.query, "hits": [r.asDict() for r in hits.collect()]}
-    packed, n_hits = search.session_pack(t.message, t.session, args.query, args.max_tokens, args.limit)
+    packed, n_hits = Index(store).pack(args.query, args.max_tokens, args.limit)
     items = packed.collect()
     return OK, {"query": args.query, "max_tokens": args.max_tokens, "used_tokens_est": items[-1]["used"] if items else 0, "truncated": len(items) < n_hits, "items": [{"session": r["session"], "source": r["source"], "project": r["project"], "excerpt": r["excerpt"]} for r in items]}
 

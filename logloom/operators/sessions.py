@@ -8,12 +8,14 @@ the order decides is expressed with windows over a file's lines.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions import text as tx
+from logloom.operators import scans
 
 TEXT_LIMIT = 4000
 
@@ -31,34 +33,45 @@ def accepted(text: Column) -> Column:
     return ~tx.is_injected(plain) & tx.is_real_prompt(plain)
 
 
-def sequenced(records: DataFrame) -> DataFrame:
+#: Lines of a segment, for files whose lines shouldn't pass through one window each.
+SEGMENT = 100_000
+
+
+def sequenced(records: DataFrame, segment: int | None = None) -> DataFrame:
     """Adds prompt (accepted text), is_task (of a prompt), seq (accepted turns so far), turn_seq (that of the last assistant turn) and after_assistant.
 
     A rejected user record has no seq, but still ends the turn of the
-    assistant; records of other kinds change nothing.
+    assistant; records of other kinds change nothing.  With ``segment``, long
+    files are cut into segments of so many lines, which then need no window
+    over a whole file, but a second pass over records.
     """
-    by_file = Window.partitionBy("file_path").orderBy("line_no")
-    so_far = by_file.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = by_file.rowsBetween(Window.unboundedPreceding, -1)
     user, assistant = F.col("kind") == "user", F.col("kind") == "assistant"
     marked = records.withColumn("prompt", F.when(user & accepted(F.col("text")), tx.unwrap(F.col("text"))))
-    counts = F.col("prompt").isNotNull() | assistant
+    counts = F.when(F.col("prompt").isNotNull() | assistant, 1).otherwise(0)
+    turn = F.when(user | assistant, assistant)
     # the windows below keep these expressions from being copied into each of their uses
     marked = marked.withColumn("is_task", tx.is_task_prompt(F.col("prompt")))
-    return (
-        marked.withColumn("seq", F.sum(F.when(counts, 1).otherwise(0)).over(so_far))
-        .withColumn("turn_seq", F.coalesce(F.last(F.when(assistant, F.col("seq")), ignorenulls=True).over(so_far), F.lit(0)))
-        .withColumn("after_assistant", F.coalesce(F.last(F.when(user | assistant, assistant), ignorenulls=True).over(before), F.lit(False)))
-    )
+    if segment:
+        rows = scans.carried(marked, ["file_path"], "line_no", segment, {"seq": counts}, {"turn_seq": (assistant, "seq")}, {"after_assistant": turn})
+    else:
+        by_file = Window.partitionBy("file_path").orderBy("line_no")
+        so_far, before = by_file.rowsBetween(Window.unboundedPreceding, Window.currentRow), by_file.rowsBetween(Window.unboundedPreceding, -1)
+        rows = marked.withColumn("seq", F.sum(counts).over(so_far))
+        rows = rows.withColumn("turn_seq", F.last(F.when(assistant, F.col("seq")), ignorenulls=True).over(so_far)).withColumn("after_assistant", F.last(turn, ignorenulls=True).over(before))
+    return rows.withColumns({"turn_seq": F.coalesce("turn_seq", F.lit(0)), "after_assistant": F.coalesce("after_assistant", F.lit(False))})
 
 
 def session_kind(n_user: Column, has_task: Column, delegated: Column) -> Column:
     return F.when(delegated | (n_user == 0), "meta").when(~has_task, "artifact").otherwise("real")
 
 
-def build(records: DataFrame, source: str, prefix: str, home: str | None = None) -> Tables:
+def build(records: DataFrame, source: str, prefix: str, home: str | None = None, segment: int | None = None) -> Tables:
     """The three tables of one source, each row with its file_path; sessions without any turn are dropped."""
-    rows = sequenced(records)
+    return tables(sequenced(records, segment), source, prefix, home)
+
+
+def tables(rows: DataFrame, source: str, prefix: str, home: str | None = None, kept: Callable[[DataFrame], DataFrame] = lambda df: df) -> Tables:
+    """The tables of sequenced rows; kept is applied to the sessions, which both other tables are joined with."""
 
     def last_of(c: str) -> Column:
         return F.max_by(c, F.when(F.col(c) != "", F.col("line_no"))).alias(c)
@@ -90,7 +103,7 @@ def build(records: DataFrame, source: str, prefix: str, home: str | None = None)
     votes = roots.groupBy("file_path", "hint").agg(F.count("*").alias("n"), F.min("at").alias("at"))
     top = votes.groupBy("file_path").agg(F.min_by("hint", F.struct((-F.col("n")).alias("n"), "at")).alias("hint"))
     found = rolled.filter("n_user > 0 or n_asst > 0").join(top, "file_path", "left")
-    session = found.select(
+    session = kept(found.select(
         F.concat(F.lit(f"{prefix}:"), F.coalesce("native_id", "stem")).alias("id"),
         F.lit(source).alias("source"),
         "file_path",
@@ -104,7 +117,7 @@ def build(records: DataFrame, source: str, prefix: str, home: str | None = None)
         "n_asst",
         "out_tokens",
         session_kind(F.col("n_user"), F.col("has_task"), F.col("delegated")).alias("kind"),
-    )
+    ))
     ids = session.select("file_path", F.col("id").alias("session_id"))
     said = F.substring(tx.redact(F.col("prompt"), home), 1, TEXT_LIMIT)
     is_task = F.col("is_task")

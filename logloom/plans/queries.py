@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions import lexicon as lx
 from logloom.functions import text as tx
-from logloom.operators import digest, export, habits, report, search, sessions, similarity
+from logloom.operators import digest, export, habits, postings, report, scans, search, sessions, similarity
 from logloom.plans import store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,6 +107,24 @@ def turn_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("file_path").cast("long").alias("conv_id"), F.col("line_no").alias("turn"), "seq", F.col("turn_seq").cast("long").alias("turn_seq"), "after_assistant")
 
 
+@query(f"WITH {RECORDS} SELECT conv_id, turn, seq, CAST(turn_seq AS BIGINT) AS turn_seq, after_assistant FROM turns")
+def turn_sequence_in_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by segments of three turns, so that most sequences cross several of them."""
+    rows = sessions.sequenced(sessions.from_conversations(table(spark, sf_dir, "conversations")), segment=3)
+    return rows.select(F.col("file_path").cast("long").alias("conv_id"), F.col("line_no").alias("turn"), "seq", F.col("turn_seq").cast("long").alias("turn_seq"), "after_assistant")
+
+
+@query(
+    """SELECT event_id, sum(value) OVER w AS so_far, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id % 3 ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bought
+FROM (SELECT *, 1 AS value FROM events) WINDOW w AS (PARTITION BY user_id % 3 ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+)
+def running_values_of_long_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three groups hold all events: their running values come from segments, not from a window over a third of the table."""
+    e = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 3).alias("grp"), "event_type")
+    bought = F.when(F.col("event_type") == "purchase", F.col("event_id"))
+    return scans.carried(e, ["grp"], "event_id", 1000, {"so_far": F.lit(1)}, last_before={"bought": bought}).select("event_id", "so_far", "bought")
+
+
 PATTERN = "and|the|que"
 
 
@@ -294,6 +312,27 @@ def bm25_all_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.bm25(table(spark, sf_dir, "documents"), SEARCH).select("doc_id", F.round("rank", 9).alias("rank"))
 
 
+PHRASE = "the that"
+
+
+@query(
+    f"""WITH r AS (SELECT doc_id, length(text) AS len, len(list_filter(range(1, length(text) - {len(PHRASE) - 2}), lambda i: substr(lower(text), i, {len(PHRASE)}) = {lit(PHRASE)})) AS f FROM documents),
+s AS (SELECT count(*) AS n, count(*) FILTER (f > 0) AS k, avg(greatest(0, len - 2)) AS a FROM r)
+SELECT doc_id, f, round(-(CASE WHEN ln((n - k + 0.5) / (k + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - k + 0.5) / (k + 0.5)) END) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * greatest(0, len - 2) / a)), 9) AS rank FROM r, s WHERE f > 0"""
+)
+def posting_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.phrase_hits(table(spark, sf_dir, "documents"), ["doc_id"], PHRASE).select("doc_id", "f", F.round("rank", 9).alias("rank"))
+
+
+@query(
+    """WITH g AS (SELECT lower(text) AS t FROM conversations WHERE text IS NOT NULL),
+e AS (SELECT unnest(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) AS gram FROM g)
+SELECT gram, count(*) AS n FROM e GROUP BY gram"""
+)
+def posting_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.postings(table(spark, sf_dir, "conversations"), ["conv_id", "turn"]).groupBy("gram").agg(F.count("*").alias("n"))
+
+
 @query(
     """WITH r AS (SELECT doc_id, length(text) AS len, len(regexp_extract_all(lower(text), 'scum')) AS f FROM documents),
 s AS (SELECT count(*) AS n, count(*) FILTER (f > 0) AS k, avg(greatest(0, len - 2)) AS a FROM r)
@@ -429,7 +468,7 @@ def manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A listing against a manifest in which every fifth file has grown and every seventh is missing."""
     epoch = F.lit(dt.datetime(2024, 1, 1))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_path"), "doc_id", epoch.alias("file_mtime"), F.col("n_chars").alias("file_size"))
-    manifest = docs.filter("doc_id % 7 <> 0").select("file_path", "file_mtime", "file_size", F.lit("h").alias("content_hash"))
+    manifest = docs.filter("doc_id % 7 <> 0").select("file_path", "file_mtime", "file_size", F.lit("h").alias("content_hash"), F.lit("s").alias("session_id"))
     listing = docs.withColumn("file_size", F.when(F.col("doc_id") % 5 == 0, F.col("file_size") + 1).otherwise(F.col("file_size")))
     return store.diff(listing.drop("doc_id"), manifest).groupBy("status").agg(F.count("*").alias("n"))
 

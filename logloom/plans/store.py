@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Any
 
@@ -33,6 +34,8 @@ SCHEMAS = {
 }
 KEYS = {"session": "id", "message": "session_id", "tool_call": "session_id", "manifest": "file_path"}
 PARTS = 16
+#: Bytes of a file beyond which its lines are put in order in segments.
+LARGE_FILE = 1 << 28
 OK, UNHEALTHY, EMPTY, CORRUPT, VERSION = 0, 1, 3, 5, 6
 
 
@@ -49,17 +52,18 @@ class StoreCorrupt(Exception):
 
 
 def diff(listing: DataFrame, manifest: DataFrame) -> DataFrame:
-    """listing (file_path, file_mtime, file_size) with status: skipped where the stamps are the manifest's, else check."""
-    old = manifest.select("file_path", F.col("file_mtime").alias("old_mtime"), F.col("file_size").alias("old_size"), F.col("content_hash").alias("old_hash"))
-    same = (F.abs(F.col("file_mtime").cast("double") - F.col("old_mtime").cast("double")) < 1e-6) & (F.col("file_size") == F.col("old_size"))
-    return listing.join(old, "file_path", "left").withColumn("status", F.when(same, "skipped").otherwise("check"))
+    """listing (file_path, file_mtime, file_size) with old_hash, old_id, and status: skipped where the stamps are the manifest's, else check."""
+    old = manifest.select("file_path", F.col("file_mtime").alias("_mtime"), F.col("file_size").alias("_size"), F.col("content_hash").alias("old_hash"), F.col("session_id").alias("old_id"))
+    same = (F.abs(F.col("file_mtime").cast("double") - F.col("_mtime").cast("double")) < 1e-6) & (F.col("file_size") == F.col("_size"))
+    return listing.join(old, "file_path", "left").withColumn("status", F.when(same, "skipped").otherwise("check")).drop("_mtime", "_size")
 
 
-def decided(checked: DataFrame, hashes: DataFrame, filled: DataFrame) -> DataFrame:
-    """Status of files to check: error (unreadable), unchanged (digest as before), empty (no session found), or ingested."""
-    joined = checked.join(hashes, "file_path", "left").join(filled.select("file_path", F.lit(True).alias("filled")), "file_path", "left")
+def decided(checked: DataFrame, filled: DataFrame | None) -> DataFrame:
+    """Checked files with their session_id, and status: error (unreadable), unchanged (digest as before), empty (no session found), or ingested."""
     known = F.when(F.col("content_hash").isNull(), "error").when(F.col("content_hash") == F.col("old_hash"), "unchanged")
-    return joined.withColumn("status", known.when(F.col("filled").isNull(), "empty").otherwise("ingested"))
+    joined = checked.join(filled, "file_path", "left") if filled is not None else checked.withColumn("session_id", F.lit(None).cast("string"))
+    status = known.when(F.col("session_id").isNull(), "empty").otherwise("ingested")
+    return joined.withColumn("status", status).withColumn("session_id", F.when(F.col("status") == "unchanged", F.col("old_id")).otherwise(F.col("session_id")))
 
 
 def part_of(key: str) -> Column:
@@ -164,9 +168,15 @@ class Store:
         before, name = self._places(), f"snapshot-{uuid.uuid4().hex}"
         after = {t: dict(before[t]) for t in SCHEMAS}
         fs, path = self._fs()
-        for t, (df, parts) in tables.items():
+
+        def write(t: str) -> None:
+            df, _ = tables[t]
             rows = df.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in SCHEMAS[t].split(", ")], part_of(KEYS[t]))
             rows.repartition("part").write.partitionBy("part").parquet(f"{self.path}/{name}/{t}")
+
+        with ThreadPoolExecutor(len(tables)) as pool:  # the tables are independent jobs
+            list(pool.map(write, tables))
+        for t, (_, parts) in tables.items():
             for k in parts:
                 folder = f"{name}/{t}/part={k}"
                 after[t].pop(str(k), None)
@@ -187,76 +197,89 @@ class Store:
         """Ingests changed files of (source, root); returns counts (source, status, n).
 
         A file that can't be read counts as error and keeps what it gave
-        before; the others go on.
+        before; the others go on.  Changed lines are read and put in order
+        once, into a staged table that all three tables come from.
         """
         if full:
             self.drop_all()
-        statuses, held, new = [], [], {t: None for t in SCHEMAS}
+        counts: list[tuple[str, str, int]] = []
+        held: list[DataFrame] = []
+        new: dict[str, DataFrame | None] = {t: None for t in SCHEMAS}
         changed_files = None
+        staged = f"{self.path}/.staged-{uuid.uuid4().hex}"
+
+        def keep(df: DataFrame) -> DataFrame:
+            held.append(df.persist())
+            return df
 
         def add(t: str, df: DataFrame) -> None:
             new[t] = df if new[t] is None else new[t].unionByName(df)
 
+        def count(name: str, df: DataFrame) -> dict[str, int]:
+            rows = df.groupBy("status").agg(F.count("*").alias("n"), F.max("file_size").alias("largest")).collect()
+            counts.extend((name, r["status"], r["n"]) for r in rows if r["status"] != "check")
+            return {r["status"]: (r["n"], r["largest"]) for r in rows}
+
+        def names(df: DataFrame, n: int) -> DataFrame | list[str]:
+            """Few files by name, which a scan opens alone; many as a table."""
+            return [r["file_path"] for r in df.select("file_path").collect()] if n <= jsonl.MOST_NAMED else df
+
         old_manifest = self.table("manifest")
-        old_ids = old_manifest.select("file_path", F.col("session_id").alias("old_id"))
-        for source, root in sources:
-            listing = diff(jsonl.files(self.spark, root), old_manifest).join(old_ids, "file_path", "left").persist()
-            held.append(listing)
-            statuses.append(listing.filter("status = 'skipped'").select(F.lit(source.name).alias("source"), "status"))
-            paths = [r["file_path"] for r in listing.filter("status = 'check'").select("file_path").collect()]
-            if not paths:
+        for k, (source, root) in enumerate(sources):
+            listing = keep(diff(jsonl.files(self.spark, root), old_manifest))
+            n, largest = count(source.name, listing).get("check", (0, 0))
+            if not n:
                 continue
-            found = jsonl.hashes(self.spark, paths).persist()
-            held.append(found)
-            fresh = listing.filter("status = 'check'").join(found.filter("content_hash is not null"), "file_path").filter("old_hash is null or content_hash <> old_hash")
-            fresh = fresh.select("file_path", "old_id").persist()
-            held.append(fresh)
-            changed = [r["file_path"] for r in fresh.select("file_path").collect()]
-            t = sessions.build(source.normalise(jsonl.read_lines(self.spark, *changed)), source.name, source.prefix, home) if changed else None
-            filled = t.session.select("file_path", F.col("id").alias("session_id")) if t else self.spark.createDataFrame([], "file_path string, session_id string")
-            state = decided(listing.filter("status = 'check'"), found, filled).join(filled, "file_path", "left")
-            state = state.withColumn("session_id", F.when(F.col("status") == "unchanged", F.col("old_id")).otherwise(F.col("session_id"))).persist()
-            held.append(state)
-            statuses.append(state.select(F.lit(source.name).alias("source"), "status"))
-            add("manifest", state.filter("status <> 'error'").select("file_path", "file_mtime", "file_size", "content_hash", "session_id"))
-            if t:
+            check = listing.filter("status = 'check'").drop("status")
+            found = jsonl.hashes(self.spark, root, chosen=names(check, n), largest=largest)
+            check = keep(check.join(found, "file_path", "left"))
+            fresh = check.filter("content_hash is not null and (old_hash is null or content_hash <> old_hash)").select("file_path", "old_id")
+            chosen = names(fresh, n)
+            filled = None
+            if chosen:
+                lines = source.normalise(jsonl.read_lines(self.spark, root, chosen=chosen))
+                rows = sessions.sequenced(lines, sessions.SEGMENT if largest > LARGE_FILE else None)
+                rows.write.option("compression", "zstd").parquet(f"{staged}/{k}")
+                t = sessions.tables(self.spark.read.schema(rows.schema).parquet(f"{staged}/{k}"), source.name, source.prefix, home, keep)
+                filled = t.session.select("file_path", F.col("id").alias("session_id"))
                 changed_files = fresh if changed_files is None else changed_files.union(fresh)
                 add("session", t.session.withColumn("ingested_at", F.current_timestamp()))
                 add("message", t.message)
                 add("tool_call", t.tool_call)
+            state = keep(decided(check, filled))
+            count(source.name, state)
+            add("manifest", state.filter("status <> 'error'").select("file_path", "file_mtime", "file_size", "content_hash", "session_id"))
         if new["manifest"] is not None:
             self._replace(new, changed_files, held)
-        out = statuses[0]
-        for s in statuses[1:]:
-            out = out.unionByName(s)
-        counts = out.groupBy("source", "status").agg(F.count("*").alias("n"))
-        counts = self.spark.createDataFrame(counts.collect(), counts.schema)
         for x in held:  # else a later listing of the same folders would be read from the cache
             x.unpersist()
-        return counts
+        fs, path = self._fs()
+        fs.delete(path(staged), True)
+        return self.spark.createDataFrame(counts, "source string, status string, n long")
 
     def _replace(self, new: dict[str, DataFrame | None], changed: DataFrame | None, held: list[DataFrame]) -> None:
         """Writes the parts that new rows or deleted sessions touch."""
-
-        def touched(keys: DataFrame) -> list[int]:
-            return [r["part"] for r in keys.select(part_of(keys.columns[0])).distinct().collect()]
-
         files = new["manifest"].select("file_path")
-        parts = touched(files)
-        rest = self.table("manifest", parts).join(files, "file_path", "left_anti")
-        tables = {"manifest": (rest.unionByName(new["manifest"]), parts)}
+        touched = files.select(F.lit("manifest").alias("of"), part_of("file_path"))
+        gone = None
         if changed is not None:
-            session = surviving(new["session"], changed).persist()
-            held.append(session)
             # what a changed file gave before goes, whatever it gives now; and what has a new session's id
             gone = changed.select(F.col("old_id").alias("id")).filter("id is not null").union(new["session"].select("id")).distinct().persist()
             held.append(gone)
-            parts = touched(gone)
+            touched = touched.union(gone.select(F.lit("session"), part_of("id")))
+        parts: dict[str, list[int]] = {"manifest": [], "session": []}
+        for r in touched.distinct().collect():
+            parts[r["of"]].append(r["part"])
+        rest = self.table("manifest", parts["manifest"]).join(files, "file_path", "left_anti")
+        tables = {"manifest": (rest.unionByName(new["manifest"]), parts["manifest"])}
+        if gone is not None:
+            session = surviving(new["session"], changed).persist()
+            held.append(session)
             winners = session.select("file_path")
             for t in ("session", "message", "tool_call"):
-                rest = self.table(t, parts).join(gone.withColumnRenamed("id", KEYS[t]), KEYS[t], "left_anti")
+                rest = self.table(t, parts["session"]).join(gone.withColumnRenamed("id", KEYS[t]), KEYS[t], "left_anti")
                 own = session if t == "session" else new[t].join(winners, "file_path", "left_semi").drop("file_path")
-                tables[t] = (rest.unionByName(own), parts)
+                tables[t] = (rest.unionByName(own), parts["session"])
         self.commit(tables)
 
     def stats(self) -> dict[str, Any]:

@@ -13,7 +13,9 @@ def get(v: str, path: str, kind: str = "string") -> Column:
 
 
 def stem() -> Column:
-    return F.regexp_replace(F.regexp_extract("file_path", r"([^/]*)$", 1), r"\.[^.]*$", "")
+    """The file's name without its ending; Spark gives paths as URIs."""
+    name = F.regexp_replace(F.regexp_extract("file_path", r"([^/]*)$", 1), r"\.[^.]*$", "")
+    return F.coalesce(F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), name)
 
 
 def message_text() -> Column:
