@@ -10,14 +10,13 @@ import json
 import os
 import sys
 import time
-from collections.abc import Callable
 from typing import Any
 
 from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from logloom.operators import digest, export, habits, report, similarity
+from logloom.operators import digest, embedding, export, habits, report, similarity
 from logloom.plans.index import Index
 from logloom.plans.store import CORRUPT, EMPTY, OK, SCHEMA_VERSION, UNHEALTHY, VERSION, Store, StoreCorrupt, StoreEmpty, StoreVersion
 from logloom.sources.registry import SOURCES
@@ -38,25 +37,10 @@ PURPOSES = {
 }
 COMMANDS = list(PURPOSES)
 EXIT_CODES = {OK: "ok", UNHEALTHY: "unhealthy", EMPTY: "empty: run ingest", CORRUPT: "corrupt: run ingest --full", VERSION: "other schema version: run ingest --full"}
-EMBEDDING_MODEL = "intfloat/multilingual-e5-small"
-
-#: Texts to vectors, or None where no model is at hand.
-Embedder = Callable[[list[str]], "list[list[float]] | None"]
-
-
 def say(message: str) -> None:
     print(message, file=sys.stderr)
 
 
-def embedded(texts: list[str], model: str = EMBEDDING_MODEL) -> list[list[float]] | None:
-    """Vectors by an optional package; None without it."""
-    try:
-        from fastembed import TextEmbedding
-    except ImportError:
-        return None
-    return [[float(x) for x in v] for v in TextEmbedding(model).embed(texts)]
-
-
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="logloom")
     p.add_argument("--store", default="loom-store")
@@ -83,36 +67,31 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def cluster_document(store: Store, threshold: float | None = None, embed: Embedder | None = None) -> dict[str, Any]:
-    """Recurring tasks: at most similarity.LIMIT texts, by the vectors of embed where it gives any, else by TF-IDF."""
+def cluster_document(store: Store, threshold: float | None = None, embed: embedding.Loader | None = None, model: str = embedding.MODEL) -> dict[str, Any]:
+    """Recurring tasks: at most similarity.LIMIT texts, by the vectors of a model where one is at hand, else by TF-IDF."""
     t = store.tables()
     real = t.session.filter("kind = 'real'").select(F.col("id").alias("session_id"), "source")
     tasks = t.message.join(real, "session_id").filter("is_task and text is not null")
     texts = tasks.select(F.concat_ws("#", "session_id", F.format_string("%08d", "seq")).alias("id"), "text", "source").orderBy("id").limit(similarity.LIMIT).persist()
-    own = texts.collect()
-    if not own:
+    n = texts.count()
+    if not n:
         return {"mode": "none", "n_tasks": 0, "clusters": []}
-    vectors = embed([r["text"] for r in own]) if embed else None
-    if vectors:
-        mode, cut = "embeddings", similarity.VECTOR_THRESHOLD if threshold is None else threshold
-        rows = [(r["id"], r["text"], r["source"], [float(x) for x in v]) for r, v in zip(own, vectors, strict=True)]
-        texts = store.spark.createDataFrame(rows, "id string, text string, source string, vec array<double>")
-        found = similarity.cluster_texts(texts, cut, vec="vec").persist()
-    else:
-        mode, cut = "tfidf", similarity.TFIDF_THRESHOLD if threshold is None else threshold
-        found = similarity.cluster_texts(texts, cut).persist()
+    vectors = embedding.embedded(texts, embed, model) if embed else None
+    mode, usual, vec = ("embeddings", similarity.VECTOR_THRESHOLD, "vec") if vectors is not None else ("tfidf", similarity.TFIDF_THRESHOLD, None)
+    cut = usual if threshold is None else threshold
+    found = similarity.cluster_texts(texts if vectors is None else vectors.persist(), cut, vec=vec).persist()
     rows = similarity.summary(texts, found).collect()
     alone = similarity.singletons(texts, found).collect()
     single = found.groupBy("leader").count().filter("count = 1").count()
     return {
-        "mode": mode, "threshold": cut, "n_tasks": len(own), "n_singletons": single,
+        "mode": mode, "threshold": cut, "n_tasks": n, "n_singletons": single,
         "clusters": [{"size": r["size"], "representative": r["representative"], "top_terms": r["top_terms"], "sources": r["sources"], "sample_sessions": [m.split("#")[0] for m in r["members"]]} for r in rows],
         "singleton_samples": [r["sample"] for r in alone],
     }
 
 
 def clusters_for(store: Store, args: argparse.Namespace) -> dict[str, Any]:
-    found = cluster_document(store, getattr(args, "threshold", None), embedded if args.embeddings else None)
+    found = cluster_document(store, getattr(args, "threshold", None), embedding.fastembed() if args.embeddings else None)
     if args.embeddings and found["mode"] != "embeddings":
         say("no embedding model at hand: clustered by TF-IDF")
     say(f"mode {found['mode']}, {found['n_tasks']} tasks, {len(found['clusters'])} clusters")

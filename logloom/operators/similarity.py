@@ -1,21 +1,35 @@
-"""TF-IDF and vector similarity, and leader clustering of a bounded set of texts."""
+"""TF-IDF and vector similarity joins, and leader clustering."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions import text as tx
+from logloom.operators.scratch import Scratch
 
 TFIDF_THRESHOLD, VECTOR_THRESHOLD, LIMIT = 0.28, 0.82, 500
-#: Most vectors whose pairs are all compared.
+#: Most items whose pairs are all compared, as a threshold of 0 or less asks for.
 BOUNDED = 5000
+#: Most pivots, and vectors of a cell that one task compares with others.
+PIVOTS, CELL = 512, 2048
+#: What rounding may take off a similarity, and off an angle.
+SLACK, ANGLE_SLACK = 1e-8, 1e-6
+
+#: (a, b, sim) with a < b of all pairs of texts(id, text, ...) that are at least as similar as a threshold.
+Pairs = Callable[[DataFrame, float], DataFrame]
 
 
 def tfidf(texts: DataFrame, id: str = "id", text: str = "text", tokens: Column | None = None) -> DataFrame:
     """(id, term, w): unit vectors of term frequency times ln((N + 1) / (df + 1)) + 1."""
     words = tx.words(F.col(text)) if tokens is None else tokens
-    tf = texts.select(F.col(id).alias("id"), F.explode(words).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    # written, because three steps read it
+    tf = Scratch(texts.sparkSession).write(texts.select(F.col(id).alias("id"), F.explode(words).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf")))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     n = texts.agg(F.count("*").alias("n"))
     raw = tf.join(df, "term").crossJoin(F.broadcast(n)).select("id", "term", (F.col("tf") * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)).alias("w"))
@@ -23,27 +37,169 @@ def tfidf(texts: DataFrame, id: str = "id", text: str = "text", tokens: Column |
     return raw.join(norm, "id").select("id", "term", (F.col("w") / F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm"))).alias("w"))
 
 
-def sparse_pairs(weights: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, sim) with a < b: pairs that share a term and are at least as similar as the threshold.
+def every_pair(ids: DataFrame, dots: DataFrame, threshold: float) -> DataFrame:
+    """All pairs of at most BOUNDED ids, those without a row in dots(a, b, sim) with similarity 0."""
+    if ids.limit(BOUNDED + 1).count() > BOUNDED:
+        raise ValueError(f"more than {BOUNDED} items: a threshold of 0 or less is for a bounded set")
+    x, y = ids.select(F.col("id").alias("a")), ids.select(F.col("id").alias("b"))
+    pairs = x.join(F.broadcast(y), F.col("a") < F.col("b")).join(dots, ["a", "b"], "left")
+    return pairs.select("a", "b", F.coalesce("sim", F.lit(0.0)).alias("sim")).filter(F.round("sim", 9) >= threshold)
+
 
-    A join on terms; meant for the bounded candidate set of clustering.
+def candidates(weights: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) with a < b: all pairs of unit vectors weights(id, term, w) that may reach the threshold.
+
+    Terms have one order, rare ones first.  Where two vectors' first common
+    term is at places from which on their norms are s and t, their product is
+    s * t at most; so a vector's terms from which on its norm is below the
+    threshold, mostly frequent ones, start no pair, and of the other matches
+    only those with s * t at the threshold count.
     """
-    x = weights.select(F.col("id").alias("a"), "term", F.col("w").alias("wa"))
-    y = weights.select(F.col("id").alias("b"), "term", F.col("w").alias("wb"))
-    dot = x.join(y, "term").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim"))
-    return dot.filter(F.round("sim", 9) >= threshold)
+    aim = threshold - SLACK
+    df = weights.groupBy("term").agg(F.count("*").alias("df"))
+    rest = Window.partitionBy("id").orderBy("df", "term").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    heads = weights.join(df, "term").withColumn("s", F.sqrt(F.sum(F.col("w") * F.col("w")).over(rest))).filter(F.col("s") >= aim)
+    x, y = heads.select(F.col("id").alias("a"), "term", F.col("s").alias("sa")), heads.select(F.col("id").alias("b"), "term", F.col("s").alias("sb"))
+    return x.join(y, "term").filter((F.col("a") < F.col("b")) & (F.col("sa") * F.col("sb") >= aim)).select("a", "b").distinct()
+
+
+def sparse_pairs(weights: DataFrame, threshold: float, ids: DataFrame | None = None) -> DataFrame:
+    """(a, b, sim) with a < b: pairs of unit vectors weights(id, term, w) that are at least as similar as the threshold.
+
+    Below a positive threshold nothing is compared that shares no rare term;
+    otherwise all pairs of ids (or of those with a term) are, and must be few.
+    """
+    if threshold <= 0:
+        x, y = weights.select(F.col("id").alias("a"), "term", F.col("w").alias("wa")), weights.select(F.col("id").alias("b"), "term", F.col("w").alias("wb"))
+        dots = x.join(y, "term").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim"))
+        return every_pair(weights.select("id").distinct() if ids is None else ids.select("id"), dots, threshold)
+    whole = weights.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("v"))
+    met = candidates(weights, threshold)
+    both = met.join(whole.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(whole.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
+    dot = F.aggregate(F.map_entries("va"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("vb", e["key"]), F.lit(0.0)))
+    return both.select("a", "b", dot.alias("sim")).filter(F.round("sim", 9) >= threshold)
+
+
+def _units(column: pa.Array) -> np.ndarray:
+    rows = np.array(column.to_pylist(), dtype=np.float64)
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
+def _angles(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(units @ pivots.T, -1.0, 1.0))
+
+
+def cells(vectors: DataFrame, threshold: float, pivots: int | None = None) -> DataFrame:
+    """(cell, salt, own, id, angle, v): vectors(id, v) dealt to the cells of pivots, those of CELL vectors and more to several salts.
+
+    A vector's home is the cell of its nearest pivot.  Angles are a metric, so
+    one within the threshold's angle t of a vector at home in cell c is at most
+    t farther from that cell's pivot than the cell reaches, and at most 2 t
+    nearer to its own pivot than to c's; it visits the lower ones of those cells
+    and no others.
+    """
+    spark = vectors.sparkSession
+    n = vectors.count()
+    k = pivots or max(1, min(PIVOTS, int(math.sqrt(n) / 2)))
+    chosen = vectors.orderBy(F.xxhash64("id"), "id").limit(k).select("v").collect()  # at most PIVOTS
+    sent = spark.sparkContext.broadcast(_units(pa.array([r["v"] for r in chosen])) if chosen else np.zeros((0, 1)))
+    near = math.acos(max(-1.0, min(1.0, threshold - SLACK))) + ANGLE_SLACK
+    kind = dict(vectors.dtypes)["id"]
+
+    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            angles = _angles(_units(b.column("v")), sent.value)
+            home = angles.argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(home, pa.int32()), pa.array(angles[np.arange(len(home)), home])], ["cell", "angle"])
 
+    sizes = vectors.select("id", "v").mapInArrow(homes, "cell int, angle double").groupBy("cell").agg(F.max("angle").alias("reach"), F.count("*").alias("n")).collect()  # one row a pivot
+    reach, salts = np.full(k, -np.inf), np.ones(k, np.int64)
+    for r in sizes:
+        reach[r["cell"]], salts[r["cell"]] = r["reach"], max(1, -(-r["n"] // CELL))
 
-def dense_pairs(vectors: DataFrame, threshold: float, id: str = "id", vec: str = "vec") -> DataFrame:
-    """(a, b, sim) by cosine for at most BOUNDED vectors, whose other side is broadcast; more are an error."""
-    if vectors.limit(BOUNDED + 1).count() > BOUNDED:
-        raise ValueError(f"more than {BOUNDED} vectors: all pairs are for a bounded set")
-    v = F.col(vec).cast("array<double>")
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    unit = vectors.select(F.col(id).alias("id"), F.transform(v, lambda x: x / F.when(norm == 0, 1.0).otherwise(norm)).alias("u"))
-    x, y = unit.select(F.col("id").alias("a"), F.col("u").alias("ua")), unit.select(F.col("id").alias("b"), F.col("u").alias("ub"))
-    sim = F.aggregate(F.zip_with("ua", "ub", lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x)
-    return x.join(F.broadcast(y), F.col("a") < F.col("b")).select("a", "b", sim.alias("sim")).filter(F.round("sim", 9) >= threshold)
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            angles = _angles(_units(b.column("v")), sent.value)
+            rows = np.arange(len(angles))
+            home = angles.argmin(axis=1)
+            own = angles[rows, home]
+            visits = (angles <= reach + near) & (angles - own[:, None] <= 2 * near) & (np.arange(k) < home[:, None])
+            at, cell = np.nonzero(visits)
+            at, cell, is_own = np.concatenate([rows, at]), np.concatenate([home, cell]), np.arange(len(rows) + len(at)) < len(rows)
+            columns = [pa.array(cell, pa.int32()), pa.array(is_own), b.column("id").take(pa.array(at)), pa.array(angles[at, cell]), b.column("v").take(pa.array(at))]
+            yield pa.RecordBatch.from_arrays(columns, ["cell", "home", "id", "angle", "v"])
+
+    placed = vectors.select("id", "v").mapInArrow(dealt, f"cell int, home boolean, id {kind}, angle double, v array<double>")
+    # a vector at home has one salt as its own and is compared in the lower ones; a visitor is compared in all
+    count = F.element_at(F.array(*[F.lit(int(s)) for s in salts]), F.col("cell") + 1)
+    mine = F.pmod(F.xxhash64("id"), count).cast("int")
+    last = F.when(F.col("home"), mine).otherwise(count - 1).cast("int")
+    spread = placed.select("*", mine.alias("_mine"), F.explode(F.sequence(F.lit(0), last)).alias("salt"))
+    return spread.select("cell", "salt", (F.col("home") & (F.col("salt") == F.col("_mine"))).alias("own"), "id", "angle", "v")
+
+
+def _compared(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over rows of cells, sorted, own ones first: the similar pairs of each cell and salt."""
+    near = math.acos(max(-1.0, min(1.0, threshold - SLACK))) + ANGLE_SLACK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, ids, units, angles = None, [], None, None
+
+        def met(other_ids: list, other: np.ndarray, other_angles: np.ndarray, same: int | None, kind: pa.DataType) -> pa.RecordBatch | None:
+            """Own rows against others; ``same`` is the place of the others among the own rows, if they are own rows."""
+            sim = units @ other.T
+            close = (np.round(sim, 9) >= threshold) & (np.abs(angles[:, None] - other_angles) <= near)
+            if same is not None:
+                close &= np.arange(len(units))[:, None] < np.arange(same, same + len(other))
+            i, j = np.nonzero(close)
+            if not len(i):
+                return None
+            pairs = [sorted((ids[x], other_ids[y])) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], kind), pa.array([p[1] for p in pairs], kind), pa.array(sim[i, j])], ["a", "b", "sim"])
+
+        for b in batches:
+            keys = np.stack([b.column("cell").to_numpy(), b.column("salt").to_numpy(), b.column("own").to_numpy(zero_copy_only=False)])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+            for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if start == end:
+                    continue
+                part = b.slice(start, end - start)
+                key, own = (int(keys[0, start]), int(keys[1, start])), bool(keys[2, start])
+                if key != group:
+                    group, ids, units, angles = key, [], None, None
+                new_ids, new, new_angles = part.column("id").to_pylist(), _units(part.column("v")), part.column("angle").to_numpy()
+                found = None
+                if own:
+                    at = len(ids)
+                    ids = ids + new_ids
+                    units = new if units is None else np.concatenate([units, new])
+                    angles = new_angles if angles is None else np.concatenate([angles, new_angles])
+                    found = met(new_ids, new, new_angles, at, part.column("id").type)
+                elif units is not None:
+                    found = met(new_ids, new, new_angles, None, part.column("id").type)
+                if found is not None:
+                    yield found
+
+    return run
+
+
+def dense_pairs(vectors: DataFrame, threshold: float, id: str = "id", vec: str = "vec", pivots: int | None = None) -> DataFrame:
+    """(a, b, sim) with a < b: all pairs by cosine at the threshold or above; exact, any number of vectors.
+
+    Null vectors and zero vectors are similar to nothing, at a threshold of 0
+    or less to at most BOUNDED others.
+    """
+    given = vectors.select(F.col(id).alias("id"), F.col(vec).cast("array<double>").alias("v")).filter(F.col("v").isNotNull())
+    sound = given.filter(F.exists("v", lambda x: x != 0))
+    if threshold <= 0:
+        norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+        unit = sound.select("id", F.transform("v", lambda x: x / norm).alias("u"))
+        x, y = unit.select(F.col("id").alias("a"), F.col("u").alias("ua")), unit.select(F.col("id").alias("b"), F.col("u").alias("ub"))
+        sim = F.aggregate(F.zip_with("ua", "ub", lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x)
+        return every_pair(given.select("id"), x.join(F.broadcast(y), F.col("a") < F.col("b")).select("a", "b", sim.alias("sim")), threshold)
+    kind = dict(sound.dtypes)["id"]
+    placed = cells(sound, threshold, pivots).repartition("cell", "salt").sortWithinPartitions("cell", "salt", F.desc("own"))
+    return placed.mapInArrow(_compared(threshold), f"a {kind}, b {kind}, sim double")
 
 
 def leaders(ranked: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -55,43 +211,61 @@ def leaders(ranked: DataFrame, pairs: DataFrame) -> DataFrame:
     in rounds, in which every undecided item without an undecided or leading
     predecessor becomes a leader and its neighbours follow.
     """
-    r = ranked.select("id", "rank")
+    scratch = Scratch(ranked.sparkSession)
+    r = scratch.write(ranked.select("id", "rank"))
     a, b = r.select(F.col("id").alias("a"), F.col("rank").alias("ra")), r.select(F.col("id").alias("b"), F.col("rank").alias("rb"))
     sided = pairs.join(a, "a").join(b, "b")
     earlier = F.col("ra") < F.col("rb")
-    edges = sided.select(
+    edges = scratch.write(sided.select(
         F.when(earlier, F.col("a")).otherwise(F.col("b")).alias("lead"),
         F.when(earlier, F.col("b")).otherwise(F.col("a")).alias("item"),
         F.least("ra", "rb").alias("lead_rank"),
         "sim",
-    ).persist()
-    state = r.withColumn("role", F.lit("open"))
-    while True:
-        known = state.persist()
-        if known.filter("role = 'open'").isEmpty():
-            break
-        roles = known.select(F.col("id").alias("lead"), F.col("role").alias("lead_role"))
-        seen = edges.join(roles, "lead").groupBy(F.col("item").alias("id")).agg(F.bool_or(F.col("lead_role") == "leader").alias("led"), F.bool_or(F.col("lead_role") == "open").alias("waits"))
-        role = F.when(F.col("role") != "open", F.col("role")).when(F.coalesce("led", F.lit(False)), "follower").when(F.coalesce("waits", F.lit(False)), "open").otherwise("leader")
-        state = known.join(seen, "id", "left").select("id", "rank", role.alias("role"))
-        # cut the growing plan: the set is bounded
-        state = known.sparkSession.createDataFrame(state.collect(), known.schema)
-    chosen = known.filter("role = 'leader'").select("id")
+    ))
+    # items without an earlier neighbour lead at once; what is open waits for its earlier neighbours
+    open_edges, roles = edges.select("lead", "item"), None
+    waiting = scratch.write(open_edges.select(F.col("item").alias("id")).distinct())
+    decided = scratch.write(r.select("id").join(waiting, "id", "left_anti").withColumn("leads", F.lit(True)))
+    roles = decided
+    while not waiting.isEmpty():
+        # followers of new leaders, and then those that wait for nobody any more
+        led = scratch.write(open_edges.join(decided.filter("leads").select(F.col("id").alias("lead")), "lead", "left_semi").select(F.col("item").alias("id")).distinct())
+        done = decided.select("id").union(led).distinct()
+        left = scratch.write(open_edges.join(done.withColumnRenamed("id", "lead"), "lead", "left_anti").join(led.withColumnRenamed("id", "item"), "item", "left_anti"))
+        rest = scratch.write(waiting.join(led, "id", "left_anti"))
+        still = left.select(F.col("item").alias("id")).distinct()
+        new = rest.join(still, "id", "left_anti").select("id", F.lit(True).alias("leads"))
+        decided = scratch.write(new.union(led.select("id", F.lit(False).alias("leads"))))
+        waiting, open_edges = scratch.write(rest.join(decided.select("id"), "id", "left_anti")), left
+        roles = roles.union(decided)
+    chosen = roles.filter("leads").select("id")
     best = edges.join(chosen.select(F.col("id").alias("lead")), "lead").groupBy(F.col("item").alias("id")).agg(F.max_by("lead", F.struct(F.round("sim", 9).alias("sim"), "lead_rank")).alias("leader"))
-    follow = known.filter("role = 'follower'").select("id").join(best, "id")
+    follow = roles.filter("not leads").select("id").join(best, "id")
     return follow.union(chosen.select("id", F.col("id").alias("leader")))
 
 
 def ranked_by_length(texts: DataFrame, id: str = "id", text: str = "text") -> DataFrame:
-    """The order of clustering: longest first, ties by id; for a bounded set."""
-    return texts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.length(text)), id)))
+    """The order of clustering: longest first, ties by id."""
+    return texts.withColumn("rank", F.struct((-F.length(text)).alias("n"), F.col(id).alias("id")))
+
+
+def tfidf_pairs(texts: DataFrame, threshold: float) -> DataFrame:
+    return sparse_pairs(Scratch(texts.sparkSession).write(tfidf(texts)), threshold, texts)
 
 
-def cluster_texts(texts: DataFrame, threshold: float = TFIDF_THRESHOLD, limit: int = LIMIT, vec: str | None = None) -> DataFrame:
-    """(id, leader) of at most limit texts(id, text), by TF-IDF or by the vectors in column vec."""
-    bounded = texts.orderBy("id").limit(limit)
-    pairs = dense_pairs(bounded, threshold, "id", vec) if vec else sparse_pairs(tfidf(bounded), threshold)
-    return leaders(ranked_by_length(bounded), pairs)
+def vector_pairs(vec: str) -> Pairs:
+    return lambda texts, threshold: dense_pairs(texts, threshold, "id", vec)
+
+
+def cluster_texts(texts: DataFrame, threshold: float = TFIDF_THRESHOLD, limit: int | None = LIMIT, vec: str | None = None, pairs: Pairs | None = None) -> DataFrame:
+    """(id, leader) of texts(id, text), of at most limit where one is given.
+
+    Similarity is that of TF-IDF, of the vectors in column vec, or what
+    ``pairs`` finds.
+    """
+    chosen = texts.orderBy("id").limit(limit) if limit else texts
+    found = (pairs or (vector_pairs(vec) if vec else tfidf_pairs))(chosen, threshold)
+    return leaders(ranked_by_length(chosen), found)
 
 
 def summary(texts: DataFrame, clusters: DataFrame, top_terms: int = 6, samples: int = 3) -> DataFrame:

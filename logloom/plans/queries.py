@@ -115,8 +115,8 @@ def turn_sequence_in_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT event_id, sum(value) OVER w AS so_far, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id % 3 ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bought
-FROM (SELECT *, 1 AS value FROM events) WINDOW w AS (PARTITION BY user_id % 3 ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+    """SELECT event_id, CAST(sum(one) OVER w AS BIGINT) AS so_far, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id % 3 ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bought
+FROM (SELECT *, 1 AS one FROM events) WINDOW w AS (PARTITION BY user_id % 3 ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
 )
 def running_values_of_long_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three groups hold all events: their running values come from segments, not from a window over a third of the table."""
@@ -387,6 +387,22 @@ def tfidf_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.sparse_pairs(similarity.tfidf(_prompts(spark, sf_dir)), 0.28).withColumn("sim", F.round("sim", 6))
 
 
+@query(f"WITH {sql_tfidf('')} SELECT x.id AS a, y.id AS b, round(sum(x.w * y.w), 6) AS sim FROM w x JOIN w y ON x.term = y.term AND x.id < y.id GROUP BY x.id, y.id HAVING round(sum(x.w * y.w), 9) >= 0.2")
+def similar_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All prompts, however many: the join starts at rare terms."""
+    return similarity.tfidf_pairs(_all_prompts(spark, sf_dir), 0.2).withColumn("sim", F.round("sim", 6))
+
+
+@query(
+    """WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL)
+SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS sim FROM e a JOIN e b ON a.id < b.id WHERE round(list_cosine_similarity(a.v, b.v), 9) >= 0.35"""
+)
+def similar_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors, dealt to the cells of pivots."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return similarity.dense_pairs(v, 0.35).withColumn("sim", F.round("sim", 6))
+
+
 # the sequential definition: in order each item takes the most similar leader, the latest of equals, or leads
 SEQUENTIAL = """
 nb AS MATERIALIZED (SELECT i, list({'s': s, 'j': j}) AS near FROM p GROUP BY i),

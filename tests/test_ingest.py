@@ -260,7 +260,7 @@ def test_clusters_by_vectors(spark, tmp_path, roots):
     a, b = roots
     st = Store(spark, str(tmp_path / "store"))
     st.ingest([(A, a), (B, b)], home="/home/me")
-    found = cli.cluster_document(st, None, lambda texts: [[1.0, 0.0] if "parser" in t or "revert" in t else [0.0, 1.0] for t in texts])
+    found = cli.cluster_document(st, None, lambda: lambda texts: [[1.0, 0.0] if "parser" in t or "revert" in t else [0.0, 1.0] for t in texts], "two")
     assert found["mode"] == "embeddings" and found["threshold"] == 0.82
     assert sorted(sorted(c["sources"].items()) for c in found["clusters"]) == [[("claude-code", 1), ("codex", 1)], [("claude-code", 2)]]
-    assert cli.cluster_document(st, None, lambda texts: None)["mode"] == "tfidf"
+    assert cli.cluster_document(st, None, lambda: None)["mode"] == "tfidf"

@@ -78,14 +78,6 @@ def test_stream_of_lines(spark, tmp_path):
     assert counts == {("2024-01-01 01:00:00", "a"): 2, ("2024-01-01 01:00:00", "b"): 1, ("2024-01-01 03:00:00", "a"): 1}
 
 
-def test_bounded_pairs(spark, monkeypatch):
-    v = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(4)], "id int, vec array<double>")
-    assert similarity.dense_pairs(v, 0.9).count() == 2
-    monkeypatch.setattr(similarity, "BOUNDED", 3)
-    with pytest.raises(ValueError):
-        similarity.dense_pairs(v, 0.9)
-
-
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
