@@ -61,6 +61,8 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--embeddings", action="store_true")
         if name == "cluster":
             c.add_argument("--threshold", type=float)
+        if name == "doctor":
+            c.add_argument("--deep", action="store_true", help="read every part, not only those whose files changed")
         if name == "export":
             c.add_argument("--digest", help="a digest file instead of the store's")
             c.add_argument("--no-db", action="store_true", help="only what the digest gives")
@@ -166,7 +168,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> tuple[int, Any]:
     if name == "triage":
         return readiness(store)
     if name == "doctor":
-        found = store.health() | {"digest_missing": store.kept("digest.json") is None}
+        found = store.health(args.deep) | {"digest_missing": store.kept("digest.json") is None}
         if found["integrity"] == "ok":
             found["index"] = Index(store).status()
         return OK if found["status"] == "healthy" else CORRUPT if found["integrity"] != "ok" else UNHEALTHY, found

@@ -152,12 +152,41 @@ def libraries(c: Column, names: Sequence[str] = lx.LIBRARIES, aliases: dict[str,
     return F.array_distinct(folded)
 
 
+def _rare_ts(c: Column) -> Column:
+    """Timestamps in any ISO-8601 form: compact dates and clocks, week dates, parts of a clock, offsets with seconds, any separator."""
+
+    def part(x: Column, pattern: str) -> Column:
+        return F.regexp_extract(x, pattern, 1)
+
+    given = part(c, r"^(\d{4}-\d{2}-\d{2}|\d{4}-W\d{2}(?:-[1-7](?!\d))?|\d{8}|\d{4}W\d{2}[1-7]?)(?:[^\d]|$)")
+    year, week = F.substring(given, 1, 4), part(given, r"W(\d{2})")
+    day = F.coalesce(F.nullif(part(given, r"W\d{2}-?(\d)"), F.lit("")), F.lit("1"))
+    monday = F.date_trunc("week", F.try_to_timestamp(F.concat(year, F.lit("-01-04"))))
+    of_week = F.date_add(monday.cast("date"), ((week.try_cast("int") - 1) * 7 + day.try_cast("int") - 1).cast("int"))
+    # week 53 is one only in some years
+    of_week = F.when((F.date_trunc("week", F.try_to_timestamp(F.concat((year.try_cast("int") + 1).cast("string"), F.lit("-01-04")))).cast("date") > of_week) & (week >= "01"), of_week.cast("string"))
+    date = F.when(week != "", of_week).otherwise(F.concat_ws("-", year, F.substring(F.replace(given, F.lit("-"), F.lit("")), 5, 2), F.substring(F.replace(given, F.lit("-"), F.lit("")), 7, 2)))
+    time = F.substring(c, F.length(given) + 2, F.length(c))
+    clock = part(time, r"^(\d{2}(?::\d{2}(?::(?=[+-])|:\d{2}(?:[.,]\d+)?)?)?|\d{4}(?:\d{2}(?:[.,]\d+)?)?)(?:[+-]|$)")
+    zone = F.substring(time, F.length(clock) + 1, F.length(time))
+    digits = F.replace(clock, F.lit(":"), F.lit(""))
+    hms = F.rpad(part(digits, r"^(\d+)"), 6, "0")
+    fraction = F.substring(F.rpad(part(digits, r"[.,](\d+)"), 6, "0"), 1, 6)
+    local = F.concat(date, F.lit(" "), F.substring(hms, 1, 2), F.lit(":"), F.substring(hms, 3, 2), F.lit(":"), F.substring(hms, 5, 2), F.lit("."), fraction)
+    offset = F.rpad(F.replace(F.substring(zone, 2, 9), F.lit(":"), F.lit("")), 6, "0")
+    minutes, seconds = F.substring(offset, 3, 2).try_cast("int"), F.substring(offset, 5, 2).try_cast("int")
+    off = (F.substring(offset, 1, 2).try_cast("int") * 3600 + minutes * 60 + seconds) * F.when(zone.startswith("-"), -1).otherwise(1)
+    sound = (given != "") & (year != "0000") & ((F.length(c) == F.length(given)) | (clock != "")) & zone.rlike(r"^(?:[+-]\d{2}(?::\d{2}(?::\d{2})?|\d{2}(?:\d{2})?)?)?$")
+    zoned = F.timestamp_micros(F.unix_micros(F.try_to_timestamp(F.concat(local, F.lit("Z")))) - off.cast("long") * 1_000_000)
+    usual = (F.abs(off) < 86400) & (minutes < 60) & (seconds < 60)
+    return F.when(sound, F.when(zone == "", F.try_to_timestamp(local)).when(usual, zoned))
+
+
 def parse_ts(c: Column) -> Column:
-    """ISO-8601 date or time, extended or compact, as a timestamp in the session's zone; null for anything else."""
-    c = F.regexp_replace(c, r"^(\d{4})(\d{2})(\d{2})(?=[T ]|$)", "$1-$2-$3")
-    c = F.regexp_replace(c, r"^(.{10}[T ]\d{2})(\d{2})(?:(\d{2}))?(?=[.,Z+-]|$)", "$1:$2:$3")
-    c = F.regexp_replace(c, r":(?=[.,Z+-]|$)", "")
-    return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d+)?)?)?(Z|[+-]\d{2}(:?\d{2})?)?)?$"), F.try_to_timestamp(c))
+    """ISO-8601 date or time in any form as a timestamp in the session's zone, which times without an offset are in; null for anything else."""
+    c = F.replace(c, F.lit("Z"), F.lit("+00:00"))
+    common = c.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}:\d{2}(\.\d{1,6})?([+-]\d{2}:\d{2})?)?$") & ~c.startswith("0000")
+    return F.when(common, F.try_to_timestamp(c)).otherwise(_rare_ts(c))
 
 
 def file_ext(path: Column) -> Column:

@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -99,6 +100,11 @@ def telling(clusters: list[dict[str, Any]], k: int = 8) -> list[dict[str, Any]]:
     return [c for text, c in bare if len(text) >= 16 and not re.match(lx.FILLER_OPENER, text)][:k]
 
 
+def sound(clusters: list[dict[str, Any]], k: int = 8) -> list[dict[str, Any]]:
+    """The first k clusters whose representative is no heading, key or left-over of a tool."""
+    return [c for c in clusters if not re.search(lx.JUNK_CLUSTER, c.get("representative") or "")][:k]
+
+
 def rules(profile: dict[str, Any], least: int = 2) -> list[dict[str, Any]]:
     """Themes of repeated corrections that may become rules."""
     return [t for t in profile.get("friction_themes", []) if t["theme"] != lx.PROFILE_OTHER and t["n"] >= least]
@@ -132,9 +138,9 @@ def _of_digest(d: dict[str, Any], insights: list[str]) -> list[Section]:
     ]
 
 
-def _of_clusters(found: dict[str, Any]) -> Section:
+def _of_clusters(found: dict[str, Any], chosen: Callable[[list[dict[str, Any]]], list[dict[str, Any]]]) -> Section:
     figures = [("Tasks", str(found.get("n_tasks", 0))), ("Only once", str(found.get("n_singletons", 0))), ("Method", str(found.get("mode", "none")))]
-    lines = [f"{c['size']}× {shortened(c['representative'], 90)}" + (f" ({' · '.join(c['top_terms'][:5])})" if c.get("top_terms") else "") for c in telling(found.get("clusters", []))]
+    lines = [f"{c['size']}× {shortened(c['representative'], 90)}" + (f" ({' · '.join(c['top_terms'][:5])})" if c.get("top_terms") else "") for c in chosen(found.get("clusters", []))]
     return Section("Recurring tasks", figures, {}, lines)
 
 
@@ -156,13 +162,16 @@ def _of_profile(p: dict[str, Any]) -> list[Section]:
     ]
 
 
-def sections(document: dict[str, Any]) -> list[Section]:
-    """What a report of document (digest, clusters, profile, insights; any may be missing) shows, empty sections left out."""
+def sections(document: dict[str, Any], chosen: Callable[[list[dict[str, Any]]], list[dict[str, Any]]] = telling) -> list[Section]:
+    """What a report of document (digest, clusters, profile, insights; any may be missing) shows, empty sections left out.
+
+    ``chosen`` picks the clusters: the page shows telling ones, Markdown all sound ones.
+    """
     found: list[Section] = []
     if document.get("digest"):
         found += _of_digest(document["digest"], document.get("insights") or [])
     if document.get("clusters"):
-        found.append(_of_clusters(document["clusters"]))
+        found.append(_of_clusters(document["clusters"], chosen))
     if document.get("profile"):
         found += _of_profile(document["profile"])
     return [s for s in found if s.figures or s.lines or any(s.bars.values())]
@@ -170,7 +179,7 @@ def sections(document: dict[str, Any]) -> list[Section]:
 
 def markdown(document: dict[str, Any], generated: str = "—") -> str:
     out = ["# Profile of habits", f"> generated {generated}"]
-    for s in sections(document):
+    for s in sections(document, sound):
         out += ["", f"## {s.title}"]
         out += [f"- {label}: **{value}**" for label, value in s.figures]
         out += [f"- {title}: " + " · ".join(f"{b.label} ({b.shown})" for b in bars) for title, bars in s.bars.items() if bars]
@@ -182,7 +191,7 @@ _STYLE = "body{font:16px/1.5 Georgia,serif;max-width:60em;margin:2em auto;paddin
 
 
 def page(document: dict[str, Any], title: str = "logloom") -> str:
-    """One HTML page with the sections; it also holds the document as JSON and can show another one given as a file."""
+    """One HTML page with the sections; it also holds the document as JSON.  It is laid out here and loads no other document."""
 
     def text(x: object) -> str:
         return html.escape(str(x))

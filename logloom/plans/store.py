@@ -14,10 +14,10 @@ from __future__ import annotations
 import json
 import uuid
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logloom.operators import sessions
@@ -66,6 +66,12 @@ def decided(checked: DataFrame, filled: DataFrame | None) -> DataFrame:
     return joined.withColumn("status", status).withColumn("session_id", F.when(F.col("status") == "unchanged", F.col("old_id")).otherwise(F.col("session_id")))
 
 
+def checksum(table: str, where: Column | None = None) -> Column:
+    """The sum of the rows' hashes, which no order of rows changes, as an aggregate."""
+    own = F.xxhash64(*[c.split()[0] for c in SCHEMAS[table].split(", ")]).cast("decimal(20, 0)")
+    return F.coalesce(F.sum(own if where is None else F.when(where, own)), F.lit(0).cast("decimal(30, 0)"))
+
+
 def part_of(key: str) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int").alias("part")
 
@@ -91,18 +97,26 @@ def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:
 class Store:
     spark: SparkSession
     path: str
+    _opened: tuple[Any, Any] | None = field(default=None, repr=False, compare=False)
 
     def _fs(self) -> tuple[Any, Any]:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+        if self._opened is None:
+            jvm = self.spark.sparkContext._jvm
+            make = jvm.org.apache.hadoop.fs.Path
+            self._opened = make(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), make
+        return self._opened
 
     def _read_text(self, name: str) -> str | None:
+        """A small file beside the tables."""
         fs, path = self._fs()
         p = path(f"{self.path}/{name}")
         if not fs.exists(p):
             return None
-        return self.spark.read.text(p.toString(), wholetext=True).first()[0].strip()
+        given = fs.open(p)
+        try:
+            return str(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(given, "UTF-8")).strip()
+        finally:
+            given.close()
 
     def _write_text(self, name: str, value: str) -> None:
         """A new file, whole or not at all."""
@@ -133,10 +147,23 @@ class Store:
         names = [x.getPath().getName() for x in fs.listStatus(folder)] if fs.exists(folder) else []
         return sorted(n for n in names if n.startswith("POINTER-"))
 
-    def _places(self, pointer: str | None = None) -> dict[str, dict[str, str]]:
-        """Folder of each part of each table."""
+    def _state(self, pointer: str | None = None) -> dict[str, Any]:
+        """places: the folder of each part of each table; marks: rows, checksum and files of each folder; notes: what else a commit left."""
         found = pointer or (self._pointers() or [None])[-1]
-        return json.loads(self._read_text(found)) if found else {t: {} for t in SCHEMAS}
+        return json.loads(self._read_text(found)) if found else {"places": {t: {} for t in SCHEMAS}, "marks": {}, "notes": {}}
+
+    def _places(self, pointer: str | None = None) -> dict[str, dict[str, str]]:
+        return self._state(pointer)["places"]
+
+    def notes(self) -> dict[str, Any]:
+        return self._state()["notes"]
+
+    def _files(self, folder: str) -> dict[str, list[int]]:
+        """Length and time of each data file of a folder."""
+        fs, path = self._fs()
+        where = path(f"{self.path}/{folder}")
+        found = fs.listStatus(where) if fs.exists(where) else []
+        return {f.getPath().getName(): [f.getLen(), f.getModificationTime()] for f in found if f.getPath().getName().startswith("part-")}
 
     def version(self) -> str | None:
         return self._read_text("VERSION")
@@ -162,29 +189,36 @@ class Store:
         fs, path = self._fs()
         fs.delete(path(self.path), True)
 
-    def commit(self, tables: dict[str, tuple[DataFrame, list[int]]]) -> None:
-        """Replaces parts of tables: (all rows of these parts, the parts) of each."""
+    def commit(self, tables: dict[str, tuple[DataFrame, list[int]]], notes: dict[str, Any] | None = None) -> None:
+        """Replaces parts of tables: (all rows of these parts, the parts) of each; notes are kept with the pointer.
+
+        The write itself counts and sums up the rows of each part, for integrity.
+        """
         pointers = self._pointers()
-        before, name = self._places(), f"snapshot-{uuid.uuid4().hex}"
+        state, name = self._state(), f"snapshot-{uuid.uuid4().hex}"
+        before, marks = state["places"], dict(state["marks"])
         after = {t: dict(before[t]) for t in SCHEMAS}
         fs, path = self._fs()
 
         def write(t: str) -> None:
-            df, _ = tables[t]
+            df, parts = tables[t]
             rows = df.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in SCHEMAS[t].split(", ")], part_of(KEYS[t]))
-            rows.repartition("part").write.partitionBy("part").parquet(f"{self.path}/{name}/{t}")
-
-        with ThreadPoolExecutor(len(tables)) as pool:  # the tables are independent jobs
-            list(pool.map(write, tables))
-        for t, (_, parts) in tables.items():
+            seen = Observation()
+            own = [F.struct(F.count_if(F.col("part") == k).alias("n"), checksum(t, F.col("part") == k).alias("sum")).alias(f"p{k}") for k in parts]
+            rows.repartition("part").observe(seen, F.count("*").alias("rows"), *own).write.partitionBy("part").parquet(f"{self.path}/{name}/{t}")
+            found = seen.get
             for k in parts:
                 folder = f"{name}/{t}/part={k}"
                 after[t].pop(str(k), None)
-                if fs.exists(path(f"{self.path}/{folder}")):
+                if found[f"p{k}"]["n"]:
                     after[t][str(k)] = folder
+                    marks[folder] = {"rows": found[f"p{k}"]["n"], "sum": str(found[f"p{k}"]["sum"]), "files": self._files(folder)}
+
+        with ThreadPoolExecutor(len(tables)) as pool:  # the tables are independent jobs
+            list(pool.map(write, tables))
         if self.version() is None:
             self._write_text("VERSION", SCHEMA_VERSION)
-        self._write_text(f"POINTER-{int(pointers[-1].split('-')[1]) + 1 if pointers else 0:09d}", json.dumps(after))
+        self._write_text(f"POINTER-{int(pointers[-1].split('-')[1]) + 1 if pointers else 0:09d}", json.dumps({"places": after, "marks": {f: marks[f] for t in SCHEMAS for f in after[t].values()}, "notes": state["notes"] | (notes or {})}))
         # readers of the state before may go on; what only older states hold goes
         held = {f for places in (before, after) for parts_ in places.values() for f in parts_.values()}
         for old in pointers[:-1]:
@@ -294,22 +328,39 @@ class Store:
         last = self.table("session").agg(F.max("ingested_at")).first()[0]
         return str(last) if last is not None else None
 
-    def integrity(self) -> str:
-        """ok, or what can't be read: every folder that the pointer names must give its rows."""
-        try:
-            for t in SCHEMAS:
-                self.table(t).write.format("noop").mode("overwrite").save()
-        except Exception as e:  # whatever a broken file raises
-            return str(e).splitlines()[0]
-        return "ok"
+    def broken(self, deep: bool = False) -> list[str]:
+        """Folders of parts whose rows aren't those that were written.
+
+        A part whose files have the lengths and times that they were written
+        with is taken for whole, unless ``deep``; of others all rows are read,
+        counted and summed up.
+        """
+        state, out = self._state(), []
+        for t in SCHEMAS:
+            for folder in state["places"][t].values():
+                mark = state["marks"][folder]
+                if not deep and self._files(folder) == mark["files"]:
+                    continue
+                try:
+                    n, total = self.spark.read.schema(SCHEMAS[t]).parquet(f"{self.path}/{folder}").agg(F.count("*"), checksum(t)).first()
+                except Exception:  # whatever a broken file raises
+                    n, total = None, None
+                if (n, str(total)) != (mark["rows"], mark["sum"]):
+                    out.append(folder)
+        return sorted(out)
+
+    def integrity(self, deep: bool = False) -> str:
+        """ok, or the parts that differ from what was written."""
+        found = self.broken(deep)
+        return "ok" if not found else "broken: " + ", ".join(found)
 
     def size_kb(self) -> float:
         fs, path = self._fs()
         return round(fs.getContentSummary(path(self.path)).getLength() / 1024, 1) if fs.exists(path(self.path)) else 0.0
 
-    def health(self) -> dict[str, Any]:
+    def health(self, deep: bool = False) -> dict[str, Any]:
         """Integrity, files tracked, messages without a session, and advice."""
-        sound = self.integrity()
+        sound = self.integrity(deep)
         if sound != "ok":
             return {"status": "degraded", "integrity": sound, "sessions": 0, "files_tracked": 0, "orphan_messages": 0, "store_kb": self.size_kb(), "version": self.version(), "advice": ["ingest --full (integrity)"]}
         lost = orphans(self.table("message"), self.table("session").select(F.col("id").alias("session_id"))).count()

@@ -264,3 +264,38 @@ def test_clusters_by_vectors(spark, tmp_path, roots):
     assert found["mode"] == "embeddings" and found["threshold"] == 0.82
     assert sorted(sorted(c["sources"].items()) for c in found["clusters"]) == [[("claude-code", 1), ("codex", 1)], [("claude-code", 2)]]
     assert cli.cluster_document(st, None, lambda: None)["mode"] == "tfidf"
+
+
+def test_broken_parts_are_named(spark, tmp_path, roots, monkeypatch):
+    a, b = roots
+    st = Store(spark, str(tmp_path / "store"))
+    st.ingest([(A, a), (B, b)], home="/home/me")
+    assert st.integrity() == st.integrity(deep=True) == "ok"
+    read = []
+    real = Store._files
+    monkeypatch.setattr(Store, "_files", lambda self, folder: read.append(folder) or real(self, folder))
+    folders = [f for t in st._places().values() for f in t.values()]
+    assert st.broken() == [] and sorted(read) == sorted(folders)  # stamps only: no part differs, so none is decoded
+    # a part with a row of another value, though of the same number of rows
+    folder = next(iter(st._places()["session"].values()))
+    rows = st.spark.read.parquet(f"{st.path}/{folder}").collect()
+    changed = spark.createDataFrame([r.asDict() | {"n_user": r["n_user"] + 1} for r in rows], st.table("session").schema)
+    changed.coalesce(1).write.mode("overwrite").parquet(f"{st.path}/{folder}")
+    assert st.broken() == [folder] and st.health()["status"] == "degraded" and folder in st.health()["integrity"]
+    # a flipped byte
+    other = next(iter(st._places()["message"].values()))
+    file = next(f"{st.path}/{other}/{n}" for n in os.listdir(f"{st.path}/{other}") if n.startswith("part-"))
+    data = bytearray(open(file, "rb").read())
+    data[len(data) // 3] ^= 255
+    with open(file, "wb") as f:
+        f.write(data)
+    assert st.broken() == sorted([folder, other])
+
+
+def test_junk_clusters_stay_out_of_markdown():
+    names = ["# heading of a file", "add ssh-ed25519 AAAA to the host", "Continue from where you left off", "short", "write the parser for long tables"]
+    document = {"clusters": {"n_tasks": 9, "clusters": [{"size": 9 - k, "representative": n, "top_terms": []} for k, n in enumerate(names)]}}
+    text = report.markdown(document)
+    assert "- 6× short" in text and "ssh-ed25519" not in text and "heading" not in text and "Continue" not in text
+    assert "5× write the parser for long tables" in text
+    assert "short" not in [line.split(" ", 1)[1] for line in next(s for s in report.sections(document) if s.title == "Recurring tasks").lines]

@@ -1,5 +1,7 @@
 """Scalars and predicates against stated values."""
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,3 +55,22 @@ def test_scalars(spark, case):
 def test_friction_bounds(spark):
     assert apply(spark, lambda c: tx.is_friction(c, F.lit(True)), "wrong " + "x" * 593, "wrong " + "x" * 594, "x" * 115 + "wrong", "x" * 116 + "wrong") == [True, False, True, False]
     assert apply(spark, lambda c: tx.is_friction(c, F.lit(False)), "wrong") == [False]
+
+
+def test_timestamps_as_python_reads_them(spark):
+    dates = ["2024-03-05", "20240305", "2024-W10-2", "2024W102", "2024-W10", "2024W10", "2024-03", "2024-3-5", "2024-13-01", "2024-02-30", "2024-W53-1", "2020-W53-7", "2024-366", "0001-01-01", "0000-01-01"]
+    times = ["", "T10", "T10:15", "T1015", "T10:15:20", "T101520", "T10:15:20.5", "T101520.123456", "T10:15:20,123", "T10:15:20.1234567", " 10:15", "x10:15:20", "T24:00", "T10:60", "T1", "T10:1", "T10:15:", "T", "t10:15:20"]
+    zones = ["", "Z", "+05:30", "-0530", "+05", "+05:30:15", "z", "+5", "+24:00", "-00:00", "+053015", "+05:3015"]
+    rows = [d + t + z for d in dates for t in times for z in (zones if t else [""])] + ["", " 2024-03-05", "2024-03-05 ", "now", "2024-03-05T10:15:20ZZ"]
+
+    def plain(text):
+        try:
+            found = datetime.datetime.fromisoformat(text.replace("Z", "+00:00"))
+        except ValueError:
+            return None
+        return (found if found.tzinfo else found.replace(tzinfo=datetime.UTC)) - datetime.datetime(1970, 1, 1, tzinfo=datetime.UTC)
+
+    df = spark.createDataFrame([(s,) for s in rows], "s string").select("s", F.unix_micros(tx.parse_ts(F.col("s"))).alias("at"))
+    micro = datetime.timedelta(microseconds=1)
+    assert {r["s"]: r["at"] for r in df.collect()} == {s: None if (t := plain(s)) is None else t // micro for s in rows}
+    assert spark.range(1).select(tx.parse_ts(F.lit(None).cast("string")).alias("t")).first()["t"] is None
