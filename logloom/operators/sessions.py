@@ -70,16 +70,21 @@ def build(records: DataFrame, source: str, prefix: str, home: str | None = None,
     return tables(sequenced(records, segment), source, prefix, home)
 
 
-def tables(rows: DataFrame, source: str, prefix: str, home: str | None = None, kept: Callable[[DataFrame], DataFrame] = lambda df: df) -> Tables:
-    """The tables of sequenced rows; kept is applied to the sessions, which both other tables are joined with."""
+def hints(call: Column, home: str | None = None) -> Column:
+    """Project directories that a tool call hints at, in order."""
+    places = F.concat(F.coalesce(tx.cd_targets(call["command"]), F.array().cast("array<string>")), F.array(call["file"], call["workdir"]))
+    return F.filter(F.transform(places, lambda p: tx.project_root(p, home)), lambda h: h.isNotNull())
+
+
+def rolled(rows: DataFrame, home: str | None = None) -> DataFrame:
+    """One row for each file of sequenced rows: first and last values, counts, and the project that most tool calls hint at."""
 
     def last_of(c: str) -> Column:
         return F.max_by(c, F.when(F.col(c) != "", F.col("line_no"))).alias(c)
 
     dated = F.when(tx.parse_ts(F.col("ts")).isNotNull(), F.col("line_no"))
     total = F.when(F.bool_or("cumulative"), F.greatest(F.lit(0), F.coalesce(F.max("tokens"), F.lit(0)))).otherwise(F.coalesce(F.sum("tokens"), F.lit(0)))
-    has_task = F.coalesce(F.bool_or("is_task"), F.lit(False))
-    rolled = rows.groupBy("file_path", "stem").agg(
+    summed = rows.groupBy("file_path", "stem").agg(
         last_of("native_id"),
         last_of("cwd"),
         last_of("model"),
@@ -89,20 +94,22 @@ def tables(rows: DataFrame, source: str, prefix: str, home: str | None = None, k
         F.count_if(F.col("prompt").isNotNull()).alias("n_user"),
         F.count_if(F.col("kind") == "assistant").alias("n_asst"),
         total.alias("out_tokens"),
-        has_task.alias("has_task"),
+        F.coalesce(F.bool_or("is_task"), F.lit(False)).alias("has_task"),
         F.bool_or("delegated").alias("delegated"),
     )
-    calls = rows.filter("size(calls) > 0").select("file_path", "line_no", "turn_seq", F.posexplode("calls").alias("pos", "call"))
-    hinted = calls.select(
-        "file_path",
-        "line_no",
-        "pos",
-        F.explode(F.concat(F.coalesce(tx.cd_targets(F.col("call.command")), F.array().cast("array<string>")), F.array("call.file", "call.workdir"))).alias("place"),
-    )
-    roots = hinted.select("file_path", F.struct("line_no", "pos").alias("at"), tx.project_root(F.col("place"), home).alias("hint")).filter("hint is not null")
+    calls = rows.filter("size(calls) > 0").select("file_path", "line_no", F.posexplode("calls").alias("pos", "call"))
+    roots = calls.select("file_path", F.struct("line_no", "pos").alias("at"), F.explode(hints(F.col("call"), home)).alias("hint"))
     votes = roots.groupBy("file_path", "hint").agg(F.count("*").alias("n"), F.min("at").alias("at"))
     top = votes.groupBy("file_path").agg(F.min_by("hint", F.struct((-F.col("n")).alias("n"), "at")).alias("hint"))
-    found = rolled.filter("n_user > 0 or n_asst > 0").join(top, "file_path", "left")
+    return summed.join(top, "file_path", "left")
+
+
+def tables(rows: DataFrame, source: str, prefix: str, home: str | None = None, kept: Callable[[DataFrame], DataFrame] = lambda df: df, files: DataFrame | None = None) -> Tables:
+    """The tables of sequenced rows; kept is applied to the sessions, which both other tables are joined with.
+
+    ``files`` has the rolled values of each file, where they don't come from rows alone.
+    """
+    found = (rolled(rows, home) if files is None else files).filter("n_user > 0 or n_asst > 0")
     session = kept(found.select(
         F.concat(F.lit(f"{prefix}:"), F.coalesce("native_id", "stem")).alias("id"),
         F.lit(source).alias("source"),
@@ -138,6 +145,7 @@ def tables(rows: DataFrame, source: str, prefix: str, home: str | None = None, k
     )
     packages = tx.install_pkgs(F.col("call.command"))
     extension = F.nullif(tx.file_ext(F.col("call.file")), F.lit(""))
+    calls = rows.filter("size(calls) > 0").select("file_path", "turn_seq", F.explode("calls").alias("call"))
     tool_call = calls.join(ids, "file_path").select(
         "session_id",
         F.col("turn_seq").alias("after_seq"),

@@ -214,7 +214,7 @@ class Store:
                     after[t][str(k)] = folder
                     marks[folder] = {"rows": found[f"p{k}"]["n"], "sum": str(found[f"p{k}"]["sum"]), "files": self._files(folder)}
 
-        with ThreadPoolExecutor(len(tables)) as pool:  # the tables are independent jobs
+        with ThreadPoolExecutor(max(1, len(tables))) as pool:  # the tables are independent jobs
             list(pool.map(write, tables))
         if self.version() is None:
             self._write_text("VERSION", SCHEMA_VERSION)
@@ -316,6 +316,33 @@ class Store:
                 tables[t] = (rest.unionByName(own), parts["session"])
         self.commit(tables)
 
+    def append(self, new: Tables, notes: dict[str, Any]) -> None:
+        """Adds further messages and tool calls of sessions and puts their newest rows in place of older ones.
+
+        A file whose session id has changed takes what it gave before along.
+        The notes are kept by the same commit.
+        """
+        session = new.session.withColumn("ingested_at", F.current_timestamp()).persist()
+        files = session.select("file_path", F.col("id").alias("session_id"))
+        known = self.table("manifest").join(files.select("file_path"), "file_path", "left_semi").select("file_path", F.col("session_id").alias("old_id"))
+        moved = files.join(known, "file_path").filter("old_id <> session_id").select("old_id", F.col("session_id").alias("new_id")).persist()
+        keys = files.select(F.lit("manifest").alias("of"), part_of("file_path")).union(files.select(F.lit("session"), part_of("session_id"))).union(moved.select(F.lit("session"), part_of("old_id")))
+        parts: dict[str, list[int]] = {"manifest": [], "session": []}
+        for r in keys.distinct().collect():
+            parts[r["of"]].append(r["part"])
+        stamps = files.select("file_path", F.lit(None).cast("timestamp").alias("file_mtime"), F.lit(None).cast("long").alias("file_size"), F.lit(None).cast("string").alias("content_hash"), "session_id")
+        rest = self.table("manifest", parts["manifest"]).join(files.select("file_path"), "file_path", "left_anti")
+        tables = {"manifest": (rest.unionByName(stamps), parts["manifest"])}
+        gone = session.select("id").union(moved.select("old_id"))
+        tables["session"] = (self.table("session", parts["session"]).join(gone, "id", "left_anti").unionByName(session), parts["session"])
+        for t, df in (("message", new.message), ("tool_call", new.tool_call)):
+            held = self.table(t, parts["session"]).join(F.broadcast(moved) if moved.count() <= 10_000 else moved, F.col("session_id") == F.col("old_id"), "left")
+            held = held.withColumn("session_id", F.coalesce("new_id", "session_id")).drop("old_id", "new_id")
+            tables[t] = (held.unionByName(df.drop("file_path")), parts["session"])
+        self.commit(tables, notes)
+        session.unpersist()
+        moved.unpersist()
+
     def stats(self) -> dict[str, Any]:
         """Sessions by source and kind, and the real ones."""
         rows = self.table("session").groupBy("source", "kind").agg(F.count("*").alias("n")).collect()
