@@ -174,3 +174,17 @@ Base User Instructions Instruction Directory Request
 Rule Override Response Requirements Outputs Section""".split()
 PROPER_NOUN = r"\b([A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+|[A-Z]{2,6}|[A-Z][a-z]{2,})\b"
 CJK_RUN = r"[一-鿿]{2,}"
+
+# sentences of exported facts and topics, which must be these (fixed values)
+FACT_TOPICS = {"stack": "技术栈", "language": "语言", "project": "项目", "style": "协作风格"}
+STACK_SENTENCE = "%s常用:%s(据本地 AI 使用记录归纳)"
+LANGUAGE_SENTENCE = "主力技术/语言:%s"
+PROJECT_SENTENCE = "近期主要在这些项目上工作:%s"
+TOPIC_SENTENCE = "经常在「%s」项目上工作(AI 会话占比约 %s%%)"
+#: Conditions on a one-row frame of shares, as SQL, and what they say; a median of 0 is none.
+STYLE_RULES = [
+    ("cjk_share >= 0.7", "习惯用中文下达指令,书面化/润色应保持中文表达"),
+    ("terse_share >= 0.4 OR (median_chars > 0 AND median_chars < 40)", "指令偏简短直接,常用一句话表达需求"),
+    ("acceptance_rate >= 0.1", "布置任务时常附明确的验收标准或约束条件"),
+    ("discuss_first_rate >= 0.05", "复杂任务倾向先讨论方案再动手实现"),
+]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logloom.functions import lexicon as lx
@@ -92,21 +92,22 @@ def main_projects(projects: DataFrame, least: float = 0.02, k: int = 5) -> DataF
     return named.groupBy("name").agg(F.max("share").alias("share")).orderBy(F.desc("share"), "name").limit(k)
 
 
-def style_facts(style: dict[str, Any]) -> list[dict[str, str]]:
+def style_facts(style: DataFrame) -> DataFrame:
+    """(nth, fact) of the rules of lexicon.STYLE_RULES that hold for a one-row frame of shares."""
+    held = F.array(*[F.struct(F.lit(n).alias("nth"), F.when(F.expr(rule), fact).alias("fact")) for n, (rule, fact) in enumerate(lx.STYLE_RULES)])
+    return style.select(F.explode(held).alias("r")).select("r.*").filter("fact is not null")
+
+
+def style_frame(spark: SparkSession, style: dict[str, Any]) -> DataFrame:
+    """A profile's prompting style as one row."""
     mix = style.get("length_mix") or {}
-    terse = mix.get("terse (<40)", 0) / (sum(mix.values()) or 1)
-    rules = [
-        (style.get("cjk_share", 0) >= 0.7, "习惯用中文下达指令,书面化/润色应保持中文表达"),
-        (terse >= 0.4 or (style.get("median_chars") or 999) < 40, "指令偏简短直接,常用一句话表达需求"),
-        (style.get("acceptance_rate", 0) >= 0.1, "布置任务时常附明确的验收标准或约束条件"),
-        (style.get("discuss_first_rate", 0) >= 0.05, "复杂任务倾向先讨论方案再动手实现"),
-    ]
-    return [{"topic": "协作风格", "fact": fact} for holds, fact in rules if holds]
+    row = (float(style.get("cjk_share") or 0), mix.get("terse (<40)", 0) / max(1, sum(mix.values())), float(style.get("median_chars") or 0), float(style.get("acceptance_rate") or 0), float(style.get("discuss_first_rate") or 0))
+    return spark.createDataFrame([row], "cjk_share double, terse_share double, median_chars double, acceptance_rate double, discuss_first_rate double")
 
 
 def topics(projects: DataFrame, least: float = 0.03, k: int = MOST_TOPICS) -> DataFrame:
     named = projects.filter(F.col("share") >= least).select(tx.clean_basename(F.col("cwd")).alias("name"), "share").filter("name is not null")
-    line = F.format_string("经常在「%s」项目上工作(AI 会话占比约 %s%%)", F.col("name"), F.bround(F.col("share") * 100).cast("int").cast("string"))
+    line = F.format_string(lx.TOPIC_SENTENCE, F.col("name"), F.bround(F.col("share") * 100).cast("int").cast("string"))
     return named.orderBy(F.desc("share"), "name").limit(k).select(line.alias("topic"))
 
 
@@ -122,15 +123,17 @@ def build(spark, digest: dict[str, Any], profile: dict[str, Any] | None, schema:
     if profile:
         f = profile["stack_fingerprint"]
         for r in stack(counter(f["packages_installed"]), counter(f["libs_mentioned"])).collect():
-            facts.append({"topic": "技术栈", "fact": f"{r['grp']}常用:{' · '.join(r['displays'])}(据本地 AI 使用记录归纳)"})
+            facts.append({"topic": lx.FACT_TOPICS["stack"], "fact": lx.STACK_SENTENCE % (r["grp"], " · ".join(r["displays"]))})
     ext = (profile or {}).get("stack_fingerprint", {}).get("languages") or digest.get("edited_filetypes") or {}
     langs = [r["language"] for r in main_languages(spark.createDataFrame(list(ext.items()), "ext string, n long")).collect()]
     if langs:
-        facts.append({"topic": "语言", "fact": f"主力技术/语言:{' · '.join(langs)}"})
+        facts.append({"topic": lx.FACT_TOPICS["language"], "fact": lx.LANGUAGE_SENTENCE % " · ".join(langs)})
     names = [r["name"] for r in main_projects(projects).collect()]
     if names:
-        facts.append({"topic": "项目", "fact": f"近期主要在这些项目上工作:{' · '.join(names)}"})
-    facts += style_facts(profile["prompting_style"]) if profile else []
+        facts.append({"topic": lx.FACT_TOPICS["project"], "fact": lx.PROJECT_SENTENCE % " · ".join(names)})
+    if profile:
+        own = style_facts(style_frame(spark, profile["prompting_style"])).orderBy("nth").collect()
+        facts += [{"topic": lx.FACT_TOPICS["style"], "fact": r["fact"]} for r in own]
     return {
         "schema": schema,
         "source": source,
