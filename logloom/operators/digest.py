@@ -41,6 +41,11 @@ def kind_pivot(session: DataFrame) -> DataFrame:
     return session.groupBy("source").pivot("kind", ["real", "meta", "artifact"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
+def totals_by_source(session: DataFrame, sums: dict[str, str]) -> DataFrame:
+    """source, the sum of each named column (0 where all are null), and the number of sessions."""
+    return session.groupBy("source").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(name) for name, c in sums.items()], F.count("*").alias("sessions"))
+
+
 def histogram(values: DataFrame, c: Column, size: int, name: str) -> DataFrame:
     """Dense counts of 0 .. size - 1; nulls are skipped."""
     spark = values.sparkSession
@@ -96,7 +101,7 @@ def build(t: Tables, notes: str = "estimated from assistant usage records") -> d
     tasks = groups_by_signature(said.filter("is_task and text is not null"), *order).orderBy(F.desc("n"), "at").limit(60)
     days = span(said, ts).first()
     projects = with_share(top_counts(work, "project")).orderBy(F.desc("n"), "project").limit(15)
-    tokens = t.session.groupBy("source").agg(F.coalesce(F.sum("out_tokens"), F.lit(0)).alias("n")).collect()
+    tokens = totals_by_source(t.session, {"n": "out_tokens"}).collect()
     return {
         "meta": {
             "sources": sorted(pivot),

@@ -12,6 +12,7 @@ from logloom.functions import lexicon as lx
 from logloom.functions import text as tx
 from logloom.operators import digest, export, habits, postings, report, scans, search, sessions, similarity
 from logloom.plans import store
+from logloom.sources import blocks, events
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -789,3 +790,132 @@ def sessions_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = table(spark, sf_dir, "events").filter("event_type in ('purchase', 'error')")
     rows = f.select(F.concat(F.lit("u"), "user_id").alias("id"), F.format_string("%09d", "event_id").alias("file_path"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("u"), F.col("user_id") + 1)).alias("old_id"))
     return store.surviving(rows.select("id", "file_path"), rows.select("file_path", "old_id"))
+
+
+def logged_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as log lines of typed blocks: even turns have a string, odd ones a list of blocks."""
+    c = table(spark, sf_dir, "conversations").filter("text is not null")
+    block = F.transform(F.split("text", "\n"), lambda x: F.struct(F.lit("text").alias("type"), x.alias("text")))
+    listed = F.concat(block, F.array(F.struct(F.lit("image").alias("type"), F.lit(None).cast("string").alias("text"))))
+    usage, stamp = F.struct(F.length("text").alias("output_tokens")), F.format_string("2024-01-01T00:00:%02dZ", F.col("turn"))
+
+    def line(content: Column) -> Column:
+        message = F.struct(content.alias("content"), usage.alias("usage"), F.format_string("m-%d", F.col("turn") % 3).alias("model"))
+        return F.to_json(F.struct(F.col("role").alias("type"), stamp.alias("timestamp"), F.format_string("/srv/p%d/x", F.col("conv_id") % 7).alias("cwd"), message.alias("message")))
+
+    rec = F.try_parse_json(F.when(F.col("turn") % 2 == 0, line(F.col("text"))).otherwise(line(listed)))
+    return c.select(F.format_string("file:/logs/%d.jsonl", "conv_id").alias("file_path"), F.col("turn").alias("line_no"), rec.alias("rec"))
+
+
+LOGGED = """logged AS (SELECT r.conv_id, any_value(s.kind) AS kind, any_value(s.n_user) AS n_user, any_value(s.n_asst) AS n_asst, CAST({tokens} AS BIGINT) AS out_tokens, {model} AS model,
+  printf('2024-01-01T00:00:%02dZ', min(r.turn)) AS started_at, printf('2024-01-01T00:00:%02dZ', max(r.turn)) AS ended_at, '/srv/p' || CAST(r.conv_id % 7 AS VARCHAR) AS project
+  FROM records r JOIN session s ON s.id = 'conv:' || r.conv_id GROUP BY r.conv_id)"""
+
+
+@query(
+    f"WITH {RECORDS}, "
+    + LOGGED.format(tokens="coalesce(sum(length(r.text)) FILTER (r.kind = 'assistant'), 0)", model="'m-' || CAST(max(r.turn) FILTER (r.kind = 'assistant') % 3 AS VARCHAR)")
+    + " SELECT 'cc:' || conv_id AS id, kind, n_user, n_asst, out_tokens, model, started_at, ended_at, project FROM logged"
+)
+def sessions_of_block_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions through the JSON lines of the first source: texts of strings and blocks, summed tokens, last values, first and last times."""
+    t = sessions.build(blocks.normalise(logged_blocks(spark, sf_dir)), "chat", "cc", home="/home/nobody")
+    return t.session.select("id", "kind", "n_user", "n_asst", "out_tokens", "model", "started_at", "ended_at", "project")
+
+
+def logged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as log lines of events: context, messages, and a running count of tokens."""
+    c = table(spark, sf_dir, "conversations").filter("text is not null")
+    stamp = F.format_string("2024-01-01T00:00:%02dZ", F.col("turn"))
+
+    def line(kind: str, *payload: Column) -> Column:
+        return F.to_json(F.struct(F.lit(kind).alias("type"), stamp.alias("timestamp"), F.struct(*payload).alias("payload")))
+
+    place = F.format_string("/srv/p%d/x", F.col("conv_id") % 7).alias("cwd")
+    used = F.struct(F.struct((F.col("turn") * 10).alias("output_tokens"), F.lit(1).alias("reasoning_output_tokens")).alias("total_token_usage")).alias("info")
+    arguments = F.to_json(F.struct(F.array(F.lit("git"), F.lit("log"), F.col("role")).alias("command"), place.alias("workdir"))).alias("arguments")
+    lines = F.array(
+        line("session_meta", F.format_string("n%d", "conv_id").alias("id"), place),
+        line("turn_context", place, F.format_string("m-%d", F.col("turn") % 3).alias("model")),
+        F.when(F.col("role") == "user", line("event_msg", F.lit("user_message").alias("type"), F.col("text").alias("message"))).when(F.col("role") == "assistant", line("event_msg", F.lit("agent_message").alias("type"))),
+        line("event_msg", F.lit("token_count").alias("type"), used),
+        F.when(F.col("role") == "assistant", line("response_item", F.lit("function_call").alias("type"), F.lit("shell").alias("name"), arguments)),
+    )
+    told = c.select("conv_id", "turn", F.posexplode(lines).alias("pos", "line")).filter("line is not null")
+    return told.select(F.format_string("file:/logs/%d.jsonl", "conv_id").alias("file_path"), (F.col("turn") * 10 + F.col("pos")).alias("line_no"), F.try_parse_json("line").alias("rec"))
+
+
+@query(
+    f"WITH {RECORDS}, "
+    + LOGGED.format(tokens="max(r.turn) * 10 + 1", model="'m-' || CAST(max(r.turn) % 3 AS VARCHAR)")
+    + " SELECT 'cx:n' || conv_id AS id, kind, n_user, n_asst, out_tokens, model, started_at, ended_at, project FROM logged"
+)
+def sessions_of_event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through the second source: its own ids, contexts and the last of a running count of tokens."""
+    t = sessions.build(events.normalise(logged_events(spark, sf_dir)), "chat", "cx", home="/home/nobody")
+    return t.session.select("id", "kind", "n_user", "n_asst", "out_tokens", "model", "started_at", "ended_at", "project")
+
+
+@query(f"WITH {RECORDS} SELECT 'cx:n' || conv_id AS session_id, seq AS after_seq, 'codex:shell' AS tool, 'git log' AS cmd_key, '/srv/p' || CAST(conv_id % 7 AS VARCHAR) || '/x' AS workdir FROM turns WHERE kind = 'assistant'")
+def tool_calls_of_event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tool calls whose arguments are JSON inside JSON, after the assistant's turn before them."""
+    t = sessions.build(events.normalise(logged_events(spark, sf_dir)), "chat", "cx", home="/home/nobody")
+    return t.tool_call.select("session_id", "after_seq", "tool", "cmd_key", "workdir")
+
+
+@query(
+    r"""WITH c AS (SELECT split_part(url, '/', 3) AS host, page_id, split_part(regexp_replace(url, '^https?://', ''), '/', 2) AS lang, regexp_extract(url, '^https?://[^/]*/[^/]*/([^/?#]*)', 1) AS page FROM pages),
+h AS (SELECT host, '/' || lang || '/' || page AS hint, page_id FROM c),
+v AS (SELECT host, hint, count(*) AS n, min(page_id) AS first FROM h GROUP BY 1, 2)
+SELECT host, arg_min(hint, (-n, first)) AS hint FROM v GROUP BY host"""
+)
+def most_hinted_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The project that most tool calls of a session hint at: here the pages of a host as calls in their directories."""
+    path = F.regexp_replace(F.regexp_replace("url", "^https?://[^/]*", ""), "[?#].*$", "")
+    call = F.struct(F.lit("Bash").alias("tool"), F.lit(None).cast("string").alias("command"), F.lit(None).cast("string").alias("file"), F.concat(path, F.lit("/deeper")).alias("workdir"))
+    none = F.lit(None).cast("string")
+    rows = table(spark, sf_dir, "pages").select(
+        F.split("url", "/")[2].alias("file_path"), F.col("page_id").alias("line_no"), F.lit("s").alias("stem"), F.lit("assistant").alias("kind"), none.alias("ts"), none.alias("native_id"), none.alias("cwd"), none.alias("model"),
+        none.alias("originator"), F.lit(0).alias("tokens"), F.lit(False).alias("cumulative"), F.array(call).alias("calls"), F.lit(False).alias("delegated"), none.alias("prompt"), F.lit(False).alias("is_task"),
+    )
+    return sessions.rolled(rows, "/home/nobody").select(F.col("file_path").alias("host"), "hint")
+
+
+OPENINGS = "(SELECT left(text, CAST(20 + doc_id % 30 AS INTEGER)) AS text FROM documents)"
+
+
+@query(
+    f"""WITH style AS ({STYLE.replace("FROM documents", "FROM " + OPENINGS)}), mix AS (SELECT avg(CAST(length(text) < 40 AS INTEGER)) AS terse_share FROM {OPENINGS})
+SELECT fact FROM (SELECT unnest([{", ".join(f"CASE WHEN {rule} THEN {lit(fact)} END" for rule, fact in lx.STYLE_RULES)}]) AS fact FROM style, mix) WHERE fact IS NOT NULL"""
+)
+def style_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the openings of the documents, as prompts, say about their writer."""
+    docs = table(spark, sf_dir, "documents").select(F.substring(F.col("text"), F.lit(1), (20 + F.col("doc_id") % 30).cast("int")).alias("text"))
+    terse = docs.filter("text is not null").agg(F.coalesce(F.avg((F.length("text") < 40).cast("double")), F.lit(0.0)).alias("terse_share"))
+    return export.style_facts(habits.style(docs).crossJoin(F.broadcast(terse))).select("fact")
+
+
+@query("SELECT p_brand AS name FROM part GROUP BY 1 HAVING count(*) >= 0.02 * (SELECT count(*) FROM part) ORDER BY count(*) DESC, name LIMIT 5")
+def main_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shares = digest.with_share(digest.top_counts(table(spark, sf_dir, "part").select(F.col("p_brand").alias("project")), "project"))
+    return export.main_projects(shares.select(F.col("project").alias("cwd"), "share")).select("name")
+
+
+@query(
+    f"""WITH names AS ({ORACLES["page_names"]}), nouns AS ({ORACLES["proper_nouns"]}), terms AS (SELECT * FROM names UNION ALL SELECT * FROM nouns WHERE weight >= {export.ENGLISH_LEAST})
+SELECT term, CAST(sum(weight) AS BIGINT) AS weight FROM terms GROUP BY 1 ORDER BY weight DESC, term LIMIT {export.MOST_TERMS}"""
+)
+def top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names, proper nouns and CJK grams together; the documents have no CJK text, whose grams gram_dedup and cjk_terms show."""
+    projects = table(spark, sf_dir, "pages").select(F.col("url").alias("cwd"), F.lit(1).alias("sessions"))
+    return export.terms(projects, table(spark, sf_dir, "documents").select(F.col("text").alias("prompt"), F.lit(1).alias("n"))).select("term", "weight")
+
+
+@query(
+    """WITH s AS (SELECT user_id % 3 AS k, count(*) AS n, coalesce(sum(event_id), 0) AS tokens FROM events GROUP BY user_id)
+SELECT CAST(k AS VARCHAR) AS source, CAST(sum(tokens) AS BIGINT) AS output_tokens, CAST(sum(n) AS BIGINT) AS messages, count(*) AS sessions FROM s GROUP BY k"""
+)
+def tokens_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as sessions of three sources: tokens, messages and sessions of each."""
+    s = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.sum("event_id").alias("out_tokens")).select((F.col("user_id") % 3).cast("string").alias("source"), "n", "out_tokens")
+    return digest.totals_by_source(s, {"output_tokens": "out_tokens", "messages": "n"})
