@@ -25,6 +25,8 @@ from logloom.llm.shared import bound_batches, received, send
 
 #: Windows in one broadcast table.
 PART_WINDOWS = 400_000
+#: Bytes of text for which each of many tables is loaded once.
+GATHERED = 16 << 20
 
 #: Bytes that are word bytes: ASCII letters and digits, and all of non-ASCII; A-Z become a-z, others a space.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -113,6 +115,18 @@ def occurrences(texts: list[list[bytes]], parts: list) -> tuple[list[list[tuple[
     return spans, found
 
 
+def gathered(batches: Iterator[pa.RecordBatch], parts: list, most: int = GATHERED) -> Iterator[pa.RecordBatch]:
+    """The batches; where tables are loaded anew for each, joined to ones of about ``most`` bytes, so that each load serves more text."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if len(parts) <= 2 or sum(x.nbytes for x in held) >= most:
+            yield held[0] if len(held) == 1 else pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def loading(parts: list) -> list:
     """Callables that give the tables: up to two parts are held, more are loaded anew each time."""
     if len(parts) > 2:
@@ -136,7 +150,7 @@ def covered(spans: list[tuple[int, int]]) -> int:
 def _scan(parts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded = loading(parts)
-        for b in batches:
+        for b in gathered(batches, parts):
             texts = [words_of(t) for t in b.column(1).to_pylist()]
             spans, found = occurrences(texts, loaded)
             n_words, n_hit = [len(t) for t in texts], [covered(s) for s in spans]
@@ -176,7 +190,7 @@ def only_clean(documents: DataFrame, benchmark: DataFrame, window: int = 13) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded = loading(parts)
-        for b in batches:
+        for b in gathered(batches, parts):
             texts = [words_of(t) for t in b.column(at).cast(pa.binary()).to_pylist()]
             spans, _ = occurrences(texts, loaded)
             keep = [not is_contaminated(len(t), covered(s)) for t, s in zip(texts, spans, strict=True)]

@@ -8,10 +8,14 @@
 3. Rounds of neighbours-of-neighbours joins refine the lists: the vectors that
    a vector lists, or that list it, are compared with each other.  Lists whose
    last entry is still a link are saturated, and become longer.
-4. The neighbours of the vectors with ids divisible by AUDIT are found by
-   brute force, in blocks, and audit the recall of the lists.  Below the aim
-   another forest follows; where forests don't help, all vectors are compared
-   with all of their label, so that a result below the aim is never returned.
+4. Two audits measure the recall of the lists.  The neighbours of the vectors
+   with ids divisible by AUDIT are found by brute force, in blocks.  And PLANTED
+   vectors stand among the others, each turned from one of them by an angle
+   that just makes a link: their links are known, even where the first audit
+   finds few or none; they leave no trace in the result.  Below the aim in
+   either audit another forest follows; where forests don't help, all vectors
+   are compared with all of their label, so that a result below the aim is
+   never returned.
 5. Vectors whose lists are saturated at LONGEST entries are compared with all
    of their label, in blocks, and only the links that join parts are written:
    no list is cut, and no group of near copies becomes all of its pairs.
@@ -27,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +51,8 @@ TREE_BYTES = 256 << 20
 ROUNDS, FORESTS, CHANGE = 4, 3, 0.001
 #: Ids divisible by this one audit; recall of their links that is enough.
 AUDIT, RECALL = 100, 0.99
+#: Vectors planted among the others, whose links are known.
+PLANTED = 300
 #: Bytes of the vectors that are broadcast at a time.
 CHUNK_BYTES = 16 << 20
 #: Vectors and vectors of the chunk whose similarities are in memory at a time.
@@ -178,8 +185,10 @@ def _compared(chunk, threshold: float):
 class Graph:
     """Neighbour lists (src, dst, sim, fresh, nth) over points(grp, id, copies, dim, unit)."""
 
-    def __init__(self, points: DataFrame, threshold: float, folder: Folder):
-        self.points, self.threshold, self.folder = points, threshold, folder
+    def __init__(self, points: DataFrame, threshold: float, folder: Folder, planted: DataFrame | None = None):
+        self.real, self.threshold, self.folder = points, threshold, folder
+        points = points if planted is None else points.union(planted)
+        self.points = points
         sizes = points.groupBy("grp").agg(F.count("*").alias("n"))
         depth = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / LEAF))).cast("int")
         deepest = sizes.agg(F.max(depth)).first()[0] or 0
@@ -254,13 +263,30 @@ class Graph:
                 t = own.take(pa.array(np.flatnonzero(grp == g)))
                 sets[g] = t.column("id").to_numpy(), _unit(t.column("unit"), t.column("dim")[0].as_py())
             sent = send(self.points.sparkSession, sets)
-            found = self.folder.write(self.points.mapInArrow(_compared(sent, self.threshold), "u long, v long, n long"))
+            found = self.folder.write(self.real.mapInArrow(_compared(sent, self.threshold), "u long, v long, n long"))
             sent.destroy()
             met = found if met is None else met.union(found)
         self.folder.drop(chosen)
         return self.folder.write(met.filter("v is not null").union(met.filter("v is null").groupBy("u", "v").agg(F.sum("n").alias("n"))))
 
 
+def planted(points: DataFrame, threshold: float, seed: int, most: int = PLANTED) -> tuple[DataFrame, DataFrame, list[int]]:
+    """Vectors like points that link with one of them each, their known links (u, v), and their ids."""
+    spark = points.sparkSession
+    rng, rows, known = np.random.default_rng([seed, 11]), [], []
+    chosen = points.filter("dim > 1").orderBy(F.xxhash64("id", F.lit(seed))).limit(most).collect()  # at most ``most``
+    for k, r in enumerate(chosen):
+        u = np.array(r["unit"])
+        cos = threshold + (1 - threshold) * rng.uniform(0.01, 0.5)
+        side = rng.normal(size=len(u))
+        side -= (side @ u) * u
+        v = cos * u + math.sqrt(max(0.0, 1 - cos * cos)) * side / np.linalg.norm(side)
+        own = xxhash.xxh3_64_intdigest(f"{seed}:{k}:{r['id']}") - (1 << 63)
+        rows.append((r["grp"], own, 1, r["dim"], (v / np.linalg.norm(v)).tolist()))
+        known.append((own, r["id"]))
+    return spark.createDataFrame(rows, points.schema), spark.createDataFrame(known, "u long, v long"), [o for o, _ in known]
+
+
 def link_vectors(vectors: DataFrame, threshold: float = 0.98, seed: int = 3, recall: float = RECALL) -> DataFrame:
     """One row for each row of vectors(vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
@@ -269,8 +295,10 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.98, seed: int = 3, rec
     non-finite components link with nothing; vectors of different lengths
     don't link.  Repeated rows are copies that link with each other; other
     columns are ignored; an empty table gives no rows.  No link below the
-    threshold is returned; of those above, ``recall`` at least by the audit,
-    whose figure is logged.
+    threshold is returned; of those above, ``recall`` at least by each audit,
+    whose figures are logged.  A row with a null vec_id links like any other
+    and counts for others' n_links; it is no smallest id, and among rows
+    without any id component_id and kept are null.
     """
     spark = vectors.sparkSession
     bound_batches(spark)
@@ -289,7 +317,9 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.98, seed: int = 3, rec
         .select(F.xxhash64("same").alias("id"), "same", "first", "copies", "audit", F.xxhash64("label", F.size("unit")).alias("grp"), F.size("unit").alias("dim"), "unit")
     )
     points = base.select("grp", "id", "copies", "dim", "unit")
-    graph = Graph(points, threshold, folder)
+    extra, known, extra_ids = planted(points, threshold, seed)
+    extra = folder.write(extra)
+    graph = Graph(points, threshold, folder, extra)
     audit = graph.compare(base.filter("audit = 1").select(*points.columns))
     truth = audit.filter("v is null").select("u", F.col("n").alias("all"))
     copies = base.select(F.col("id").alias("v"), "copies")
@@ -308,14 +338,18 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.98, seed: int = 3, rec
         full = graph.saturated().select(F.col("id").alias("u"), F.lit(True).alias("full"))
         met = truth.join(counted, "u", "left").join(full, "u", "left").select("all", F.when(F.col("full"), F.col("all")).otherwise(F.coalesce("n", F.lit(0))).alias("n"))
         found, wanted = met.agg(F.sum(F.least("n", "all")), F.sum("all")).first()
-        reached = (found or 0) / wanted if wanted else 1.0
-        _log.info("recall %.4f of %d links of audited vectors after %d forests", reached, wanted or 0, attempt + 1)
-        if reached >= recall:
+        listed = graph.links().join(F.broadcast(known), ["u", "v"], "left_semi").select("u").union(full.join(F.broadcast(known), "u", "left_semi").select("u"))
+        shares = [listed.distinct().count() / len(extra_ids)] if extra_ids else []
+        shares += [(found or 0) / wanted] if wanted else []
+        audited = f"{(found or 0) / wanted:.4f} of {wanted} links" if wanted else "unmeasured (no links)"
+        _log.info("after %d forests: recall of planted links %s, of audited vectors %s", attempt + 1, f"{shares[0]:.4f} of {len(extra_ids)}" if extra_ids else "unmeasured", audited)
+        if min(shares, default=1.0) >= recall:
             exact = graph.compare(points.join(graph.saturated(), "id", "left_semi").select(*points.columns))
             break
     links = exact.filter("v is not null").union(audit.filter("v is not null")).select("u", "v")
     if not whole:
-        links = links.union(graph.links())
+        # the planted vectors go again
+        links = links.union(graph.links().filter(~F.col("u").isin(extra_ids) & ~F.col("v").isin(extra_ids)) if extra_ids else graph.links())
     roots = components(links)
     # exact counts where there are any, else the links found
     counts = exact.union(audit).filter("v is null").groupBy(F.col("u").alias("id")).agg(F.max("n").alias("exact"))

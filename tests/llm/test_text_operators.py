@@ -498,3 +498,44 @@ def test_secrets_with_compound_names(spark, forest):
     assert found == {(i, t.index(v), v, True) for i, (t, v) in enumerate(zip(texts_, values, strict=True))}
     clean = {r["doc_id"]: r["text"] for r in secrets.redact(df, forest).collect()}
     assert clean == {i: t.replace(v, "[SECRET]") for i, (t, v) in enumerate(zip(texts_, values, strict=True))}
+
+
+def near_vectors(first):
+    r = np.random.default_rng(4)
+    base = r.normal(size=(60, 16))
+    rows = [base[i % 60] + r.normal(scale=0.03, size=16) for i in range(240)]
+    return [(first + 100 * k + 1, v.tolist(), 1) for k, v in enumerate(rows)]
+
+
+@pytest.mark.parametrize("bad", [False, True])
+def test_vectors_without_an_audited_id(spark, monkeypatch, caplog, bad):
+    """No id is divisible by 100: planted links measure the recall; forests that find nothing end in the exact comparison."""
+    if bad:
+        monkeypatch.setattr(embedding_dedup, "LEAF", 2)
+        monkeypatch.setattr(embedding_dedup, "ROUNDS", 0)
+        monkeypatch.setattr(embedding_dedup, "FORESTS", 1)
+        monkeypatch.setattr(embedding_dedup, "trees_for", lambda depth, threshold: 1)
+    rows = near_vectors(7)
+    df = spark.createDataFrame([*rows, (None, rows[0][1], 1)], "vec_id long, embedding array<double>, label int")
+    with caplog.at_level("INFO", logger="logloom.llm.embedding_dedup"):
+        found = embedding_dedup.link_vectors(df).collect()
+    unit = np.array([v for _, v, _ in [*rows, rows[0]]])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.98
+    expected = {i: int(n) - 1 for (i, _, _), n in zip([*rows, (None, 0, 0)], near.sum(axis=1), strict=True)}
+    assert {r["vec_id"]: r["n_links"] for r in found} == expected and sum(expected.values()) > 200
+    said = " ".join(caplog.messages)
+    assert "planted links" in said and "unmeasured (no links)" in said and ("comparing all" in said) == bad
+    ids = [i for i, _, _ in rows]
+    for r in found:
+        if r["vec_id"] is not None:
+            assert r["component_id"] <= r["vec_id"] and r["component_id"] in ids
+
+
+def test_gathered_batches():
+    import pyarrow as pa
+
+    own = [pa.RecordBatch.from_arrays([pa.array([k] * 10)], ["x"]) for k in range(7)]
+    assert [b.num_rows for b in decontamination.gathered(iter(own), [1, 2])] == [10] * 7
+    joined = list(decontamination.gathered(iter(own), [1, 2, 3], most=200))
+    assert [b.num_rows for b in joined] == [30, 30, 10] and [x for b in joined for x in b.column(0).to_pylist()] == [k for k in range(7) for _ in range(10)]
