@@ -16,8 +16,9 @@ from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from logloom.operators import digest, embedding, export, habits, report, similarity
+from logloom.operators import embedding, export, habits, report, similarity
 from logloom.plans.index import Index
+from logloom.plans.kept import Kept
 from logloom.plans.store import CORRUPT, EMPTY, OK, SCHEMA_VERSION, UNHEALTHY, VERSION, Store, StoreCorrupt, StoreEmpty, StoreVersion
 from logloom.sources.registry import SOURCES
 
@@ -112,7 +113,7 @@ def export_document(store: Store, args: argparse.Namespace) -> tuple[int, Any]:
         kept = store.kept("digest.json")
         if kept is None:
             store.guard()
-        found = json.loads(kept) if kept else digest.build(store.tables())
+        found = json.loads(kept) if kept else Kept(store).digest()
     profile = None
     if not args.no_db:
         try:
@@ -179,13 +180,13 @@ def run(spark: SparkSession, args: argparse.Namespace) -> tuple[int, Any]:
     store.guard()
     t = store.tables()
     if name == "digest":
-        found = digest.build(t)
+        found = Kept(store).digest()
         say(f"digest -> {store.keep('digest.json', json.dumps(found, ensure_ascii=False, indent=2))}")
         return OK, found
     if name == "cluster":
         return OK, clusters_for(store, args)
     if name in ("profile", "report"):
-        document = {"digest": digest.build(t), "clusters": clusters_for(store, args), "profile": habits.build(t)}
+        document = {"digest": Kept(store).digest(), "clusters": clusters_for(store, args), "profile": habits.build(t)}
         if name == "report":
             document["digest"]["meta"]["generated"] = time.strftime("%Y-%m-%dT%H:%M")
             return OK, placed(store, args, "report.html", report.page(document))

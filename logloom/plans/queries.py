@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from logloom.functions import lexicon as lx
 from logloom.functions import text as tx
-from logloom.operators import digest, export, habits, postings, report, scans, search, sessions, similarity
+from logloom.operators import digest, export, habits, partials, postings, report, scans, search, sessions, similarity
+from logloom.operators.scratch import Scratch
 from logloom.plans import store
 from logloom.sources import blocks, events
 
@@ -919,3 +920,27 @@ def tokens_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users as sessions of three sources: tokens, messages and sessions of each."""
     s = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.sum("event_id").alias("out_tokens")).select((F.col("user_id") % 3).cast("string").alias("source"), "n", "out_tokens")
     return digest.totals_by_source(s, {"output_tokens": "out_tokens", "messages": "n"})
+
+
+def _partials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged partials of four parts of the conversations' sessions, whose tables are written first as a store's are."""
+    t, scratch = conversation_tables(spark, sf_dir), Scratch(spark)
+    written = sessions.Tables(scratch.write(t.session), scratch.write(t.message), scratch.write(t.tool_call))
+    return partials.merged(partials.partial(written, F.pmod(F.xxhash64("session_id"), F.lit(4)).cast("int")))
+
+
+@query(ORACLES["task_prompts"])
+def tasks_of_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and first rows that merged over parts."""
+    return _partials(spark, sf_dir).filter("metric = 'task'").select(F.col("key").alias("sig"), "n", F.col("text").alias("prompt"))
+
+
+@query(
+    f"""WITH {RECORDS}, m AS (SELECT left({sql_redacted("prompt")}, 4000) AS text FROM turns JOIN session s ON s.id = 'conv:' || conv_id WHERE prompt IS NOT NULL AND s.kind = 'real')
+SELECT count(*) AS n_prompts, CAST(coalesce(median(length(text)), 0) AS DOUBLE) AS median_chars, round(avg(CAST(regexp_matches(text, {lit(lx.CJK)}) AS INTEGER)), 9) AS cjk_share,
+  round(avg(CAST(regexp_matches(text, {lit("(?i)" + lx.ACCEPTANCE)}) AS INTEGER)), 9) AS acceptance_rate, round(avg(CAST(regexp_matches(text, {lit("(?i)" + lx.DISCUSS)}) AS INTEGER)), 9) AS discuss_first_rate FROM m"""
+)
+def style_of_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The style of all prompts, its exact median from the merged histogram of lengths."""
+    found = partials.style(_partials(spark, sf_dir))
+    return found.select("n_prompts", "median_chars", *[F.round(c, 9).alias(c) for c in ("cjk_share", "acceptance_rate", "discuss_first_rate")])
