@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -152,34 +152,58 @@ def libraries(c: Column, names: Sequence[str] = lx.LIBRARIES, aliases: dict[str,
     return F.array_distinct(folded)
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """What then makes of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _rare_ts(c: Column) -> Column:
     """Timestamps in any ISO-8601 form: compact dates and clocks, week dates, parts of a clock, offsets with seconds, any separator."""
 
     def part(x: Column, pattern: str) -> Column:
         return F.regexp_extract(x, pattern, 1)
 
-    given = part(c, r"^(\d{4}-\d{2}-\d{2}|\d{4}-W\d{2}(?:-[1-7](?!\d))?|\d{8}|\d{4}W\d{2}[1-7]?)(?:[^\d]|$)")
-    year, week = F.substring(given, 1, 4), part(given, r"W(\d{2})")
-    day = F.coalesce(F.nullif(part(given, r"W\d{2}-?(\d)"), F.lit("")), F.lit("1"))
-    monday = F.date_trunc("week", F.try_to_timestamp(F.concat(year, F.lit("-01-04"))))
-    of_week = F.date_add(monday.cast("date"), ((week.try_cast("int") - 1) * 7 + day.try_cast("int") - 1).cast("int"))
-    # week 53 is one only in some years
-    of_week = F.when((F.date_trunc("week", F.try_to_timestamp(F.concat((year.try_cast("int") + 1).cast("string"), F.lit("-01-04")))).cast("date") > of_week) & (week >= "01"), of_week.cast("string"))
-    date = F.when(week != "", of_week).otherwise(F.concat_ws("-", year, F.substring(F.replace(given, F.lit("-"), F.lit("")), 5, 2), F.substring(F.replace(given, F.lit("-"), F.lit("")), 7, 2)))
-    time = F.substring(c, F.length(given) + 2, F.length(c))
-    clock = part(time, r"^(\d{2}(?::\d{2}(?::(?=[+-])|:\d{2}(?:[.,]\d+)?)?)?|\d{4}(?:\d{2}(?:[.,]\d+)?)?)(?:[+-]|$)")
-    zone = F.substring(time, F.length(clock) + 1, F.length(time))
-    digits = F.replace(clock, F.lit(":"), F.lit(""))
-    hms = F.rpad(part(digits, r"^(\d+)"), 6, "0")
-    fraction = F.substring(F.rpad(part(digits, r"[.,](\d+)"), 6, "0"), 1, 6)
-    local = F.concat(date, F.lit(" "), F.substring(hms, 1, 2), F.lit(":"), F.substring(hms, 3, 2), F.lit(":"), F.substring(hms, 5, 2), F.lit("."), fraction)
-    offset = F.rpad(F.replace(F.substring(zone, 2, 9), F.lit(":"), F.lit("")), 6, "0")
-    minutes, seconds = F.substring(offset, 3, 2).try_cast("int"), F.substring(offset, 5, 2).try_cast("int")
-    off = (F.substring(offset, 1, 2).try_cast("int") * 3600 + minutes * 60 + seconds) * F.when(zone.startswith("-"), -1).otherwise(1)
-    sound = (given != "") & (year != "0000") & ((F.length(c) == F.length(given)) | (clock != "")) & zone.rlike(r"^(?:[+-]\d{2}(?::\d{2}(?::\d{2})?|\d{2}(?:\d{2})?)?)?$")
-    zoned = F.timestamp_micros(F.unix_micros(F.try_to_timestamp(F.concat(local, F.lit("Z")))) - off.cast("long") * 1_000_000)
-    usual = (F.abs(off) < 86400) & (minutes < 60) & (seconds < 60)
-    return F.when(sound, F.when(zone == "", F.try_to_timestamp(local)).when(usual, zoned))
+    def first_monday(year: Column) -> Column:
+        return F.date_trunc("week", F.try_to_timestamp(F.concat(F.lpad(year.cast("string"), 4, "0"), F.lit("-01-04")))).cast("date")
+
+    def of_week(v: Column) -> Column:
+        day = F.coalesce(F.nullif(part(v["given"], r"W\d{2}-?(\d)"), F.lit("")), F.lit("1"))
+        found = F.date_add(first_monday(v["year"]), ((v["week"].try_cast("int") - 1) * 7 + day.try_cast("int") - 1).cast("int"))
+        # week 53 is one only in some years
+        return let(found, lambda d: F.when((first_monday(v["year"].try_cast("int") + 1) > d) & (v["week"] >= "01"), d.cast("string")))
+
+    def clocked(v: Column) -> Column:
+        plain = F.replace(v["given"], F.lit("-"), F.lit(""))
+        date = F.when(v["week"] != "", of_week(v)).otherwise(F.concat_ws("-", v["year"], F.substring(plain, 5, 2), F.substring(plain, 7, 2)))
+        clock = part(v["time"], r"^(\d{2}(?::\d{2}(?::(?=[+-])|:\d{2}(?:[.,]\d+)?)?)?|\d{4}(?:\d{2}(?:[.,]\d+)?)?)(?:[+-]|$)")
+        return let(F.struct(date.alias("date"), clock.alias("clock"), v["time"].alias("time"), v["sound"].alias("sound"), v["bare"].alias("bare")), zoned)
+
+    def zoned(v: Column) -> Column:
+        digits = F.replace(v["clock"], F.lit(":"), F.lit(""))
+        hms, fraction = F.rpad(part(digits, r"^(\d+)"), 6, "0"), F.substring(F.rpad(part(digits, r"[.,](\d+)"), 6, "0"), 1, 6)
+        local = let(hms, lambda t: F.concat(v["date"], F.lit(" "), F.substring(t, 1, 2), F.lit(":"), F.substring(t, 3, 2), F.lit(":"), F.substring(t, 5, 2), F.lit("."), fraction))
+        zone = F.substring(v["time"], F.length(v["clock"]) + 1, F.length(v["time"]))
+        return let(F.struct(local.alias("local"), zone.alias("zone"), (v["sound"] & (v["bare"] | (v["clock"] != ""))).alias("sound")), moved)
+
+    def moved(v: Column) -> Column:
+        known = v["sound"] & v["zone"].rlike(r"^(?:[+-]\d{2}(?::\d{2}(?::\d{2})?|\d{2}(?:\d{2})?)?)?$")
+        offset = F.rpad(F.replace(F.substring(v["zone"], 2, 9), F.lit(":"), F.lit("")), 6, "0")
+
+        def shifted(o: Column) -> Column:
+            h, m, s = (F.substring(o, k, 2).try_cast("long") for k in (1, 3, 5))
+            micros = (h * 3600 + m * 60 + s) * F.when(v["zone"].startswith("-"), -1_000_000).otherwise(1_000_000).cast("long")
+            return F.when((h < 24) & (m < 60) & (s < 60), F.timestamp_micros(F.unix_micros(F.try_to_timestamp(F.concat(v["local"], F.lit("Z")))) - micros))
+
+        return F.when(known, F.when(v["zone"] == "", F.try_to_timestamp(v["local"])).otherwise(let(offset, shifted)))
+
+    def dated(given: Column) -> Column:
+        sound = (given != "") & ~given.startswith("0000")
+        return let(
+            F.struct(given.alias("given"), F.substring(given, 1, 4).alias("year"), part(given, r"W(\d{2})").alias("week"), F.substring(c, F.length(given) + 2, F.length(c)).alias("time"), sound.alias("sound"), (F.length(c) == F.length(given)).alias("bare")),
+            clocked,
+        )
+
+    return let(part(c, r"^(\d{4}-\d{2}-\d{2}|\d{4}-W\d{2}(?:-[1-7](?!\d))?|\d{8}|\d{4}W\d{2}[1-7]?)(?:[^\d]|$)"), dated)
 
 
 def parse_ts(c: Column) -> Column:
