@@ -18,6 +18,12 @@ TFIDF_THRESHOLD, VECTOR_THRESHOLD, LIMIT = 0.28, 0.82, 500
 BOUNDED = 5000
 #: Most pivots, and vectors of a cell that one task compares with others.
 PIVOTS, CELL = 512, 2048
+#: Places for each vector up to which pivots, and matches of rare terms up to which candidates are worth while; beyond, all blocks meet.
+FEW = 16
+#: Most vectors and numbers in a block, and the vectors a block has at least where all tasks together would fit one.
+BLOCK, NUMBERS, LEAST = 1 << 16, 1 << 22, 1000
+#: Rows and columns of products, products, and pairs that a task holds at a time; vectors of a block with a term that is added alone.
+TILE, PRODUCTS, FOUND, OFTEN = 1024, 1 << 20, 1 << 16, 256
 #: What rounding may take off a similarity, and off an angle.
 SLACK, ANGLE_SLACK = 1e-8, 1e-6
 
@@ -46,8 +52,15 @@ def every_pair(ids: DataFrame, dots: DataFrame, threshold: float) -> DataFrame:
     return pairs.select("a", "b", F.coalesce("sim", F.lit(0.0)).alias("sim")).filter(F.round("sim", 9) >= threshold)
 
 
-def candidates(weights: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) with a < b: all pairs of unit vectors weights(id, term, w) that may reach the threshold.
+def heads(weights: DataFrame, threshold: float) -> DataFrame:
+    """(id, term, s): those terms of unit vectors weights(id, term, w), rare ones first, from which on the norm s reaches the threshold."""
+    df = weights.groupBy("term").agg(F.count("*").alias("df"))
+    rest = Window.partitionBy("id").orderBy("df", "term").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    return weights.join(df, "term").withColumn("s", F.sqrt(F.sum(F.col("w") * F.col("w")).over(rest))).filter(F.col("s") >= threshold - SLACK).select("id", "term", "s")
+
+
+def candidates(weights: DataFrame, threshold: float, found: DataFrame | None = None) -> DataFrame:
+    """(a, b) with a < b: all pairs of unit vectors weights(id, term, w), with the heads ``found``, that may reach the threshold.
 
     Terms have one order, rare ones first.  Where two vectors' first common
     term is at places from which on their norms are s and t, their product is
@@ -55,27 +68,154 @@ def candidates(weights: DataFrame, threshold: float) -> DataFrame:
     threshold, mostly frequent ones, start no pair, and of the other matches
     only those with s * t at the threshold count.
     """
-    aim = threshold - SLACK
-    df = weights.groupBy("term").agg(F.count("*").alias("df"))
-    rest = Window.partitionBy("id").orderBy("df", "term").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    heads = weights.join(df, "term").withColumn("s", F.sqrt(F.sum(F.col("w") * F.col("w")).over(rest))).filter(F.col("s") >= aim)
-    x, y = heads.select(F.col("id").alias("a"), "term", F.col("s").alias("sa")), heads.select(F.col("id").alias("b"), "term", F.col("s").alias("sb"))
-    return x.join(y, "term").filter((F.col("a") < F.col("b")) & (F.col("sa") * F.col("sb") >= aim)).select("a", "b").distinct()
+    found = heads(weights, threshold) if found is None else found
+    x, y = found.select(F.col("id").alias("a"), "term", F.col("s").alias("sa")), found.select(F.col("id").alias("b"), "term", F.col("s").alias("sb"))
+    return x.join(y, "term").filter((F.col("a") < F.col("b")) & (F.col("sa") * F.col("sb") >= threshold - SLACK)).select("a", "b").distinct()
+
+
+def blocks(rows: DataFrame, n: int, numbers: int) -> int:
+    """Into how many blocks n rows with so many numbers in all are dealt: as few as fit a task, but enough for all cores."""
+    fit = max(-(-n // BLOCK), -(-numbers // NUMBERS), 1)
+    return max(fit, min(-(-n // LEAST), math.isqrt(4 * rows.sparkSession.sparkContext.defaultParallelism) + 1))
+
+
+def met(rows: DataFrame, count: int, *key: str) -> DataFrame:
+    """(cell, salt, own, ...): rows dealt to ``count`` blocks by their key, and each pair of blocks, cell <= salt, to one task; own ones are of the block cell.
+
+    A row is written once for each block, so that what is shuffled grows with
+    the number of blocks, and a task holds one block and reads the other.
+    """
+    other = F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("_other")
+    spread = rows.select("*", F.pmod(F.xxhash64(*key), F.lit(count)).cast("int").alias("_block"), other)
+    low, high = F.least("_block", "_other").alias("cell"), F.greatest("_block", "_other").alias("salt")
+    dealt = spread.select(low, high, (F.col("_block") <= F.col("_other")).alias("own"), *rows.columns)
+    return dealt.repartition(count * (count + 1) // 2, "cell", "salt").sortWithinPartitions("cell", "salt", F.desc("own"))
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], bool, pa.RecordBatch]]:
+    """((cell, salt), own, rows) of batches in this order."""
+    for b in batches:
+        keys = np.stack([b.column("cell").to_numpy(), b.column("salt").to_numpy(), b.column("own").to_numpy(zero_copy_only=False)])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+        for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+            if start < end:
+                yield (int(keys[0, start]), int(keys[1, start])), bool(keys[2, start]), b.slice(start, end - start)
+
+
+def _pairs(ids: pa.Array, i: np.ndarray, others: pa.Array, j: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(i)), others.take(pa.array(j)), pa.array(sim)], ["a", "b", "sim"])
+
+
+def _in_order(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").filter("a < b")
+
+
+class _Postings:
+    """Sparse vectors (id, t, w), by term."""
+
+    def __init__(self, parts: list[pa.RecordBatch]):
+        self.ids, self.n, self.row, self.t, self.w = self.read(parts)
+        order = np.argsort(self.t, kind="stable")
+        self.doc, self.weight = self.row[order], self.w[order]
+        self.terms, self.start, self.count = np.unique(self.t[order], return_index=True, return_counts=True)
+
+    @staticmethod
+    def read(parts: list[pa.RecordBatch]) -> tuple[pa.Array, int, np.ndarray, np.ndarray, np.ndarray]:
+        ids = pa.concat_arrays([p.column("id") for p in parts])
+        sizes = np.concatenate([p.column("t").value_lengths().to_numpy() for p in parts])
+        t, w = (np.concatenate([p.column(c).flatten().to_numpy() for p in parts]) for c in ("t", "w"))
+        return ids, len(ids), np.repeat(np.arange(len(ids)), sizes), t, w
+
+    def similar(self, threshold: float, parts: list[pa.RecordBatch] | None = None) -> Iterator[pa.RecordBatch]:
+        """Pairs with the vectors of parts, or among one another, each once."""
+        ids, n, row, t, w = self.read(parts) if parts else (self.ids, self.n, self.row, self.t, self.w)
+        at = np.minimum(np.searchsorted(self.terms, t), len(self.terms) - 1)
+        known = self.terms[at] == t
+        at, row, w = at[known], row[known], w[known]
+        step = max(1, PRODUCTS // self.n)
+        edges = np.searchsorted(row, np.arange(0, n + step, step))
+        for first, a, z in zip(range(0, n, step), edges[:-1], edges[1:], strict=True):
+            if a == z:
+                continue
+            dots = self._dots(at[a:z], row[a:z] - first, w[a:z], min(step, n - first))
+            i, j = np.nonzero(dots >= threshold - SLACK)
+            sim = dots[i, j]
+            good = np.round(sim, 9) >= threshold
+            if not parts:
+                good &= j < i + first
+            i, j, sim = i[good] + first, j[good], sim[good]
+            for k in range(0, len(i), FOUND):
+                yield _pairs(self.ids, j[k : k + FOUND], ids, i[k : k + FOUND], sim[k : k + FOUND])
+
+    def _dots(self, at: np.ndarray, row: np.ndarray, w: np.ndarray, rows: int) -> np.ndarray:
+        """Products of a few vectors, given by their known terms, with all of these."""
+        size = self.count[at]
+        out = np.zeros(rows * self.n)
+        rare = np.flatnonzero(size < OFTEN)
+        cuts = np.flatnonzero(np.diff(np.cumsum(size[rare]) // PRODUCTS)) + 1
+        for part in np.split(rare, cuts):
+            n = size[part]
+            place = np.arange(n.sum()) + np.repeat(self.start[at[part]] - np.cumsum(n) + n, n)
+            out += np.bincount(np.repeat(row[part] * self.n, n) + self.doc[place], np.repeat(w[part], n) * self.weight[place], len(out))
+        out = out.reshape(rows, self.n)
+        for e in np.flatnonzero(size >= OFTEN).tolist():
+            own = slice(self.start[at[e]], self.start[at[e]] + size[e])
+            out[row[e], self.doc[own]] += w[e] * self.weight[own]
+        return out
+
+
+def _multiplied(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over met blocks of sparse vectors: their similar pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, index = None, [], None
+        for key, own, part in _parts(batches):
+            if key != group:
+                if held and group[0] == group[1]:
+                    yield from _Postings(held).similar(threshold)
+                group, held, index = key, [], None
+            if own:
+                held.append(part)
+            elif held:
+                index = index or _Postings(held)
+                yield from index.similar(threshold, [part])
+        if held and group[0] == group[1]:
+            yield from _Postings(held).similar(threshold)
+
+    return run
+
+
+def block_pairs(weights: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, sim) as sparse_pairs gives them for a positive threshold, by multiplying blocks of vectors: no pair below it leaves a task."""
+    scratch = Scratch(weights.sparkSession)
+    # a term of one vector meets nothing
+    shared = weights.groupBy("term").agg(F.count("*").alias("df")).filter("df > 1").select("term")
+    numbers = scratch.write(shared.select("term", F.monotonically_increasing_id().alias("t")))
+    entries = weights.join(numbers, "term").groupBy("id").agg(F.collect_list(F.struct("t", "w")).alias("e"))
+    rows = scratch.write(entries.select("id", F.col("e.t").alias("t"), F.col("e.w").alias("w")))
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("t")), F.lit(0)).alias("numbers")).first()
+    kind = dict(rows.dtypes)["id"]
+    return _in_order(met(rows, blocks(rows, size["n"], size["numbers"]), "id").mapInArrow(_multiplied(threshold), f"a {kind}, b {kind}, sim double"))
 
 
 def sparse_pairs(weights: DataFrame, threshold: float, ids: DataFrame | None = None) -> DataFrame:
     """(a, b, sim) with a < b: pairs of unit vectors weights(id, term, w) that are at least as similar as the threshold.
 
-    Below a positive threshold nothing is compared that shares no rare term;
-    otherwise all pairs of ids (or of those with a term) are, and must be few.
+    With a positive threshold nothing is compared that shares no rare term,
+    where rare terms have few vectors; otherwise blocks of vectors are
+    multiplied.  With others all pairs of ids (or of those with a term) are
+    compared, and must be few.
     """
     if threshold <= 0:
         x, y = weights.select(F.col("id").alias("a"), "term", F.col("w").alias("wa")), weights.select(F.col("id").alias("b"), "term", F.col("w").alias("wb"))
         dots = x.join(y, "term").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim"))
         return every_pair(weights.select("id").distinct() if ids is None else ids.select("id"), dots, threshold)
+    found = Scratch(weights.sparkSession).write(heads(weights, threshold))
+    matches = found.groupBy("term").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0]
+    if (matches or 0) > FEW * found.select("id").distinct().count():
+        return block_pairs(weights, threshold)
     whole = weights.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("v"))
-    met = candidates(weights, threshold)
-    both = met.join(whole.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(whole.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
+    both = candidates(weights, threshold, found).join(whole.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(whole.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
     dot = F.aggregate(F.map_entries("va"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("vb", e["key"]), F.lit(0.0)))
     return both.select("a", "b", dot.alias("sim")).filter(F.round("sim", 9) >= threshold)
 
