@@ -221,7 +221,10 @@ def sparse_pairs(weights: DataFrame, threshold: float, ids: DataFrame | None = N
 
 
 def _units(column: pa.Array) -> np.ndarray:
-    rows = np.array(column.to_pylist(), dtype=np.float64)
+    sizes = column.value_lengths().to_numpy()
+    if len(sizes) and sizes.min() != sizes.max():
+        raise ValueError("vectors of different lengths")
+    rows = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(sizes), -1)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
@@ -229,8 +232,62 @@ def _angles(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(units @ pivots.T, -1.0, 1.0))
 
 
-def cells(vectors: DataFrame, threshold: float, pivots: int | None = None) -> DataFrame:
-    """(cell, salt, own, id, angle, v): vectors(id, v) dealt to the cells of pivots, those of CELL vectors and more to several salts.
+class _Pivots:
+    """Pivots of vectors(id, v), how far the vectors at home in each one's cell reach, and to how many salts these are dealt."""
+
+    def __init__(self, vectors: DataFrame, threshold: float, n: int, pivots: int | None = None):
+        k = pivots or max(1, min(PIVOTS, int(math.sqrt(n) / 2)))
+        chosen = vectors.orderBy(F.xxhash64("id"), "id").limit(k).select("v").collect()  # at most PIVOTS
+        kind = pa.list_(pa.float64())
+        self.sent = vectors.sparkSession.sparkContext.broadcast(_units(pa.array([r["v"] for r in chosen], kind)) if chosen else np.zeros((0, 1)))
+        self.near = math.acos(max(-1.0, min(1.0, threshold - SLACK))) + ANGLE_SLACK
+        sent = self.sent
+
+        def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in _sliced(batches):
+                angles = _angles(_units(b.column("v")), sent.value)
+                home = angles.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(home, pa.int32()), pa.array(angles[np.arange(len(home)), home])], ["cell", "angle"])
+
+        sizes = vectors.select("id", "v").mapInArrow(homes, "cell int, angle double").groupBy("cell").agg(F.max("angle").alias("reach"), F.count("*").alias("n")).collect()  # one row a pivot
+        self.reach, self.salts, self.n = np.full(k, -np.inf), np.ones(k, np.int64), np.zeros(k, np.int64)
+        for r in sizes:
+            self.reach[r["cell"]], self.salts[r["cell"]], self.n[r["cell"]] = r["reach"], max(1, -(-r["n"] // CELL)), r["n"]
+
+    def visits(self) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """Gives, for unit vectors, the home and whether each other cell is visited."""
+        sent, near, reach = self.sent, self.near, self.reach
+
+        def of(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            angles = _angles(units, sent.value)
+            home = angles.argmin(axis=1)
+            own = angles[np.arange(len(home)), home]
+            return home, (angles <= reach + near) & (angles - own[:, None] <= 2 * near) & (np.arange(len(reach)) < home[:, None])
+
+        return of
+
+    def places(self, vectors: DataFrame) -> int:
+        """How many rows the cells of all vectors have, salts included."""
+        of, k = self.visits(), len(self.reach)
+
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = np.zeros(k, np.int64)
+            for b in _sliced(batches):
+                seen += of(_units(b.column("v")))[1].sum(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k), pa.int32()), pa.array(seen)], ["cell", "n"])
+
+        seen = vectors.select("id", "v").mapInArrow(counted, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # one row a pivot
+        return sum(r["n"] * int(self.salts[r["cell"]]) for r in seen) + int((self.n * (self.salts + 1)).sum()) // 2
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, TILE):
+            yield b.slice(at, TILE)
+
+
+def cells(vectors: DataFrame, threshold: float, pivots: int | None = None, chosen: _Pivots | None = None) -> DataFrame:
+    """(cell, salt, own, id, v): vectors(id, v) dealt to the cells of pivots, those of CELL vectors and more to several salts.
 
     A vector's home is the cell of its nearest pivot.  Angles are a metric, so
     one within the threshold's angle t of a vector at home in cell c is at most
@@ -238,87 +295,69 @@ def cells(vectors: DataFrame, threshold: float, pivots: int | None = None) -> Da
     nearer to its own pivot than to c's; it visits the lower ones of those cells
     and no others.
     """
-    spark = vectors.sparkSession
-    n = vectors.count()
-    k = pivots or max(1, min(PIVOTS, int(math.sqrt(n) / 2)))
-    chosen = vectors.orderBy(F.xxhash64("id"), "id").limit(k).select("v").collect()  # at most PIVOTS
-    sent = spark.sparkContext.broadcast(_units(pa.array([r["v"] for r in chosen])) if chosen else np.zeros((0, 1)))
-    near = math.acos(max(-1.0, min(1.0, threshold - SLACK))) + ANGLE_SLACK
-    kind = dict(vectors.dtypes)["id"]
-
-    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            angles = _angles(_units(b.column("v")), sent.value)
-            home = angles.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(home, pa.int32()), pa.array(angles[np.arange(len(home)), home])], ["cell", "angle"])
-
-    sizes = vectors.select("id", "v").mapInArrow(homes, "cell int, angle double").groupBy("cell").agg(F.max("angle").alias("reach"), F.count("*").alias("n")).collect()  # one row a pivot
-    reach, salts = np.full(k, -np.inf), np.ones(k, np.int64)
-    for r in sizes:
-        reach[r["cell"]], salts[r["cell"]] = r["reach"], max(1, -(-r["n"] // CELL))
+    chosen = chosen or _Pivots(vectors, threshold, vectors.count(), pivots)
+    of, kinds = chosen.visits(), dict(vectors.dtypes)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            angles = _angles(_units(b.column("v")), sent.value)
-            rows = np.arange(len(angles))
-            home = angles.argmin(axis=1)
-            own = angles[rows, home]
-            visits = (angles <= reach + near) & (angles - own[:, None] <= 2 * near) & (np.arange(k) < home[:, None])
+        for b in _sliced(batches):
+            home, visits = of(_units(b.column("v")))
             at, cell = np.nonzero(visits)
-            at, cell, is_own = np.concatenate([rows, at]), np.concatenate([home, cell]), np.arange(len(rows) + len(at)) < len(rows)
-            columns = [pa.array(cell, pa.int32()), pa.array(is_own), b.column("id").take(pa.array(at)), pa.array(angles[at, cell]), b.column("v").take(pa.array(at))]
-            yield pa.RecordBatch.from_arrays(columns, ["cell", "home", "id", "angle", "v"])
+            at, cell, is_own = np.concatenate([np.arange(len(home)), at]), np.concatenate([home, cell]), np.arange(len(home) + len(at)) < len(home)
+            for k in range(0, len(at), TILE):
+                to, rows = slice(k, k + TILE), pa.array(at[k : k + TILE])
+                yield pa.RecordBatch.from_arrays([pa.array(cell[to], pa.int32()), pa.array(is_own[to]), b.column("id").take(rows), b.column("v").take(rows)], ["cell", "home", "id", "v"])
 
-    placed = vectors.select("id", "v").mapInArrow(dealt, f"cell int, home boolean, id {kind}, angle double, v array<double>")
+    placed = vectors.select("id", "v").mapInArrow(dealt, f"cell int, home boolean, id {kinds['id']}, v {kinds['v']}")
     # a vector at home has one salt as its own and is compared in the lower ones; a visitor is compared in all
-    count = F.element_at(F.array(*[F.lit(int(s)) for s in salts]), F.col("cell") + 1)
+    count = F.element_at(F.array(*[F.lit(int(s)) for s in chosen.salts]), F.col("cell") + 1)
     mine = F.pmod(F.xxhash64("id"), count).cast("int")
     last = F.when(F.col("home"), mine).otherwise(count - 1).cast("int")
     spread = placed.select("*", mine.alias("_mine"), F.explode(F.sequence(F.lit(0), last)).alias("salt"))
-    return spread.select("cell", "salt", (F.col("home") & (F.col("salt") == F.col("_mine"))).alias("own"), "id", "angle", "v")
+    return spread.select("cell", "salt", (F.col("home") & (F.col("salt") == F.col("_mine"))).alias("own"), "id", "v")
 
 
-def _compared(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For mapInArrow over rows of cells, sorted, own ones first: the similar pairs of each cell and salt."""
-    near = math.acos(max(-1.0, min(1.0, threshold - SLACK))) + ANGLE_SLACK
+def _close(threshold: float, ids: pa.Array, units: np.ndarray, rough: np.ndarray, others: pa.Array, other: np.ndarray, same: int | None) -> Iterator[pa.RecordBatch]:
+    """Similar pairs of own rows and others; ``same`` is the place of the others among the own rows, if they are own rows.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, ids, units, angles = None, [], None, None
-
-        def met(other_ids: list, other: np.ndarray, other_angles: np.ndarray, same: int | None, kind: pa.DataType) -> pa.RecordBatch | None:
-            """Own rows against others; ``same`` is the place of the others among the own rows, if they are own rows."""
-            sim = units @ other.T
-            close = (np.round(sim, 9) >= threshold) & (np.abs(angles[:, None] - other_angles) <= near)
+    Products in single precision, tile by tile, exclude what is below the
+    threshold by more than their rounding; the others are computed in double.
+    """
+    least = threshold - SLACK - (units.shape[1] + 8) * 2.0**-22
+    other_rough = other.astype(np.float32)
+    for x in range(0, len(units), TILE):
+        for y in range(0, len(other), TILE):
+            i, j = np.nonzero(rough[x : x + TILE] @ other_rough[y : y + TILE].T >= least)
+            i, j = i + x, j + y
             if same is not None:
-                close &= np.arange(len(units))[:, None] < np.arange(same, same + len(other))
-            i, j = np.nonzero(close)
-            if not len(i):
-                return None
-            pairs = [sorted((ids[x], other_ids[y])) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], kind), pa.array([p[1] for p in pairs], kind), pa.array(sim[i, j])], ["a", "b", "sim"])
-
-        for b in batches:
-            keys = np.stack([b.column("cell").to_numpy(), b.column("salt").to_numpy(), b.column("own").to_numpy(zero_copy_only=False)])
-            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
-            for start, end in zip(cuts[:-1], cuts[1:], strict=True):
-                if start == end:
-                    continue
-                part = b.slice(start, end - start)
-                key, own = (int(keys[0, start]), int(keys[1, start])), bool(keys[2, start])
-                if key != group:
-                    group, ids, units, angles = key, [], None, None
-                new_ids, new, new_angles = part.column("id").to_pylist(), _units(part.column("v")), part.column("angle").to_numpy()
-                found = None
-                if own:
-                    at = len(ids)
-                    ids = ids + new_ids
-                    units = new if units is None else np.concatenate([units, new])
-                    angles = new_angles if angles is None else np.concatenate([angles, new_angles])
-                    found = met(new_ids, new, new_angles, at, part.column("id").type)
-                elif units is not None:
-                    found = met(new_ids, new, new_angles, None, part.column("id").type)
-                if found is not None:
-                    yield found
+                later = i < j + same
+                i, j = i[later], j[later]
+            step = max(1, min(FOUND, NUMBERS // units.shape[1]))
+            for k in range(0, len(i), step):
+                p, q = i[k : k + step], j[k : k + step]
+                sim = np.einsum("ij,ij->i", units[p], other[q])
+                good = np.round(sim, 9) >= threshold
+                if good.any():
+                    yield _pairs(ids, p[good], others, q[good], sim[good])
+
+
+def _compared(threshold: float, whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over rows of cells, or of met blocks if ``whole``, sorted, own ones first: the similar pairs of each cell and salt."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, ids, units, rough = None, None, None, None
+        for key, own, part in _parts(batches):
+            if key != group:
+                group, ids, units, rough = key, None, None, None
+            new_ids, new = part.column("id"), _units(part.column("v"))
+            if own:
+                at = 0 if units is None else len(units)
+                ids = new_ids if ids is None else pa.concat_arrays([ids, new_ids])
+                units = new if units is None else np.concatenate([units, new])
+                rough = units.astype(np.float32)
+                if not whole or key[0] == key[1]:
+                    yield from _close(threshold, ids, units, rough, new_ids, new, at)
+            elif units is not None:
+                yield from _close(threshold, ids, units, rough, new_ids, new, None)
 
     return run
 
@@ -326,10 +365,12 @@ def _compared(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator
 def dense_pairs(vectors: DataFrame, threshold: float, id: str = "id", vec: str = "vec", pivots: int | None = None) -> DataFrame:
     """(a, b, sim) with a < b: all pairs by cosine at the threshold or above; exact, any number of vectors.
 
-    Null vectors and zero vectors are similar to nothing, at a threshold of 0
-    or less to at most BOUNDED others.
+    Where pivots exclude too little, all blocks of vectors meet instead.  Null
+    vectors and zero vectors are similar to nothing, at a threshold of 0 or
+    less to at most BOUNDED others.
     """
-    given = vectors.select(F.col(id).alias("id"), F.col(vec).cast("array<double>").alias("v")).filter(F.col("v").isNotNull())
+    exact = "array<float>" if dict(vectors.dtypes)[vec] == "array<float>" and threshold > 0 else "array<double>"
+    given = vectors.select(F.col(id).alias("id"), F.col(vec).cast(exact).alias("v")).filter(F.col("v").isNotNull())
     sound = given.filter(F.exists("v", lambda x: x != 0))
     if threshold <= 0:
         norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
@@ -338,8 +379,11 @@ def dense_pairs(vectors: DataFrame, threshold: float, id: str = "id", vec: str =
         sim = F.aggregate(F.zip_with("ua", "ub", lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x)
         return every_pair(given.select("id"), x.join(F.broadcast(y), F.col("a") < F.col("b")).select("a", "b", sim.alias("sim")), threshold)
     kind = dict(sound.dtypes)["id"]
-    placed = cells(sound, threshold, pivots).repartition("cell", "salt").sortWithinPartitions("cell", "salt", F.desc("own"))
-    return placed.mapInArrow(_compared(threshold), f"a {kind}, b {kind}, sim double")
+    size = sound.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("v")), F.lit(0)).alias("numbers")).first()
+    chosen, count = _Pivots(sound, threshold, size["n"], pivots), blocks(sound, size["n"], size["numbers"])
+    whole = pivots is None and chosen.places(sound) > max(FEW, count) * size["n"]
+    placed = met(sound, count, "id", "v") if whole else cells(sound, threshold, pivots, chosen).repartition("cell", "salt").sortWithinPartitions("cell", "salt", F.desc("own"))
+    return _in_order(placed.mapInArrow(_compared(threshold, whole), f"a {kind}, b {kind}, sim double"))
 
 
 def leaders(ranked: DataFrame, pairs: DataFrame) -> DataFrame:
